@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: What separates those words.
 GAP = r"[\x20\x09-\x0D]+"
 
+#: Rows handled at once inside a task.
+SLICE = 512
+
 _scratch: dict[str, str] = {}
 
 
@@ -51,3 +55,26 @@ def n_words(text: Column) -> Column:
     parts = F.split(text, GAP)
     empty_ends = F.when(parts[0] == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
     return F.when(text.isNull(), 0).otherwise(F.size(parts) - empty_ends).cast("long")
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, make, columns: dict[str, str]) -> DataFrame:
+    """``keep`` columns of ``df`` plus ``columns`` (name: type) made from its ``text`` column.
+
+    ``make()`` is called once per task and returns a function from a list of texts to
+    one list per column. Rows stream through in slices of bounded size; nothing is shuffled.
+    """
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+    source = df.select(*keep, F.col(text).alias("__text"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"`{n}` {t}" for n, t in columns.items()])
+    arrow = [types[t] for t in columns.values()]
+
+    def run(batches):
+        function = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                made = function(part.column(part.num_columns - 1).to_pylist())
+                arrays = [*part.columns[:-1], *(pa.array(v, type=t) for v, t in zip(made, arrow))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *columns])
+
+    return source.mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "mixing", "simhash", "pii", "decontaminate")
+MODULES = ("sharding", "substrings", "mixing", "simhash", "quality_rules", "pii", "decontaminate")
 
 
 def _modules():
