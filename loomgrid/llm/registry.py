@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "quality_model", "substrings", "mixing", "simhash", "quality_rules", "pii", "language_id", "decontaminate")
+MODULES = ("sharding", "quality_model", "substrings", "mixing", "html_text", "simhash", "quality_rules", "pii", "language_id", "decontaminate")
 
 
 def _modules():
