@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from itertools import count
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts, table
+from .common import durable, table
 
 WINDOW = 35
 GRAM = 4
@@ -38,14 +38,12 @@ PACK_BYTES = 48 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
-class _WordHashes(dict):
-    """Hash of each word, kept until there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+#: Bytes of text that are taken apart at once.
+SLICE_BYTES = 4 << 20
+#: Bytes that are hashed at once.
+HASH_BYTES = 1 << 19
+_TABLE = np.random.default_rng(35).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACES = bytes.maketrans(b"\x09\x0a\x0b\x0c\x0d", b"     ")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,6 +51,48 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class _Powers:
+    """Powers of an odd base modulo 2^64 and of its inverse, as many as were needed so far."""
+
+    def __init__(self, base: int) -> None:
+        self.bases = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + n // 4, b, dtype=np.uint64)]), dtype=np.uint64) for b in self.bases)
+        return self.up[:n], self.down[:n]
+
+
+_BYTE_POWERS, _WORD_POWERS = _Powers(int(_ODD[0])), _Powers(int(_ODD[1]))
+
+
+def _runs_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
+    """Polynomial hash modulo 2^64 of each run of ``values``: a difference of prefix sums, shifted back to power 0."""
+    up, down = powers.of(len(values) + 1)
+    prefix = np.concatenate([[np.uint64(0)], np.cumsum(values * up[:-1], dtype=np.uint64)])
+    return _mixed((prefix[ends] - prefix[starts]) * down[starts])
+
+
+def spaced(text: str | None) -> bytes:
+    """The words of a text, joined by one space."""
+    data = (text or "").encode().translate(_SPACES)
+    return b" ".join(data.split()) if b"  " in data or data[:1] == b" " or data[-1:] == b" " else data
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word of a spaced text."""
+    flat = np.frombuffer(data, dtype=np.uint8)
+    gaps = np.nonzero((flat == 32) | (flat == 10))[0]
+    starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(flat))
+    h = np.empty(len(starts), dtype=np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(flat), HASH_BYTES)), len(starts))).tolist()
+    for i, j in zip(cuts, cuts[1:]):
+        low, high = starts[i], ends[j - 1]
+        h[i:j] = _runs_hashed(_TABLE[flat[low:high]], starts[i:j] - low, ends[i:j] - low, _BYTE_POWERS)
+    return starts, ends, h
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` values, by doubling."""
     done = 1
@@ -61,49 +101,75 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
-def super_kmers(words: list[bytes], hashes: _WordHashes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, end of the last window's words, and minimiser of each super-k-mer."""
-    n = len(words) - window + 1
-    if n <= 0:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none.astype(np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+def super_kmers(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Super-k-mers of some spaced texts: text and first word of each, its minimiser, its string; then all word counts."""
+    counts = np.array([t.count(b" ") + 1 if t else 0 for t in texts], dtype=np.int64)
+    none = np.zeros(0, dtype=np.int64)
+    if counts.sum() < window:
+        return none, none, none.astype(np.uint64), [], counts
+    data = b" ".join([t for t in texts if t])
+    starts, ends, h = _words(data)
     grams = h[: len(h) - GRAM + 1] * _ODD[0]
     for k in range(1, GRAM):
         grams = grams + h[k : len(h) - GRAM + 1 + k] * _ODD[k]
     least = _sliding_min(_mixed(grams), window - GRAM + 1)
-    first = np.concatenate([[0], np.nonzero(least[1:] != least[:-1])[0] + 1])
-    ends = np.append(first[1:], n) + window - 1
-    return first, ends, least[first]
-
-
-def _key(packed: bytes) -> tuple[int, int]:
-    both = xxhash.xxh3_128_digest(packed)
-    return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    n = len(least)
+    valid = np.arange(n) + window <= bounds[owner[:n] + 1]
+    new = valid.copy()
+    new[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (owner[1:n] != owner[: n - 1])
+    first = np.nonzero(new)[0]
+    if not len(first):
+        return none, none, none.astype(np.uint64), [], counts
+    # a super-k-mer's windows go on to the next one's first, or to the text's last window
+    last = np.minimum(np.append(first[1:], n), bounds[owner[first] + 1] - window + 1) + window - 2
+    packed = [data[a:b] for a, b in zip(starts[first].tolist(), ends[last].tolist())]
+    return owner[first], first - bounds[owner[first]], least[first], packed, counts
+
+
+def _keys(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the 128-bit key of each super-k-mer."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, packed)), dtype=np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _sliced(column) -> Iterator[list[bytes]]:
+    """The spaced texts of an Arrow column in slices of bounded size."""
+    held, size = [], 0
+    for value in column:
+        held.append(spaced(value.as_py()))
+        size += len(held[-1])
+        if size >= SLICE_BYTES:
+            yield held
+            held, size = [], 0
+    yield held
 
 
 def _describe(window: int):
-    """Per text: word count, digest of all words, super-k-mer starts and keys."""
+    """Rows (doc_id, d, h, text) to (doc_id, d, h, word count, digest of all words, super-k-mer starts and keys)."""
 
-    def make():
-        hashes = _WordHashes()
-
-        def one(text: str | None) -> tuple:
-            words = (text or "").encode().split()
-            first, ends, _ = super_kmers(words, hashes, window)
-            keys = [_key(b" ".join(words[a:b])) for a, b in zip(first.tolist(), ends.tolist())]
-            return len(words), hashlib.sha256(b" ".join(words)).hexdigest(), first.tolist(), [k[0] for k in keys], [k[1] for k in keys]
-
-        return lambda texts: list(zip(*map(one, texts)))
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for texts in _sliced(batch.column(3)):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
+                owner, first, _, packed, counts = super_kmers(texts, window)
+                k1, k2 = _keys(packed)
+                offsets = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in ((first, pa.int32()), (k1, pa.int64()), (k2, pa.int64()))]
+                digests = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(counts, pa.int64()), digests, *lists], names=["doc_id", "d", "h", "n_words", "kept_sha256", "starts", "k1", "k2"])
 
-    return make
+    return run
 
 
 def _pack(window: int, buckets: int):
     """Texts to (bucket, blob): a blob's lines are distinct super-k-mers, led by 1, or 2 if seen more often."""
 
     def run(batches):
-        hashes, squeeze = _WordHashes(), zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=3)
         held: dict[int, dict[bytes, int]] = defaultdict(dict)
         size = 0
 
@@ -115,17 +181,13 @@ def _pack(window: int, buckets: int):
             held.clear()
 
         for batch in batches:
-            for value in batch.column(0):
-                words = (value.as_py() or "").encode().split()
-                first, ends, least = super_kmers(words, hashes, window)
+            for texts in _sliced(batch.column(0)):
+                _, _, least, packed, _ = super_kmers(texts, window)
                 to = (_mixed(least * _ODD[1]) % np.uint64(buckets)).tolist()
-                for a, b, bucket in zip(first.tolist(), ends.tolist(), to):
-                    packed, own = b" ".join(words[a:b]), held[bucket]
-                    if packed in own:
-                        own[packed] = 2
-                    else:
-                        own[packed] = 1
-                        size += len(packed)
+                for bucket, line in zip(to, packed):
+                    own = held[bucket]
+                    own[line] = 2 if line in own else 1
+                size += sum(map(len, packed))
                 if size > PACK_BYTES:
                     yield from blobs()
                     size = 0
@@ -134,50 +196,38 @@ def _pack(window: int, buckets: int):
     return run
 
 
-def repeated_windows(lines: dict[bytes, int], window: int = WINDOW) -> list[tuple[bytes, np.ndarray]]:
+def repeated_windows(lines: dict[bytes, int], window: int = WINDOW) -> tuple[list[bytes], list[np.ndarray]]:
     """Super-k-mers with a window that starts at two places or more, and which of their windows do.
 
     ``lines``: super-k-mers and how often each occurs (2 stands for more).
     """
     packed = list(lines)
     if not packed:
-        return []
-    numbers: dict[bytes, int] = defaultdict(count().__next__)
+        return [], []
+    data = b"\n".join(packed)
+    begins, finishes, h = _words(data)
     lengths = np.array([s.count(b" ") + 1 for s in packed], dtype=np.int64)
-    ids = np.fromiter(map(numbers.__getitem__, b" ".join(packed).split()), dtype=np.int64, count=int(lengths.sum()))
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     owner = np.repeat(np.arange(len(packed)), lengths)
-    starts = np.nonzero(np.arange(len(ids)) + window <= offsets[owner + 1])[0]
+    starts = np.nonzero(np.arange(len(h)) + window <= offsets[owner + 1])[0]
     owner = owner[starts]
-    # rolling hash modulo 2^64: a sum of mixed words times powers of an odd base, shifted back by the inverse power
-    base, inverse = int(_ODD[1]), pow(int(_ODD[1]), -1, 1 << 64)
-    powers = lambda b: np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(ids), b, dtype=np.uint64)]), dtype=np.uint64)
-    prefix = np.concatenate([[np.uint64(0)], np.cumsum(_mixed((ids + 1).astype(np.uint64) * _ODD[2]) * powers(base)[:-1], dtype=np.uint64)])
-    hashed = _mixed((prefix[starts + window] - prefix[starts]) * powers(inverse)[starts])
-    order = np.argsort(hashed, kind="stable")
-    a, b = order[:-1], order[1:]
-    same = hashed[a] == hashed[b]
-    equal = np.ones(int(same.sum()), dtype=bool)
-    x, y = starts[a[same]], starts[b[same]]
-    for k in range(window):
-        equal &= ids[x + k] == ids[y + k]
-    if not equal.all():  # a collision: sort these windows by all their words instead
-        clash = np.isin(hashed, hashed[a[same][~equal]])
-        rows = ids[starts[clash][:, None] + np.arange(window)]
-        hashed = np.where(clash, np.uint64(0), hashed)
-        group = np.unique(hashed, return_inverse=True)[1]
-        group[clash] = len(starts) + np.unique(rows, axis=0, return_inverse=True)[1].ravel()
-        group = np.unique(group, return_inverse=True)[1]
-    else:
-        group = np.empty(len(order), dtype=np.int64)
-        group[order] = np.concatenate([[0], np.cumsum(~same)])
+    hashed = _runs_hashed(h, starts, starts + window, _WORD_POWERS)
+    order = np.argsort(hashed)
+    same = hashed[order[:-1]] == hashed[order[1:]]
+    a, b = begins[starts], finishes[starts + window - 1]
+    x, y = order[:-1][same], order[1:][same]
+    differs = [i for i, (p, q, r, s) in enumerate(zip(a[x].tolist(), b[x].tolist(), a[y].tolist(), b[y].tolist())) if data[p:q] != data[r:s]]
+    group = np.empty(len(order), dtype=np.int64)
+    group[order] = np.concatenate([[0], np.cumsum(~same)])
+    if differs:  # colliding hashes: number these windows by their strings
+        clash = np.nonzero(np.isin(hashed, hashed[x[differs]]))[0]
+        numbers: dict[bytes, int] = {}
+        group[clash] = [len(order) + numbers.setdefault(data[a[i] : b[i]], len(numbers)) for i in clash]
     times = np.fromiter(lines.values(), dtype=np.int64, count=len(packed))
     marked = (np.bincount(group, weights=times[owner]) >= 2)[group]
     ends = np.cumsum(lengths - window + 1)
-    out = []
-    for i in np.unique(owner[marked]).tolist():
-        out.append((packed[i], marked[ends[i] - (lengths[i] - window + 1) : ends[i]]))
-    return out
+    found = np.unique(owner[marked]).tolist()
+    return [packed[i] for i in found], [marked[ends[i] - (lengths[i] - window + 1) : ends[i]] for i in found]
 
 
 def _count(window: int):
@@ -190,10 +240,10 @@ def _count(window: int):
                 for line in open_.decompress(blob.as_py()).split(b"\n"):
                     packed = line[2:]
                     lines[packed] = 2 if packed in lines else int(line[:1])
-        found = repeated_windows(lines, window)
-        keys = [_key(s) for s, _ in found]
-        masks = [np.packbits(m).tobytes() for _, m in found]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(masks, pa.binary())], names=["k1", "k2", "mask"])
+        packed, marked = repeated_windows(lines, window)
+        k1, k2 = _keys(packed)
+        masks = [np.packbits(m).tobytes() for m in marked]
+        yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(masks, pa.binary())], names=["k1", "k2", "mask"])
 
     return run
 
@@ -231,8 +281,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     are treated like others; further columns are ignored; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("h"))
-    columns = {"n_words": "long", "kept_sha256": "string", "starts": "array<int>", "k1": "array<long>", "k2": "array<long>"}
-    described = durable(map_texts(docs, ["doc_id", "d", "h"], "text", _describe(window), columns), "substring-docs")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    columns = f"doc_id {kind}, d {kind}, h long, n_words long, kept_sha256 string, starts array<int>, k1 array<long>, k2 array<long>"
+    described = durable(docs.select("doc_id", "d", "h", "text").mapInArrow(_describe(window), columns), "substring-docs")
     total = described.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     buckets = min(max(8, 3 * total // BUCKET_WORDS), 200_000)
     sent = docs.where("text IS NOT NULL").select("text").mapInArrow(_pack(window, 16 * buckets), "bucket int, blob binary").repartition(buckets, "bucket")
@@ -240,8 +291,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     places = described.select("d", "h", F.explode(F.arrays_zip("starts", "k1", "k2")).alias("x")).select("d", "h", "x.*")
     hit = places.join(marks, ["k1", "k2"]).groupBy("d", "h").agg(F.collect_list(F.struct("starts", "mask")).alias("found"))
     hit = durable(hit.select("d", "h", "found.starts", "found.mask"), "substring-hits")
-    cut = docs.join(hit, ["d", "h"]).select("doc_id", "text", "starts", "mask").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    whole = described.join(hit.select("d", "h"), ["d", "h"], "left_anti").select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
+    cut = docs.join(hit, ["d", "h"]).select("doc_id", "text", "starts", "mask").mapInArrow(_cut(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    whole = described.join(hit.select("d", "h"), ["d", "h"], "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return whole.unionByName(cut)
 
 
