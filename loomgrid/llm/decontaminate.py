@@ -65,20 +65,8 @@ def _anchors(placed: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     return rarest.select("term", "item", "off", (F.col("n") == 1).alias("single")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
-    """Exact and proximity matches of benchmark windows in each document.
-
-    One row (doc_id, n_words, n_hit, n_items, n_near, items) for each row of ``docs``:
-    words, words inside an occurrence of a ``window``-word item window (an item with
-    fewer words is one window), items with such a window, items with a window of which
-    at least ``near`` in ``window`` words stand in place, the two rarest among them, and the
-    exact items' ids as sorted strings.
-
-    Null and empty texts have no words. Benchmark rows without id or text are ignored;
-    an item id with several texts counts once. Repeated document rows, also with one id and
-    different texts, are judged apart. Further columns are ignored. An empty benchmark
-    hits nothing.
-    """
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
+    """``d, h, n_hit, items, n_near`` of each document (see ``_document_key``) with a surviving start."""
     docs = docs.select("doc_id", "text")
     items = durable(_items(benchmark), "items")
     flat = items.select("item", F.size("words").alias("n"), F.posexplode("words").alias("off", "word"))
@@ -109,13 +97,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
 
     found = texts.select("d", "h", F.transform("found", matched).alias("found"))
     hit = F.filter("found", lambda x: F.size(x.hits) > 0)
-    result = found.select(
+    return found.select(
         "d",
         "h",
         F.size(F.array_distinct(F.flatten(F.transform(hit, lambda x: x.hits)))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.transform(hit, lambda x: x.item_id))).alias("items"),
         F.size(F.array_distinct(F.transform(F.filter("found", lambda x: x.close), lambda x: x.item_id))).cast("long").alias("n_near"),
     ).dropDuplicates(["d", "h"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
+    """Exact and proximity matches of benchmark windows in each document.
+
+    One row (doc_id, n_words, n_hit, n_items, n_near, items) for each row of ``docs``:
+    words, words inside an occurrence of a ``window``-word item window (an item with
+    fewer words is one window), items with such a window, items with a window of which
+    at least ``near`` in ``window`` words stand in place, the two rarest among them, and the
+    exact items' ids as sorted strings.
+
+    Null and empty texts have no words. Benchmark rows without id or text are ignored;
+    an item id with several texts counts once. Repeated document rows, also with one id and
+    different texts, are judged apart. Further columns are ignored. An empty benchmark
+    hits nothing.
+    """
+    docs = docs.select("doc_id", "text")
+    result = matches(docs, benchmark, window, near)
     parts = F.split("text", GAP)
     ends = F.when(parts[0] == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
     counted = docs.select("doc_id", *_document_key(docs), F.when(F.col("text").isNull(), 0).otherwise(F.size(parts) - ends).cast("long").alias("n_words"))
@@ -125,6 +131,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the rows in which a benchmark window occurs."""
+    hit = durable(matches(docs, benchmark, window).where("n_hit > 0").select("d", "h"), "contaminated")
+    return docs.select("*", *_document_key(docs)).join(hit, ["d", "h"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

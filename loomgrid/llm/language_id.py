@@ -19,6 +19,8 @@ PER_LANGUAGE, SAMPLE, SAMPLE_CHARS = 300, 4000, 20_000
 LANDMARKS = 32
 RIDGE = 1e-3
 UNKNOWN = "und"
+#: Below this score a text is in none of the languages.
+MIN_SCORE = 0.2
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -132,6 +134,12 @@ def held_out(docs: DataFrame) -> Column:
     return F.coalesce(F.crc32(F.encode(docs["doc_id"].cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
+def recognised(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """``docs`` without the rows in no known language: without a letter, or with a score below ``min_score``."""
+    named = identify(docs, ~held_out(docs) & F.col("doc_id").isNotNull(), docs.columns)
+    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents."""
     docs = table(spark, sf_dir, "documents")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 MODULES = ("sharding", "quality_model", "substrings", "mixing", "html_text", "simhash", "quality_rules", "pii", "language_id", "decontaminate")
 
 
@@ -12,8 +14,9 @@ def _modules():
 
 
 def queries():
-    return {name: q for m in _modules() for name, q in m.QUERIES.items()}
+    return {name: q for m in _modules() for name, q in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {name: sql for m in _modules() for name, sql in m.ORACLE_SQL.items()}
+    sql = {name: text for m in _modules() for name, text in m.ORACLE_SQL.items()}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

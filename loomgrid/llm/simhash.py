@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import durable, table
@@ -133,24 +134,47 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
         edges = durable(small.toDF("a", "b").distinct(), name)
 
 
+def _rooted(marked: DataFrame) -> DataFrame:
+    """``fp, root`` for each fingerprint of ``marked`` (fp): a component's fingerprints share a root."""
+    classes = durable(marked.select("fp").distinct(), "classes")
+    tree = components(links(classes))
+    return classes.join(tree, classes.fp == tree.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs`` (doc_id, text).
 
     ``fingerprint``: 16 lowercase hex digits. ``component_id``: the smallest doc_id
     that links reach, itself included. A null or empty text, or one without words,
-    has fingerprint zero and is linked like any other. Null ids never become a
-    component's id unless it has no other. Repeated rows give repeated rows; further
+    has fingerprint zero and is linked like any other. A null id becomes a
+    component's id only if it has no other. Repeated rows give repeated rows; further
     columns are ignored; an empty table gives an empty result.
     """
     marked = durable(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "fingerprints")
-    classes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    tree = components(links(classes))
-    rooted = classes.join(tree, classes.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = durable(_rooted(marked), "rooted")
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    tops = rooted.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(tops, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component: that of the smallest id, null ids last.
+
+    Rows are told apart by id and a hash of the text, so ids may repeat; of equal rows one stays.
+    """
+    keys = ["doc_id", "h"]
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    marked = durable(hashed.select(*keys, fingerprint(F.col("text")).alias("fp")), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "h")).alias("first")
+    of_class = marked.groupBy("fp").agg(first)
+    kept = of_class.join(_rooted(marked), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h")
+    kept = durable(kept.distinct(), "kept")
+    same = hashed.alias("a").join(kept.alias("b"), F.expr("a.doc_id <=> b.doc_id AND a.h = b.h"), "left_semi")
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1)))
+    return same.withColumn("nth", nth).where("nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
