@@ -79,7 +79,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: i
     starts = started.where("first < last OR single").join(items, "item").groupBy("d", "h").agg(F.collect_list(F.struct("item_id", "words", "start")).alias("found"))
     starts = durable(starts, "starts")
 
-    texts = docs.where("text IS NOT NULL").select(*_document_key(docs), "text").join(starts, ["d", "h"]).select("d", "h", F.split(_lowered(F.col("text")), GAP).alias("doc"), "found")
+    texts = docs.where("text IS NOT NULL").select(*_document_key(docs), "text").join(starts.hint("merge"), ["d", "h"])  # starts grows with the documents: never broadcast
+    texts = texts.select("d", "h", F.split(_lowered(F.col("text")), GAP).alias("doc"), "found")
     doc = F.col("doc")
 
     def matched(x: Column) -> Column:
