@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
-#: The kernel counts the n-grams of characters, n = 1 to 3, that two texts share.
+#: The kernel counts the n-grams of characters, n = 1 to 3, that two pieces of text share.
 ORDERS = (1, 2, 3)
 #: Grams are told apart by a hash of this many bits.
 BITS = 17
-#: Bounds of the training sample: texts per language, texts in all, characters of a text.
-PER_LANGUAGE, SAMPLE, SAMPLE_CHARS = 300, 4000, 20_000
-LANDMARKS = 32
+#: Code points of a piece. A text is scored piece by piece, so a passage in another language has its share and no more.
+PIECE = 256
+#: Bounds of the training sample: texts per language, texts in all, characters of a text, pieces of a text.
+PER_LANGUAGE, SAMPLE, SAMPLE_CHARS, SAMPLE_PIECES = 300, 4000, 20_000, 4
+LANDMARKS = 64
+#: Code points of a text that are scored at once.
+STRETCH = 256 * PIECE
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: Below this score a text is in none of the languages.
@@ -25,58 +29,72 @@ _LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
-def gram_slots(text: str) -> np.ndarray:
-    """Hash slots of all n-grams of the lower-cased text, repeats included."""
+def grams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece and hash slot of each n-gram of the lower-cased text, n-grams across two pieces left out; lengths of pieces.
+
+    A last piece of under half the length belongs to the one before.
+    """
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     codes = np.where(codes < 33, np.uint64(32), codes)
-    slots, gram = [], np.zeros(len(codes), dtype=np.uint64)
+    pieces = max(1, (len(codes) + PIECE // 2) // PIECE)
+    piece = np.minimum(np.arange(len(codes)) // PIECE, pieces - 1)
+    where, slots, gram = [], [], np.zeros(len(codes), dtype=np.uint64)
     for n in ORDERS:
         if len(codes) < n:
             break
         gram = (gram[: len(codes) - n + 1] + codes[n - 1 :] + np.uint64(n)) * _MIX[n - 1]
-        slots.append(((gram ^ (gram >> np.uint64(31))) * _MIX[0]) >> np.uint64(64 - BITS))
-    return np.concatenate(slots).astype(np.int64) if slots else np.zeros(0, dtype=np.int64)
+        whole = piece[: len(gram)] == piece[n - 1 :]
+        where.append(piece[: len(gram)][whole])
+        slots.append((((gram ^ (gram >> np.uint64(31))) * _MIX[0]) >> np.uint64(64 - BITS)).astype(np.int64)[whole])
+    return np.concatenate(where), np.concatenate(slots), np.bincount(piece, minlength=pieces)
 
 
-def presence(texts: list[str], vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of 0 and 1 over ``vocabulary`` (all slots if None), and the number of different grams of each text."""
-    width = 1 << BITS if vocabulary is None else len(vocabulary)
-    rows, sizes = np.zeros((len(texts), width), dtype=np.float32), np.zeros(len(texts), dtype=np.float32)
-    seen = np.zeros(1 << BITS, dtype=np.uint8)
+def presence(texts: list[str], index: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit rows of the grams present in each piece, by ``index`` of the vocabulary (-1: none); the rows' texts and lengths."""
+    parts, owner, lengths, base = [], [], [], 0
     for i, text in enumerate(texts):
-        slots = gram_slots(text)
-        seen[slots] = 1
-        sizes[i] = np.count_nonzero(seen)
-        rows[i] = seen if vocabulary is None else seen[vocabulary]
-        seen[slots] = 0
-    return rows, np.maximum(sizes, 1)
+        where, slots, sizes = grams(text)
+        if most is not None and len(sizes) > most:
+            sizes = sizes[:most]
+            slots, where = slots[where < most], where[where < most]
+        known = index[slots]
+        parts.append((where[known >= 0] + base, known[known >= 0]))
+        owner += [i] * len(sizes)
+        lengths.append(sizes)
+        base += len(sizes)
+    rows = np.zeros((base, int(index.max()) + 1), dtype=np.float32)
+    for where, known in parts:
+        rows[where, known] = 1
+    rows /= np.sqrt(np.maximum(rows.sum(axis=1), 1))[:, None]
+    return rows, np.array(owner), np.concatenate(lengths)
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict:
-    """One-versus-rest kernel ridge regression on Nyström landmarks.
+    """One-versus-rest kernel ridge regression on Nyström landmarks, over pieces of the texts.
 
-    The first ``landmarks`` texts of each language are landmarks. With K the normalised
-    kernel (shared grams over the root of both counts), the weights solve
-    (Knm' Knm + ridge n Kmm) a = Knm' y. Scoring K(x, landmarks) a is a product of the
-    text's presence row and one matrix, which is folded here once.
+    First pieces of the first ``landmarks`` texts of each language are landmarks; their grams are the
+    vocabulary. With K the normalised kernel (shared grams over the root of both
+    counts), the weights solve (Knm' Knm + ridge n Kmm) a = Knm' y. Scoring K(x,
+    landmarks) a is a product of the piece's row and one matrix, which is folded here once.
     """
     classes = sorted(set(langs))
+    if not classes:
+        return {"classes": []}
     chosen = [i for c in classes for i in [j for j, x in enumerate(langs) if x == c][:landmarks]]
-    slots = np.zeros(1 << BITS, dtype=bool)
+    index = np.full(1 << BITS, -1, dtype=np.int32)
     for i in chosen:
-        slots[gram_slots(texts[i])] = True
-    vocabulary = np.nonzero(slots)[0]
-    base, base_size = presence([texts[i] for i in chosen], vocabulary)
-    base = base / np.sqrt(base_size)[:, None]
-    kernel = np.zeros((len(texts), len(chosen)), dtype=np.float64)
-    for at in range(0, len(texts), 256):
-        rows, sizes = presence(texts[at : at + 256], vocabulary)
-        kernel[at : at + 256] = rows @ base.T / np.sqrt(sizes)[:, None]
-    wanted = np.array([[x == c for c in classes] for x in langs], dtype=np.float64)
-    own = kernel[chosen]
-    left = kernel.T @ kernel + ridge * len(texts) * (own + own.T) / 2 + 1e-8 * np.eye(len(chosen))
-    weights = np.linalg.solve(left, kernel.T @ wanted)
-    return {"classes": classes, "vocabulary": vocabulary, "matrix": (base.T @ weights).astype(np.float32)}
+        where, slots, _ = grams(texts[i])
+        index[slots[where == 0]] = 0
+    index[index == 0] = np.arange(int((index == 0).sum()))
+    base, _, _ = presence([texts[i] for i in chosen], index, most=1)
+    kernel, wanted = [], []
+    for at in range(0, len(texts), 128):
+        rows, owner, _ = presence(texts[at : at + 128], index, SAMPLE_PIECES)
+        kernel.append((rows @ base.T).astype(np.float64))
+        wanted += [[langs[at + i] == c for c in classes] for i in owner.tolist()]
+    knm, y, kmm = np.concatenate(kernel), np.array(wanted, dtype=np.float64), (base @ base.T).astype(np.float64)
+    weights = np.linalg.solve(knm.T @ knm + ridge * len(knm) * kmm + 1e-8 * np.eye(len(chosen)), knm.T @ y)
+    return {"classes": classes, "index": index, "matrix": (base.T @ weights).astype(np.float32)}
 
 
 def _predict(model: dict):
@@ -85,10 +103,23 @@ def _predict(model: dict):
             langs: list[str] = [UNKNOWN] * len(texts)
             scores = [0.0] * len(texts)
             known = [i for i, t in enumerate(texts) if t and model["classes"] and _LETTER.search(t)]
-            for at in range(0, len(known), 64):
-                part = known[at : at + 64]
-                rows, sizes = presence([texts[i] for i in part], model["vocabulary"])
-                found = rows @ model["matrix"] / np.sqrt(sizes)[:, None]
+            while known:
+                part, chars = [], 0
+                while known and (not part or chars + len(texts[known[-1]]) <= 64 * PIECE):
+                    part.append(known.pop())
+                    chars += len(texts[part[-1]])
+                # a very long text is scored in stretches of whole pieces
+                sums = np.zeros((len(part), len(model["classes"])))
+                total = np.zeros(len(part))
+                for at in range(0, chars, STRETCH):
+                    open_ = [(j, texts[i][at : at + STRETCH]) for j, i in enumerate(part) if len(texts[i]) > at]
+                    rows, owner, lengths = presence([t for _, t in open_], model["index"])
+                    to = np.array([j for j, _ in open_])[owner]
+                    np.add.at(sums, to, (rows @ model["matrix"]) * lengths[:, None])
+                    np.add.at(total, to, lengths)
+                    if len(open_) == 1 and at + STRETCH >= len(texts[part[open_[0][0]]]):
+                        break
+                found = sums / total[:, None]
                 for i, best, value in zip(part, found.argmax(axis=1), found.max(axis=1)):
                     langs[i], scores[i] = model["classes"][best], float(min(1.0, max(0.0, value)))
             return [langs, scores]
@@ -125,7 +156,7 @@ def identify(docs: DataFrame, train: Column, keep: list[str]) -> DataFrame:
     if nothing is labelled. Whole texts are scored. Ties go to the first language in
     code-point order. Null ids and repeated rows are treated like others.
     """
-    model = fit(*sample(docs, train)) if docs.take(1) else {"classes": []}
+    model = fit(*sample(docs, train))
     return map_texts(docs, keep, "text", _predict(model), {"lang_pred": "string", "score": "double"})
 
 

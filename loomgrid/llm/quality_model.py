@@ -14,7 +14,9 @@ from .common import map_texts, table
 #: Bounds of the training sample: trusted positives, and unlabelled web texts.
 POSITIVES, UNLABELLED = 4000, 8000
 THRESHOLD = 0.3
-STEPS, RATE, DECAY = 600, 0.05, 1e-3
+STEPS, RATE, DECAY = 600, 0.05, 5e-3
+#: Features are cut at so many deviations: beyond them form says no more.
+REACH = 3.0
 _UPPER, _LOWER, _DIGIT = (bytes(range(ord(a), ord(b) + 1)) for a, b in ("AZ", "az", "09"))
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _HIGH = bytes(range(128, 256))
@@ -66,7 +68,7 @@ def _featurise():
 
 
 def _wide(x: np.ndarray, model: dict) -> np.ndarray:
-    z = np.clip((x - model["mean"]) / model["scale"], -6, 6)
+    z = np.clip((x - model["mean"]) / model["scale"], -REACH, REACH)
     return np.concatenate([z, z * z, np.ones((len(z), 1))], axis=1)
 
 
