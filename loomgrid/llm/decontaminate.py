@@ -5,7 +5,7 @@ Built from DataFrame functions only. Steps:
 1. One pass over the documents stores the index: a posting (term, document, position)
    for each occurrence of a word that the benchmark uses.
 2. The postings count every term. For each 10-word window of an item the two rarest
-   terms become anchors; a window with a term that never occurs is dropped.
+   terms that occur become anchors; a window with too many others is dropped.
 3. Anchor postings, shifted back by the anchor's offset in the item, name the start
    that the item would have in the document. Starts that two anchors agree on survive
    the intersection; an occurrence of a window always does.
@@ -55,13 +55,13 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return raw.withColumn("word", _lowered(F.col("raw"))).join(listed, "word").select("term", "d", "h", "pos")
 
 
-def _anchors(placed: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """``term, item, off, single`` of the two rarest terms of each window that can occur."""
+def _anchors(placed: DataFrame, counts: DataFrame, window: int, near: int) -> DataFrame:
+    """``term, item, off, single`` of the two rarest terms of each window that can match at all."""
     width = F.least(F.lit(window), F.col("n"))
     starts = placed.join(counts, "term", "left").withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - width + 1), F.least(F.col("off"), F.col("n") - width))))
     by = W.partitionBy("item", "s")
-    live = starts.withColumn("known", F.count("df").over(by)).where(F.col("known") == width)
-    rarest = live.withColumn("rk", F.row_number().over(by.orderBy("df", "off"))).where("rk <= 2")
+    live = starts.withColumn("known", F.count("df").over(by)).where(F.col("known") >= F.ceil(width * near / window))
+    rarest = live.where("df IS NOT NULL").withColumn("rk", F.row_number().over(by.orderBy("df", "off"))).where("rk <= 2")
     return rarest.select("term", "item", "off", (F.col("n") == 1).alias("single")).distinct()
 
 
@@ -74,7 +74,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: i
     index = durable(postings(docs, terms), "postings")
     placed = flat.join(terms, "word").select("item", "n", "off", "term")
     counts = index.groupBy("term").agg(F.count("*").alias("df"))
-    anchors = durable(_anchors(placed, counts, window), "anchors")
+    anchors = durable(_anchors(placed, counts, window, near), "anchors")
     started = index.join(anchors, "term").groupBy("d", "h", "item", (F.col("pos") - F.col("off")).alias("start")).agg(F.min("off").alias("first"), F.max("off").alias("last"), F.max("single").alias("single"))
     starts = started.where("first < last OR single").join(items, "item").groupBy("d", "h").agg(F.collect_list(F.struct("item_id", "words", "start")).alias("found"))
     starts = durable(starts, "starts")
@@ -135,7 +135,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows in which a benchmark window occurs."""
     hit = durable(matches(docs, benchmark, window).where("n_hit > 0").select("d", "h"), "contaminated")
-    return docs.select("*", *_document_key(docs)).join(hit, ["d", "h"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    d, h = _document_key(docs)
+    return docs.select("*", d.alias("__d"), h.alias("__h")).join(hit.toDF("__d", "__h"), ["__d", "__h"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

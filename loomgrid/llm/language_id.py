@@ -147,8 +147,8 @@ def sample(docs: DataFrame, train: Column) -> tuple[list[str], list[str]]:
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
-def identify(docs: DataFrame, train: Column, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` plus ``lang_pred`` and ``score`` (0 to 1) of its ``text``.
+def identify(docs: DataFrame, train: Column, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of ``docs`` plus ``lang_pred`` and ``score`` (0 to 1), or other ``names``, of its ``text``.
 
     Fitted on a bounded sample (300 texts a language, 4000 in all) of the rows where
     ``train`` holds and ``lang`` is known; ``lang`` is no input of a prediction. Null
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, train: Column, keep: list[str]) -> DataFrame:
     code-point order. Null ids and repeated rows are treated like others.
     """
     model = fit(*sample(docs, train))
-    return map_texts(docs, keep, "text", _predict(model), {"lang_pred": "string", "score": "double"})
+    return map_texts(docs, keep, "text", _predict(model), {names[0]: "string", names[1]: "double"})
 
 
 def held_out(docs: DataFrame) -> Column:
@@ -167,8 +167,8 @@ def held_out(docs: DataFrame) -> Column:
 
 def recognised(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without the rows in no known language: without a letter, or with a score below ``min_score``."""
-    named = identify(docs, ~held_out(docs) & F.col("doc_id").isNotNull(), docs.columns)
-    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = identify(docs, ~held_out(docs) & F.col("doc_id").isNotNull(), docs.columns, ("__lang", "__score"))
+    return named.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

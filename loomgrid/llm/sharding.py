@@ -97,10 +97,13 @@ def pack(sizes: list[int], shards: int) -> list[int]:
     while best is None:
         best = best_fit_decreasing(tail, high, left)
         high *= 1 if best is not None else 2
-    while high - low > step:
+    while low < high:
         middle = (low + high) // 2
         tried = best_fit_decreasing(tail, middle, left)
-        low, high, best = (low, middle, tried) if tried is not None else (middle, high, best)
+        if tried is None:
+            low = middle + step
+        else:
+            high, best = middle, tried
     return [*range(alone), *(alone + b for b in best)]
 
 

@@ -163,16 +163,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by id and a hash of the text, so ids may repeat; of equal rows one stays.
     """
-    keys = ["doc_id", "h"]
-    hashed = docs.withColumn("h", F.xxhash64("text"))
-    marked = durable(hashed.select(*keys, fingerprint(F.col("text")).alias("fp")), "fingerprints")
+    marked = durable(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprint(F.col("text")).alias("fp")), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "h")).alias("first")
     of_class = marked.groupBy("fp").agg(first)
     kept = of_class.join(_rooted(marked), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h")
     kept = durable(kept.distinct(), "kept")
-    same = hashed.alias("a").join(kept.alias("b"), F.expr("a.doc_id <=> b.doc_id AND a.h = b.h"), "left_semi")
-    nth = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1)))
-    return same.withColumn("nth", nth).where("nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = docs.withColumn("__h", F.xxhash64("text")).alias("a").join(kept.alias("b"), F.expr("a.doc_id <=> b.doc_id AND a.__h = b.h"), "left_semi")
+    nth = F.row_number().over(W.partitionBy("doc_id", "__h").orderBy(F.lit(1)))
+    return same.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

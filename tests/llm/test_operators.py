@@ -1,0 +1,406 @@
+"""The ten operators: brute force, held-out accuracy, and defined results in odd cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from loomgrid.llm import decontaminate, html_text, language_id, pii, quality_model, quality_rules, sharding, simhash, substrings
+
+#: Null id, null and empty texts, ties, repeated rows, a text without words, unusual white space, a long word.
+ODD = [(None, None), (1, None), (2, ""), (2, ""), (3, " \t\n"), (4, "one"), (5, "a b"), (5, "c d"), (6, "x y   z\x85w"), (7, "w" * 5000), (8, "Áİ K"), (9, "é" * 40)]
+LONG = " ".join(f"w{i % 997}" for i in range(60_000))
+
+
+def odd(spark):
+    rows = [(i, t, "en" if t else None, "s", 0) for i, t in ODD] + [(10, LONG, "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.withColumns({"h": F.lit("clash"), "fp": F.lit(1), "key": F.lit(2), "d": F.lit("x"), "score": F.lit(0), "draw": F.lit(0)})
+
+
+def empty(spark):
+    return odd(spark).limit(0)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def prose(rnd, vocabulary, n):
+    return " ".join(rnd.choice(vocabulary) for _ in range(n))
+
+
+# sharding
+
+
+def test_best_fit_takes_the_tightest_bin():
+    rnd = random.Random(2)
+    for _ in range(60):
+        sizes, capacity, left, want = sorted((rnd.randrange(1, 60) for _ in range(rnd.randrange(1, 80))), reverse=True), 60, [], []
+        for s in sizes:
+            fits = [(r, i) for i, r in enumerate(left) if r >= s]
+            i = min(fits)[1] if fits else len(left)
+            if not fits:
+                left.append(capacity)
+            left[i] -= s
+            want.append(i)
+        assert sharding.best_fit_decreasing(sizes, capacity) == want
+
+
+def test_shards_are_equal_and_groups_whole(spark):
+    rnd = random.Random(3)
+    rows = [(i, "".join(rnd.choice("abcé") for _ in range(rnd.randrange(0, 400)))) for i in range(3000)] + [(5000 + i, "copy " * 9) for i in range(40)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8, 64).toPandas()
+    texts = dict(rows)
+    assert sorted(out.doc_id) == sorted(texts) and all(s == len(texts[i].encode()) + 8 and c == zlib.crc32(texts[i].encode()) for i, s, c in zip(out.doc_id, out["size"], out.text_crc32))
+    sums = out.groupby("shard")["size"].sum()
+    assert len(sums) == 8 and sums.max() - sums.min() <= 0.03 * sums.mean()
+    assert out.assign(t=out.doc_id.map(texts)).groupby("t").shard.nunique().max() == 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
+def test_sharding_odd_cases(spark):
+    out = sharding.shard(odd(spark)).collect()
+    assert len(out) == len(ODD) + 1 and all(0 <= r.shard < 24 for r in out)
+    assert {(r.doc_id, r.shard) for r in out if r.doc_id == 2} and len({r.shard for r in out if r.doc_id == 2}) == 1
+    assert sharding.shard(empty(spark)).count() == 0
+    assert sharding.pack([], 3) == [] and sharding.pack([9], 3) == [0] and sharding.pack([100, 1, 1], 3) == [0, 1, 2]
+
+
+# quality model
+
+
+def junk(rnd, i, text):
+    return [text.upper().replace(" ", "!! "), " ".join(w + "###" for w in text.split()), text.replace(" ", " | "), " ".join(w for w in text.split()[:8] for _ in range(20))][i % 4]
+
+
+def test_quality_held_out(spark):
+    rnd = random.Random(4)
+    vocabulary = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(2, 9))) for _ in range(400)]
+    rows = []
+    for i in range(900):
+        text = prose(rnd, vocabulary, rnd.randrange(30, 200)) + "."
+        rows.append((i, junk(rnd, i, text) if i % 5 == 0 else text, 0 if i % 5 == 0 else 1))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], 0) for r in rows if r[0] % 3], "doc_id long, quality int, toxic int")
+    held = quality_model.held_out(docs)
+    out = {r.doc_id: r.score for r in quality_model.score(docs, labels, ~held, ["doc_id"]).collect()}
+    right = [(out[i] >= quality_model.THRESHOLD) == (q == 1) for i, _, q in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(out) == 900 and sum(right) / len(right) > 0.95
+
+
+def test_prior_is_estimated():
+    rnd = np.random.default_rng(5)
+    for prior in (0.5, 0.8):
+        p = rnd.normal(1, 1, 4000)
+        u = np.where(rnd.random(8000) < prior, rnd.normal(1, 1, 8000), rnd.normal(-3, 1, 8000))
+        assert quality_model.estimate_prior(p, u) == pytest.approx(prior, abs=0.06)
+
+
+def test_quality_odd_cases(spark):
+    labels = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (None, 1, 0), (10, None, 0)], "doc_id long, quality int, toxic int")
+    out = quality_model.score(odd(spark), labels, F.lit(True), ["doc_id"]).collect()
+    assert len(out) == len(ODD) + 1 and all(0 <= r.score <= 1 for r in out)
+    assert {r.score for r in quality_model.score(odd(spark), labels.limit(0), F.lit(True), ["doc_id"]).collect()} == {0.5}
+    assert quality_model.score(empty(spark), labels, F.lit(True), ["doc_id"]).count() == 0
+
+
+# substring dedup
+
+
+def cut(docs, window):
+    seen = Counter(tuple(w[i : i + window]) for _, t in docs for w in [words(t)] for i in range(len(w) - window + 1))
+    out = []
+    for i, t in docs:
+        w, gone = words(t), set()
+        for k in range(len(w) - window + 1):
+            if seen[tuple(w[k : k + window])] > 1:
+                gone.update(range(k, k + window))
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("window", [6, 35])
+def test_repeats_match_brute_force(spark, window):
+    rnd = random.Random(window)
+    shared = [prose(rnd, "abcdefgh", rnd.randrange(5, 80)) for _ in range(6)]
+    docs = [(i, "  ".join(rnd.choice([prose(rnd, "abcdefghijklmnopqrstuvwxyz", rnd.randrange(0, 60)), rnd.choice(shared), "\n", "to " * 50]) for _ in range(5))) for i in range(150)]
+    docs += ODD + [(77, docs[3][1])]
+    got = substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), window).collect()
+    assert sorted(map(tuple, got), key=str) == cut(docs, window)
+
+
+def test_colliding_window_hashes_are_told_apart(monkeypatch):
+    lines = {" ".join("abcdefg"[i:] + "abcdefg"[:i]).encode(): 1 for i in range(7)} | {b"a b c d e f z": 1}
+    want = substrings.repeated_windows(lines, 4)
+    monkeypatch.setattr(substrings, "_runs_hashed", lambda values, starts, ends, powers: np.zeros(len(starts), dtype=np.uint64))
+    got = substrings.repeated_windows(lines, 4)
+    assert got[0] == want[0] and all((a == b).all() for a, b in zip(got[1], want[1]))
+
+
+def test_substring_odd_cases(spark):
+    out = substrings.remove_repeats(odd(spark)).collect()
+    assert len(out) == len(ODD) + 1 and substrings.remove_repeats(empty(spark)).count() == 0
+    assert next(r.n_removed for r in out if r.doc_id == 10) == 60_000
+
+
+# SimHash
+
+
+def fingerprint(text):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(prints):
+    root = {f: f for f in prints}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    flat = sorted(root)
+    for i, a in enumerate(flat):
+        for b in flat[:i]:
+            if (a ^ b).bit_count() <= 2:
+                root[find(a)] = find(b)
+    return {f: find(f) for f in flat}
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rnd = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(500)]
+    docs = []
+    for i in range(60):
+        text = prose(rnd, vocabulary, rnd.randrange(1, 400))
+        for _ in range(rnd.randrange(1, 5)):
+            w = text.split()
+            w[rnd.randrange(len(w))] = "Changed"
+            docs.append((rnd.randrange(10**6), " ".join(w)))
+    docs += ODD + [(11, "One TWO three"), (12, "one two three")]
+    out = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    prints = {t: fingerprint(t) for _, t in docs}
+    roots = components(set(prints.values()))
+    least = {}
+    for i, t in docs:
+        r = roots[prints[t]]
+        least[r] = min((x for x in (least.get(r), i) if x is not None), default=None)
+    want = sorted(((i, f"{prints[t]:016x}", least[roots[prints[t]]]) for i, t in docs), key=str)
+    assert sorted(map(tuple, out), key=str) == want
+
+
+def test_links_in_large_buckets(spark):
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(63) for _ in range(4)]
+    prints = {b ^ (1 << i) ^ (1 << j) for b in base[:2] for i in range(12) for j in range(12)} | {b ^ (1 << k) for b in base[2:] for k in range(63)} | {rnd.getrandbits(63) for _ in range(200)}
+    classes = spark.createDataFrame([(p,) for p in prints], "fp long")
+    for bucket in (2, 1000):
+        tree = {r.node: r.root for r in simhash.components(simhash.links(classes, bucket)).collect()}
+        mine, want = {p: tree.get(p, p) for p in prints}, components(prints)
+        assert len(set(zip(mine.values(), (want[p] for p in mine)))) == len(set(want.values())) == len(set(mine.values()))
+
+
+def test_one_of_each(spark):
+    docs = odd(spark)
+    kept = simhash.one_of_each(docs)
+    ids = sorted(str(r.doc_id) for r in kept.collect())
+    assert kept.columns == docs.columns and ids.count("5") == 2 and ids.count("1") == 1 and "2" not in ids and "None" not in ids
+    assert simhash.one_of_each(empty(spark)).count() == 0 and simhash.near_duplicates(empty(spark)).count() == 0
+
+
+# quality rules
+
+
+def base_counts(text):
+    w = words(text)
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    seen, covered = Counter(grams), set()
+    for i, g in enumerate(grams):
+        if seen[g] > 1:
+            covered.update(range(i, i + 5))
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_rules_match_brute_force(spark):
+    rnd = random.Random(9)
+    docs = ODD + [(100 + i, "\n".join(prose(rnd, ["a", "b", "c#", "é|", "dd"], rnd.randrange(0, 12)) for _ in range(rnd.randrange(0, 12)))) for i in range(200)]
+    out = quality_rules.rules(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out), key=str)
+    assert got == sorted(((i, *base_counts(t)) for i, t in docs), key=str)
+    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.kept and r.base_failed) for r in out)
+
+
+def test_bands(spark):
+    rnd = random.Random(10)
+    vocabulary = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 9))) for _ in range(3000)]
+    noise = " ".join("".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(3)) for _ in range(2500))
+    texts = [prose(rnd, vocabulary, 900), " ".join(["lorem ipsum dolor sit amet consectetur " + str(i % 7) for i in range(400)]), prose(rnd, vocabulary, 60), noise.encode().hex()]
+    out = {r.doc_id: r.kept for r in quality_rules.rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[0] and out[2] and not out[1]
+    assert quality_rules.bands(rnd.randbytes(9000), __import__("zstandard").ZstdCompressor(level=3))[2] is False
+    assert quality_rules.rules(empty(spark)).count() == 0 and quality_rules.rules(odd(spark)).count() == len(ODD) + 1
+
+
+# personal data
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(v - 9 if v > 9 else v for v in twice) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            good = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            out += [(kind, m.start(), m.end())] if good else []
+    return out
+
+
+def test_pii_matches_python(spark):
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("0123456789 -.+@()abZé_%") for _ in range(rnd.randrange(0, 120))) for _ in range(800)]
+    texts += ["".join(rnd.choice("0123456789 -") for _ in range(rnd.randrange(10, 60))) for _ in range(800)]
+    texts += ["4111 1111 1111 1111", "a@b.c_@x.y", "1.2.3.4.5.6.7.8", "😀 +1 (555) 123-4567 x@y.zz", "0001.2.3.255 256.1.1.1", None, ""]
+    got = {r.doc_id: [(s.kind, s.s, s.e) for s in r.spans if s.kind in BASE] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: base_spans(t) for i, t in enumerate(texts)}
+
+
+def test_pii_methods_and_scores(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00.", "DE89 3704 0044 0532 0130 01", "my SSN 123-45-6789", "part 123-45-6789", "call +15551234567", "x +15551234567"]
+    got = {r.doc_id: [(s.kind, round(s.score, 2)) for s in r.spans] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: [("iban", 1.0)], 1: [], 2: [("national_id", 0.6)], 3: [], 4: [("phone", 0.9)], 5: [("phone", 0.6)]}
+    long = spark.createDataFrame([(1, "1" * 200_000), (2, "1 " * 100_000), (3, "a" * 300_000), (4, "a@b" + ".c" * 50_000)], "doc_id long, text string")
+    assert [len(r.spans) for r in pii.find(long).orderBy("doc_id").collect()] == [0, 0, 0, 1]
+    assert pii.find(odd(spark)).count() == len(ODD) + 1 and pii.find(empty(spark)).count() == 0
+
+
+# language
+
+
+def test_language_held_out(spark):
+    rnd = random.Random(12)
+    tongues = {"aa": ["the", "thing", "and", "with", "er"], "bb": ["der", "schön", "ung", "keit", "über"], "cc": ["être", "eau", "que", "ment", "là"]}
+    rows = [(i, prose(rnd, tongues[lang], rnd.randrange(3, 120)), lang) for i in range(450) for lang in [rnd.choice(list(tongues))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = docs.withColumn("held_out", language_id.held_out(docs))
+    out = language_id.identify(docs, ~F.col("held_out"), ["doc_id", "held_out"]).collect()
+    langs = {i: lang for i, _, lang in rows}
+    held = [r for r in out if r.held_out]
+    assert len(out) == 450 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
+    assert sum(r.lang_pred == langs[r.doc_id] for r in held) / len(held) > 0.97
+    mixed = spark.createDataFrame([(1, prose(rnd, tongues["aa"], 3000) + prose(rnd, tongues["bb"], 60), None)], "doc_id long, text string, lang string")
+    both = docs.select("doc_id", "text", "lang").unionByName(mixed.withColumn("doc_id", F.lit(9999).cast("long")))
+    assert language_id.identify(both, F.col("lang").isNotNull(), ["doc_id"]).where("doc_id = 9999").first().lang_pred == "aa"
+
+
+def test_pieces_cover_the_text():
+    where, slots, lengths = language_id.grams("ab" * 1000)
+    assert lengths.sum() == 2000 and len(where) == len(slots) and lengths.min() >= language_id.PIECE // 2
+    assert language_id.grams("x")[2].tolist() == [1]
+
+
+def test_language_odd_cases(spark):
+    out = language_id.identify(odd(spark).withColumn("score", F.lit(0)).drop("score"), F.lit(True), ["doc_id"]).collect()
+    assert len(out) == len(ODD) + 1 and all(0 <= r.score <= 1 for r in out)
+    assert {r.lang_pred for r in out if r.doc_id in (None, 1, 2, 3)} == {"und"}
+    assert {r.lang_pred for r in language_id.identify(odd(spark).drop("score"), F.lit(False), ["doc_id"]).collect()} == {"und"}
+    assert language_id.identify(empty(spark).drop("score"), F.lit(True), ["doc_id"]).count() == 0
+    assert language_id.recognised(odd(spark)).columns == odd(spark).columns
+
+
+# decontamination
+
+
+def benchmark_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def contaminated(docs, items):
+    out = []
+    for i, t in docs:
+        w, hit, found = benchmark_words(t), set(), set()
+        for item, text in items:
+            x = benchmark_words(text)
+            n = min(10, len(x))
+            wanted = {tuple(x[k : k + n]) for k in range(len(x) - n + 1)} if x else set()
+            for k in range(len(w) - n + 1):
+                if n and tuple(w[k : k + n]) in wanted:
+                    hit.update(range(k, k + n))
+                    found.add(str(item))
+        out.append((i, len(w), len(hit), sorted(found)))
+    return sorted(out, key=str)
+
+
+def test_contamination_matches_brute_force(spark):
+    rnd = random.Random(13)
+    items = [(i, prose(rnd, "abcdefghij", rnd.choice([1, 2, 5, 9, 10, 11, 30]))) for i in range(25)] + [(30, "ÉCOLE École é2c a b c d e f g h"), (31, ""), (32, None), (3, "second text of three")]
+    docs = [(i, prose(rnd, "abcdefghij", rnd.randrange(0, 80)).upper().replace(" ", rnd.choice([" ", ", ", "-\n"]))) for i in range(120)]
+    docs += [(i + 500, "x y " + (t or "") + " z") for i, t in items] + [(600, "école école é2c a b c d e f g h"), (601, "second text of three"), (602, ".second TEXT of three!")] + ODD
+    out = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in out), key=str) == contaminated(docs, [x for x in items])
+    assert all(r.n_near >= r.n_items for r in out)
+
+
+def test_proximity(spark):
+    item = [(1, " ".join(f"q{i}" for i in range(20)))]
+    w = item[0][1].split()
+    near = w[:4] + ["zz"] + w[5:]
+    out = decontaminate.contamination(spark.createDataFrame([(1, " ".join(near[:10])), (2, "q0 q1 q2")], "doc_id long, text string"), spark.createDataFrame(item, "item_id long, text string"))
+    assert {r.doc_id: (r.n_hit, r.n_near) for r in out.collect()} == {1: (0, 1), 2: (0, 0)}
+
+
+def test_contamination_odd_cases(spark):
+    items = spark.createDataFrame([(1, "c d"), (1, "c d"), (None, "a b")], "item_id long, text string")
+    out = decontaminate.contamination(odd(spark), items).collect()
+    assert len(out) == len(ODD) + 1 and [r.n_hit for r in out if r.doc_id == 5] in ([0, 2], [2, 0])
+    kept = decontaminate.clean(odd(spark), items)
+    assert kept.columns == odd(spark).columns and kept.count() == len(ODD)
+    assert decontaminate.contamination(odd(spark), items.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.contamination(empty(spark), items).count() == 0
+
+
+# pages
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>x";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a></li></ul></nav><!-- <p>no</p> --><div class="cookie-notice">We use cookies, many of them, all the time.</div>
+<main><article><h1>Head &amp; line</h1><p>First &lt;b&gt; <a href="x>y">link</a>
+ text&nbsp;here.<p><b>Second<br>line</b></p><div class="ad">Buy this now</div><form><p>Your name</p></form><ul><li>One</li><li>Two</li></ul>
+<section id="comments"><p>What a nice article this is, thanks</p></section></article></main><aside><p>Side</p></aside><footer>&copy; me</footer></body></html>"""
+
+
+def test_main_text(spark):
+    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "plain words alone"), (5, "u", "<article><p>cut off <b"), (6, "u", "<p>a</p>" * 3), (1, "u", PAGE)]
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id", "url"]).collect()
+    main = "Head & line\n\nFirst <b> link text here.\n\nSecond line\n\nOne\n\nTwo"
+    assert [r.text for r in out if r.page_id == 1] == [main, main] and all(r.n_chars == len(r.text) for r in out)
+    assert {r.page_id: r.text for r in out}[5] == "cut off" and {r.page_id: r.text for r in out}[2] == ""
+    assert html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0), ["page_id"]).count() == 0
+
+
+def test_tree_learns_its_table():
+    tree, data = html_text.train(), html_text.labelled_table()
+    assert np.mean([html_text.is_main(tree, r[:-1]) == r[-1] for r in data]) > 0.99
+
+
+def test_pages_without_article(spark):
+    text = "This paragraph has a good number of words in it, as main text has. " * 2
+    page = f"<body><div id=menu><a>a</a> <a>b</a></div><div><h2>Title</h2><p>{text}</p><p>Short one.</p><p>{text}</p></div><div><a>x y</a> <a>z</a></div>"
+    got = html_text.main_text(page, html_text.train())
+    assert got.split("\n\n") == ["Title", text.strip(), "Short one.", text.strip()]
