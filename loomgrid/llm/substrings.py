@@ -93,6 +93,11 @@ def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, h
 
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """Hash of each word of a spaced text."""
+    return _words(data)[2]
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` values, by doubling."""
     done = 1
