@@ -153,3 +153,8 @@ def dimension_of(mapping: DataFrame, templates: DataFrame) -> DataFrame:
     return templates.join(have, F.lower("dim") == F.col("low"), "left_semi").orderBy("ord")
 
 
+
+
+def select_dimensions(rows: DataFrame, dimensions: list[str] | None) -> DataFrame:
+    """Rows of some dimensions, whatever their case; of all, if none are named."""
+    return rows.where(F.lower("dimension").isin(*[d.lower() for d in dimensions])) if dimensions else rows

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import retry, text
 from ..operators import runtime as R
+from ..streaming import requests
 from . import views as V
 
 #: Messages that stand for a provider's errors.
@@ -102,7 +103,17 @@ def log_lines(spark, sf_dir):
     return V.log(spark, sf_dir).select("event_id", R.log_line(row).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (redact_text, sanitize_text, error_taxonomy, error_taxonomy_provider, retry_schedule, retry_after, retry_decision, log_summary, log_last_success, checkpoint_replay, checkpoint_resume, rate_window_requests, rate_window_tokens, rate_violations, progress_running, stratified_first_n, row_positions, log_lines)}
+def rate_tumbling(spark, sf_dir):
+    """Requests and tokens a minute; the same function serves a stream."""
+    return requests.rates(V.log(spark, sf_dir), "provider")
+
+
+def rate_limiter_simulation(spark, sf_dir):
+    """What a sliding-log limiter would have made each request wait."""
+    return requests.admissions(V.log(spark, sf_dir), "provider", 8, 2000, 3600)
+
+
+QUERIES = {f.__name__: f for f in (redact_text, sanitize_text, error_taxonomy, error_taxonomy_provider, retry_schedule, retry_after, retry_decision, log_summary, log_last_success, checkpoint_replay, checkpoint_resume, rate_window_requests, rate_window_tokens, rate_violations, progress_running, stratified_first_n, row_positions, log_lines, rate_tumbling, rate_limiter_simulation)}
 
 _L = "WITH " + V.LOG
 _QUOTED = [e.replace("'", "''") for e in ERRORS]
@@ -147,5 +158,6 @@ SELECT i, attempt, CASE WHEN hint <= 10 THEN 'retry_after_hint' WHEN hint IS NOT
     "progress_running": _L + " SELECT event_id, CAST(row_number() OVER (PARTITION BY provider ORDER BY ts, event_id) AS INTEGER) AS done, count(*) OVER (PARTITION BY provider) AS total FROM log",
     "stratified_first_n": "SELECT doc_id, lang, source, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS INTEGER) AS rk FROM documents QUALIFY rk <= 3",
     "row_positions": "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events",
+    "rate_tumbling": _L + " SELECT time_bucket(INTERVAL '60 seconds', ts) AS since, provider, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM log GROUP BY 1, 2",
     "log_lines": _L + """ SELECT event_id, '{' || CASE status WHEN 'failed' THEN '"error_message":"Bearer [REDACTED] denied",' ELSE '' END || '"provider":"' || provider || '",' || CASE WHEN user_id % 3 > 0 THEN '"retry_count":' || (user_id % 3) || ',' ELSE '' END || '"status":"' || status || '"}' AS line FROM log""",
 }

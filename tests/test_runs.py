@@ -180,3 +180,31 @@ def test_streaming_batches_answer_once(spark, tmp_path):
     (source / "b.json").write_text(line("two") + line("three"))
     requests.run_batches(spark, str(source), sink, str(tmp_path / "cp"), answer).awaitTermination()
     assert sorted(r.prompt for r in spark.read.parquet(sink).collect()) == ["one", "three", "two"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loomgrid.__main__ import main
+
+    (tmp_path / "age.csv").write_text("Dimension_value,Indicator_name,Indicator_value\nyoung,Name,Bo\nyoung,Name,Al\nold,Name,Bo\n")
+    (tmp_path / "gender.csv").write_text("Dimension_value,Indicator_name,Indicator_value\nMale,job,x\nFemale,job,y\n")
+    (tmp_path / "t.json").write_text(json.dumps({"Age": "I am <Name>", "Gender": "I do <job>", "Race": "none"}))
+    (tmp_path / "names.csv").write_text("Name,Gender\nBo,Male\nAl,Female\n")
+    out = str(tmp_path / "out")
+    assert main(["backgrounds", "--mappings", str(tmp_path), "--templates", str(tmp_path / "t.json"), "--out", out]) == 0
+    assert "Age: 3 combinations, 0 pending" in capsys.readouterr().out
+    histories = ["histories", "--backgrounds", out, "--out", str(tmp_path / "h"), "--names", str(tmp_path / "names.csv")]
+    assert main(histories) == 0 and "3 histories" in capsys.readouterr().out
+    assert main([*histories, "--partial"]) == 0 and "8 histories" in capsys.readouterr().out
+    assert main(["backgrounds", "--mappings", str(tmp_path / "none"), "--templates", str(tmp_path / "t.json"), "--out", out]) == 1
+
+
+def test_streamed_rates(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    rows = [(i, i * 7.0) for i in range(40)]
+    made = spark.createDataFrame(rows, "event_id long, s double").select("event_id", F.timestamp_seconds("s").alias("ts"), F.lit("p").alias("provider"), F.lit(1).cast("long").alias("tokens"))
+    made.write.parquet(str(tmp_path / "in"))
+    schema = T.StructType([f for f in made.schema.fields])
+    stream = requests.rates(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "provider")
+    stream.writeStream.outputMode("complete").format("memory").queryName("live").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, requests.rates(made, "provider").collect()))
