@@ -22,8 +22,9 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 IP_RANGE = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-NATIONAL_ID = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
+IBAN = r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])"
+NATIONAL_ID = r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])"
+NATIONAL_ID_NEVER = r"^(?:000|666|9..)|-00-|-0000$"
 #: A confirmed span's score without context, by kind.
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "national_id": 0.3}
 #: Words that raise the score when they stand near a span, by kind.
@@ -121,7 +122,7 @@ def find(docs: DataFrame) -> DataFrame:
             "card": _kind(text, CARD, digit, luhn),
             "phone": _kind(text, PHONE, plus, lambda t: F.char_length(_digits(t)).between(9, 15)),
             "iban": _kind(text, IBAN, digit, mod97),
-            "national_id": _kind(text, NATIONAL_ID, digit & text.contains("-"), lambda t: F.lit(True)),
+            "national_id": _kind(text, NATIONAL_ID, digit & text.contains("-"), lambda t: ~t.rlike(NATIONAL_ID_NEVER)),
         }
     )
     kinds = [_scored(text, k) if k in BASE_KINDS else F.filter(_scored(text, k), lambda x: x.score >= MIN_SCORE) for k in SCORE]
@@ -142,4 +143,36 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_pii": op8_pii}
-ORACLE_SQL: dict[str, str] = {}
+
+_SQL_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[ -]?[0-9])+",
+    "phone": PHONE,
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "national_id": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+}
+_FOUND = " UNION ALL ".join(f"SELECT rid, text, {k} AS k, '{kind}' AS kind, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS ps FROM d" for k, (kind, p) in enumerate(_SQL_PATTERNS.items()))
+_NEAR = rf"(?i)(^|[^\p{{L}}\p{{N}}])(?:{CONTEXT['national_id']})($|[^\p{{L}}\p{{N}}])"
+ORACLE_SQL = {
+    "op8_pii": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({_FOUND}),
+u AS (SELECT rid, text, k, kind, ms, ps, unnest(generate_series(1, len(ms))) AS i FROM m WHERE len(ms) > 0),
+s AS (SELECT rid, text, k, kind, ms[i] AS t, CAST(list_sum([length(x) for x in ps[1:i]]) + coalesce(list_sum([length(x) for x in ms[1 : i - 1]]), 0) AS BIGINT) AS b FROM u),
+n AS (SELECT *, regexp_replace(t, '[^0-9]', '', 'g') AS digits, replace(t, ' ', '') AS flat FROM s),
+c AS (SELECT *, reverse(digits) AS r, string_split(array_to_string([CASE WHEN x BETWEEN '0' AND '9' THEN x ELSE CAST(ascii(x) - 55 AS VARCHAR) END for x in string_split(substr(flat, 5) || substr(flat, 1, 4), '')], ''), '') AS z FROM n),
+g AS (
+  SELECT rid, k, kind, b, b + length(t) AS e FROM c
+  WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN regexp_matches(t, '{IP_RANGE}')
+    WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum([CASE WHEN i % 2 = 1 THEN CAST(substr(r, i, 1) AS INTEGER) WHEN substr(r, i, 1) > '4' THEN 2 * CAST(substr(r, i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr(r, i, 1) AS INTEGER) END for i in range(1, length(r) + 1)]) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+    WHEN 'iban' THEN length(flat) BETWEEN 15 AND 34 AND list_reduce([CAST(x AS INTEGER) for x in z], lambda p, q: (p * 10 + q) % 97) = 1
+    ELSE NOT regexp_matches(t, '{NATIONAL_ID_NEVER}') AND (regexp_matches(substr(text, CAST(greatest(b - {CONTEXT_CHARS}, 0) + 1 AS BIGINT), CAST(least(b, {CONTEXT_CHARS}) AS BIGINT)), '{_NEAR}') OR regexp_matches(substr(text, CAST(b + length(t) + 1 AS BIGINT), {CONTEXT_CHARS}), '{_NEAR}')) END),
+a AS (SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+             string_agg(kind || ':' || b || ':' || e, ',' ORDER BY k, b) FILTER (k < 4) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY k, b) AS spans FROM g GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rid)"""
+}
