@@ -117,8 +117,6 @@ def _predict(model: dict):
                     to = np.array([j for j, _ in open_])[owner]
                     np.add.at(sums, to, (rows @ model["matrix"]) * lengths[:, None])
                     np.add.at(total, to, lengths)
-                    if len(open_) == 1 and at + STRETCH >= len(texts[part[open_[0][0]]]):
-                        break
                 found = sums / total[:, None]
                 for i, best, value in zip(part, found.argmax(axis=1), found.max(axis=1)):
                     langs[i], scores[i] = model["classes"][best], float(min(1.0, max(0.0, value)))
