@@ -161,18 +161,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 #: The wide form: bits of a sketch, words of a shingle, and the share of bits in which similar texts may differ.
-#: A similarity (Jaccard) of 0.8 or more means at most 0.152 of the bits on average, with a deviation of 0.016.
-SKETCH_BITS, WIDE_SHINGLE, WIDE_SHARE = 512, 5, 0.185
+#: A similarity (Jaccard) of 0.8 or more means at most 0.152 of the bits on average, with a deviation of 0.011.
+SKETCH_BITS, WIDE_SHINGLE, WIDE_SHARE = 1024, 5, 0.172
 #: Keys of a sketch, each of so many of its bits.
 BANDS, BAND_BITS = 64, 16
 #: Bits in which the first 64 may differ inside a bucket.
 NARROW = 20
 _MIXERS = np.random.default_rng(6).integers(1, 1 << 63, SKETCH_BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BITS_OF_BAND = np.concatenate([np.arange(SKETCH_BITS), np.random.default_rng(7).permutation(SKETCH_BITS)])[: BANDS * BAND_BITS].reshape(BANDS, BAND_BITS)
+_BITS_OF_BAND = np.arange(BANDS * BAND_BITS).reshape(BANDS, BAND_BITS)
 
 
 def sketch_of(text: str | None) -> np.ndarray:
-    """512-bit SimHash (eight signed integers) of a text's different 5-word shingles; fewer words are one shingle."""
+    """1024-bit SimHash (sixteen signed integers) of a text's different 5-word shingles; fewer words are one shingle."""
     data = spaced(text).translate(_LOWER)
     if not data:
         return np.zeros(SKETCH_BITS // 64, dtype=np.int64)
@@ -266,7 +266,7 @@ def _sketches(texts: pd.Series) -> pd.Series:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of similar texts: that of the smallest id, null ids last.
 
-    Similar: over 5-word shingles at 0.8 or more, by 512-bit SimHash sketches. Texts that differ in case of A-Z
+    Similar: over 5-word shingles at 0.8 or more, by 1024-bit SimHash sketches. Texts that differ in case of A-Z
     and white space alone are equal; all texts without words are. Rows are told apart by id and a hash of the
     text, so ids may repeat; of equal rows one stays.
     """
