@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from loomgrid.llm import registry, simhash
 
@@ -61,3 +63,18 @@ def test_many_near_copies_of_one_text(spark):
     rows += [(1000 + i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(5, 300)))) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {0, *range(1000, 1200)}
+
+
+def test_stages_take_odd_and_empty_tables(spark, tmp_path):
+    from .test_operators import ODD, odd
+
+    docs = odd(spark).drop("score").withColumns({c: F.col("n_chars") for c in ("a", "shard", "slot", "size", "sketch", "fingerprint", "bucket", "repeats", "n_hit")})
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "shards":
+            assert out.columns == docs.columns
+        assert out.count() <= 3 * (len(ODD) + 1)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
