@@ -22,6 +22,12 @@ HINTS = (
     "footer sidebar complementary contentinfo comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices notification alert "
     "popup modal newsletter subscribe subscription signup login search share sharing social related recommended recommendations widget toc pagination pager skip masthead disclaimer form dialog"
 )
+#: Words that mark what readers wrote.
+ANSWERS = "comment comments commentlist reply replies respond disqus"
+#: Words of class, id and role that mark the article itself: one of the first, or one of the second with one of the third.
+BODY = "main article"
+BODY_OF, BODY_PART = "article entry post story page blog news", "content body text"
+_ANSWERS, _BODY, _BODY_OF, _BODY_PART = (frozenset(x.split()) for x in (ANSWERS, BODY, BODY_OF, BODY_PART))
 _SILENT, _BOILER, _ARTICLE, _BLOCKS, _VOID, _HINTS = (frozenset(x.split()) for x in (SILENT, BOILER, ARTICLE, BLOCKS, VOID, HINTS))
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({'|'.join(SILENT.replace('head ', '').split())})\b(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|<[!?][^>]*>|[^<]+|<",
@@ -33,10 +39,14 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|dis
 MOST_WORDS = 60
 
 
+def _is_body(named: set[str]) -> bool:
+    return bool(named & _BODY) or "content" in named and len(named) == 1 or bool(named & _BODY_OF and named & _BODY_PART)
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     """Flat text blocks in page order: (text, words, link density, in article, marked as surroundings, heading)."""
     out: list[tuple[str, int, float, int, int, int]] = []
-    stack: list[tuple[str, int, int]] = []  # element, and what holds inside it: article, surroundings
+    stack: list[tuple[str, int, int]] = []  # element, and what holds inside it: article; surroundings (2: by the element itself or what readers wrote)
     text: list[str] = []
     linked: list[str] = []
     link, heading, silent = 0, 0, ""
@@ -48,7 +58,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if words:
                 n = words.count(" ") + 1
                 of = len("".join(linked).split())
-                out.append((words, n, min(1.0, of / n), stack[-1][1] if stack else 0, stack[-1][2] if stack else 0, heading))
+                out.append((words, n, min(1.0, of / n), stack[-1][1] if stack else 0, int(stack[-1][2] > 0) if stack else 0, heading))
         text, linked = [], []
 
     cut = page.find("<", page.rfind(">") + 1)
@@ -97,11 +107,15 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         while stack and stack[-1][0] == "p":  # a block ends an open paragraph
             stack.pop()
         inside, around = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
-        named = {w for g in _NAMED.findall(attributes) for w in re.split(r"[^a-z]+", " ".join(g).lower())}
-        if name in _ARTICLE or "main" in named and name in ("div", "section"):
+        named = {w for g in _NAMED.findall(attributes) for w in re.split(r"[^a-z]+", " ".join(g).lower()) if w}
+        answer = named & _ANSWERS and name not in ("body", "html", "main") and (name != "article" or any(x[0] in _ARTICLE for x in stack))
+        if name in _ARTICLE or name in ("div", "section") and _is_body(named):
+            around = around if around > 1 else 0  # a page's wrapper may be named after its sidebar
             inside = 1
-        if name in _BOILER or name == "header" and not inside or named & _HINTS and name not in ("body", "html", "article", "main") or _HIDDEN.search(attributes):
-            around = 1
+        elif named & _HINTS and name not in ("body", "html") or "header" in named and not inside:
+            around = max(around, 1)
+        if name in _BOILER or name == "header" and not inside or answer or _HIDDEN.search(attributes):
+            around = 2
         stack.append((name, inside, around))
     close()
     return out

@@ -404,3 +404,21 @@ def test_pages_without_article(spark):
     page = f"<body><div id=menu><a>a</a> <a>b</a></div><div><h2>Title</h2><p>{text}</p><p>Short one.</p><p>{text}</p></div><div><a>x y</a> <a>z</a></div>"
     got = html_text.main_text(page, html_text.train())
     assert got.split("\n\n") == ["Title", text.strip(), "Short one.", text.strip()]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<body><div id="page" class="has-sidebar"><article><h1>T</h1><p>A</p></article><div class="sidebar"><p>B</p></div></div>', "T\n\nA"),
+        ('<article><p>A</p></article><section class="comments"><article class="comment"><p>B</p></article></section>', "A"),
+        ('<main><article><p>A</p><div><article class="comment"><p>B</p></article></div></article></main>', "A"),
+        ("<article><p>A</p></article><aside><article><p>B</p></article></aside>", "A"),
+        ('<div class="header"><p>B</p></div><div class="post-content"><h2>T</h2><p>A</p></div><div class="cookie-consent">B</div>', "T\n\nA"),
+        ('<div role="navigation">B</div><div role="main"><p>A</p><div role="complementary">B</div></div>', "A"),
+        ('<article class="post category-ads"><header><h1>T</h1></header><p>A</p><footer><p>B</p></footer></article>', "T\n\nA"),
+        ("<article><noscript>B</noscript><p>A<script>B</script></p><select><option>B</option></select><p>&#x41;&#66; &lt;b&gt;</p></article>", "A\n\nAB <b>"),
+        ('<article><p>A</p><div id="respond"><h3>Leave a Reply</h3></div></article>', "A"),
+    ],
+)
+def test_surroundings(page, want):
+    assert html_text.main_text(page, html_text.train()) == want
