@@ -82,7 +82,7 @@ def existing_ids(spark: SparkSession, path: str, column: str = "combination_id")
 
 
 def histories(spark: SparkSession, path: str) -> DataFrame:
-    return _json_lines(spark, path, HISTORY).where("_corrupt IS NULL").drop("_corrupt")
+    return _json_lines(spark, path, HISTORY).where("_corrupt IS NULL AND history_id IS NOT NULL").drop("_corrupt")
 
 
 def requests(spark: SparkSession, path: str) -> DataFrame:

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parse import CELL_STATUSES, encode_cell
+from ..functions.parse import CELL_STATUSES
 from ..operators.matrix import to_wide
 from ..operators.personas import upsert
 from .readers import JUDGMENT_COLUMNS
@@ -115,7 +115,3 @@ def checkpoint_path(given: str | None, configured: str | None, name: str = "batc
     if not configured:
         raise ValueError("a batch needs a checkpoint path")
     return configured if configured.endswith(".jsonl") else f"{configured.rstrip('/')}/{name}.jsonl"
-
-
-def encoded(cells: DataFrame) -> DataFrame:
-    return cells.withColumn("cell", encode_cell(F.col("status"), F.col("response"), F.col("error_message")))

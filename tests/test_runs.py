@@ -208,3 +208,41 @@ def test_streamed_rates(spark, tmp_path):
     stream = requests.rates(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "provider")
     stream.writeStream.outputMode("complete").format("memory").queryName("live").trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, requests.rates(made, "provider").collect()))
+
+
+def test_smaller_files_and_paths(spark, tmp_path):
+    history = spark.createDataFrame([("h1", {"Age": "old", "Race": None}, {"Age": "c1"}, [("user", "é")])], "history_id string, persona map<string,string>, combination_ids map<string,string>, messages array<struct<role:string,content:string>>")
+    writers.append_json(history, str(tmp_path / "h"))
+    writers.append_json(history, str(tmp_path / "h"))
+    back = readers.histories(spark, str(tmp_path / "h"))
+    assert back.count() == 2 and back.first().messages[0].content == "é" and readers.existing_ids(spark, str(tmp_path / "h" / "*.json"), "history_id").count() == 1
+    writers.pending_matrix(spark.createDataFrame([("p", "q")], "prompt_id string, prompt string"), ["a", "b"], str(tmp_path / "m.csv"))
+    assert {r.status for r in readers.matrix(spark, str(tmp_path / "m.csv")).collect()} == {"pending"} and readers.done_cells(spark, str(tmp_path / "m.csv")).count() == 0
+    assert readers.done_cells(spark, str(tmp_path / "none.csv")).count() == 0
+    (tmp_path / "log.json").write_text('{"provider":"p","status":"success","timestamp":"2024-01-02T03:04:05.678Z"}\n{"provider":"p","status":"failed","timestamp":"2024-01-02T03:04:05+00:00","retry_count":2}\n')
+    log = readers.log(spark, str(tmp_path / "log.json"))
+    assert log.where("ts IS NULL").count() == 0 and log.where("retry_count IS NULL").count() == 1
+    (tmp_path / "req.json").write_text('{"model_alias":"m","prompt":"x"}\n')
+    assert readers.requests(spark, str(tmp_path / "req.json")).first().prompt == "x"
+    assert writers.run_path("logs/", "e", "s") == "logs/e/s.csv" and writers.judgments_path("logs", "e") == "logs/e/judgments.csv"
+    assert writers.checkpoint_path(None, "cp/") == "cp/batch.jsonl" and writers.checkpoint_path("x", None) == "x"
+    with pytest.raises(ValueError):
+        writers.checkpoint_path(None, None)
+    with pytest.raises(FileNotFoundError):
+        readers.latest_run(spark, str(tmp_path / "nowhere"))
+
+
+def test_small_helpers(spark, tmp_path):
+    from loomgrid.functions import retry
+    from loomgrid.operators import judging, personas
+
+    (tmp_path / "c.yaml").write_text("providers: {mock: {}}\n")
+    assert set(config.load_file(str(tmp_path / "c.yaml")).providers) == {"mock"}
+    with pytest.raises(FileNotFoundError):
+        config.load_file(str(tmp_path / "none.yaml"))
+    assert retry.effective_policy({"max_retries": 9}, {"max_retries": 5, "base_delay": 2}) == {"max_retries": 9, "base_delay": 2, "max_delay": 60.0, "factor": 2.0}
+    rows = spark.createDataFrame([("c", "old", 1), ("c", "new", 2)], "combination_id string, dimension_value string, pos long")
+    assert personas.latest_backgrounds(rows).first().dimension_value == "new"
+    assert personas.select_dimensions(rows.withColumn("dimension", F.lit("Age")), ["AGE"]).count() == 2
+    judged = spark.createDataFrame([({"a": "1"},), (None,)], "metadata map<string,string>")
+    assert sorted(map(str, (r.metadata_a for r in judging.with_metadata(judged, ["a"]).collect()))) == ["1", "None"]
