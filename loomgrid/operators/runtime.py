@@ -31,22 +31,26 @@ def log_summary(log: DataFrame, by: list[str]) -> DataFrame:
     return log.groupBy(*by).agg(F.count("*").alias("requests"), F.count_if(won).alias("successes"), F.count_if(~won).alias("failures"), F.max(F.when(won, F.col("ts"))).alias("last_success"))
 
 
-def rate_windows(log: DataFrame, bucket: str, seconds: int = 60) -> DataFrame:
+def rate_windows(log: DataFrame, bucket: str, seconds: int = 60, chunk_seconds: int = 3600) -> DataFrame:
     """``log`` (ts, tokens, event_id) with requests and tokens of its bucket in the trailing window before and with each.
 
     The window is half open: what is exactly ``seconds`` old has left. Of requests at
-    one instant only those with smaller ids count.
+    one instant only those with smaller ids count. A bucket's rows are dealt out in chunks of
+    time; a chunk also holds the end of the one before it, so a hot bucket spreads over many tasks.
     """
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    placed = log.withColumn("__t", micros)
-    span = W.partitionBy(bucket).orderBy("__t").rangeBetween(-seconds * 1_000_000 + 1, 0)
-    later = W.partitionBy(bucket, "__t").orderBy(F.desc("event_id")).rowsBetween(W.unboundedPreceding, -1)
-    return placed.withColumns(
+    span_micros, chunk = seconds * 1_000_000, max(seconds, chunk_seconds) * 1_000_000
+    placed = log.withColumn("__t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("__own", F.floor(F.col("__t") / chunk))
+    tail = F.pmod(F.col("__t"), F.lit(chunk)) >= chunk - span_micros
+    dealt = placed.withColumn("__chunk", F.explode(F.when(tail, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
+    span = W.partitionBy(bucket, "__chunk").orderBy("__t").rangeBetween(-span_micros + 1, 0)
+    later = W.partitionBy(bucket, "__chunk", "__t").orderBy(F.desc("event_id")).rowsBetween(W.unboundedPreceding, -1)
+    counted = dealt.withColumns(
         {
             "window_requests": F.count("*").over(span) - F.count("*").over(later),
             "window_tokens": F.sum("tokens").over(span) - F.coalesce(F.sum("tokens").over(later), F.lit(0)),
         }
-    ).drop("__t")
+    )
+    return counted.where("__chunk = __own").drop("__t", "__own", "__chunk")
 
 
 def rate_violations(windows: DataFrame, requests: int, tokens: int) -> DataFrame:

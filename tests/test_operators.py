@@ -101,6 +101,8 @@ def test_rates(spark):
     log = spark.createDataFrame(rows, "event_id long, s long, tokens long").select("event_id", "tokens", F.lit("p").alias("provider"), F.timestamp_seconds("s").alias("ts"))
     got = {r.event_id: (r.window_requests, r.window_tokens) for r in runtime.rate_windows(log, "provider").collect()}
     assert got == {1: (1, 7), 2: (2, 12), 3: (3, 13), 4: (2, 2)}
+    for chunk in (60, 61, 100):
+        assert {r.event_id: (r.window_requests, r.window_tokens) for r in runtime.rate_windows(log, "provider", 60, chunk).collect()} == got
     assert runtime.rate_violations(runtime.rate_windows(log, "provider"), 2, 0).count() == 1
     waits = {r.event_id: r.wait for r in requests.admissions(log, "provider", 0, 10).collect()}
     assert waits == {1: 0.0, 2: 60.0, 3: 1.0, 4: 0.0}
