@@ -165,8 +165,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 SKETCH_BITS, WIDE_SHINGLE, WIDE_SHARE = 1024, 5, 0.172
 #: Keys of a sketch, each of so many of its bits.
 BANDS, BAND_BITS = 64, 16
-#: Bits in which the first 64 may differ inside a bucket.
-NARROW = 20
+#: Bits in which the first 128 may differ for the whole sketch to be looked at: five deviations above what WIDE_SHARE gives.
+NARROW = 44
 _MIXERS = np.random.default_rng(6).integers(1, 1 << 63, SKETCH_BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BITS_OF_BAND = np.arange(BANDS * BAND_BITS).reshape(BANDS, BAND_BITS)
 
@@ -191,72 +191,134 @@ def sketch_of(text: str | None) -> np.ndarray:
     return np.packbits(2 * ones > len(grams), bitorder="little").view("<i8")
 
 
-def leaders(keys: np.ndarray, ids: np.ndarray, narrow: np.ndarray, most: int = NARROW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Reference fingerprints of each bucket: positions of leaders, then links as positions (leader, member).
+def leaders(keys: np.ndarray, ids: np.ndarray, near) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaders of each bucket: which rows no leader took, then links as positions (leader, member).
 
-    A bucket's first free member becomes a leader and takes all free members within ``most`` bits, until none is
-    free: work follows leaders times members, so a bucket of near-copies stays linear.
+    A bucket's free member of the smallest id becomes a leader. It is held against all members that haven't led; those
+    for which ``near(leaders, members)`` holds are taken and no longer free. So any two rows that stay free were compared,
+    and work follows leaders times members: a bucket of near-copies stays linear.
     """
-    free = np.lexsort((ids, keys))
-    lead, left, right = [], [], []
-    while len(free):
-        k = keys[free]
-        first = np.concatenate([[True], k[1:] != k[:-1]])
-        head = free[first][np.cumsum(first) - 1]
-        near = np.bitwise_count((narrow[free] ^ narrow[head]).view(np.uint64)) <= most
-        lead.append(free[first])
-        taken = near & ~first
-        left.append(head[taken])
-        right.append(free[taken])
-        free = free[~near]
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-    return join(lead), join(left), join(right)
-
-
-def _batch(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", "a", "b"])
-
-
-def _meet(batches):
-    """Classes (c, sketch) to bucket rows (key, class, first 64 bits), already led inside the task, and links (-1, leader, member)."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            c = part.column(0).to_numpy()
-            sketch = part.column(1).flatten().to_numpy().reshape(len(c), -1)
-            bits = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1, bitorder="little")
-            key = (bits[:, _BITS_OF_BAND].astype(np.int32) << np.arange(BAND_BITS, dtype=np.int32)).sum(axis=2, dtype=np.int32) + (np.arange(BANDS, dtype=np.int32) << BAND_BITS)
-            key, ids, narrow = key.ravel(), np.repeat(c, BANDS), np.repeat(np.ascontiguousarray(sketch[:, 0]), BANDS)
-            lead, left, right = leaders(key, ids, narrow)
-            yield _batch(key[lead], ids[lead], narrow[lead])
-            pairs = np.unique(np.stack([ids[left], ids[right]], axis=1), axis=0)
-            yield _batch(-1 - (pairs[:, 1] & 0xFFFF), pairs[:, 0], pairs[:, 1])
-
-
-def _lead(batches):
-    """Bucket rows and links of one partition to links (a, b)."""
-    parts = [[batch.column(i).to_numpy() for i in range(3)] for batch in batches]
+    untaken = np.ones(len(keys), dtype=bool)
+    rows = np.lexsort((ids, keys))
+    start = np.flatnonzero(np.concatenate([[True], keys[rows][1:] != keys[rows][:-1]])) if len(rows) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.append(start, len(rows)))
+    bucket = np.repeat(np.arange(len(start)), size)
+    several = np.repeat(size > 1, size)
+    rows, bucket = rows[several], bucket[several]
+    free, head_of = np.ones(len(rows), dtype=bool), np.full(len(start), -1)
+    taker = np.full(len(rows), -1)  # the leader that took a row first
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    while free.any():
+        at = np.flatnonzero(free)
+        head = at[np.concatenate([[True], bucket[at][1:] != bucket[at][:-1]])]
+        head_of[:] = -1
+        head_of[bucket[head]] = rows[head]
+        other = head_of[bucket] >= 0  # buckets without a free member are done, and a leader has met all others
+        other[head] = False
+        rows, bucket, free, taker = rows[other], bucket[other], free[other], taker[other]
+        by = head_of[bucket]
+        hit = near(by, rows)
+        new = hit & free
+        again = np.flatnonzero(hit & ~free)
+        _, first = np.unique(np.stack([by[again], taker[again]], axis=1), axis=0, return_index=True)  # one link joins what a leader took before
+        again = again[first]
+        left += [by[new], by[again]]
+        right += [rows[new], rows[again]]
+        taker[new] = by[new]
+        untaken[rows[new]] = False
+        free &= ~new
+    return untaken, np.concatenate(left), np.concatenate(right)
+
+
+def _near(narrow: np.ndarray, row: np.ndarray | None = None, sketch: np.ndarray | None = None, bits: int = 0):
+    """The test of ``leaders``: by the first 128 bits of each row, then by the whole sketch ``sketch[row]`` if given."""
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.bitwise_count(narrow[i] ^ narrow[j]).sum(axis=1, dtype=np.int32) <= NARROW
+        if sketch is not None:
+            at = np.flatnonzero(out)
+            for k in range(0, len(at), 1 << 16):  # bounded memory
+                part = at[k : k + (1 << 16)]
+                out[part] = np.bitwise_count(sketch[row[i[part]]] ^ sketch[row[j[part]]]).sum(axis=1, dtype=np.int32) <= bits
+        return out
+
+    return near
+
+
+def _batch(*columns: np.ndarray) -> pa.RecordBatch:
+    """Columns key, a, b and so on."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["key", "a", "b", "m", "n"][: len(columns)])
+
+
+def _unsigned(column: pa.Array, rows: int) -> np.ndarray:
+    """An array column as a matrix of unsigned integers."""
+    return column.flatten().to_numpy().reshape(rows, -1).view(np.uint64)
+
+
+def _meet(bits: int):
+    """Classes (c, sketch) to bucket rows (key, class, 0, first 128 bits), already led inside the task, and links (-1, leader, member)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                c = part.column(0).to_numpy()
+                sketch = np.ascontiguousarray(_unsigned(part.column(1), len(c)))
+                ones = np.unpackbits(sketch.view(np.uint8), axis=1, bitorder="little")
+                key = (ones[:, _BITS_OF_BAND].astype(np.int32) << np.arange(BAND_BITS, dtype=np.int32)).sum(axis=2, dtype=np.int32) + (np.arange(BANDS, dtype=np.int32) << BAND_BITS)
+                key, row = key.ravel(), np.repeat(np.arange(len(c)), BANDS)
+                ids, narrow = c[row], np.ascontiguousarray(sketch[:, :2])[row]
+                sent, left, right = leaders(key, ids, _near(narrow, row, sketch, bits))
+                yield _batch(key[sent], ids[sent], np.zeros(sent.sum(), dtype=np.int64), *narrow[sent].view(np.int64).T)
+                pairs = np.unique(np.stack([ids[left], ids[right]], axis=1), axis=0)
+                none = np.zeros(len(pairs), dtype=np.int64)
+                yield _batch(-1 - (pairs[:, 1] & 0xFFFF), pairs[:, 0], pairs[:, 1], none, none)
+
+    return run
+
+
+def _mark(batches):
+    """Bucket rows and links of one partition to the rows that have a neighbour in the first 128 bits, and the links."""
+    parts = [[batch.column(i).to_numpy() for i in range(5)] for batch in batches]
     if parts:
-        key, a, b = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        key, a, b, m, n = (np.concatenate([p[i] for p in parts]) for i in range(5))
         row = key >= 0
-        _, left, right = leaders(key[row], a[row], b[row])
-        pairs = np.concatenate([np.stack([a[row][left], a[row][right]], axis=1), np.stack([a[~row], b[~row]], axis=1)])
-        pairs = np.unique(pairs, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        yield _batch(key[~row], a[~row], b[~row])
+        key, a, narrow = key[row], a[row], np.stack([m[row], n[row]], axis=1).view(np.uint64)
+        _, left, right = leaders(key, a, _near(narrow))
+        marked = np.unique(np.concatenate([left, right]))
+        yield _batch(key[marked], a[marked], np.zeros(len(marked), dtype=np.int64))
+
+
+def _lead(bits: int):
+    """Bucket rows (key, class, sketch) of one partition to links (a, b)."""
+
+    def run(batches):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), _unsigned(b.column(2), b.num_rows)) for b in batches if b.num_rows]
+        if parts:
+            key, c, sketch = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            _, left, right = leaders(key, c, _near(np.ascontiguousarray(sketch[:, :2]), np.arange(len(c)), sketch, bits))
+            pairs = np.unique(np.stack([c[left], c[right]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
 
 
 def similar(classes: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
     """Links (a, b) between classes (c, sketch) whose sketches differ in at most ``share`` of the bits.
 
-    Classes meet under 64 keys of 16 bits; in a bucket each is held against the bucket's reference
-    fingerprints, first inside its task, then over all; the survivors are verified on the whole sketch. A pair
-    at similarity 0.8 meets under some key with probability 0.99, at 0.9 with 0.9999.
+    Classes meet under 64 keys of 16 bits. A class leaves a bucket only by a link, tested on the whole sketch, to a
+    class of smaller ``c`` there: first inside its task, then over all, for which the rows that have a neighbour in the
+    first 128 bits fetch their sketches. Two classes that are each the smallest of their component were therefore
+    compared wherever they met. A pair at similarity 0.8 meets under some key with probability 0.99, at 0.9 with 0.9999.
+    Not every link is found: two classes that left a bucket by different leaders aren't compared there.
     """
-    met = classes.select("c", "sketch").mapInArrow(_meet, "key int, a long, b long")
-    links_ = met.repartition("key").mapInArrow(_lead, "a long, b long").distinct()
-    left, right = classes.select(F.col("c").alias("a"), F.col("sketch").alias("x")), classes.select(F.col("c").alias("b"), F.col("sketch").alias("y"))
-    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
-    return links_.join(left, "a").join(right, "b").where(differ <= int(share * SKETCH_BITS)).select("a", "b")
+    bits = int(share * SKETCH_BITS)
+    met = classes.select("c", "sketch").mapInArrow(_meet(bits), "key int, a long, b long, m long, n long")
+    met = durable(met.repartition("key").mapInArrow(_mark, "key int, a long, b long"), "met")
+    rows = met.where("key >= 0").select("key", F.col("a").alias("c")).join(classes.select("c", "sketch"), "c")
+    led = rows.select("key", "c", "sketch").repartition("key").mapInArrow(_lead(bits), "a long, b long")
+    return met.where("key < 0").select("a", "b").unionByName(led).distinct()
 
 
 def _sketches(texts: pd.Series) -> pd.Series:
@@ -273,7 +335,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     made = F.pandas_udf(_sketches, "array<bigint>")(F.col("text"))
     marked = durable(docs.select("doc_id", F.xxhash64("text").alias("h"), made.alias("sketch")), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "h")).alias("first")
-    classes = durable(marked.groupBy("sketch").agg(first).select(F.xxhash64("sketch").alias("c"), "sketch", "first"), "sketch-classes")
+    ordered = marked.groupBy("sketch").agg(first).orderBy("first")  # c follows the order of the rows that stay
+    classes = durable(ordered.select(F.monotonically_increasing_id().alias("c"), "sketch", "first"), "sketch-classes")
     tree = components(similar(classes))
     rooted = classes.select("c", "first").join(tree, classes.c == tree.node, "left").groupBy(F.coalesce("root", "c")).agg(F.min("first").alias("first"))
     kept = durable(rooted.select("first.doc_id", "first.h").distinct(), "kept")

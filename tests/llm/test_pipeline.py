@@ -65,6 +65,30 @@ def test_many_near_copies_of_one_text(spark):
     assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {0, *range(1000, 1200)}
 
 
+def test_near_copies_within_families_of_templates(spark):
+    """Of each pair of copies one goes, as often as pairs meet under a key at all, though all texts of a family are near each other."""
+    rnd = random.Random(23)
+    rows, grams = [], {}
+    for family in range(2):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+        for _ in range(300):
+            own = list(base)
+            for at in rnd.sample(range(400), 8):
+                own[at] = f"o{rnd.randrange(10**6)}"
+            for _ in range(2):
+                copy = list(own)
+                for at in rnd.sample(range(400), 3):
+                    copy[at] = f"c{rnd.randrange(10**6)}"
+                grams[len(rows)] = {tuple(copy[i : i + 5]) for i in range(396)}
+                rows.append((len(rows), " ".join(copy)))
+    rnd.shuffle(rows)
+    alike = [(i, j) for i in grams for j in range(i + 1, i + 600 - i % 600) if len(both := grams[i] & grams[j]) >= 0.83 * (len(grams[i]) + len(grams[j]) - len(both))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert len(alike) > 400 and len(kept) > 400
+    assert sum(kept >= set(p) for p in alike) <= 0.01 * len(alike)
+
+
 def test_stages_take_odd_and_empty_tables(spark, tmp_path):
     from .test_operators import ODD, odd
 
