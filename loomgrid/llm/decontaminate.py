@@ -4,8 +4,9 @@ Built from DataFrame functions only. Steps:
 
 1. One pass over the documents stores the index: a posting (term, document, position)
    for each occurrence of a word that the benchmark uses.
-2. The postings count every term. For each 10-word window of an item the two rarest
-   terms that occur become anchors; a window with too many others is dropped.
+2. The postings count every term. For each 10-word window of an item the rarest positions
+   become anchors, two more than words may be missing, so two are in place in any match.
+   Terms that don't occur are the rarest and surely missing; a window with too many is dropped.
 3. Anchor postings, shifted back by the anchor's offset in the item, name the start
    that the item would have in the document. Starts that two anchors agree on survive
    the intersection; an occurrence of a window always does.
@@ -56,13 +57,17 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _anchors(placed: DataFrame, counts: DataFrame, window: int, near: int) -> DataFrame:
-    """``term, item, off, single`` of the two rarest terms of each window that can match at all."""
+    """``term, item, off, single`` of the rarest positions of each window that can match at all: two more than may be missing.
+
+    ``single``: one word in place is a match.
+    """
     width = F.least(F.lit(window), F.col("n"))
+    least = F.ceil(width * near / window)
     starts = placed.join(counts, "term", "left").withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - width + 1), F.least(F.col("off"), F.col("n") - width))))
     by = W.partitionBy("item", "s")
-    live = starts.withColumn("known", F.count("df").over(by)).where(F.col("known") >= F.ceil(width * near / window))
-    rarest = live.where("df IS NOT NULL").withColumn("rk", F.row_number().over(by.orderBy("df", "off"))).where("rk <= 2")
-    return rarest.select("term", "item", "off", (F.col("n") == 1).alias("single")).distinct()
+    live = starts.withColumn("known", F.count("df").over(by)).where(F.col("known") >= least)
+    rarest = live.withColumn("rk", F.row_number().over(by.orderBy(F.asc_nulls_first("df"), "off"))).where(F.col("rk") <= width - least + 2)
+    return rarest.where("df IS NOT NULL").select("term", "item", "off", (least <= 1).alias("single")).distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
@@ -113,8 +118,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     One row (doc_id, n_words, n_hit, n_items, n_near, items) for each row of ``docs``:
     words, words inside an occurrence of a ``window``-word item window (an item with
     fewer words is one window), items with such a window, items with a window of which
-    at least ``near`` in ``window`` words stand in place, the two rarest among them, and the
-    exact items' ids as sorted strings.
+    at least ``near`` in ``window`` words stand in place, and the exact items' ids as
+    sorted strings.
 
     Null and empty texts have no words. Benchmark rows without id or text are ignored;
     an item id with several texts counts once. Repeated document rows, also with one id and
@@ -134,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows in which a benchmark window occurs."""
-    hit = durable(matches(docs, benchmark, window).where("n_hit > 0").select("d", "h"), "contaminated")
+    hit = durable(matches(docs, benchmark, window, near=window).where("n_hit > 0").select("d", "h"), "contaminated")
     d, h = _document_key(docs)
     return docs.select("*", d.alias("__d"), h.alias("__h")).join(hit.toDF("__d", "__h"), ["__d", "__h"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -366,6 +366,30 @@ def test_proximity(spark):
     assert {r.doc_id: (r.n_hit, r.n_near) for r in out.collect()} == {1: (0, 1), 2: (0, 0)}
 
 
+def test_proximity_matches_brute_force_with_rare_words_replaced(spark):
+    rnd = random.Random(14)
+    items = [(i, " ".join([*(f"common{rnd.randrange(6)}" for _ in range(n - n // 3)), *(f"rare{i}x{k}" for k in range(n // 3))])) for i, n in enumerate([3, 5, 6, 9, 10, 10, 10, 12, 15, 25])]
+    docs = [(i, t.split()[-1]) for i, t in items] + [(50 + i, " ".join(rnd.sample(t.split(), len(t.split())))) for i, t in items]
+    for i, text in items:
+        for k in range(16):
+            w = text.split()
+            for at in rnd.sample(range(2 * len(w) // 3, len(w)), min(k % 4, len(w) // 3)) if k < 12 else rnd.sample(range(len(w)), 2):
+                w[at] = rnd.choice(["other", items[rnd.randrange(10)][1].split()[-1]])
+            docs.append((100 * i + 100 + k, " ".join(["before", *w, "after"])))
+
+    def near(doc, item):
+        n = min(10, len(item))
+        for start in range(-len(item), len(doc)):
+            placed = [0 <= start + o < len(doc) and doc[start + o] == w for o, w in enumerate(item)]
+            if any(sum(placed[s : s + n]) >= 0.8 * n and 0 <= start + s <= len(doc) - n for s in range(len(item) - n + 1)):
+                return True
+        return False
+
+    out = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = {i: sum(near(t.split(), x.split()) for _, x in items) for i, t in docs}
+    assert {r.doc_id: r.n_near for r in out.collect()} == want and 60 < sum(want.values()) < 160
+
+
 def test_contamination_odd_cases(spark):
     items = spark.createDataFrame([(1, "c d"), (1, "c d"), (None, "a b")], "item_id long, text string")
     out = decontaminate.contamination(odd(spark), items).collect()
