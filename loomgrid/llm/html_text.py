@@ -12,6 +12,8 @@ from .common import map_texts, table
 
 #: Elements by the way they're treated.
 SILENT = "script style noscript template textarea select button iframe object svg canvas head title"
+#: Those of them that hold no elements, so only their own end tag or the page's end closes them.
+RAW = "script style noscript textarea iframe title"
 BOILER = "nav footer aside form menu dialog"
 ARTICLE = "article main"
 BLOCKS = "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul"
@@ -29,8 +31,13 @@ BODY = "main article"
 BODY_OF, BODY_PART = "article entry post story page blog news", "content body text"
 _ANSWERS, _BODY, _BODY_OF, _BODY_PART = (frozenset(x.split()) for x in (ANSWERS, BODY, BODY_OF, BODY_PART))
 _SILENT, _BOILER, _ARTICLE, _BLOCKS, _VOID, _HINTS = (frozenset(x.split()) for x in (SILENT, BOILER, ARTICLE, BLOCKS, VOID, HINTS))
+_REST = r"(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+"
+#: A tag that the page's end cuts off.
+_CUT = re.compile(r"<[a-zA-Z/!][^>]*\Z")
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(SILENT.replace('head ', '').split())})\b(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|<[!?][^>]*>|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW.split())})(?=[\s/>]){_REST}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    rf"|<({'|'.join(x for x in SILENT.split() if x not in ('head', *RAW.split()))})(?=[\s/>]){_REST}(?:(?<=/)>|>.*?</\2(?=[\s/>])[^>]*>)"
+    rf"|<(/?)([a-zA-Z][^\s>/]*)({_REST})>|<[!?/][^>]*>|[^<]+|<",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -61,8 +68,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
                 out.append((words, n, min(1.0, of / n), stack[-1][1] if stack else 0, int(stack[-1][2] > 0) if stack else 0, heading))
         text, linked = [], []
 
-    cut = page.find("<", page.rfind(">") + 1)
-    for m in _TOKEN.finditer(page if cut < 0 else page[:cut]):  # a tag that the page's end cuts off is dropped
+    cut = _CUT.search(page, page.rfind(">") + 1)
+    for m in _TOKEN.finditer(page[: cut.start()] if cut else page):
         token = m.group(0)
         if token[0] != "<" or token == "<":
             if not silent:
@@ -71,11 +78,11 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
                 if link:
                     linked.append(token)
             continue
-        if m.group(3) is None:
-            if m.group(1):
+        if m.group(4) is None:
+            if m.group(1) or m.group(2):
                 text.append(" ")
             continue
-        name, ending, attributes = m.group(3).lower(), bool(m.group(2)), m.group(4)
+        name, ending, attributes = m.group(4).lower(), bool(m.group(3)), m.group(5)
         if name == "head":
             silent = "" if ending else name
             continue

@@ -446,3 +446,20 @@ def test_pages_without_article(spark):
 )
 def test_surroundings(page, want):
     assert html_text.main_text(page, html_text.train()) == want
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>one</p><svg class='i'/><p>two three</p></article>", "one\n\ntwo three"),
+        ("<article><p>one</p><svg><path d='x'/>no</svg><p>two</p></article>", "one\n\ntwo"),
+        ("<article><p>one</p><button-group>two</button-group><select-menu>three</select-menu></article>", "one\n\ntwothree"),
+        ("<article><p>one</p><button>x<p>two</p><p>three</p></article>", "one\n\nx\n\ntwo\n\nthree"),
+        ("<article><p>one</p><script>x<p>two</p></article>", "one"),
+        ("<article><p>one</p><script>x</script ><p>two</p></article>", "one\n\ntwo"),
+        ("<article><p>one a < b and more text", "one a < b and more text"),
+        ("<article><p>one <3 two < three</p><p>four <b", "one <3 two < three\n\nfour"),
+    ],
+)
+def test_nothing_after_a_stray_sign_or_an_open_element_is_lost(page, want):
+    assert html_text.main_text(page, html_text.train()) == want
