@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import durable, shared_dir  # noqa: F401 - the operators take both from here
+
 #: A word, where an operator's contract says "words": a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: What separates those words.
@@ -17,41 +16,11 @@ GAP = r"[\x20\x09-\x0D]+"
 #: Rows handled at once inside a task.
 SLICE = 512
 
-_scratch: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (local tests) one temporary folder per process stands in.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _scratch:
-        _scratch["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-loomgrid-")
-    return _scratch["dir"]
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage, so a lost executor costs a reread instead of the work, and
-    later steps read only the columns they need. The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_words(text: Column) -> Column:
     """Number of ``WORD`` matches (null: 0), by splitting at the gaps between them."""
     parts = F.split(text, GAP)

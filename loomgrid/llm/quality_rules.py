@@ -78,8 +78,7 @@ def bands(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float,
     if not data:
         return 0.0, 0.0, False
     ratio = len(data) / len(packer.compress(data))
-    # a last piece of under half a chunk belongs to the whole-text ratio only
-    pieces = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK) if i == 0 or len(data) - i >= CHUNK // 2]
+    pieces = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
     bad = sum(not within(len(p), len(p) / len(packer.compress(p))) for p in pieces) / len(pieces)
     return ratio, bad, within(len(data), ratio) and bad <= MAX_BAD_CHUNKS
 
@@ -109,8 +108,8 @@ def rules(docs: DataFrame) -> DataFrame:
     A text fails the base rules with under 10 words or with more than 20 % of its words
     in repeated 5-word windows. The others are kept if the ratio of their bytes to
     their zstandard frame lies in the band of their length, and so do at least two
-    thirds of their 4096-byte chunks: above the band a text repeats itself, below it
-    is noise. Null and empty texts have no words and fail. Null ids, repeated rows and
+    thirds of their 4096-byte chunks, of which the last may be shorter: above the band a text
+    repeats itself, below it is noise. Null and empty texts have no words and fail. Null ids, repeated rows and
     very long texts are treated like others; further columns are ignored.
     """
     return map_texts(docs, ["doc_id"], "text", _judge_texts, COLUMNS)
