@@ -10,8 +10,9 @@ Built from DataFrame functions only. Steps:
 3. Anchor postings, shifted back by the anchor's offset in the item, name the start
    that the item would have in the document. Starts that two anchors agree on survive
    the intersection; an occurrence of a window always does.
-4. Surviving starts are compared with the document's words in full: exact windows give
-   the hits, windows with most words in place give proximity matches.
+4. Surviving starts name the word that each position of the document should have. A join
+   with the words of those documents leaves the ones in place: windows that are whole give the
+   hits, windows with most words in place give proximity matches. No row holds more than a word.
 """
 
 from __future__ import annotations
@@ -43,10 +44,10 @@ def _document_key(docs: DataFrame) -> list[Column]:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """``item, item_id, words`` for each different benchmark text with a word."""
+    """``item, item_id, words`` for each different benchmark text with a word; to be written down, as ``item`` follows the partitions."""
     words = F.filter(F.split(_lowered(F.col("text")), GAP), lambda w: w != "")
     named = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    return named.select("item_id", words.alias("words"), "text").where(F.size("words") > 0).select(F.row_number().over(W.orderBy("item_id", "text")).alias("item"), "item_id", "words")
+    return named.select("item_id", words.alias("words")).where(F.size("words") > 0).select(F.monotonically_increasing_id().alias("item"), "item_id", "words")
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -75,41 +76,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: i
     docs = docs.select("doc_id", "text")
     items = durable(_items(benchmark), "items")
     flat = items.select("item", F.size("words").alias("n"), F.posexplode("words").alias("off", "word"))
-    terms = durable(flat.select("word").distinct().select("word", F.row_number().over(W.orderBy("word")).alias("term")), "terms")
+    terms = durable(flat.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "terms")
     index = durable(postings(docs, terms), "postings")
     placed = flat.join(terms, "word").select("item", "n", "off", "term")
     counts = index.groupBy("term").agg(F.count("*").alias("df"))
     anchors = durable(_anchors(placed, counts, window, near), "anchors")
     started = index.join(anchors, "term").groupBy("d", "h", "item", (F.col("pos") - F.col("off")).alias("start")).agg(F.min("off").alias("first"), F.max("off").alias("last"), F.max("single").alias("single"))
-    starts = started.where("first < last OR single").join(items, "item").groupBy("d", "h").agg(F.collect_list(F.struct("item_id", "words", "start")).alias("found"))
-    starts = durable(starts, "starts")
-
-    texts = docs.where("text IS NOT NULL").select(*_document_key(docs), "text").join(starts.hint("merge"), ["d", "h"])  # starts grows with the documents: never broadcast
-    texts = texts.select("d", "h", F.split(_lowered(F.col("text")), GAP).alias("doc"), "found")
-    doc = F.col("doc")
-
-    def matched(x: Column) -> Column:
-        width = F.least(F.lit(window), F.size(x.words))
-        least = F.ceil(width * near / window).cast("int")
-        low, high = F.greatest(F.lit(0), -x.start), F.least(F.size(x.words), F.size(doc) - x.start) - width
-        at = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
-        exact = F.filter(at, lambda s: F.slice(doc, x.start + s + 1, width) == F.slice(x.words, s + 1, width))
-        close = F.exists(at, lambda s: F.size(F.filter(F.sequence(s, s + width - 1), lambda o: F.get(doc, x.start + o) == F.get(x.words, o))) >= least)
-        return F.struct(
-            x.item_id.alias("item_id"),
-            F.array_distinct(F.flatten(F.transform(exact, lambda s: F.sequence(x.start + s, x.start + s + width - 1)))).alias("hits"),
-            close.alias("close"),
-        )
-
-    found = texts.select("d", "h", F.transform("found", matched).alias("found"))
-    hit = F.filter("found", lambda x: F.size(x.hits) > 0)
-    return found.select(
-        "d",
-        "h",
-        F.size(F.array_distinct(F.flatten(F.transform(hit, lambda x: x.hits)))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform(hit, lambda x: x.item_id))).alias("items"),
-        F.size(F.array_distinct(F.transform(F.filter("found", lambda x: x.close), lambda x: x.item_id))).cast("long").alias("n_near"),
-    ).dropDuplicates(["d", "h"])
+    starts = durable(started.where("first < last OR single").select("d", "h", "item", "start"), "starts")
+
+    # both sides grow with the documents: never broadcast
+    texts = docs.where("text IS NOT NULL").select(*_document_key(docs), "text").join(starts.select("d", "h").distinct().hint("merge"), ["d", "h"], "left_semi").dropDuplicates(["d", "h"])
+    words = texts.select("d", "h", F.posexplode(F.split(_lowered(F.col("text")), GAP)).alias("pos", "word"))
+    expected = starts.join(flat, "item").withColumn("pos", F.col("start") + F.col("off")).where("pos >= 0")
+    placed = expected.join(words.hint("merge"), ["d", "h", "pos", "word"]).select("d", "h", "item", "start", "n", "off", "pos")
+    width = F.least(F.lit(window), F.col("n"))
+    ahead = W.partitionBy("d", "h", "item", "start").orderBy("off").rangeBetween(0, window - 1)
+    held = placed.withColumn("held", F.count("*").over(ahead)).where(F.col("held") >= F.ceil(width * near / window))
+    held = durable(held.select("d", "h", "item", "pos", width.alias("width"), (F.col("held") == width).alias("exact")), "held")
+    found = held.join(items.select("item", "item_id"), "item").groupBy("d", "h").agg(F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("items"), F.count_distinct("item_id").alias("n_near"))
+    hit = held.where("exact").select("d", "h", F.explode(F.sequence("pos", F.col("pos") + F.col("width") - 1)).alias("at")).distinct().groupBy("d", "h").agg(F.count("*").alias("n_hit"))
+    return found.join(hit, ["d", "h"], "left").select("d", "h", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), "items", "n_near")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
@@ -145,9 +131,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark windows in all documents."""
+    """Benchmark windows in all documents; ``n_near`` counts items of which a window has 8 of 10 words in place."""
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 QUERIES = {"op10_decontaminate": op10_decontaminate}
@@ -157,7 +143,7 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
   FROM documents),
 i AS (
-  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 iw AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS win
@@ -167,8 +153,12 @@ dw AS (
   FROM (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
 hit AS (SELECT rid, dw.n, s, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
 pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY rid),
-it AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY rid)
+it AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY rid),
+dp AS (SELECT rid, unnest(generate_series(1, len(w))) AS p, unnest(w) AS word FROM d WHERE len(w) > 0),
+ip AS (SELECT iid, item_id, len(w) AS n, unnest(generate_series(1, len(w))) AS o, unnest(w) AS word FROM i WHERE len(w) > 0),
+met AS (SELECT rid, iid, item_id, n, count(*) OVER (PARTITION BY rid, iid, p - o ORDER BY o RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS held FROM dp JOIN ip USING (word)),
+nr AS (SELECT rid, count(DISTINCT item_id) AS n_near FROM met WHERE held >= ceil(least(10, n) * 0.8) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (rid) LEFT JOIN it USING (rid)"""
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN pos USING (rid) LEFT JOIN it USING (rid) LEFT JOIN nr USING (rid)"""
 }

@@ -391,6 +391,14 @@ def test_contamination_matches_brute_force(spark):
     assert all(r.n_near >= r.n_items for r in out)
 
 
+def test_contamination_of_a_text_full_of_starts(spark):
+    items = [(i, f"a b c d e f g h i{i} j k l") for i in range(5)]
+    text = " ".join(f"a b c d e f g h i{i % 6} j k l" for i in range(4000))
+    r = decontaminate.contamination(spark.createDataFrame([(1, text), (2, text), (2, text)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = 12 * sum(i % 6 < 5 for i in range(4000))
+    assert sorted((x.doc_id, x.n_words, x.n_hit, x.n_items, x.n_near) for x in r) == [(1, 48_000, want, 5, 5), (2, 48_000, want, 5, 5), (2, 48_000, want, 5, 5)]
+
+
 def test_proximity(spark):
     item = [(1, " ".join(f"q{i}" for i in range(20)))]
     w = item[0][1].split()
