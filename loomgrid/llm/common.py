@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.scratch import durable, shared_dir  # noqa: F401 - the operators take both from here
 
@@ -16,11 +17,33 @@ GAP = r"[\x20\x09-\x0D]+"
 #: Rows handled at once inside a task.
 SLICE = 512
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names."""
+    return [named(c) for c in df.columns]
+
+
+def named(name: str) -> Column:
+    """A column by its plain name, which may hold dots and backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until none is a column of ``df`` in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def n_words(text: Column) -> Column:
     """Number of ``WORD`` matches (null: 0), by splitting at the gaps between them."""
     parts = F.split(text, GAP)
@@ -35,8 +58,9 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make, columns: dict[str
     one list per column. Rows stream through in slices of bounded size; nothing is shuffled.
     """
     types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
-    source = df.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"`{n}` {t}" for n, t in columns.items()])
+    source = df.select(*map(named, keep), named(text).alias("__text"))
+    made = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in columns.items()))
+    schema = StructType([*source.schema.fields[:-1], *made.fields])
     arrow = [types[t] for t in columns.values()]
 
     def run(batches):
@@ -44,8 +68,8 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make, columns: dict[str
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                made = function(part.column(part.num_columns - 1).to_pylist())
-                arrays = [*part.columns[:-1], *(pa.array(v, type=t) for v, t in zip(made, arrow))]
+                values = function(part.column(part.num_columns - 1).to_pylist())
+                arrays = [*part.columns[:-1], *(pa.array(v, type=t) for v, t in zip(values, arrow))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *columns])
 
     return source.mapInArrow(run, schema)
