@@ -131,11 +131,11 @@ def _score(model: dict | None):
 
 
 def _bounded(rows: DataFrame, most: int) -> np.ndarray:
-    """Features of at most about ``most`` rows of (doc_id, text), drawn by a hash of the id, in its order."""
-    n = rows.count()
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = map_texts(rows.where(draw < most / max(1, n)).withColumn("draw", draw), ["draw", "doc_id"], "text", _featurise, {"x": "array<double>"})
-    found = sorted((r["draw"], r["doc_id"], tuple(r["x"])) for r in drawn.collect())
+    """Features of about ``most`` ids of ``rows`` (doc_id, text), drawn by a hash of the id, in its order; repeated ids count once."""
+    drawn = rows.withColumn("draw", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1 << 30)))
+    n = drawn.agg(F.approx_count_distinct("draw", 0.02)).first()[0]
+    one = drawn.where(F.col("draw") < int(most / max(1, n) * (1 << 30))).groupBy("draw", "doc_id").agg(F.min("text").alias("text"))
+    found = sorted((r["draw"], r["doc_id"], tuple(r["x"])) for r in map_texts(one, ["draw", "doc_id"], "text", _featurise, {"x": "array<double>"}).collect())
     return np.array([x for _, _, x in found]).reshape(-1, N_FEATURES)
 
 
@@ -145,7 +145,7 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, keep: list[str]) ->
     ``labels`` (doc_id, quality): rows of quality 1 are the trusted positives; all
     texts where ``train`` holds count as unlabelled web text, whose share of positives
     is estimated. Bounded samples (4000 and 8000 rows, drawn by a hash of the id) fit
-    the model; every whole text is scored by its form alone. Null and empty texts have
+    the model, a repeated id once; every whole text is scored by its form alone. Null and empty texts have
     no words and are scored like any other; without positives all scores are 0.5.
     Repeated label rows count once; null ids aren't learned from.
     """
@@ -164,7 +164,7 @@ def held_out(docs: DataFrame) -> Column:
 def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
     docs = table(spark, sf_dir, "documents")
-    docs = docs.withColumn("held_out", held_out(docs))
+    docs = docs.select("doc_id", "text", held_out(docs).alias("held_out"))
     out = score(docs, table(spark, sf_dir, "labels"), ~F.col("held_out"), ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

@@ -95,6 +95,45 @@ def test_quality_held_out(spark):
     assert len(out) == 900 and sum(right) / len(right) > 0.95
 
 
+def test_quality_sample_is_bounded(spark):
+    same = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3).alias("text"))
+    others = spark.range(1000, 3000).select(F.col("id").alias("doc_id"), F.lit("other text").alias("text"))
+    assert len(quality_model._bounded(same, 100)) == 1
+    assert 60 < len(quality_model._bounded(same.union(others), 100)) < 140
+    assert quality_model._bounded(same.limit(0), 100).shape == (0, quality_model.N_FEATURES)
+
+
+def test_quality_matches_plain_python(spark):
+    """The whole result, with the risk minimised by plain loops over the same rows."""
+    rnd = random.Random(17)
+    rows = [(i, prose(rnd, ["alpha", "beta", "gamma."], rnd.randrange(5, 60)) if i % 2 else "x! | " * rnd.randrange(1, 30)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality_model.score(docs, labels, F.lit(True), ["doc_id"]).collect()}
+    packer = __import__("zstandard").ZstdCompressor(level=1)
+    x = {i: np.array(quality_model.features(t, packer)) for i, t in rows}
+    p, u = [x[i] for i in range(40) if i % 2], list(x.values())
+    mean, scale = np.mean(p + u, axis=0), np.std(p + u, axis=0) + 1e-3
+    wide = lambda v: np.append(np.concatenate([z := np.clip((v - mean) / scale, -3, 3), z * z]), 1.0)
+    loss = lambda g: np.log1p(np.exp(-g))
+    p, u = [wide(v) for v in p], [wide(v) for v in u]
+
+    def descend(prior):
+        w = m = v = np.zeros(len(p[0]))
+        for t in range(1, quality_model.STEPS + 1):
+            rest = np.mean([loss(-(a @ w)) for a in u]) - prior * np.mean([loss(-(a @ w)) for a in p])
+            s = lambda a: 1 / (1 + np.exp(-(a @ w)))
+            back = sum(a * s(a) for a in u) / len(u) - prior * sum(a * s(a) for a in p) / len(p)
+            slope = (prior * sum(a * (s(a) - 1) for a in p) / len(p) + back if rest >= 0 else -back) + quality_model.DECAY * np.append(w[:-1], 0)
+            m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+            w = w - quality_model.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        return w
+
+    first = descend(0.5)
+    w = descend(quality_model.estimate_prior(np.array([a @ first for a in p]), np.array([a @ first for a in u])))
+    assert all(abs(got[i] - 1 / (1 + np.exp(-(wide(v) @ w)))) < 1e-3 for i, v in x.items())
+
+
 def test_prior_is_estimated():
     rnd = np.random.default_rng(5)
     for prior in (0.5, 0.8):
@@ -344,9 +383,65 @@ def test_language_held_out(spark):
 
 
 def test_pieces_cover_the_text():
-    where, slots, lengths = language_id.grams("ab" * 1000)
-    assert lengths.sum() == 2000 and len(where) == len(slots) and lengths.min() >= language_id.PIECE // 2
-    assert language_id.grams("x")[2].tolist() == [1]
+    rnd = random.Random(15)
+    for n in (1, 2, 3, 127, 128, 129, 255, 256, 257, 383, 384, 700, 5000):
+        text = prose(rnd, "abcdéşß😀", n)[:n]
+        codes = language_id.code_points(text)
+        where, found, lengths = language_id.grams(codes)
+        assert lengths.sum() == len(codes) == n and (n < 128 or lengths.min() >= language_id.PIECE // 2)
+        assert len(where) == len(found) == sum(max(0, n - k + 1) for k in language_id.ORDERS)
+        assert len(set(found.tolist())) == len({text[i : i + k] for k in language_id.ORDERS for i in range(n - k + 1)})
+        parts = [language_id.grams(codes, i, min(len(lengths), i + 3)) for i in range(0, len(lengths), 3)]
+        assert sorted(np.concatenate([p[1] for p in parts]).tolist()) == sorted(found.tolist())
+
+
+def test_vocabulary_tells_shared_slots_apart(monkeypatch):
+    monkeypatch.setattr(language_id, "_SLOT_BITS", 3)
+    known = np.arange(0, 300, 3, dtype=np.uint64)
+    assert language_id.Vocabulary(known).places(np.arange(300, dtype=np.uint64)).tolist() == [i // 3 if i % 3 == 0 else -1 for i in range(300)]
+
+
+def test_stretches_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(language_id, "STRETCH", 4)
+    texts = ["x" * n for n in (1, 600, 5000, 3, 256 * 8)]
+    held = list(language_id.stretches(texts))
+    assert all(sum(len(p[2]) for _, p in h) <= 4 for h in held)
+    assert [sum(p[2].sum() for h in held for j, p in h if j == i) for i in range(5)] == [len(t) for t in texts]
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 5)
+    copies = spark.range(20_000).select(F.lit("one text").alias("text"), F.lit("aa").alias("lang"))
+    others = spark.range(40).select(F.concat(F.lit("text "), "id").alias("text"), F.when(F.col("id") < 38, "bb").otherwise("cc").alias("lang"))
+    long = spark.createDataFrame([("la " * 400_000, "dd")], "text string, lang string")
+    rows = language_id.sample(copies.union(others).union(long), F.lit(True)).groupBy("lang").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("most")).collect()
+    assert {r.lang: r.n for r in rows} == {"aa": 1, "bb": 5, "cc": 2, "dd": 1} and max(r.most for r in rows) == 1_200_000
+
+
+def test_language_matches_plain_python(spark):
+    """The whole result against a kernel written with sets."""
+    rnd = random.Random(16)
+    tongues = {"aa": "the thing and with er".split(), "bb": "der schön ung keit über".split()}
+    rows = [(i, prose(rnd, tongues[lang], rnd.randrange(3, 200)), lang if i % 3 else None) for i in range(40) for lang in [rnd.choice(list(tongues))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def pieces(text):
+        low = text.lower()
+        n = max(1, (len(low) + 128) // 256)
+        return [({low[i : i + k] for k in (1, 2, 3) for i in range(256 * p, 256 * (p + 1) if p < n - 1 else len(low)) if i + k <= len(low)}, (256 if p < n - 1 else len(low) - 256 * p)) for p in range(n)]
+
+    drawn = {(r.lang, r.draw): r.text for r in language_id.sample(docs, F.lit(True)).collect()}
+    marks = [pieces(t)[d % len(pieces(t))][0] for (lang, d), t in sorted(drawn.items())]
+    kernel = lambda x, y: len(x & y) / (len(x & set().union(*marks)) * len(y)) ** 0.5 if x & y else 0.0
+    knm = np.array([[kernel(p, m) for m in marks] for (_, _), t in sorted(drawn.items()) for p, _ in pieces(t)])
+    y = np.array([[lang == c for c in ("aa", "bb")] for (lang, _), t in sorted(drawn.items()) for _ in pieces(t)], dtype=float)
+    kmm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    weights = np.linalg.solve(knm.T @ knm + language_id.RIDGE * len(knm) * kmm + 1e-8 * np.eye(len(marks)), knm.T @ y)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, F.lit(True), ["doc_id"]).collect()}
+    for i, text, _ in rows:
+        own = pieces(text)
+        values = sum(n * (np.array([kernel(p, m) for m in marks]) @ weights) for p, n in own) / sum(n for _, n in own)
+        assert got[i][0] == ("aa", "bb")[int(values.argmax())] and abs(got[i][1] - min(1, max(0, values.max()))) < 1e-3
 
 
 def test_language_odd_cases(spark):
