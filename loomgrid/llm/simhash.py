@@ -10,10 +10,11 @@ smallest ``doc_id`` that links reach. Steps:
    classes agree on one of the six pairs of blocks. Classes meet under those keys.
 4. In a bucket of up to ``bucket_rows`` classes, the Hamming distances of all members
    to ``n_pivots`` reference fingerprints form a table. By the triangle inequality a
-   linked pair differs by at most two in every coordinate: pairs whose largest
-   coordinate difference exceeds two are discarded, and the rest are verified.
-5. A larger bucket takes an exact way without pairs: each of its classes names itself and its 64 one-bit
-   neighbours as centres. Two classes are linked exactly if they share a
+   linked pair differs by at most two in every coordinate. Sorted by the first coordinate,
+   a member meets only those within two of it there; the other coordinates discard most of
+   these, and the rest are verified. What is linked hangs on one member, so no list of pairs leaves.
+5. A larger bucket, which is a dense cluster, takes an exact way without pairs: each of its classes names itself and its
+   64 one-bit neighbours as centres. Two classes are linked exactly if they share a
    centre, and a centre has at most 65 members, so this stays linear.
 6. Alternating large-star and small-star rounds turn links into components.
 
@@ -33,12 +34,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import columns_of, durable, table, unused
 from .substrings import spaced, word_hashes
 
 MAX_BITS = 2
 SHINGLE = 3
 SEED = 42
+#: Members up to which a bucket's table of pivot distances is made.
+BUCKET_ROWS = 1024
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -72,37 +75,69 @@ def _block_keys(fp: Column) -> Column:
     return F.array(*[F.lit(k << 32).bitwiseOR(F.shiftleft(blocks[i], 16)).bitwiseOR(blocks[j]) for k, (i, j) in enumerate(pairs)])
 
 
-def _pivot_pairs(n_pivots: int, max_bits: int):
+def pivot_pairs(u: np.ndarray, pivots: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places (i, j) of all pairs of ``u`` within ``max_bits``, and how many pairs had to be verified.
+
+    ``u`` has at most some thousand members; the table holds their distances to all pivots.
+    """
+    distances = np.bitwise_count(u[:, None] ^ pivots[None, :]).astype(np.int8)
+    order = np.argsort(distances[:, 0], kind="stable")
+    first = distances[order, 0]
+    near = np.searchsorted(first, first + max_bits, side="right") - np.arange(len(u)) - 1  # members after each within the first coordinate
+    i = np.repeat(np.arange(len(u)), near)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(near) - near, near)
+    i, j = order[i], order[j]
+    for k in range(1, distances.shape[1]):
+        if not len(i):
+            break
+        keep = np.abs(distances[i, k] - distances[j, k]) <= max_bits
+        i, j = i[keep], j[keep]
+    true = np.bitwise_count(u[i] ^ u[j]) <= max_bits
+    return i[true], j[true], len(i)
+
+
+def _least_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest place that links (i, j) reach from each of ``n`` places."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        np.minimum.at(least, i, before[j])
+        np.minimum.at(least, j, before[i])
+        least = least[least]
+        if (least == before).all():
+            return least
+
+
+def _pivot_links(n_pivots: int):
+    """Buckets (members) to links (a, b) that join what is linked in each bucket, fewer than it has members."""
     pivots = np.random.default_rng(SEED).integers(0, 1 << 63, n_pivots, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            left, right = [], []
+            left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for members in batch["members"]:
-                x = np.sort(np.asarray(members, dtype=np.int64))
-                u = x.view(np.uint64)
-                distances = np.bitwise_count(u[:, None] ^ pivots[None, :]).astype(np.int8)
-                i, j = np.triu_indices(len(x), 1)
-                near = np.abs(distances[i] - distances[j]).max(axis=1) <= max_bits
-                i, j = i[near], j[near]
-                true = np.bitwise_count(u[i] ^ u[j]) <= max_bits
-                left.append(x[i[true]])
-                right.append(x[j[true]])
-            yield pd.DataFrame({"a": np.concatenate(left) if left else [], "b": np.concatenate(right) if right else []}, dtype="int64")
+                x = np.asarray(members, dtype=np.int64)
+                i, j, _ = pivot_pairs(x.view(np.uint64), pivots)
+                if len(i):
+                    least = _least_reachable(len(x), i, j)
+                    led = np.flatnonzero(least != np.arange(len(x)))
+                    left.append(x[least[led]])
+                    right.append(x[led])
+            yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
 
     return run
 
 
-def links(classes: DataFrame, bucket_rows: int = 32, n_pivots: int = 48) -> DataFrame:
+def links(classes: DataFrame, bucket_rows: int = BUCKET_ROWS, n_pivots: int = 48) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that connect exactly those within two bits.
 
-    Within large buckets a centre's members hang on its smallest one; all other links are pairs.
+    Within a bucket, what is linked hangs on one member; in buckets above ``bucket_rows``, a centre's members do.
     """
     keyed = classes.select("fp", F.explode(_block_keys(F.col("fp"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(shared, "key")
     small = met.where(F.col("n") <= bucket_rows).groupBy("key").agg(F.collect_list("fp").alias("members"))
-    pairs = small.select("members").mapInPandas(_pivot_pairs(n_pivots, MAX_BITS), "a long, b long")
+    pairs = small.select("members").mapInPandas(_pivot_links(n_pivots), "a long, b long")
     large = met.where(F.col("n") > bucket_rows).select("fp").distinct()
     centres = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     stars = (
@@ -163,12 +198,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 #: The wide form: bits of a sketch, words of a shingle, and the share of bits in which similar texts may differ.
 #: A similarity (Jaccard) of 0.8 or more means at most 0.152 of the bits on average, with a deviation of 0.011.
 SKETCH_BITS, WIDE_SHINGLE, WIDE_SHARE = 1024, 5, 0.172
-#: Keys of a sketch, each of so many of its bits.
-BANDS, BAND_BITS = 64, 16
+#: Share of the bits that agree at a similarity of 0.8, and how often a pair there shall share a key at least.
+AGREE, KEY_RECALL = 1 - float(np.arccos(2 * 0.8 / 1.8)) / np.pi, 0.99
+#: Classes that share a key by chance, about: keys widen as classes become more.
+BY_CHANCE = 8
+#: Members of a key that are held at once; a key with more is dealt out in pairs of blocks of so many.
+BLOCK = 8192
 #: Bits in which the first 128 may differ for the whole sketch to be looked at: five deviations above what WIDE_SHARE gives.
 NARROW = 44
 _MIXERS = np.random.default_rng(6).integers(1, 1 << 63, SKETCH_BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BITS_OF_BAND = np.arange(BANDS * BAND_BITS).reshape(BANDS, BAND_BITS)
+
+
+def keys_for(classes: int) -> np.ndarray:
+    """Bits of each key for so many classes, a row a key: as wide as ``BY_CHANCE`` asks, as many as ``KEY_RECALL`` asks."""
+    width = max(8, int(np.ceil(np.log2(max(2, classes) / BY_CHANCE))))
+    n = int(np.ceil(np.log(1 - KEY_RECALL) / np.log(1 - AGREE**width)))
+    rng = np.random.default_rng(8)
+    laps = [rng.permutation(SKETCH_BITS)[: SKETCH_BITS // width * width].reshape(-1, width) for _ in range(-(-n // (SKETCH_BITS // width)))]
+    return np.concatenate(laps)[:n]
 
 
 def sketch_of(text: str | None) -> np.ndarray:
@@ -247,7 +294,7 @@ def _near(narrow: np.ndarray, row: np.ndarray | None = None, sketch: np.ndarray
 
 def _batch(*columns: np.ndarray) -> pa.RecordBatch:
     """Columns key, a, b and so on."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["key", "a", "b", "m", "n"][: len(columns)])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "a", "b", "m", "n"][: len(columns)])
 
 
 def _unsigned(column: pa.Array, rows: int) -> np.ndarray:
@@ -255,18 +302,22 @@ def _unsigned(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(rows, -1).view(np.uint64)
 
 
-def _meet(bits: int):
+def _meet(key_bits: np.ndarray, bits: int):
     """Classes (c, sketch) to bucket rows (key, class, 0, first 128 bits), already led inside the task, and links (-1, leader, member)."""
+    n, width = key_bits.shape
+    step = max(1, (1 << 18) // n)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 c = part.column(0).to_numpy()
                 sketch = np.ascontiguousarray(_unsigned(part.column(1), len(c)))
                 ones = np.unpackbits(sketch.view(np.uint8), axis=1, bitorder="little")
-                key = (ones[:, _BITS_OF_BAND].astype(np.int32) << np.arange(BAND_BITS, dtype=np.int32)).sum(axis=2, dtype=np.int32) + (np.arange(BANDS, dtype=np.int32) << BAND_BITS)
-                key, row = key.ravel(), np.repeat(np.arange(len(c)), BANDS)
+                key = np.broadcast_to(np.arange(n, dtype=np.int64), (len(c), n)).copy()
+                for k in range(width):
+                    key = (key << np.int64(1)) | ones[:, key_bits[:, k]]
+                key, row = key.ravel(), np.repeat(np.arange(len(c)), n)
                 ids, narrow = c[row], np.ascontiguousarray(sketch[:, :2])[row]
                 sent, left, right = leaders(key, ids, _near(narrow, row, sketch, bits))
                 yield _batch(key[sent], ids[sent], np.zeros(sent.sum(), dtype=np.int64), *narrow[sent].view(np.int64).T)
@@ -278,28 +329,68 @@ def _meet(bits: int):
 
 
 def _mark(batches):
-    """Bucket rows and links of one partition to the rows that have a neighbour in the first 128 bits, and the links."""
-    parts = [[batch.column(i).to_numpy() for i in range(5)] for batch in batches]
-    if parts:
-        key, a, b, m, n = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        row = key >= 0
-        yield _batch(key[~row], a[~row], b[~row])
-        key, a, narrow = key[row], a[row], np.stack([m[row], n[row]], axis=1).view(np.uint64)
-        _, left, right = leaders(key, a, _near(narrow))
+    """Rows of one partition in the order of their keys to the links, and the rows that have a neighbour in the first 128 bits.
+
+    ``b`` of such a row is its block: keys above ``BLOCK`` rows aren't tested here, all their rows go on, in blocks.
+    Never more than some blocks are held.
+    """
+
+    def tested(rows: np.ndarray) -> pa.RecordBatch:
+        key, a, _, m, n = rows
+        _, left, right = leaders(key, a, _near(np.stack([m, n], axis=1).view(np.uint64)))
         marked = np.unique(np.concatenate([left, right]))
-        yield _batch(key[marked], a[marked], np.zeros(len(marked), dtype=np.int64))
+        return _batch(key[marked], a[marked], np.zeros(len(marked), dtype=np.int64))
+
+    held, hot, passed = np.zeros((5, 0), dtype=np.int64), None, 0
+    for batch in batches:
+        new = np.stack([batch.column(i).to_numpy() for i in range(5)])
+        links_ = new[0] < 0
+        if links_.any():
+            yield _batch(*new[:3, links_])
+        held = np.concatenate([held, new[:, ~links_]], axis=1)
+        while True:
+            if hot is not None:  # the key that is passed on goes on first
+                to = np.searchsorted(held[0], hot, side="right")
+                yield _batch(held[0, :to], held[1, :to], (passed + np.arange(to)) // BLOCK)
+                passed, held = passed + to, held[:, to:]
+                hot = None if held.shape[1] else hot
+            if held.shape[1] <= BLOCK:
+                break
+            last = np.searchsorted(held[0], held[0, -1])
+            if last:  # all keys but the last are whole; large ones among them wait for their turn
+                sizes = np.unique(held[0, :last], return_counts=True)
+                large = sizes[0][sizes[1] > BLOCK]
+                if len(large) and held[0, 0] == large[0]:
+                    hot, passed = large[0], 0
+                    continue
+                to = np.searchsorted(held[0], large[0]) if len(large) else last
+                yield tested(held[:, :to])
+                held = held[:, to:]
+            else:
+                hot, passed = held[0, 0], 0
+    if held.shape[1]:
+        yield tested(held)
 
 
 def _lead(bits: int):
-    """Bucket rows (key, class, sketch) of one partition to links (a, b)."""
+    """Bucket rows (key, x, y, class, sketch) of one partition, in that order, to links (a, b).
+
+    From batch to batch only the last bucket's rows that no leader took are held.
+    """
 
     def run(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), _unsigned(b.column(2), b.num_rows)) for b in batches if b.num_rows]
-        if parts:
-            key, c, sketch = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            _, left, right = leaders(key, c, _near(np.ascontiguousarray(sketch[:, :2]), np.arange(len(c)), sketch, bits))
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [*(batch.column(i).to_numpy() for i in range(4)), _unsigned(batch.column(4), batch.num_rows)]
+            key, x, y, c, sketch = now if kept is None else [np.concatenate(p) for p in zip(kept, now)]
+            bucket = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))])
+            untaken, left, right = leaders(bucket, c, _near(np.ascontiguousarray(sketch[:, :2]), np.arange(len(c)), sketch, bits))
             pairs = np.unique(np.stack([c[left], c[right]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            rest = untaken & (bucket == bucket[-1])
+            kept = [key[rest], x[rest], y[rest], c[rest], sketch[rest]]
 
     return run
 
@@ -307,17 +398,23 @@ def _lead(bits: int):
 def similar(classes: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
     """Links (a, b) between classes (c, sketch) whose sketches differ in at most ``share`` of the bits.
 
-    Classes meet under 64 keys of 16 bits. A class leaves a bucket only by a link, tested on the whole sketch, to a
+    Classes meet under keys of some of their bits; the more classes, the wider the keys and the more of them, so
+    that at most about ``BY_CHANCE`` strangers meet under a key and a pair at similarity 0.8 does with probability 0.97 to 0.99, whatever
+    the input's size (at 0.9: 0.9999). A class leaves a bucket only by a link, tested on the whole sketch, to a
     class of smaller ``c`` there: first inside its task, then over all, for which the rows that have a neighbour in the
     first 128 bits fetch their sketches. Two classes that are each the smallest of their component were therefore
-    compared wherever they met. A pair at similarity 0.8 meets under some key with probability 0.99, at 0.9 with 0.9999.
+    compared wherever they met. A key with more than ``BLOCK`` rows is dealt out: each pair of its blocks is a bucket.
     Not every link is found: two classes that left a bucket by different leaders aren't compared there.
     """
     bits = int(share * SKETCH_BITS)
-    met = classes.select("c", "sketch").mapInArrow(_meet(bits), "key int, a long, b long, m long, n long")
-    met = durable(met.repartition("key").mapInArrow(_mark, "key int, a long, b long"), "met")
-    rows = met.where("key >= 0").select("key", F.col("a").alias("c")).join(classes.select("c", "sketch"), "c")
-    led = rows.select("key", "c", "sketch").repartition("key").mapInArrow(_lead(bits), "a long, b long")
+    met = classes.select("c", "sketch").mapInArrow(_meet(keys_for(classes.count()), bits), "key long, a long, b long, m long, n long")
+    met = durable(met.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_mark, "key long, a long, b long"), "met")
+    marked = met.where("key >= 0").withColumnRenamed("b", "block")
+    blocks = marked.where("block > 0").groupBy("key").agg(F.max("block").alias("last"))
+    other = F.explode(F.when(F.col("last").isNull(), F.array(F.col("block"))).otherwise(F.sequence(F.lit(0).cast("long"), F.coalesce("last", F.lit(0))))).alias("other")
+    dealt = marked.join(blocks, "key", "left").select("key", F.col("a").alias("c"), "block", other)
+    rows = dealt.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "c").join(classes.select("c", "sketch"), "c").select("key", "x", "y", "c", "sketch")
+    led = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "c").mapInArrow(_lead(bits), "a long, b long")
     return met.where("key < 0").select("a", "b").unionByName(led).distinct()
 
 
@@ -340,9 +437,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     tree = components(similar(classes))
     rooted = classes.select("c", "first").join(tree, classes.c == tree.node, "left").groupBy(F.coalesce("root", "c")).agg(F.min("first").alias("first"))
     kept = durable(rooted.select("first.doc_id", "first.h").distinct(), "kept")
-    same = docs.withColumn("__h", F.xxhash64("text")).alias("a").join(kept.alias("b"), F.expr("a.doc_id <=> b.doc_id AND a.__h = b.h"), "left_semi")
-    nth = F.row_number().over(W.partitionBy("doc_id", "__h").orderBy(F.lit(1)))
-    return same.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    h, nth, kept_id, kept_h = unused(docs, "h", "nth", "kept_id", "kept_h")
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+    same = hashed.join(kept.toDF(kept_id, kept_h), F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(h) == F.col(kept_h)), "left_semi")
+    first = F.row_number().over(W.partitionBy("doc_id", h).orderBy(F.lit(1)))
+    return same.withColumn(nth, first).where(F.col(nth) == 1).select(*columns_of(docs))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,6 +250,70 @@ def test_links_in_large_buckets(spark):
         assert len(set(zip(mine.values(), (want[p] for p in mine)))) == len(set(want.values())) == len(set(mine.values()))
 
 
+def test_pivots_discard_pairs_before_they_are_verified():
+    rng = np.random.default_rng(1)
+    u = np.unique(np.concatenate([rng.integers(0, 1 << 63, 900, dtype=np.uint64), np.uint64(5) ^ (np.uint64(1) << np.arange(60, dtype=np.uint64))]))
+    pivots = rng.integers(0, 1 << 63, 48, dtype=np.uint64)
+    i, j, verified = simhash.pivot_pairs(u, pivots)
+    want = {(a, b) for a in range(len(u)) for b in np.flatnonzero(np.bitwise_count(u ^ u[a]) <= 2).tolist() if a < b}
+    assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())} == want and verified < 1.01 * len(want)
+    least = simhash._least_reachable(len(u), i, j)
+    assert len(set(least.tolist())) == len(set(components({int(x) for x in u}).values()))
+
+
+def test_keys_keep_recall_as_classes_grow():
+    rng = np.random.default_rng(2)
+    for classes in (100, 50_000, 10_000_000, 10**10):
+        keys = simhash.keys_for(classes)
+        assert all(len(set(k)) == keys.shape[1] for k in keys.tolist()) and classes / 2 ** keys.shape[1] <= simhash.BY_CHANCE
+        differ = rng.random((1000, simhash.SKETCH_BITS)) > simhash.AGREE
+        assert (~differ[:, keys]).all(axis=2).any(axis=1).mean() > 0.95
+
+
+def test_links_of_sketches_match_brute_force(spark):
+    """Pairs at similarity 0.8 among strangers, and a key that most rows share."""
+    rng = np.random.default_rng(3)
+    for strangers, hot in ((500, False), (3000, False), (600, True)):
+        sketches = rng.random((strangers, simhash.SKETCH_BITS)) < 0.5
+        if hot:
+            sketches = sketches[:1] ^ (rng.random((strangers, simhash.SKETCH_BITS)) < 0.12)
+        twins = sketches[:200] ^ (rng.random((200, simhash.SKETCH_BITS)) < 0.14)
+        rows = np.packbits(np.concatenate([sketches, twins]), axis=1, bitorder="little").view("<i8")
+        u = rows.view(np.uint64)
+        bits = int(simhash.WIDE_SHARE * simhash.SKETCH_BITS)
+        near = np.stack([np.bitwise_count(u ^ x).sum(axis=1) <= bits for x in u])
+        found = simhash.similar(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "c long, sketch array<bigint>").repartition(4)).collect()
+        assert all(near[r.a, r.b] for r in found)
+        root = list(range(len(rows)))
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for r in found:
+            x, y = sorted((top(r.a), top(r.b)))
+            root[y] = x
+        stay = [i for i in range(len(rows)) if root[i] == i]
+        missed = sum(near[i, j] for i in stay for j in stay if i < j)
+        assert missed <= 0.02 * np.triu(near, 1).sum()
+
+
+def test_large_keys_go_on_in_blocks(monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 10)
+    rng = np.random.default_rng(4)
+    key = np.sort(np.concatenate([np.full(47, 3), np.full(25, 9), np.full(1, 10), np.repeat(rng.integers(4, 9, 15), 2), [-1, -2]]))
+    a = np.arange(len(key))
+    m = np.zeros(len(key), dtype=np.int64)
+    for size in (1, 3, 7, 50, 200):
+        batches = [simhash._batch(*(x[i : i + size] for x in (key, a, a, m, m))) for i in range(0, len(key), size)]
+        out = np.concatenate([np.stack([b.column(i).to_numpy() for i in range(3)]) for b in simhash._mark(batches)], axis=1)
+        of = lambda k: sorted(zip(out[1, out[0] == k].tolist(), out[2, out[0] == k].tolist()))
+        assert [b for _, b in of(3)] == [i // 10 for i in range(47)] and [b for _, b in of(9)] == [i // 10 for i in range(25)]
+        assert not of(10) and len(of(-1)) == len(of(-2)) == 1
+        assert all(len(of(k)) == n and not any(b for _, b in of(k)) for k in range(4, 9) for n in [int((key == k).sum())] if 2 <= n <= 10)
+
+
 def test_one_of_each(spark):
     docs = odd(spark)
     kept = simhash.one_of_each(docs)
