@@ -2,14 +2,14 @@
 
 Built from DataFrame functions only. Steps:
 
-1. One pass over the documents stores the index: a posting (term, document, position)
-   for each occurrence of a word that the benchmark uses.
-2. The postings count every term. For each 10-word window of an item the rarest positions
-   become anchors, two more than words may be missing, so two are in place in any match.
+1. One pass over the documents counts every term of the benchmark. For each 10-word window of an item
+   the rarest positions become anchors, one more than words may be missing, so one is in place in any match.
    Terms that don't occur are the rarest and surely missing; a window with too many is dropped.
+2. A second pass stores the index of the rarest terms: a posting (term, document, position, surroundings)
+   for each occurrence of an anchor's term. The surroundings are four bits of a hash of each of the eight words at either side.
 3. Anchor postings, shifted back by the anchor's offset in the item, name the start
-   that the item would have in the document. Starts that two anchors agree on survive
-   the intersection; an occurrence of a window always does.
+   that the item would have in the document. Enough of the surrounding words must agree with the item's at their own
+   offsets: this intersects the lists of all terms of a window without moving a posting. An occurrence always passes.
 4. Surviving starts name the word that each position of the document should have. A join
    with the words of those documents leaves the ones in place: windows that are whole give the
    hits, windows with most words in place give proximity matches. No row holds more than a word.
@@ -21,21 +21,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import columns_of, durable, table, unused
 
 WINDOW = 10
 #: Words of a window that must be in place for a proximity match.
 NEAR = 8
 #: Above this many distinct benchmark terms the index is built by a shuffled join.
 BROADCAST_TERMS = 500_000
-#: Everything that isn't part of a word. Capital letters are: they're lowered later, word by word.
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Everything in ASCII that isn't part of a word.
+_GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+#: Words at either side of a posting that its surroundings hold, four bits each.
+REACH = 8
 
 
-def _lowered(text: Column) -> Column:
-    """A-Z in lower case, nothing else changed."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+def words_of(text: Column) -> Column:
+    """Words of a text, A-Z in lower case: one translation turns all gaps into spaces, which is far cheaper than an expression."""
+    return F.array_remove(F.split(F.translate(text, _UPPER + _GAPS, _LOWER + " " * len(_GAPS)), " "), "")
 
 
 def _document_key(docs: DataFrame) -> list[Column]:
@@ -45,48 +47,80 @@ def _document_key(docs: DataFrame) -> list[Column]:
 
 def _items(benchmark: DataFrame) -> DataFrame:
     """``item, item_id, words`` for each different benchmark text with a word; to be written down, as ``item`` follows the partitions."""
-    words = F.filter(F.split(_lowered(F.col("text")), GAP), lambda w: w != "")
     named = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    return named.select("item_id", words.alias("words")).where(F.size("words") > 0).select(F.monotonically_increasing_id().alias("item"), "item_id", "words")
+    return named.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0).select(F.monotonically_increasing_id().alias("item"), "item_id", "words")
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: ``term, d, h, pos`` for each occurrence of a word in ``terms`` (word, term)."""
-    raw = docs.where("text IS NOT NULL").select(*_document_key(docs), F.posexplode(F.split("text", GAP)).alias("pos", "raw")).where("raw <> ''")
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term, d, h, pos, words`` for each occurrence of a word in ``terms`` (word, term); ``words`` are the document's."""
+    flat = docs.where("text IS NOT NULL").select(*_document_key(docs), words_of(F.col("text")).alias("words")).select("d", "h", "words", F.posexplode("words").alias("pos", "word"))
     listed = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    return raw.withColumn("word", _lowered(F.col("raw"))).join(listed, "word").select("term", "d", "h", "pos")
+    return flat.join(listed, "word").select("term", "d", "h", "pos", "words")
+
+
+def _around(words: Column, at: Column) -> Column:
+    """Four bits of a hash of each word from eight before to eight after a place, the place itself left out; where there is no word, zeros."""
+    out = F.lit(0).cast("long")
+    for k, step in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
+        bits = F.coalesce(F.xxhash64(F.get(words, at + step)).bitwiseAND(F.lit(15)) * F.get(words, at + step).isNotNull().cast("long"), F.lit(0))
+        out = out.bitwiseOR(F.shiftleft(bits, 4 * k))
+    return out
+
+
+def _inside(words: Column, at: Column) -> Column:
+    """A one in the lowest of those four bits for each word that there is."""
+    out = F.lit(0).cast("long")
+    for k, step in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
+        out = out.bitwiseOR(F.shiftleft(((at + step >= 0) & (at + step < F.size(words))).cast("long"), 4 * k))
+    return out
+
+
+def _agreeing(a: Column, b: Column, inside: Column) -> Column:
+    """How many of the four-bit groups that ``inside`` names are equal."""
+    x = a.bitwiseXOR(b)
+    for shift in (1, 2):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return F.bit_count(F.bitwise_not(x).bitwiseAND(inside))
+
+
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index: ``term, d, h, pos, around`` for each occurrence of a word in ``terms`` (word, term)."""
+    return occurrences(docs, terms).select("term", "d", "h", "pos", _around(F.col("words"), F.col("pos")).alias("around"))
 
 
 def _anchors(placed: DataFrame, counts: DataFrame, window: int, near: int) -> DataFrame:
-    """``term, item, off, single`` of the rarest positions of each window that can match at all: two more than may be missing.
+    """``term, item, off, around, inside, wanted`` of the rarest positions of each window that can match at all: one more than may be missing.
 
-    ``single``: one word in place is a match.
+    ``wanted``: surrounding words that agree in any match.
     """
     width = F.least(F.lit(window), F.col("n"))
     least = F.ceil(width * near / window)
     starts = placed.join(counts, "term", "left").withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - width + 1), F.least(F.col("off"), F.col("n") - width))))
     by = W.partitionBy("item", "s")
     live = starts.withColumn("known", F.count("df").over(by)).where(F.col("known") >= least)
-    rarest = live.withColumn("rk", F.row_number().over(by.orderBy(F.asc_nulls_first("df"), "off"))).where(F.col("rk") <= width - least + 2)
-    return rarest.where("df IS NOT NULL").select("term", "item", "off", (least <= 1).alias("single")).distinct()
+    rarest = live.withColumn("rk", F.row_number().over(by.orderBy(F.asc_nulls_first("df"), "off"))).where(F.col("rk") <= width - least + 1)
+    unseen = F.greatest(F.lit(0), width - 1 - REACH)  # a window's words further away than the surroundings reach
+    return rarest.where("df IS NOT NULL").select("term", "item", "off", "around", "inside", (least - 1 - unseen).alias("wanted")).distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
     """``d, h, n_hit, items, n_near`` of each document (see ``_document_key``) with a surviving start."""
     docs = docs.select("doc_id", "text")
     items = durable(_items(benchmark), "items")
-    flat = items.select("item", F.size("words").alias("n"), F.posexplode("words").alias("off", "word"))
+    flat = items.select("item", F.size("words").alias("n"), "words", F.posexplode("words").alias("off", "word"))
     terms = durable(flat.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "terms")
-    index = durable(postings(docs, terms), "postings")
-    placed = flat.join(terms, "word").select("item", "n", "off", "term")
-    counts = index.groupBy("term").agg(F.count("*").alias("df"))
+    placed = flat.join(terms, "word").select("item", "n", "off", "term", _around(F.col("words"), F.col("off")).alias("around"), _inside(F.col("words"), F.col("off")).alias("inside"))
+    flat = flat.drop("words")
+    counts = durable(occurrences(docs, terms).groupBy("term").agg(F.count("*").alias("df")), "counts")
     anchors = durable(_anchors(placed, counts, window, near), "anchors")
-    started = index.join(anchors, "term").groupBy("d", "h", "item", (F.col("pos") - F.col("off")).alias("start")).agg(F.min("off").alias("first"), F.max("off").alias("last"), F.max("single").alias("single"))
-    starts = durable(started.where("first < last OR single").select("d", "h", "item", "start"), "starts")
+    index = durable(postings(docs, terms.join(anchors.select("term").distinct(), "term", "left_semi")), "postings")
+    agreed = _agreeing(F.col("p.around"), F.col("a.around"), F.col("inside"))
+    started = index.alias("p").join(anchors.alias("a"), "term").where(agreed >= F.col("wanted")).select("d", "h", "item", (F.col("pos") - F.col("off")).alias("start"))
+    starts = durable(started.distinct(), "starts")
 
     # both sides grow with the documents: never broadcast
     texts = docs.where("text IS NOT NULL").select(*_document_key(docs), "text").join(starts.select("d", "h").distinct().hint("merge"), ["d", "h"], "left_semi").dropDuplicates(["d", "h"])
-    words = texts.select("d", "h", F.posexplode(F.split(_lowered(F.col("text")), GAP)).alias("pos", "word"))
+    words = texts.select("d", "h", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
     expected = starts.join(flat, "item").withColumn("pos", F.col("start") + F.col("off")).where("pos >= 0")
     placed = expected.join(words.hint("merge"), ["d", "h", "pos", "word"]).select("d", "h", "item", "start", "n", "off", "pos")
     width = F.least(F.lit(window), F.col("n"))
@@ -114,9 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     """
     docs = docs.select("doc_id", "text")
     result = matches(docs, benchmark, window, near)
-    parts = F.split("text", GAP)
-    ends = F.when(parts[0] == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    counted = docs.select("doc_id", *_document_key(docs), F.when(F.col("text").isNull(), 0).otherwise(F.size(parts) - ends).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", *_document_key(docs), F.when(F.col("text").isNull(), 0).otherwise(F.size(words_of(F.col("text")))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return counted.join(result, ["d", "h"], "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce("items", none).alias("items")
@@ -126,8 +158,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows in which a benchmark window occurs."""
     hit = durable(matches(docs, benchmark, window, near=window).where("n_hit > 0").select("d", "h"), "contaminated")
-    d, h = _document_key(docs)
-    return docs.select("*", d.alias("__d"), h.alias("__h")).join(hit.toDF("__d", "__h"), ["__d", "__h"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    d, h = unused(docs, "d", "h")
+    own = [c.alias(n) for c, n in zip(_document_key(docs), (d, h))]
+    return docs.select(*columns_of(docs), *own).join(hit.toDF(d, h), [d, h], "left_anti").select(*columns_of(docs))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
