@@ -7,10 +7,13 @@ travel as one packed string, so a document is shuffled about three times instead
 1. Per document: the words, and for each super-k-mer its start and a 128-bit key.
 2. Packing: equal super-k-mers of a task collapse to one line (once, or more often); lines
    go to their minimiser's bucket, compressed together.
-3. In a bucket, equal lines collapse again. Windows are sorted by a rolling hash, equal
-   neighbours are compared word by word, and those that start at two places or more are
-   marked. Memory follows the distinct strings of a bucket, never the copies.
-4. The marks return to the documents by super-k-mer key: a join whose hot side adaptive
+3. Buckets stream through their tasks in order, so memory follows the distinct strings of one of
+   them, never the copies; their number follows the input. In a bucket, equal lines collapse again. Windows are sorted by a rolling hash, equal
+   neighbours are compared word by word, and those that start at two places or more are marked.
+4. A bucket with too many distinct strings (those around a passage that very many documents share) is dealt
+   anew, by a second key that equal windows share: a 128-bit hash of the window. Tasks that meet such a bucket while they pack
+   send its windows that way at once, and leave word of it, so that what others packed follows.
+5. The marks return to the documents by super-k-mer key: a join whose hot side adaptive
    execution can split. Only documents with a mark read their text again.
 """
 
@@ -31,8 +34,10 @@ from .common import durable, table
 
 WINDOW = 35
 GRAM = 4
-#: Packed words that a bucket should hold.
-BUCKET_WORDS = 1_500_000
+#: Packed words that a bucket holds, about.
+BUCKET_WORDS = 30_000
+#: Bytes of distinct strings above which a task deals a bucket's windows by their hashes: when it packs, and when it counts.
+HOT_PACKED, HOT_COUNTED = 1 << 20, 64 << 20
 #: Packed bytes that a task holds before it sends them on.
 PACK_BYTES = 48 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -170,19 +175,51 @@ def _describe(window: int):
     return run
 
 
+_WINDOW = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("w1", "<i8"), ("w2", "<i8"), ("at", "<i4"), ("times", "<i4")])
+
+
+def hashed_windows(lines: dict[bytes, int], window: int = WINDOW) -> np.ndarray:
+    """Each window of some super-k-mers: their key, the window's hash, its place in them, how often they occur."""
+    parts = []
+    for packed, times in lines.items():
+        _, finishes, _ = _words(packed)
+        begins = np.concatenate([[0], finishes[:-1] + 1])
+        n = len(finishes) - window + 1
+        out = np.zeros(n, dtype=_WINDOW)
+        out["k1"], out["k2"] = np.frombuffer(xxhash.xxh3_128_digest(packed), dtype=np.int64)
+        found = [xxhash.xxh3_128_digest(packed[i:j]) for i, j in zip(begins[:n].tolist(), finishes[window - 1 :].tolist())]
+        out["w1"], out["w2"] = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, 2).T
+        out["at"], out["times"] = np.arange(n), times
+        parts.append(out)
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=_WINDOW)
+
+
 def _pack(window: int, buckets: int):
-    """Texts to (bucket, blob): a blob's lines are distinct super-k-mers, led by 1, or 2 if seen more often."""
+    """Texts to (bucket, blob): a blob's lines are distinct super-k-mers, led by 1, or 2 if seen more often.
+
+    Of a hot bucket an empty blob gives word; its hashed windows go to places of their own, below 0.
+    """
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         held: dict[int, dict[bytes, int]] = defaultdict(dict)
         size = 0
 
+        def rows(ids, packed):
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "blob"])
+
         def blobs():
             for at in range(0, len(ids := list(held)), 64):
-                part = ids[at : at + 64]
-                packed = [squeeze.compress(b"\n".join([b"%d %b" % (n, s) for s, n in held[b].items()])) for b in part]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "blob"])
+                part, packed = ids[at : at + 64], []
+                for b in part:
+                    if sum(map(len, held[b])) > HOT_PACKED:
+                        packed.append(b"")
+                        windows = hashed_windows(held[b], window)
+                        for i in range(0, len(windows), 1 << 15):
+                            yield rows([-1 - (int(windows["k1"][i]) & 0xFFFF)], [windows[i : i + (1 << 15)].tobytes()])
+                    else:
+                        packed.append(squeeze.compress(b"\n".join([b"%d %b" % (n, s) for s, n in held[b].items()])))
+                yield rows(part, packed)
             held.clear()
 
         for batch in batches:
@@ -235,20 +272,67 @@ def repeated_windows(lines: dict[bytes, int], window: int = WINDOW) -> tuple[lis
     return [packed[i] for i in found], [marked[ends[i] - (lengths[i] - window + 1) : ends[i]] for i in found]
 
 
+_MARKS = "k1 long, k2 long, mask binary, w1 long, w2 long, at int, times int"
+#: Bytes of distinct strings that are counted at once, of many small buckets.
+COUNTED_BYTES = 4 << 20
+
+
 def _count(window: int):
-    """(bucket, blob) of one partition to (k1, k2, mask) of super-k-mers with a repeated window."""
+    """(bucket, blob) of one partition, in that order, to the marks (``_MARKS``).
+
+    Of super-k-mers with a repeated window: key and mask. Of each window in hot buckets: key, hash, place, times.
+    """
+
+    def masked(lines):
+        packed, marked = repeated_windows(lines, window)
+        k1, k2 = _keys(packed)
+        none = [pa.nulls(len(packed), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([np.packbits(m).tobytes() for m in marked], pa.binary()), *none], names=names)
+
+    def hashed(windows):
+        columns = [pa.array(np.ascontiguousarray(windows[n])) for n in ("k1", "k2", "w1", "w2", "at", "times")]
+        return pa.RecordBatch.from_arrays([*columns[:2], pa.nulls(len(windows), pa.binary()), *columns[2:]], names=names)
+
+    names = [c.split()[0] for c in _MARKS.split(", ")]
 
     def run(batches):
-        open_, lines = zstandard.ZstdDecompressor(), {}
+        open_ = zstandard.ZstdDecompressor()
+        ready, lines, size, ready_size, bucket, hot = {}, {}, 0, 0, None, False
+
         for batch in batches:
-            for blob in batch.column(1):
-                for line in open_.decompress(blob.as_py()).split(b"\n"):
+            for to, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if to < 0:
+                    yield hashed(np.frombuffer(blob, dtype=_WINDOW))
+                    continue
+                if to != bucket:
+                    if hot:
+                        yield hashed(hashed_windows(lines, window))
+                    else:  # lines of different buckets differ
+                        ready |= lines
+                        ready_size += size
+                    if ready_size > COUNTED_BYTES:
+                        yield masked(ready)
+                        ready, ready_size = {}, 0
+                    lines, size, bucket, hot = {}, 0, to, False
+                if not blob:  # word of a hot bucket comes before its blobs
+                    hot = True
+                    continue
+                for line in open_.decompress(blob).split(b"\n"):
                     packed = line[2:]
-                    lines[packed] = 2 if packed in lines else int(line[:1])
-        packed, marked = repeated_windows(lines, window)
-        k1, k2 = _keys(packed)
-        masks = [np.packbits(m).tobytes() for m in marked]
-        yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(masks, pa.binary())], names=["k1", "k2", "mask"])
+                    if packed in lines:
+                        lines[packed] = 2
+                    else:
+                        lines[packed] = int(line[:1])
+                        size += len(packed)
+                hot = hot or size > HOT_COUNTED
+                if hot and size > COUNTED_BYTES:
+                    yield hashed(hashed_windows(lines, window))
+                    lines, size = {}, 0
+        if hot:
+            yield hashed(hashed_windows(lines, window))
+        else:
+            ready |= lines
+        yield masked(ready)
 
     return run
 
@@ -290,11 +374,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     columns = f"doc_id {kind}, d {kind}, h long, n_words long, kept_sha256 string, starts array<int>, k1 array<long>, k2 array<long>"
     described = durable(docs.select("doc_id", "d", "h", "text").mapInArrow(_describe(window), columns), "substring-docs")
     total = described.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    buckets = min(max(8, 3 * total // BUCKET_WORDS), 200_000)
-    sent = docs.where("text IS NOT NULL").select("text").mapInArrow(_pack(window, 16 * buckets), "bucket int, blob binary").repartition(buckets, "bucket")
-    marks = durable(sent.mapInArrow(_count(window), "k1 long, k2 long, mask binary"), "substring-marks")
+    buckets = max(128, total * 3 // BUCKET_WORDS)
+    sent = docs.where("text IS NOT NULL").select("text").mapInArrow(_pack(window, buckets), "bucket long, blob binary").repartition("bucket").sortWithinPartitions("bucket", "blob")
+    marks = durable(sent.mapInArrow(_count(window), _MARKS), "substring-marks")
+    hot = marks.where("mask IS NULL")
+    again = hot.join(hot.groupBy("w1", "w2").agg(F.sum("times").alias("n")).where("n > 1").select("w1", "w2"), ["w1", "w2"])
+    marks = marks.where("mask IS NOT NULL").select("k1", "k2", F.lit(0).alias("at"), "mask").unionByName(again.select("k1", "k2", "at", F.lit(b"\x80").alias("mask")).distinct())
     places = described.select("d", "h", F.explode(F.arrays_zip("starts", "k1", "k2")).alias("x")).select("d", "h", "x.*")
-    hit = places.join(marks, ["k1", "k2"]).groupBy("d", "h").agg(F.collect_list(F.struct("starts", "mask")).alias("found"))
+    hit = places.join(marks, ["k1", "k2"]).groupBy("d", "h").agg(F.collect_set(F.struct((F.col("starts") + F.col("at")).alias("starts"), "mask")).alias("found"))  # equal rows share theirs
     hit = durable(hit.select("d", "h", "found.starts", "found.mask"), "substring-hits")
     cut = docs.join(hit, ["d", "h"]).select("doc_id", "text", "starts", "mask").mapInArrow(_cut(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
     whole = described.join(hit.select("d", "h"), ["d", "h"], "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")

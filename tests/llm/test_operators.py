@@ -176,6 +176,26 @@ def test_repeats_match_brute_force(spark, window):
     assert sorted(map(tuple, got), key=str) == cut(docs, window)
 
 
+@pytest.mark.parametrize("packed, counted", [(60, 10**9), (10**9, 60), (300, 300)])
+def test_hot_buckets_match_brute_force(spark, monkeypatch, packed, counted):
+    """A passage that most documents share, with buckets dealt anew when packed, when counted, or both."""
+    for name, value in (("HOT_PACKED", packed), ("HOT_COUNTED", counted), ("COUNTED_BYTES", 50)):
+        monkeypatch.setattr(substrings, name, value)
+    rnd = random.Random(31)
+    passage = prose(rnd, "abcdefgh", 12)
+    docs = [(i, " ".join([prose(rnd, "abcdefghij", rnd.randrange(0, 9)), passage if i % 3 else "", prose(rnd, "abcdefghij", rnd.randrange(0, 9))])) for i in range(200)]
+    docs += [(500 + i, docs[i][1]) for i in range(5)]
+    got = substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), 6).collect()
+    assert sorted(map(tuple, got), key=str) == cut(docs, 6)
+
+
+def test_many_equal_rows(spark):
+    text = prose(random.Random(32), "abcdefghijklmnopqrstuvwxyz", 1500)
+    rows = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    out = substrings.remove_repeats(rows.repartition(4)).groupBy("n_words", "n_removed").count().collect()
+    assert [tuple(r) for r in out] == [(1500, 1500, 10_000)]
+
+
 def test_colliding_window_hashes_are_told_apart(monkeypatch):
     lines = {" ".join("abcdefg"[i:] + "abcdefg"[:i]).encode(): 1 for i in range(7)} | {b"a b c d e f z": 1}
     want = substrings.repeated_windows(lines, 4)
