@@ -683,3 +683,51 @@ def test_surroundings(page, want):
 )
 def test_nothing_after_a_stray_sign_or_an_open_element_is_lost(page, want):
     assert html_text.main_text(page, html_text.train()) == want
+
+
+def page_with_truth(rnd, semantic):
+    """A page and its blocks (text, whether main text)."""
+    words = lambda n: prose(rnd, ["lorem", "ipsum", "dolor", "sit", "amet", "élan", "naïve"], n).capitalize() + "."
+    tag = lambda name, inner, **a: f"<{name}{''.join(f' class={v!r}' for k, v in a.items())}>{inner}</{name}>" if semantic else f"<div>{inner}</div>"
+    menu = [(words(1), 0) for _ in range(rnd.randrange(3, 8))]
+    advert, closing = [(words(rnd.randrange(3, 10)), 0)], [(words(rnd.randrange(2, 9)), 0)]
+    body = [(words(rnd.randrange(3, 9)), 1)] + [(words(rnd.choice([4, 8, 15, 30, 60, 90])), 1) for _ in range(rnd.randrange(2, 9))] + [(words(rnd.randrange(15, 60)), 1)]
+    replies = [(words(rnd.randrange(5, 40)), 0) for _ in range(rnd.randrange(0, 3))] if semantic else []
+    page = "<html><head><title>x</title><style>p{}</style></head><body>" + tag("nav", "<ul>" + "".join(f"<li><a href='/'>{t}</a>" for t, _ in menu) + "</ul>") + tag("div", advert[0][0], c="ad")
+    page += tag("article", f"<h1>{body[0][0]}</h1>" + "".join(f"<p>{t.replace(' ', rnd.choice([' ', chr(10) + '  ', '&#32;']), 1)}</p>" for t, _ in body[1:]))
+    page += (tag("section", "".join(f"<p>{t}</p>" for t, _ in replies), c="comments") if replies else "") + tag("footer", closing[0][0]) + "<script>var a = '<p>no</p>';</script></body></html>"
+    return page, menu + advert + body + replies + closing
+
+
+def test_generated_pages_give_back_their_text(spark):
+    rnd = random.Random(41)
+    made = [page_with_truth(rnd, True) for _ in range(150)]
+    pages = spark.createDataFrame([(i, f"u{i}", page) for i, (page, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(pages, ["page_id", "url"]).collect()}
+    for i, (_, truth) in enumerate(made):
+        want = "\n\n".join(t for t, main in truth if main)
+        assert got[i] == (want, len(want))
+
+
+def test_held_out_pages_without_semantic_tags():
+    """Words and links of blocks and their neighbours alone: most blocks are told apart."""
+    rnd, tree, right = random.Random(42), html_text.train(), []
+    for _ in range(300):
+        page, truth = page_with_truth(rnd, False)
+        found = html_text.blocks(page)
+        assert [b[0] for b in found] == [t for t, _ in truth]
+        right += [html_text.is_main(tree, row) == bool(main) for row, (_, main) in zip(html_text.describe(found), truth)]
+    assert np.mean(right) > 0.85
+
+
+def test_the_tree_asks_for_words_and_links():
+    used = set()
+
+    def walk(node):
+        if len(node) > 1:
+            used.add(html_text.FEATURES[node[0]])
+            walk(node[2])
+            walk(node[3])
+
+    walk(html_text.train())
+    assert {"words", "links", "words before", "words after"} <= used and len(html_text.labelled_table()) < 200
