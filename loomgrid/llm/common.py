@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..sources.scratch import durable, shared_dir  # noqa: F401 - the operators take both from here
 
@@ -58,9 +58,9 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make, columns: dict[str
     one list per column. Rows stream through in slices of bounded size; nothing is shuffled.
     """
     types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
-    source = df.select(*map(named, keep), named(text).alias("__text"))
+    source = df.select(*[named(k).alias(f"c{i}") for i, k in enumerate(keep)], named(text).alias("text"))  # plain names: Spark resolves them anew
     made = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in columns.items()))
-    schema = StructType([*source.schema.fields[:-1], *made.fields])
+    schema = StructType([*(StructField(k, f.dataType) for k, f in zip(keep, source.schema.fields)), *made.fields])
     arrow = [types[t] for t in columns.values()]
 
     def run(batches):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, n_words, table
+from .common import columns_of, durable, n_words, table, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -77,14 +77,14 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int
     Rows find their repeats by id, source and a hash of the text; equal rows share
     theirs as evenly as whole rows allow.
     """
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
+    h, everything, rows, nth, times, copy, own_id, own_source, own_h = unused(docs, "h", "everything", "rows", "nth", "times", "copy", "own_id", "own_source", "own_h")
     drawn = mix(docs, weights, max_epochs, seed, keep=[F.xxhash64("text").alias("h64")])
-    total = drawn.groupBy("doc_id", "source", "h64").agg(F.sum("repeats").alias("__all"), F.count("*").alias("__rows")).where("__all > 0")
-    met = keyed.alias("a").join(total.alias("b"), F.expr("a.doc_id <=> b.doc_id AND a.source <=> b.source AND a.__h = b.h64")).select("a.*", "__all", "__rows")
-    nth = F.when(F.col("__rows") > 1, F.row_number().over(W.partitionBy("doc_id", "source", "__h").orderBy(F.lit(1)))).otherwise(1)
-    times = (F.floor(F.col("__all") / F.col("__rows")) + F.when(F.col("__nth") <= F.col("__all") % F.col("__rows"), 1).otherwise(0)).cast("int")
-    counted = met.withColumn("__nth", nth).withColumn("__times", times).where("__times > 0")
-    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    total = drawn.groupBy("doc_id", "source", "h64").agg(F.sum("repeats").alias(everything), F.count("*").alias(rows)).where(F.col(everything) > 0).toDF(own_id, own_source, own_h, everything, rows)
+    met = docs.withColumn(h, F.xxhash64("text")).join(total, F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source)) & (F.col(h) == F.col(own_h)))
+    number = F.when(F.col(rows) > 1, F.row_number().over(W.partitionBy("doc_id", "source", h).orderBy(F.lit(1)))).otherwise(1)
+    share = (F.floor(F.col(everything) / F.col(rows)) + F.when(F.col(nth) <= F.col(everything) % F.col(rows), 1).otherwise(0)).cast("int")
+    counted = met.withColumn(nth, number).withColumn(times, share).where(F.col(times) > 0)
+    return counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*columns_of(docs))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,20 @@ def test_near_copies_within_families_of_templates(spark):
     assert sum(kept >= set(p) for p in alike) <= 0.01 * len(alike)
 
 
+def test_stages_take_columns_of_any_name(spark, tmp_path):
+    """Columns named as the stages name their own, with dots, backticks and in other case."""
+    names = ["__h", "__nth", "__d", "__lang", "__all", "__times", "__copy", "__text", "h", "H_", "d", "nth", "copy", "times", "rows", "everything", "kept_id", "own_id", "lang_pred", "lang_score", "held_out", "a.b", "c`d", "item", "start", "n_hit"]
+    rows, near, item = corpus()
+    docs = spark.createDataFrame(rows, COLUMNS)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    wide = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, out = stage(spark, docs, str(tmp_path)), stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns
+        assert sorted(str(r.doc_id) for r in plain.collect()) == sorted(str(r.doc_id) for r in out.collect())
+        assert all(r["a.b"] == f"a.b{r.doc_id}" and r["__h"] == f"__h{r.doc_id}" for r in out.collect() if r.doc_id is not None)
+
+
 def test_stages_take_odd_and_empty_tables(spark, tmp_path):
     from .test_operators import ODD, odd
 
