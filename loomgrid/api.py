@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .config import Experiment, Judging
 from .functions import text
-from .operators import judging, matrix, personas
-from .sources.writers import Store
+from .functions.parse import cell_status
+from .operators import completion, judging, matrix, personas, runtime
+from .sources.scratch import durable
+from .sources.writers import Store, append_json
 
 Answer = Callable[[DataFrame], DataFrame]
+#: Times of judgments: UTC to the second.
+SECONDS = "yyyy-MM-dd'T'HH:mm:ss'+00:00'"
 
 
 @dataclass(frozen=True)
@@ -24,12 +29,14 @@ class Run:
     summary: DataFrame
 
 
-def run_experiment(specs: DataFrame, config: Experiment, answer: Answer, store: Store, run_cells: DataFrame | None = None) -> Run:
+def run_experiment(specs: DataFrame, config: Experiment, answer: Answer, store: Store, run_cells: DataFrame | None = None, log: str | None = None, on_done: Callable[[dict], None] | None = None) -> Run:
     """Fill the matrix of prompts and models; cells that succeeded before aren't asked again.
 
     ``specs``: prompt_no, system, user, messages. ``answer`` adds content, status and
     error_message to requests (prompt_id, prompt, alias, messages). ``store`` is keyed
-    by prompt_id and alias; prompts that are no longer asked for leave it.
+    by prompt_id and alias; prompts that are no longer asked for leave it. A model's own system prompt leads its
+    requests. ``log`` names a folder of JSON lines to which a line for each request is appended; ``on_done`` gets the
+    counts of those done and succeeded.
     """
     asked = matrix.prompts(specs, config.system_prompt)
     grid = matrix.cells(asked, list(config.aliases), run_cells)
@@ -37,7 +44,13 @@ def run_experiment(specs: DataFrame, config: Experiment, answer: Answer, store:
     todo = matrix.to_run(grid, old) if old is not None else grid.where("status <> 'not_requested'")
     requests = todo.drop("status").join(asked.select("prompt_id", F.col("turns").alias("messages")), "prompt_id")
     columns = ["prompt_id", "prompt", "alias", "status", "response", "error_message"]
-    ended = answer(requests).select("prompt_id", "prompt", "alias", "status", F.when(F.col("status") == "success", F.col("content")).alias("response"), "error_message")
+    counted, seen = completion.observed(answer(matrix.for_models(requests, config.system_prompt_by_model)))
+    answered = durable(counted, "answers")  # models are asked once, whatever is made of their replies
+    if on_done is not None:
+        on_done(seen.get)
+    if log is not None:
+        append_json(runtime.log_rows(answered if "model" in answered.columns else answered.withColumn("model", F.col("alias"))), log)
+    ended = answered.withColumn("status", cell_status(F.col("status"))).select("prompt_id", "prompt", "alias", "status", F.when(F.col("status") == "success", F.col("content")).alias("response"), "error_message")
     null = F.lit(None).cast("string")
     left_out = grid.where("status = 'not_requested'").select("prompt_id", "prompt", "alias", "status", null.alias("response"), null.alias("error_message"))
     if old is not None:
@@ -57,7 +70,10 @@ def run_judges(subjects: DataFrame, config: Judging, answer: Answer, store: Stor
     old = store.read()
     todo = judging.pairs(subjects, list(config.judges), config.hash, old)
     asked = text.judge_messages(config.judge_prompt, list(config.classes) if config.classes else None, F.col("subject_content"), F.col("messages"), F.col("metadata") if config.include_metadata_in_prompt else None)
-    replies = answer(todo.withColumn("judge_messages", asked))
+    began = F.date_format(F.lit(datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz"), SECONDS)
+    replies = durable(answer(todo.withColumn("judge_messages", asked)), "replies").withColumn("started_at", began)
+    ended = F.date_format(F.lit(datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz"), SECONDS)
+    replies = replies.withColumn("completed_at", ended)
     keep = [c for c in replies.columns if c not in ("judge_messages", "messages", "subject_content")]
     made = judging.verdicts(replies.select(*keep), list(config.classes) if config.classes else None)
     store.replace(judging.merge(old, made.select(*old.columns)) if old is not None else made)
@@ -76,7 +92,7 @@ def generate_backgrounds(mapping: DataFrame, templates: DataFrame, answer: Answe
         prompts = todo.join(F.broadcast(templates.select("dim", "template")), F.lower("dimension") == F.lower("dim")).withColumn("prompt", text.render(F.col("template"), F.col("indicators")))  # templates: a row a dimension
         good = answer(prompts).where("status = 'success'")
         turns = F.array(F.struct(F.col("prompt").alias("content"), F.lit("user").alias("role")), F.struct("content", F.lit("assistant").alias("role")))
-        new = good.select("dimension", "dimension_value", "combination_id", "indicators", turns.alias("messages"), F.sha2("template", 256).alias("template_hash"))
+        new = good.select("dimension", "dimension_value", "combination_id", "indicators", turns.alias("messages"), F.sha2("template", 256).alias("template_hash"), runtime.utc_stamp(F.current_timestamp()).alias("generated_at"))
         store.replace(new if old is None else personas.upsert(old, new, ["combination_id"]))
     done = store.read()
     return personas.progress(combos, done.select("combination_id") if done is not None else combos.where("false").select("combination_id"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from .functions import ids
 from .functions.parse import NONE_LABEL
@@ -44,11 +44,20 @@ class Retry:
     factor: float = 2.0
     max_wait: float = 3600.0
     max_hints: int = 20
+    seed: int | None = None
 
     def __post_init__(self) -> None:
         _check(self.max_retries >= 0 and self.base_delay >= 0 and self.factor >= 1 and self.max_wait >= 0, "retry settings can't be negative")
         _check(self.base_delay <= self.max_delay, "base_delay can't exceed max_delay")
 
+    def with_seed(self, seed: int) -> Retry:
+        """The same policy, with waits jittered from ``seed``."""
+        return replace(self, seed=seed)
+
+    def over(self, base: Retry | None) -> Retry:
+        """An experiment's policy over a provider's: the provider's waits, the experiment's number of calls and wait by hints."""
+        return replace(base or Retry(), max_retries=self.max_retries, max_wait=self.max_wait, max_hints=self.max_hints)
+
 
 @dataclass(frozen=True)
 class Provider:
@@ -92,6 +101,10 @@ class Inference:
         for a in self.model_aliases.values():
             _check(a.provider in self.providers, f"alias {a.alias} names provider {a.provider}, which isn't configured")
 
+    def limits(self) -> dict[str, RateLimit]:
+        """Rate limits by provider; a provider without one has none."""
+        return {name: p.rate_limit for name, p in self.providers.items() if p.rate_limit}
+
     def retry_of(self, provider: str) -> Retry:
         """A provider's own retry settings, else the default ones."""
         own = self.providers.get(provider)
@@ -176,11 +189,40 @@ class Judging:
         )
 
 
+Turns = tuple[dict[str, str], ...]
+
+
+@dataclass(frozen=True)
+class Grid:
+    """What prompts a grid has: at most one way to give systems, at most one for static turns, one for final messages."""
+
+    model_aliases: tuple[str, ...]
+    system_prompt: str | None = None
+    system_prompts: tuple[str, ...] | None = None
+    system_prompt_by_model: dict[str, str] | None = None
+    static_turns: Turns | None = None
+    static_turns_list: tuple[Turns, ...] | None = None
+    final_user_message: str | None = None
+    final_user_messages: tuple[str, ...] | None = None
+
+    def __post_init__(self) -> None:
+        given = lambda *x: sum(v is not None for v in x)
+        _check(given(self.system_prompt, self.system_prompts, self.system_prompt_by_model) <= 1, "systems: one for all, several for all, or one a model")
+        _check(given(self.static_turns, self.static_turns_list) <= 1, "static turns: one list for all, or several")
+        _check(given(self.final_user_message, self.final_user_messages) == 1, "final messages: exactly one, or several")
+        _check(bool(self.model_aliases), "a grid needs models")
+        unknown = set(self.system_prompt_by_model or {}) - set(self.model_aliases)
+        _check(not unknown, f"system prompts of unknown models: {', '.join(sorted(unknown))}")
+
+
 @dataclass(frozen=True)
 class Experiment:
+    """``system_prompt_by_model`` applies when a model is asked and isn't part of a prompt's identity."""
+
     name: str
     aliases: tuple[str, ...]
     system_prompt: str | None = None
+    system_prompt_by_model: dict[str, str] = field(default_factory=dict)
     retry: Retry = field(default_factory=Retry)
     timeout_seconds: float = 120.0
     workers: int = 8
@@ -190,3 +232,4 @@ class Experiment:
         _check(bool(self.aliases) and all(a.strip() for a in self.aliases), "model aliases need names")
         _check(len(set(self.aliases)) == len(self.aliases), "a model alias is given twice")
         _check(not {"prompt_id", "prompt"} & set(self.aliases), "prompt_id and prompt are columns")
+        _check(set(self.system_prompt_by_model) <= set(self.aliases), "a system prompt is given for an unknown model")

@@ -91,3 +91,14 @@ def response_usage(v: Column) -> Column:
     """(prompt_tokens, completion_tokens, total_tokens) of a provider's reply."""
     j = F.try_parse_json(v)
     return F.struct(*[F.try_variant_get(j, f"$.usage.{k}", "int").alias(k) for k in ("prompt_tokens", "completion_tokens", "total_tokens")])
+
+
+def response_tool_calls(v: Column) -> Column:
+    """Tool calls of a provider's reply as JSON text; null unless they are a list."""
+    calls = F.try_variant_get(F.try_parse_json(v), "$.choices[0].message.tool_calls", "variant")
+    return F.when(F.schema_of_variant(calls).startswith("ARRAY"), F.to_json(calls))
+
+
+def cell_status(ended: Column) -> Column:
+    """A finished run's status as the matrix writes it: success, rate_limited and not_requested as they are, all else failed."""
+    return F.when(ended.isin("success", "rate_limited", "not_requested"), ended).otherwise("failed")

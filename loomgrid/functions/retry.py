@@ -21,6 +21,8 @@ BY_PROVIDER = {
     "openai": (("rate_limit", ("429", "rate limit")), ("auth_failure", ("401", "unauthorized")), ("invalid_request", ("400", "invalid")), ("server_error", ("500", "502", "503"))),
     "anthropic": (("server_error", ("overloaded",)), ("rate_limit", ("rate limit",)), ("invalid_request", (("invalid", "request"), ("invalid", "parameter"))), ("auth_failure", ("401", "authentication"))),
 }
+#: How messages ask to wait, tried in this order; the group holds the seconds.
+HINTS = (r"retry[-_ ]after\s*[:=]?\s*([0-9]+(?:\.[0-9]+)?)", r"retry\s+in\s+([0-9]+(?:\.[0-9]+)?)\s*(?:s|sec|secs|second|seconds)")
 RETRYABLE = ("rate_limit", "timeout", "network_error", "server_error")
 #: Defaults of the retry policy.
 MAX_RETRIES, BASE_DELAY, MAX_DELAY, FACTOR, MAX_WAIT = 3, 1.0, 60.0, 2.0, 3600.0
@@ -67,9 +69,7 @@ def wait_seconds(text: Column) -> Column:
 def retry_after(message: Column) -> Column:
     """Seconds that an error message asks to wait, or null."""
     low = F.lower(message)
-    first = F.nullif(F.regexp_extract(low, r"retry[-_ ]after\s*[:=]?\s*([0-9]+(?:\.[0-9]+)?)", 1), F.lit(""))
-    second = F.nullif(F.regexp_extract(low, r"retry\s+in\s+([0-9]+(?:\.[0-9]+)?)\s*(?:s|sec|secs|second|seconds)", 1), F.lit(""))
-    return F.coalesce(wait_seconds(first), wait_seconds(second))
+    return F.coalesce(*[wait_seconds(F.nullif(F.regexp_extract(low, pattern, 1), F.lit(""))) for pattern in HINTS])
 
 
 def provider_of(message: Column) -> Column:

@@ -108,26 +108,29 @@ def transcript(messages: Column) -> Column:
 
 
 def class_block(classes: list[str], none_label: str) -> str:
-    """Instructions that make a judge end on one label."""
-    listed = "\n".join(f"- {c}" for c in classes)
-    return (
-        f"## Labels\nChoose one of these labels, copied exactly:\n\n{listed}\n\n"
-        "You may reason first. The last line of the reply is the label and nothing follows it:\n\n<final_answer>LABEL</final_answer>\n\n"
-        f"Only if no label fits at all, the last line is <final_answer>{none_label}</final_answer>"
-    )
+    """What a judge is told of the labels: the last line holds one tag with one exact label, or the label for none."""
+    allowed = "\n".join(f"* {c}" for c in classes)
+    return f"LABELS\n{allowed}\n\nLast line of the reply, once and alone:\n<final_answer>one of the labels, letter for letter</final_answer>\nIf none applies: <final_answer>{none_label}</final_answer>"
+
+
+#: Sentences of a judge's user message.
+ABOUT_TALK = "You are evaluating the following conversation:"
+ABOUT_TEXT = "You are evaluating the following content:"
+CLOSING = "Provide your evaluation."
+#: Our own closing sentence where there are labels.
+CLOSING_LABELLED = "Answer as the LABELS section says."
 
 
 def judge_messages(prompt: str, classes: list[str] | None, content: Column, messages: Column, metadata: Column | None = None, none_label: str = "__NONE__") -> Column:
     """System and user message of one judge call about a content or a conversation."""
     system = prompt.strip() + ("\n\n" + class_block(classes, none_label) if classes else "")
-    talk = F.concat(F.lit("You are evaluating the following conversation:\n"), transcript(messages))
-    text = F.concat(F.lit("You are evaluating the following content:\n<content>\n"), closed(content, "content"), F.lit("\n</content>"))
+    talk = F.concat(F.lit(ABOUT_TALK + "\n"), transcript(messages))
+    text = F.concat(F.lit(ABOUT_TEXT + "\n<content>\n"), closed(content, "content"), F.lit("\n</content>"))
     body = F.when(F.size(F.coalesce(messages, F.array().cast(MESSAGES))) > 0, talk).when(content.isNotNull(), text).otherwise(F.raise_error(F.lit("a subject needs content or messages")))
     if metadata is not None:
         lines = F.transform(F.map_entries(metadata), lambda e: F.concat(closed(e.key, "metadata"), F.lit(": "), closed(F.coalesce(e.value, F.lit("None")), "metadata")))
         body = F.when(F.size(F.coalesce(metadata, F.create_map().cast("map<string,string>"))) > 0, F.concat(body, F.lit("\n\n<metadata>\n"), F.array_join(lines, "\n"), F.lit("\n</metadata>"))).otherwise(body)
-    end = "Reason if needed, then end with the one <final_answer>...</final_answer> line." if classes else "Provide your evaluation."
-    return F.array(message("system", F.lit(system)), message("user", F.concat(body, F.lit("\n\n" + end))))
+    return F.array(message("system", F.lit(system)), message("user", F.concat(body, F.lit("\n\n" + (CLOSING_LABELLED if classes else CLOSING)))))
 
 
 def takes_no_system(model: Column) -> Column:
@@ -149,6 +152,53 @@ def fold_system(messages: Column, model: Column) -> Column:
     return F.when(takes_no_system(model) & (F.size(systems) > 0), folded).otherwise(messages)
 
 
+def folded(messages: Column, model: Column) -> Column:
+    """What is recorded of a folded system text: (system_prompt_folded, system_prompt); null where nothing was folded."""
+    systems = F.filter(messages, lambda m: (m.role == "system") & m.content.isNotNull())
+    lead = F.array_join(F.transform(systems, lambda m: m.content), "\n\n")
+    return F.when(takes_no_system(model) & (F.size(systems) > 0), F.struct(F.lit(True).alias("system_prompt_folded"), lead.alias("system_prompt")))
+
+
+def with_system(messages: Column, system: Column) -> Column:
+    """Messages led by another system text in place of their own; as they are where it is null."""
+    rest = F.filter(messages, lambda m: F.coalesce(m.role, F.lit("")) != "system")
+    return F.when(system.isNull(), messages.cast(MESSAGES)).otherwise(F.concat(F.array(message("system", strip(system))), rest.cast(MESSAGES)))
+
+
+def provider_request(messages: Column, model: Column, max_tokens: Column, temperature: Column, tools: Column, tool_choice: Column, thinking: Column) -> Column:
+    """A provider's request as JSON, nulls left out; ``tools`` and ``tool_choice`` are JSON texts, ``thinking`` a token budget that counts above 0."""
+    plain = F.to_json(F.struct(max_tokens.alias("max_tokens"), messages.cast(MESSAGES).alias("messages"), model.alias("model"), temperature.alias("temperature")))
+    budget = F.when(thinking > 0, F.concat(F.lit(',"thinking":{"budget_tokens":'), thinking.cast("string"), F.lit(',"type":"enabled"}')))
+    more = [F.concat(F.lit(f',"{name}":'), F.to_json(F.parse_json(c))) for name, c in (("tool_choice", tool_choice), ("tools", tools))]
+    return F.concat(F.left(plain, F.length(plain) - 1), F.coalesce(budget, F.lit("")), *[F.coalesce(c, F.lit("")) for c in more], F.lit("}"))
+
+
+#: Widths of a console line's time, provider, model, status, latency and progress.
+CONSOLE_WIDTHS = (20, 12, 26, 8, 8, 8)
+
+
+def fitted(c: Column, width: int) -> Column:
+    """Text of at most ``width`` characters; a longer one ends in two dots."""
+    return F.when(F.length(c) <= width, c).otherwise(F.concat(F.left(c, F.lit(width - 2)), F.lit("..")))
+
+
+def console_line(ts: Column, provider: Column, model: Column, status: Column, latency_ms: Column, done: Column, total: Column) -> Column:
+    """One line of fixed-width columns about an answered request; the last two stand right."""
+    shown = [F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), provider, model, status]
+    left = [F.rpad(fitted(c, w), w, " ") for c, w in zip(shown, CONSOLE_WIDTHS)]
+    latency = F.coalesce(F.format_string("%.2fs", latency_ms / 1000), F.lit("-"))
+    latency = F.when(latency_ms.isNull(), "-").otherwise(latency)
+    progress = F.concat(F.lit("("), done.cast("string"), F.lit("/"), total.cast("string"), F.lit(")"))
+    right = [F.when(F.length(c) < w, F.lpad(c, w, " ")).otherwise(c) for c, w in zip((latency, progress), CONSOLE_WIDTHS[4:])]
+    return F.concat_ws(" ", *left, *right)
+
+
+def elapsed(seconds: Column) -> Column:
+    """Seconds as 12ms, 3.4s or 5m06s."""
+    minutes = F.concat(F.floor(seconds / 60).cast("string"), F.lit("m"), F.lpad(F.floor(seconds % 60).cast("string"), 2, "0"), F.lit("s"))
+    return F.when(seconds < 1, F.format_string("%.0fms", seconds * 1000)).when(seconds < 60, F.format_string("%.1fs", seconds)).otherwise(minutes)
+
+
 def model_string(provider: Column, model: Column) -> Column:
     """The model's name led by its provider's, once."""
     lead = F.concat(provider, F.lit("/"))

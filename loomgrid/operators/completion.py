@@ -8,17 +8,19 @@ decided by plain functions with injected clock and sleep.
 from __future__ import annotations
 
 import asyncio
+import contextlib
 import math
+import random
 import time
 from collections import deque
 from collections.abc import Awaitable, Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..config import RateLimit, Retry
+from ..config import Provider, RateLimit, Retry
 from ..functions import retry as rules
 from ..functions.text import last_user, mock_reply
 
@@ -54,8 +56,7 @@ def hint_of(error: BaseException) -> float | None:
         headers = getattr(at, "headers", None)
         given = [getattr(at, n, None) for n in ("retry_after_seconds", "retry_after")]
         given += [v for k, v in headers.items() if str(k).lower() == "retry-after"] if isinstance(headers, dict) else []
-        found = re.search(r"retry[-_ ]after\s*[:=]?\s*([0-9]+(?:\.[0-9]+)?)|retry\s+in\s+([0-9]+(?:\.[0-9]+)?)\s*s", str(at).lower())
-        given += [found.group(1) or found.group(2)] if found else []
+        given += [m.group(1) for m in (re.search(p, str(at).lower()) for p in rules.HINTS) if m]
         for value in given:
             if value is None or isinstance(value, bool):
                 continue
@@ -94,7 +95,10 @@ def resolve(attempt: int, error: BaseException, policy: Retry, provider: str | N
     root = root_of(error)
     kind = "timeout" if isinstance(root, TimeoutError) else "network_error" if isinstance(root, ConnectionError) else category_of(str(root), provider)
     if kind in rules.RETRYABLE and attempt < policy.max_retries:
-        return Resolution("retry_with_backoff", min(policy.base_delay * policy.factor ** (attempt - 1), policy.max_delay), None)
+        wait = min(policy.base_delay * policy.factor ** (attempt - 1), policy.max_delay)
+        if policy.seed is not None:  # jittered by 0.5 to 1.5 and bounded again
+            wait = min(wait * (random.Random(policy.seed * 1_000_003 + attempt).random() + 0.5), policy.max_delay)
+        return Resolution("retry_with_backoff", wait, None)
     return Resolution("fail", 0.0, "failed")
 
 
@@ -152,12 +156,52 @@ async def _one(request: dict, ask: Ask, policy: Retry, window: Window | None, ti
             await sleep(next_.wait)
 
 
-def complete(requests: DataFrame, make_ask: Callable[[], Ask], policy: Retry = Retry(), limits: dict[str, RateLimit] | None = None, workers: int = 8, timeout: float = 120.0, partitions: int | None = None, sleep=asyncio.sleep) -> DataFrame:
+def gated(requests: DataFrame, providers: dict[str, Provider], tasks: int) -> DataFrame:
+    """Requests (provider, alias) dealt out to ``tasks`` tasks with the columns ``gate`` and ``width``.
+
+    A provider's limit, or a model's where models have their own, holds over all tasks: its requests carry at
+    most as many gates as the limit, a gate's requests stand in one task, and ``width`` of them run at once, so widths add up to
+    the limit. No limit (0) is a null gate.
+    """
+    limit, key = F.lit(0), F.lit(None).cast("string")
+    for name, p in sorted(providers.items()):
+        if p.max_concurrency or p.per_model_concurrency:
+            own = F.concat_ws("/", F.lit(name), F.col("alias")) if p.per_model_concurrency else F.lit(name)
+            limit = F.when(F.col("provider") == name, p.per_model_concurrency or p.max_concurrency).otherwise(limit)
+            key = F.when(F.col("provider") == name, own).otherwise(key)
+    gates = F.least(limit, F.lit(tasks))
+    salt = F.pmod(F.xxhash64(*requests.columns), F.greatest(gates, F.lit(1))).cast("int")
+    width = F.when(limit > 0, F.floor(limit / gates) + F.when(salt < limit % gates, 1).otherwise(0)).cast("int")
+    dealt = F.coalesce(F.concat_ws("#", key, F.when(key.isNotNull(), salt.cast("string"))), F.lit(""))
+    marked = requests.withColumns({"gate": F.when(limit > 0, dealt), "width": width})
+    return marked.repartition(tasks, F.coalesce("gate", F.pmod(F.xxhash64(*requests.columns), F.lit(tasks)).cast("string")))
+
+
+def scheduled(requests: DataFrame, mode: str, by: str = "alias") -> DataFrame:
+    """``grouped``: a model's requests follow each other in one task; ``interleaved``: they are mixed with the others."""
+    if mode not in ("grouped", "interleaved"):
+        raise ValueError(f"unknown schedule {mode}")
+    mixed = F.xxhash64(*[c for c in requests.columns if not requests.schema[c].dataType.simpleString().startswith("map")])
+    return requests.repartition(by).sortWithinPartitions(by, mixed) if mode == "grouped" else requests.repartition(mixed).sortWithinPartitions(mixed)
+
+
+def observed(results: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """Results that count themselves as they are written: ``done`` and ``succeeded`` in the observation."""
+    seen = Observation(name)
+    return results.observe(seen, F.count(F.lit(1)).alias("done"), F.count_if(F.col("status") == "success").alias("succeeded")), seen
+
+
+def complete(
+    requests: DataFrame, make_ask: Callable[..., Ask], policy: Retry = Retry(), limits: dict[str, RateLimit] | None = None, workers: int = 8, timeout: float = 120.0, partitions: int | None = None, sleep=asyncio.sleep,
+    providers: dict[str, Provider] | None = None, queues: str | None = None,
+) -> DataFrame:
     """``requests`` with the columns of ``RESULT``.
 
     ``make_ask`` is called once per task; its result answers a request (a dict of the
     row) with a dict of content and token counts. Rate limits hold per task: with
-    ``limits`` given, requests go to ``partitions`` tasks and each gets its share.
+    ``limits`` given, requests go to ``partitions`` tasks and each gets its share. ``providers`` bound what runs at once
+    over all tasks (see ``gated``). ``queues`` names a column, a judge's for instance: each of its values has
+    ``workers`` of its own and an ask of its own (``make_ask(value)``), and where that can't be made only its rows fail.
     """
     if limits:
         n = partitions or 1
@@ -165,16 +209,35 @@ def complete(requests: DataFrame, make_ask: Callable[[], Ask], policy: Retry = R
         limits = {b: RateLimit(-(-x.requests_per_minute // n), -(-x.tokens_per_minute // n)) for b, x in limits.items()}
     names = [c.split()[0] for c in RESULT.split(", ")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema), RESULT])
+    asked = gated(requests, providers, partitions or 1) if providers else requests
+    own = list(requests.columns)
 
     def run(batches):
-        ask, window = make_ask(), Window(limits, sleep=sleep) if limits else None
+        asks, window = {}, Window(limits, sleep=sleep) if limits else None
+
+        def ask_of(value):
+            if value not in asks:
+                try:
+                    asks[value] = make_ask(value) if queues else make_ask()
+                except Exception as error:  # noqa: BLE001 - only this queue's rows fail
+                    if not queues:
+                        raise
+
+                    async def broken(_, error=error):
+                        raise error
+
+                    asks[value] = broken
+            return asks[value]
 
         async def all_of(rows: list[dict]) -> list[dict]:
-            gate = asyncio.Semaphore(workers)
+            widths = {r["gate"]: int(r["width"]) for r in rows if r.get("gate")} if providers else {}
+            gates = {k: asyncio.Semaphore(w) for k, w in widths.items()}
+            crews = {r[queues] if queues else None: asyncio.Semaphore(workers) for r in rows}
 
             async def held(row: dict) -> dict:
-                async with gate:
-                    return await _one(row, ask, policy, window, timeout, sleep)
+                queue = row[queues] if queues else None
+                async with gates.get(row.get("gate") if providers else None, contextlib.nullcontext()), crews[queue]:
+                    return await _one(row, ask_of(queue), policy, window, timeout, sleep)
 
             return await asyncio.gather(*map(held, rows))
 
@@ -183,9 +246,9 @@ def complete(requests: DataFrame, make_ask: Callable[[], Ask], policy: Retry = R
             made = pd.DataFrame([{n: r.get(n) for n in names} for r in found], columns=names, index=batch.index)
             for n in ("prompt_tokens", "completion_tokens", "total_tokens", "retry_count"):
                 made[n] = made[n].astype("Int32")
-            yield pd.concat([batch, made], axis=1)
+            yield pd.concat([batch[own], made], axis=1)
 
-    return requests.mapInPandas(run, schema)
+    return asked.mapInPandas(run, schema)
 
 
 def mock_complete(requests: DataFrame, messages: str = "messages") -> DataFrame:

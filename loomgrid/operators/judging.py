@@ -69,6 +69,20 @@ def matrix_to_subjects(wide: DataFrame, aliases: list[str], source_id: str | Non
     )
 
 
+def cells_to_subjects(cells: DataFrame, source_id: str | None = None) -> DataFrame:
+    """Subjects of a long matrix's successful, non-empty cells: no wide matrix is made."""
+    reason = cell_reason(F.col("prompt_id"), F.lit(""), F.struct("status", "response"))
+    return cells.where(reason == "emitted").select(
+        F.concat_ws(":", "prompt_id", "alias").alias("subject_id"),
+        F.col("response").alias("subject_content"),
+        F.lit(None).cast(MESSAGES).alias("messages"),
+        F.col("alias").alias("subject_model_alias"),
+        F.lit(source_id).cast("string").alias("source_id"),
+        "prompt_id",
+        F.lit(None).cast("map<string,string>").alias("metadata"),
+    )
+
+
 def adapter_counts(wide: DataFrame, aliases: list[str]) -> DataFrame:
     """Cells by reason."""
     return matrix_cells_labelled(wide, aliases).groupBy("reason").agg(F.count("*").alias("n"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Grid
 from ..functions import ids
 from ..functions.parse import decode_cell, encode_cell
-from ..functions.text import MESSAGES, canonical_messages
+from ..functions.text import MESSAGES, canonical_messages, with_system
 from .personas import pending, upsert
 
 TERMINAL = ("success", "failed", "rate_limited", "not_requested")
@@ -38,6 +39,24 @@ def grid(systems: DataFrame | None, statics: DataFrame | None, requests: DataFra
     return out.select(F.struct("s", "t", "r").alias("prompt_no"), "system", F.when(F.col("turns").isNull(), F.col("final")).alias("user"), messages.alias("messages"))
 
 
+def from_grid(spark: SparkSession, grid_: Grid) -> DataFrame:
+    """Prompt specs of a grid's configuration; systems by model are left to the time of asking."""
+    systems = grid_.system_prompts if grid_.system_prompts is not None else (grid_.system_prompt,) if grid_.system_prompt is not None else None
+    statics = grid_.static_turns_list if grid_.static_turns_list is not None else (grid_.static_turns,) if grid_.static_turns is not None else None
+    finals = grid_.final_user_messages if grid_.final_user_messages is not None else (grid_.final_user_message,)
+    listed = lambda values, kind: spark.createDataFrame(list(enumerate(values)), f"no int, {kind}")  # noqa: E731 - a configuration's few rows
+    turns = [[(t["content"], t["role"]) for t in x] for x in statics] if statics is not None else None
+    return grid(listed(systems, "system string") if systems is not None else None, listed(turns, f"turns {MESSAGES}") if turns is not None else None, listed(finals, "user string"))
+
+
+def for_models(requests: DataFrame, systems: dict[str, str], messages: str = "messages") -> DataFrame:
+    """Requests (alias, ``messages``) with the system text of their model in place of the prompt's own."""
+    if not systems:
+        return requests
+    own = F.create_map(*[F.lit(x) for pair in sorted(systems.items()) for x in pair])
+    return requests.withColumn(messages, with_system(F.col(messages), F.try_element_at(own, F.col("alias"))))
+
+
 def cells(prompts_: DataFrame, aliases: list[str], run_cells: DataFrame | None = None) -> DataFrame:
     """Every prompt with every alias: ``prompt_id, prompt, alias, status``: pending, or not_requested outside ``run_cells``."""
     names = F.explode(F.array(*[F.lit(a) for a in aliases]))  # the aliases are few and given: no join at all
@@ -64,12 +83,13 @@ def to_long(wide: DataFrame, aliases: list[str] | None = None) -> DataFrame:
 
 
 def filter_rows(cells_: DataFrame, models: list[str] | None = None, prompt_contains: str | None = None, status: str | None = None, all_complete: bool = False, min_success: int | None = None) -> DataFrame:
-    """Cells of ``models`` (an unknown one is an error) in the prompts that pass every given test.
+    """Cells of ``models`` in the prompts that pass every given test; a model without cells is an error, found before anything is filtered.
 
     ``prompt_contains``: in the serialised prompt, case counts. ``status``: all cells have it. ``all_complete``: all
     succeeded. ``min_success``: so many did.
     """
     if models is not None:
+        check_models(models, [r["alias"] for r in cells_.select("alias").distinct().collect()])  # a row a model
         cells_ = cells_.where(F.col("alias").isin(*models))
     if prompt_contains is not None:
         cells_ = cells_.where(F.contains("prompt", F.lit(prompt_contains)))
@@ -88,6 +108,11 @@ def filter_rows(cells_: DataFrame, models: list[str] | None = None, prompt_conta
     return cells_.join(good, "prompt_id", "left_semi")
 
 
+def filter_wide(cells_: DataFrame, models: list[str], **tests) -> DataFrame:
+    """``filter_rows`` as a wide matrix with the models' columns in the given order."""
+    return to_wide(filter_rows(cells_, models, **tests), models)
+
+
 def check_models(models: list[str], known: list[str]) -> None:
     unknown = [m for m in models if m not in known]
     if unknown:

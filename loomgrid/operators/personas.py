@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..functions.names import named
 from ..functions.text import MESSAGES, strip
 
 MAPPING = ("dimension", "dimension_value", "indicator_name", "indicator_value", "pos")
@@ -47,20 +48,28 @@ def personas(values: DataFrame, dimensions: list[str], partial: bool = False, on
     With ``partial`` a dimension may be null, though not all of them; null comes
     first. ``only`` keeps personas of these values; it is applied to the dimensions
     before they are crossed. A dimension it names that isn't there matches nothing.
+    The product is what is asked for; ``expected_histories`` counts without making it.
     """
     only = only or {}
-    parts = []
-    for i, name in enumerate(dimensions):
-        own = values.where(F.col("dimension") == name).select(F.col("dimension_value").alias(name), F.col("pos").alias(f"__{i}"))
-        if partial and name not in only:
-            own = own.unionByName(values.sparkSession.range(1).select(F.lit(None).cast("string").alias(name), F.lit(-1).cast("long").alias(f"__{i}")))
-        parts.append(own.where(F.col(f"`{name}`") == only[name]) if name in only else own)
-    out = reduce(lambda a, b: a.crossJoin(b), parts)
-    out = out.where(F.coalesce(*[F.col(f"`{d}`") for d in dimensions]).isNotNull())
+    listed = values.where(F.col("dimension").isin(*dimensions)).select("dimension", "dimension_value", "pos")
+    kept = reduce(lambda a, b: a & b, [(F.col("dimension") != d) | (F.col("dimension_value") == v) for d, v in only.items()], F.lit(True))
+    listed = listed.where(kept).withColumn("i", F.row_number().over(W.partitionBy("dimension").orderBy("pos")).cast("long"))
+    sizes = {r["dimension"]: r["n"] for r in listed.groupBy("dimension").agg(F.count("*").alias("n")).collect()}  # a row a dimension
+    parts, number, width = [], F.lit(0).cast("long"), 1
+    for k, name in reversed(list(enumerate(dimensions))):
+        own = listed.where(F.col("dimension") == name).select(F.col("dimension_value").alias(name), F.col("i").alias(f"__{k}"))
+        free = partial and name not in only
+        if free:
+            own = own.unionByName(values.sparkSession.range(1).select(F.lit(None).cast("string").alias(name), F.lit(0).cast("long").alias(f"__{k}")))
+        parts.insert(0, own)
+        number = number + (F.col(f"__{k}") - (0 if free else 1)) * width
+        width *= sizes.get(name, 0) + int(free)
+    # the number follows from the places in each dimension: nothing is sorted
+    out = reduce(lambda a, b: a.crossJoin(b), parts).withColumn("persona_no", number - int(partial and not only))
+    out = out.where(F.coalesce(*[named(d) for d in dimensions]).isNotNull())
     if set(only) - set(dimensions):
         out = out.where("false")
-    order = W.orderBy(*[f"__{i}" for i in range(len(dimensions))])
-    return out.withColumn("persona_no", F.row_number().over(order) - 1).select(*[F.col(f"`{d}`") for d in dimensions], "persona_no")
+    return out.select(*map(named, dimensions), "persona_no")
 
 
 def _options(backgrounds: DataFrame, names: DataFrame | None, name: str, i: int, partial: bool, name_key: str) -> DataFrame:
@@ -76,7 +85,7 @@ def _options(backgrounds: DataFrame, names: DataFrame | None, name: str, i: int,
     return own.select(*[F.col(c).alias(f"{c}_{i}") for c in own.columns])
 
 
-def histories(backgrounds: DataFrame, dimensions: list[str], names: DataFrame | None = None, partial: bool = False, gender: str = "Gender", name_key: str = "Name", done: DataFrame | None = None) -> DataFrame:
+def histories(backgrounds: DataFrame, dimensions: list[str], names: DataFrame | None = None, partial: bool = False, gender: str = "Gender", name_key: str = "Name", done: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Conversation histories of all personas: ``history_id, persona, combination_ids, messages``.
 
     A history takes one background for each dimension of its persona, in every way. A
@@ -85,11 +94,20 @@ def histories(backgrounds: DataFrame, dimensions: list[str], names: DataFrame |
     backgrounds without a name, go with all. Without ``names`` nothing is held back.
     ``done`` (history_id) are left out. ``backgrounds`` must hold each combination once.
 
-    The product is a fold over the dimensions, gender first; names meet genders in an
-    equi-join, so no filter runs above a Cartesian product.
+    The product is a fold over the dimensions, gender first. Each choice is listed under every gender it goes with (few
+    rows for few genders), so each step is one equi-join and names the rows so far once. ``most`` refuses, before
+    anything is crossed, a product (names aside) above so many rows.
     """
+    if most is not None:
+        counts = {r["dimension"]: r["n"] for r in backgrounds.groupBy("dimension").agg(F.count("*").alias("n")).collect()}  # a row a dimension
+        size = reduce(lambda a, d: a * (counts.get(d, 0) + int(partial)), dimensions, 1)
+        if size > most:
+            raise ValueError(f"{size} histories; at most {most} are wanted")
     first = gender if names is not None and gender in dimensions else None
     order = sorted(range(len(dimensions)), key=lambda i: dimensions[i] != first)
+    genders = backgrounds.where(F.col("dimension") == gender).select(F.col("dimension_value").alias("for_gender")).distinct()
+    if partial:
+        genders = genders.unionByName(backgrounds.sparkSession.range(1).select(F.lit(None).cast("string").alias("for_gender")))
     acc = None
     for i in order:
         choices = _options(backgrounds, names, dimensions[i], i, partial, name_key)
@@ -98,10 +116,9 @@ def histories(backgrounds: DataFrame, dimensions: list[str], names: DataFrame |
         elif first is None:
             acc = acc.crossJoin(choices)
         else:
-            g = f"dimension_value_{dimensions.index(gender)}"
-            free, bound = choices.where(f"name_{i} IS NULL"), choices.where(f"name_{i} IS NOT NULL")
-            known = acc.where(F.col(g).isNotNull())
-            acc = acc.crossJoin(free).unionByName(acc.where(F.col(g).isNull()).crossJoin(bound)).unionByName(known.join(bound, F.col(g) == F.col(f"name_gender_{i}")))
+            fits = F.col(f"name_{i}").isNull() | F.col("for_gender").isNull() | (F.col("for_gender") == F.col(f"name_gender_{i}"))
+            listed = choices.crossJoin(F.broadcast(genders)).where(fits)  # genders: a row a gender
+            acc = acc.join(listed, F.col(f"dimension_value_{dimensions.index(gender)}").eqNullSafe(F.col("for_gender"))).drop("for_gender")
     acc = acc.where(F.coalesce(*[F.col(f"combination_id_{i}") for i in order]).isNotNull())
     pairs = F.array(*[F.struct(F.lit(d).alias("key"), F.col(f"combination_id_{i}").alias("value")) for i, d in enumerate(dimensions)])
     chosen = F.map_from_entries(F.filter(pairs, lambda e: e.value.isNotNull()))
@@ -154,7 +171,6 @@ def dimension_of(mapping: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 
-
 def select_dimensions(rows: DataFrame, dimensions: list[str] | None) -> DataFrame:
     """Rows of some dimensions, whatever their case; of all, if none are named."""
     return rows.where(F.lower("dimension").isin(*[d.lower() for d in dimensions])) if dimensions else rows

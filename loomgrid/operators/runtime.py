@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import columns_of, named, unused
+from ..functions.text import redact_log
+from ..sources.scratch import durable
+
 
 def latest(events: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last event of each key."""
@@ -64,10 +68,15 @@ def rate_violations(windows: DataFrame, requests: int, tokens: int) -> DataFrame
 
 
 def running(log: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """Rows done so far in each group, and their share."""
-    w = W.partitionBy(by).orderBy(*order)
-    done = F.row_number().over(w)
-    return log.withColumns({"done": done, "total": F.count("*").over(W.partitionBy(by))})
+    """Rows done so far in each group (``done``), and how many it has (``total``).
+
+    Numbered by ranges over group and order together, so a group's rows spread over many tasks.
+    """
+    at, group, before, n = unused(log, "at", "group", "before", "n")
+    sizes = log.groupBy(named(by).alias(group)).agg(F.count("*").alias(n))
+    sizes = sizes.withColumn(before, F.coalesce(F.sum(n).over(W.orderBy(F.col(group).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a group
+    met = positions(log, [by, *order], at).join(sizes, named(by).eqNullSafe(F.col(group)))
+    return met.select(*columns_of(log), (F.col(at) - F.col(before) + 1).alias("done"), F.col(n).alias("total"))
 
 
 def first_n(rows: DataFrame, strata: list[str], n: int, order: list[str]) -> DataFrame:
@@ -75,14 +84,20 @@ def first_n(rows: DataFrame, strata: list[str], n: int, order: list[str]) -> Dat
     return rows.withColumn("rk", F.row_number().over(W.partitionBy(*strata).orderBy(*order))).where(F.col("rk") <= n)
 
 
-def positions(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with ``position`` from 0, without one task for all: ranges are sorted apart and counted first."""
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = rows.repartitionByRange(int(parts), *order).withColumn("__p", F.spark_partition_id())
-    local = ranged.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
-    starts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    starts = starts.select("__p", (F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("__s"))
-    return local.join(F.broadcast(starts), "__p").withColumn("position", F.col("__s") + F.col("__i") - 1).drop("__p", "__i", "__n", "__s")  # starts: a row a partition
+def positions(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Rows with their ``position`` from 0 in the given order, nulls first, without one task for all.
+
+    Rows are dealt out in ranges and written down once; numbers inside a range and counts of the
+    ranges before it come from what was written, so both see the same ranges. Equal rows are numbered in any order.
+    """
+    part, local, start, n = unused(rows, "part", "local", "start", "n")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = durable(rows.repartitionByRange(parts, *map(named, order)).withColumn(part, F.spark_partition_id()), "ranges")
+    inside = F.row_number().over(W.partitionBy(part).orderBy(*map(named, order))).cast("long")
+    counts = ranged.groupBy(part).agg(F.count("*").alias(n))
+    starts = counts.select(part, F.coalesce(F.sum(n).over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(start))
+    placed = ranged.withColumn(local, inside).join(F.broadcast(starts), part)  # starts: a row a partition
+    return placed.select(*columns_of(rows), (F.col(start) + F.col(local) - 1).alias(name))
 
 
 def look_up(rows: DataFrame, aliases: DataFrame, strict: bool = True) -> DataFrame:
@@ -97,3 +112,20 @@ def log_line(row: dict[str, Column]) -> Column:
     """A log entry as JSON: nulls are left out, and so is a retry count of 0."""
     fields = {k: (F.nullif(c, F.lit(0)) if k == "retry_count" else c) for k, c in row.items()}
     return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
+
+
+def log_rows(results: DataFrame, at: Column | None = None) -> DataFrame:
+    """Log entries of answered requests, as columns of the log: secrets are redacted, a retry count of 0 is none."""
+    have = set(results.columns)
+    take = lambda c, kind: (F.col(c) if c in have else F.lit(None)).cast(kind).alias(c)
+    stamp = utc_stamp(F.current_timestamp() if at is None else at)
+    kinds = {"provider": "string", "model": "string", "status": "string", "latency_ms": "double"}
+    counts = {c: "int" for c in ("prompt_tokens", "completion_tokens", "total_tokens")}
+    error = redact_log(F.col("error_message")) if "error_message" in have else F.lit(None)
+    again = F.nullif(F.col("retry_count"), F.lit(0)) if "retry_count" in have else F.lit(None)
+    return results.select(*[take(c, k) for c, k in kinds.items()], stamp.alias("timestamp"), *[take(c, k) for c, k in counts.items()], take("cost_usd", "double"), take("error_type", "string"), error.cast("string").alias("error_message"), again.cast("int").alias("retry_count"))
+
+
+def utc_stamp(ts: Column) -> Column:
+    """A time as ISO text in UTC to the microsecond."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,36 +48,66 @@ def odds_ratio(table: DataFrame) -> DataFrame:
     return table.withColumns({"odds_ratio": ratio, "low": F.when(full, F.exp(F.ln(ratio) - 1.96 * error)), "high": F.when(full, F.exp(F.ln(ratio) + 1.96 * error))})
 
 
+def log_gamma(z: Column) -> Column:
+    """ln Gamma of a positive number: Stirling's series at z + 8, and back by eight factors."""
+    y = z + 8
+    back = F.ln(z)
+    for k in range(1, 8):
+        back = back + F.ln(z + k)
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7))) - back
+
+
 def fisher(table: DataFrame) -> DataFrame:
     """Two-sided exact p of a, b, c, d: the mass of all tables with these margins no likelier than this one.
 
-    One row per possible upper-left count, with log factorials as running sums: no row holds more than a number.
+    One row per possible upper-left count, spread over tasks, each with its own closed-form probability.
+    """
+    a, b, c, d = (int(x) for x in table.select("a", "b", "c", "d").first())
+    r1, r2, c1, n = a + b, c + d, a + c, a + b + c + d
+    fixed = sum(math.lgamma(x + 1) for x in (r1, r2, c1, n - c1)) - math.lgamma(n + 1)
+    seen = fixed - sum(math.lgamma(x + 1) for x in (a, b, c, d))
+    x = F.col("id").cast("double")
+    log_p = F.lit(fixed) - log_gamma(x + 1) - log_gamma(F.lit(float(r1 + 1)) - x) - log_gamma(F.lit(float(c1 + 1)) - x) - log_gamma(x + float(r2 - c1 + 1))
+    tables = table.sparkSession.range(max(0, c1 - r2), min(r1, c1) + 1).select(F.exp(log_p).alias("p"))
+    return tables.agg(F.least(F.lit(1.0), F.coalesce(F.sum(F.when(F.col("p") <= math.exp(seen) * (1 + 1e-7), F.col("p"))), F.lit(0.0))).alias("p_value"))
+
+
+def upper_tail(chi2: Column, dof: Column) -> Column:
+    """Chance that a chi-squared variable of so many degrees of freedom is ``chi2`` or more; null without a degree of freedom.
+
+    One minus the series of the lower incomplete gamma function, as far as its terms count. Beyond 2000 plus
+    twice the degrees of freedom nothing is left.
     """
-    margins = table.select((F.col("a") + F.col("b")).alias("r1"), (F.col("c") + F.col("d")).alias("r2"), (F.col("a") + F.col("c")).alias("c1"), "a")
-    n = F.col("r1") + F.col("r2")
-    log_factorial = lambda k: F.aggregate(F.when(k >= 2, F.sequence(F.lit(2).cast("long"), F.greatest(k, F.lit(2)))).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, i: s + F.ln(i))
-    low, high = F.greatest(F.lit(0), F.col("c1") - F.col("r2")), F.least(F.col("r1"), F.col("c1"))
-    at = margins.withColumn("x", F.explode(F.sequence(low, high)))
-    x = F.col("x")
-    log_p = log_factorial(F.col("r1")) + log_factorial(F.col("r2")) + log_factorial(F.col("c1")) + log_factorial(n - F.col("c1")) - log_factorial(n)
-    log_p = log_p - log_factorial(x) - log_factorial(F.col("r1") - x) - log_factorial(F.col("c1") - x) - log_factorial(F.col("r2") - F.col("c1") + x)
-    p = at.select("a", "x", F.exp(log_p).alias("p"))
-    seen = p.where("x = a").select(F.col("p").alias("seen"))
-    return p.crossJoin(F.broadcast(seen)).agg(F.least(F.lit(1.0), F.sum(F.when(F.col("p") <= F.col("seen") * (1 + 1e-7), F.col("p")))).alias("p_value"))
+    s, x = dof.cast("double") / 2, chi2 / 2
+    terms = F.sequence(F.lit(0), F.ceil(x + 12 * F.sqrt(x) + 60).cast("int"))
+    lower = F.aggregate(terms, F.lit(0.0), lambda acc, n: acc + F.exp(-x + (s + n) * F.ln(x) - log_gamma(s + n + 1)))
+    return F.when(dof <= 0, F.lit(None).cast("double")).when(chi2 <= 0, 1.0).when(chi2 > 2000 + 2 * dof, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - lower))
 
 
 def chi_squared(rows: DataFrame, group: str, option: str) -> DataFrame:
-    """Pearson's statistic, degrees of freedom, n, Cramér's V and its label, of a cross table."""
+    """Pearson's statistic, degrees of freedom, n, Cramér's V and its label, of a cross table; p, and p with Yates' correction at one degree."""
     cells = rows.where(F.col(group).isNotNull() & F.col(option).isNotNull()).groupBy(F.col(group).alias("g"), F.col(option).alias("o")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(W.partitionBy())
     # sum over all cells of (O - E)^2 / E is n (sum of O^2 / (row * column) - 1): empty cells need no rows
     shared = cells.withColumns({"r": F.sum("n").over(W.partitionBy("g")), "c": F.sum("n").over(W.partitionBy("o")), "t": total})
-    one = shared.agg(F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("q"), F.max("t").alias("n"), F.count_distinct("g").alias("rows"), F.count_distinct("o").alias("columns"))
+    one = shared.agg(
+        F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("q"),
+        F.max("t").alias("n"),
+        F.count_distinct("g").alias("rows"),
+        F.count_distinct("o").alias("columns"),
+        F.sum(F.col("n") / F.col("r") / F.col("r")).alias("by_row"),  # of each group's cells: 1 over its sum
+        F.sum(F.col("n") / F.col("c") / F.col("c")).alias("by_column"),
+    )
     least = F.least("rows", "columns") - 1
     chi = F.greatest(F.lit(0.0), F.col("n") * (F.col("q") - 1))
     v = F.when((least > 0) & (F.col("n") > 0), F.sqrt(chi / (F.col("n") * least))).otherwise(0.0)
     label = F.when(v < 0.15, "negligible").when(v < 0.35, "weak").when(v < 0.55, "moderate").otherwise("strong")
-    return one.select(chi.alias("chi2"), ((F.col("rows") - 1) * (F.col("columns") - 1)).alias("dof"), F.coalesce("n", F.lit(0)).alias("n"), v.alias("cramers_v"), label.alias("strength"))
+    dof = (F.col("rows") - 1) * (F.col("columns") - 1)
+    inverse = F.col("n") * F.col("by_row") * F.col("by_column")  # sum of 1 / E over all cells
+    off = F.sqrt(chi / inverse)  # at one degree of freedom all cells are as far from E
+    yates = F.when(dof == 1, F.pow(F.greatest(F.lit(0.0), off - 0.5), F.lit(2)) * inverse).otherwise(chi)
+    plain = one.select(chi.alias("chi2"), dof.alias("dof"), F.coalesce("n", F.lit(0)).alias("n"), v.alias("cramers_v"), label.alias("strength"), yates.alias("yates"))
+    return plain.select("chi2", "dof", "n", "cramers_v", "strength", upper_tail(F.col("chi2"), F.col("dof")).alias("p_value"), upper_tail(F.col("yates"), F.col("dof")).alias("p_yates"))
 
 
 def chi_squared_p(rows: DataFrame, group: str, option: str, options: list[str], yates: bool = True) -> float:

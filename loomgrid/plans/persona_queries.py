@@ -77,11 +77,11 @@ def _personas(spark, sf_dir, **how):
 
 
 def persona_full(spark, sf_dir):
-    return _personas(spark, sf_dir)
+    return _personas(spark, sf_dir).withColumn("persona_no", F.col("persona_no").cast("int"))
 
 
 def persona_partial(spark, sf_dir):
-    return _personas(spark, sf_dir, partial=True)
+    return _personas(spark, sf_dir, partial=True).withColumn("persona_no", F.col("persona_no").cast("int"))
 
 
 def persona_filtered(spark, sf_dir):

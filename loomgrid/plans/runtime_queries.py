@@ -87,7 +87,7 @@ def rate_violations(spark, sf_dir):
 
 
 def progress_running(spark, sf_dir):
-    return R.running(V.log(spark, sf_dir), "provider", ["ts", "event_id"]).select("event_id", "done", "total")
+    return R.running(V.log(spark, sf_dir), "provider", ["ts", "event_id"]).select("event_id", F.col("done").cast("int").alias("done"), "total")
 
 
 def stratified_first_n(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import decode_cell
@@ -17,9 +17,31 @@ BACKGROUND = f"schema_version int, dimension string, dimension_value string, com
 HISTORY = f"history_id string, persona map<string,string>, combination_ids map<string,string>, messages array<{TURN}>, generated_at string"
 CHECKPOINT = "request_id string, status string, timestamp string, error_message string, result string"
 LOG = "provider string, model string, status string, latency_ms double, timestamp string, prompt_tokens int, completion_tokens int, total_tokens int, cost_usd double, error_type string, error_message string, retry_count int"
-REQUEST = f"request_id string, model_alias string, prompt string, system_prompt string, messages array<{TURN}>, max_tokens int, temperature double"
+REQUEST = f"request_id string, model_alias string, prompt string, system_prompt string, messages array<{TURN}>, max_tokens int, temperature double, tools string, tool_choice string, thinking_budget_tokens int"
 #: Columns of the judgments file, in order.
-JUDGMENT_COLUMNS = "judgment_id subject_id source_id prompt_id subject_model_alias judge_alias judge_config_hash status raw_output final_class none_declared parse_status error_message prompt_tokens completion_tokens total_tokens latency_ms retry_count started_at completed_at metadata".split()
+JUDGMENT_COLUMNS = (
+    "judgment_id",
+    "subject_id",
+    "source_id",
+    "prompt_id",
+    "subject_model_alias",
+    "judge_alias",
+    "judge_config_hash",
+    "status",
+    "raw_output",
+    "final_class",
+    "none_declared",
+    "parse_status",
+    "error_message",
+    "prompt_tokens",
+    "completion_tokens",
+    "total_tokens",
+    "latency_ms",
+    "retry_count",
+    "started_at",
+    "completed_at",
+    "metadata",
+)
 JUDGMENT_STATUSES = ("success", "classification_failed", "call_failed")
 
 
@@ -31,6 +53,11 @@ def _csv(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     return spark.read.options(header=True, multiLine=True, quote='"', escape='"', **options).csv(path)
 
 
+def place(name: str) -> Column:
+    """Where a row stands: file by name, block of the file, row. Spark reads larger files first, so row numbers alone don't follow the files."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias(name)
+
+
 def find_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that a glob matches, in lexicographic order, through Spark's own file systems."""
     jvm = spark.sparkContext._jvm
@@ -46,7 +73,7 @@ def mapping(spark: SparkSession, path: str, dimension: str) -> DataFrame:
     columns = ("dimension_value", "indicator_name", "indicator_value")
     if missing := [c for c in columns if c not in named.columns]:
         raise CorruptFile(f"{path} lacks {', '.join(missing)}")
-    placed = named.select(*[strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns], F.monotonically_increasing_id().alias("pos"))
+    placed = named.select(*[strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns], place("pos"))
     return placed.select(F.lit(dimension).alias("dimension"), *columns, "pos")
 
 
@@ -54,7 +81,7 @@ def names(spark: SparkSession, path: str) -> DataFrame:
     """``name, gender`` of a CSV, the last row of a name; an absent file gives no rows."""
     if not find_paths(spark, path):
         return spark.createDataFrame([], "name string, gender string")
-    raw = _csv(spark, path).select(strip(F.col("Name")).alias("name"), strip(F.col("Gender")).alias("gender"), F.monotonically_increasing_id().alias("pos"))
+    raw = _csv(spark, path).select(strip(F.col("Name")).alias("name"), strip(F.col("Gender")).alias("gender"), place("pos"))
     return raw.groupBy("name").agg(F.max_by("gender", "pos").alias("gender"))
 
 
@@ -72,7 +99,7 @@ def backgrounds(spark: SparkSession, path: str) -> DataFrame:
     """Background records; unreadable lines and those that lack a key are left out. ``pos`` follows file and line."""
     raw = _json_lines(spark, path, BACKGROUND)
     good = raw.where("_corrupt IS NULL AND dimension IS NOT NULL AND dimension_value IS NOT NULL AND combination_id <> '' AND messages IS NOT NULL")
-    return good.drop("_corrupt").withColumn("schema_version", F.coalesce("schema_version", F.lit(1))).withColumn("pos", F.monotonically_increasing_id())
+    return good.drop("_corrupt").withColumn("schema_version", F.coalesce("schema_version", F.lit(1))).select("*", place("pos"))
 
 
 def existing_ids(spark: SparkSession, path: str, column: str = "combination_id") -> DataFrame:
@@ -96,7 +123,7 @@ def log(spark: SparkSession, path: str) -> DataFrame:
 
 def checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """State of each request; an unreadable line or an unknown status is an error."""
-    raw = _json_lines(spark, path, CHECKPOINT).withColumn("line_no", F.monotonically_increasing_id())
+    raw = _json_lines(spark, path, CHECKPOINT).select("*", place("line_no"))
     strict = F.when(F.col("_corrupt").isNotNull() | F.col("request_id").isNull(), F.raise_error(F.concat(F.lit("corrupt checkpoint line "), F.col("line_no").cast("string"))).cast("string")).otherwise(F.col("request_id"))
     return runtime.replay(raw.withColumn("request_id", strict).select("request_id", "status", "timestamp", "error_message", "line_no"))
 

@@ -1,8 +1,8 @@
 """Writers of the engine's files.
 
-A store is a folder of snapshots: a new state is written beside the old one, and one
-small file, replaced last, names the current one. A reader never sees half a state,
-and a lost executor only repeats its own tasks.
+A store is a folder of snapshots: a new state is written beside the old one, and a small
+numbered file, which appears last and whole, names it; the highest number is current. A reader
+never sees half a state, a crash at any point leaves the old one current, and a lost executor only repeats its own tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.parse import CELL_STATUSES
 from ..operators.matrix import to_wide
 from ..operators.personas import upsert
-from .readers import JUDGMENT_COLUMNS
+from .readers import JUDGMENT_COLUMNS, find_paths
 
 
 def append_json(df: DataFrame, path: str) -> None:
@@ -31,9 +31,9 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, replaced at once."""
+    """A small file, which appears whole; where there is one of that name, it goes just before."""
     at, fs = _fs(spark, path)
-    part, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    part, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}x")  # no name of a pointer
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
@@ -53,14 +53,19 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str, keys: list[str]) -> None:
         self.spark, self.folder, self.keys = spark, folder.rstrip("/"), keys
 
+    def _pointers(self) -> list[str]:
+        return find_paths(self.spark, f"{self.folder}/CURRENT-*[0-9]")
+
     def read(self) -> DataFrame | None:
-        name = read_text(self.spark, f"{self.folder}/CURRENT")
-        return self.spark.read.parquet(f"{self.folder}/{name.strip()}") if name else None
+        found = self._pointers()
+        return self.spark.read.parquet(f"{self.folder}/{read_text(self.spark, found[-1]).strip()}") if found else None
 
     def replace(self, df: DataFrame) -> None:
         name = f"snapshot-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{name}")
-        write_text(self.spark, f"{self.folder}/CURRENT", name)
+        found = self._pointers()
+        last = int(found[-1].rpartition("-")[2]) if found else 0
+        write_text(self.spark, f"{self.folder}/CURRENT-{last + 1:012d}", name)
 
     def upsert(self, df: DataFrame) -> None:
         old = self.read()

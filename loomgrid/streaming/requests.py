@@ -9,28 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.personas import pending
-from ..sources.readers import REQUEST, find_paths
+from ..sources.readers import REQUEST
 
 
 def request_id():
     """Of a request without one: a hash of its content, so inserting one shifts no other."""
-    return F.coalesce("request_id", F.sha2(F.to_json(F.struct("max_tokens", "messages", "model_alias", "prompt", "system_prompt", "temperature")), 256))
+    return F.coalesce("request_id", F.sha2(F.to_json(F.struct("max_tokens", "messages", "model_alias", "prompt", "system_prompt", "temperature", "tools", "tool_choice", "thinking_budget_tokens")), 256))
 
 
 def run_batches(spark: SparkSession, source: str, sink: str, checkpoint: str, answer: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Answer the requests of JSON files as they come, once each, until none are left.
 
-    Spark's checkpoint keeps the place in the source. A batch that runs again first
-    drops the requests whose result is in the sink already.
+    Spark's checkpoint keeps the place in the source and, as state, the ids seen so far; the sink is never read.
+    Each batch writes a folder of its own, so one that runs again replaces what it wrote.
     """
-    stream = spark.readStream.schema(REQUEST).json(source).withColumn("request_id", request_id())
+    stream = spark.readStream.schema(REQUEST).json(source).withColumn("request_id", request_id()).dropDuplicates(["request_id"])
 
     def batch(df: DataFrame, epoch: int) -> None:
-        new = df.dropDuplicates(["request_id"])
-        if find_paths(spark, f"{sink}/*.parquet"):
-            new = pending(new, spark.read.parquet(sink), ["request_id"])
-        answer(new).write.mode("append").parquet(sink)
+        answer(df).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
