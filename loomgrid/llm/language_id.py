@@ -22,8 +22,10 @@ PER_LANGUAGE, SAMPLE = 300, 4000
 LANDMARKS, ALL_LANDMARKS = 64, 1024
 #: Pieces that are looked at at once.
 STRETCH = 256
-#: Tasks that sum the kernel over the sample.
+#: Tasks at most that sum the kernel over the sample: the driver adds up so many sums.
 TASKS = 12
+#: Parts of a language that pick their first texts apart, so no task meets more than so many times a language's quota.
+PARTS = 32
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: Below this score a text is in none of the languages.
@@ -140,7 +142,8 @@ def _sums(classes: list[str], known: np.ndarray, base: np.ndarray):
                 k = (rows @ base.T).astype(np.float64)
                 y = np.repeat([classes.index(langs[i]) for i, _ in held], [len(part[2]) for _, part in held])
                 kk, ky, pieces = kk + k.T @ k, ky + k.T @ np.eye(len(classes))[y], pieces + len(lengths)
-        yield pa.RecordBatch.from_arrays([pa.array([pieces]), pa.array([kk.tobytes()], pa.binary()), pa.array([ky.tobytes()], pa.binary())], names=["pieces", "kk", "ky"])
+        if pieces:
+            yield pa.RecordBatch.from_arrays([pa.array([pieces]), pa.array([kk.tobytes()], pa.binary()), pa.array([ky.tobytes()], pa.binary())], names=["pieces", "kk", "ky"])
 
     return run
 
@@ -164,8 +167,8 @@ def fit(sampled: DataFrame, ridge: float = RIDGE) -> dict:
     chosen = [np.array(g, dtype=np.int64).view(np.uint64) for c in classes for _, g in by_lang[c]]
     known = np.unique(np.concatenate(chosen))
     base, _ = presence([(np.zeros(len(g), dtype=np.int64), g, np.array([len(g)])) for g in chosen], Vocabulary(known))
-    dealt = sampled.select("lang", "draw", "text").repartition(TASKS, "lang", "draw").sortWithinPartitions("lang", "draw")
-    sums = dealt.mapInArrow(_sums(classes, known, base), "pieces long, kk binary, ky binary").collect()  # a row a task
+    dealt = sampled.select("lang", "draw", "text").coalesce(TASKS).sortWithinPartitions("lang", "draw")
+    sums = dealt.mapInArrow(_sums(classes, known, base), "pieces long, kk binary, ky binary").collect()  # a row a task, of 12 at most
     kk = sum(np.frombuffer(r["kk"]).reshape(len(base), -1) for r in sums)
     ky = sum(np.frombuffer(r["ky"]).reshape(len(base), -1) for r in sums)
     n, kmm = sum(r["pieces"] for r in sums), (base @ base.T).astype(np.float64)
@@ -204,8 +207,9 @@ def sample(docs: DataFrame, train: Column) -> DataFrame:
     if all were above ``SAMPLE``, but one at least. Copies count once, so nothing grows with them.
     """
     usable = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), F.abs(F.xxhash64("text")).alias("draw"), "text")
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
-    first = usable.select("lang", "draw").distinct().withColumn("nth", nth).where(F.col("nth") <= PER_LANGUAGE)
+    nth = lambda *by: F.row_number().over(W.partitionBy("lang", *by).orderBy("draw"))
+    apart = usable.select("lang", "draw").distinct().withColumn("part", F.pmod(F.shiftright("draw", 8), F.lit(PARTS)))
+    first = apart.withColumn("nth", nth("part")).where(F.col("nth") <= PER_LANGUAGE).withColumn("nth", nth()).where(F.col("nth") <= PER_LANGUAGE)
     keys = first.select("lang", "draw", "nth").collect()  # 300 rows a language
     quota = max(1, min(PER_LANGUAGE, SAMPLE // max(1, len({r["lang"] for r in keys}))))
     wanted = [(r["lang"], r["draw"]) for r in keys if r["nth"] <= quota]
