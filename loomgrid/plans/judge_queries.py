@@ -25,16 +25,17 @@ def subjects_from_conversations(spark, sf_dir):
     return J.records_to_subjects(m, "conv_id", "text", id_field="conv_id", messages="messages").select("subject_id", F.size("messages").alias("turns"))
 
 
-def _wide(spark, sf_dir):
-    return M.to_wide(V.cells(spark, sf_dir), V.ALIASES)
+def subjects_from_matrix(spark, sf_dir):
+    return J.matrix_to_subjects(V.wide(spark, sf_dir), V.ALIASES).select("subject_id", "subject_content", "subject_model_alias", "prompt_id")
 
 
-def subjects_from_matrix(spark, sf_dir):
-    return J.matrix_to_subjects(_wide(spark, sf_dir), V.ALIASES).select("subject_id", "subject_content", "subject_model_alias", "prompt_id")
+def subjects_from_cells(spark, sf_dir):
+    """Subjects of the long matrix."""
+    return J.cells_to_subjects(V.cells(spark, sf_dir)).select("subject_id", "subject_content", "subject_model_alias", "prompt_id")
 
 
 def adapter_counts(spark, sf_dir):
-    return J.adapter_counts(_wide(spark, sf_dir), V.ALIASES)
+    return J.adapter_counts(V.wide(spark, sf_dir), V.ALIASES)
 
 
 def transcript(spark, sf_dir):
@@ -112,7 +113,30 @@ def response_extract(spark, sf_dir):
     return made.select("doc_id", parse.response_text(F.col("reply")).alias("content"), usage["prompt_tokens"].alias("prompt_tokens"), usage["total_tokens"].alias("total_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (subjects_from_records, subjects_by_position, subjects_from_conversations, subjects_from_matrix, adapter_counts, transcript, judge_messages, judge_content_messages, judge_pairs, final_answer_parse, verdict_status, judgment_ids, judge_summary, judge_totals, judge_accuracy, judge_disagreements, judgment_upsert, response_extract)}
+def judge_labelled_messages(spark, sf_dir):
+    """What judges are told where there are labels."""
+    made = text.judge_messages(" Judge it. ", V.CLASSES, F.col("text"), F.lit(None).cast(text.MESSAGES))
+    return V.table(spark, sf_dir, "documents").select("doc_id", made[0].content.alias("system"), made[1].content.alias("user"))
+
+
+def judgment_metadata(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "documents").select("doc_id", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"))
+    return J.with_metadata(rows, ["lang", "source", "none"])
+
+
+def judgments_of_config(spark, sf_dir):
+    rows = V.replies(spark, sf_dir).withColumn("judge_config_hash", F.concat(F.lit("cfg"), F.col("subject_id").cast("long") % 2))
+    return J.of_config(rows, "cfg1").select("subject_id", "judge_alias", "judge_config_hash")
+
+
+def response_tool_calls(spark, sf_dir):
+    """Tool calls of replies: a list, none, or something that isn't one."""
+    calls = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('[{"id":"c'), F.col("doc_id"), F.lit('","name":"f"}]'))).when(F.col("doc_id") % 3 == 1, F.lit("null")).otherwise(F.lit('"no"'))
+    reply = F.concat(F.lit('{"choices":[{"message":{"content":"x","tool_calls":'), calls, F.lit("}}]}"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", parse.response_tool_calls(reply).alias("tool_calls"))
+
+
+QUERIES = {f.__name__: f for f in (subjects_from_records, subjects_by_position, subjects_from_conversations, subjects_from_matrix, subjects_from_cells, adapter_counts, transcript, judge_messages, judge_content_messages, judge_pairs, final_answer_parse, verdict_status, judgment_ids, judge_summary, judge_totals, judge_accuracy, judge_disagreements, judgment_upsert, response_extract, judge_labelled_messages, judgment_metadata, judgments_of_config, response_tool_calls)}
 
 _R = "WITH " + V.REPLIES
 _C = "WITH " + V.CELLS
@@ -122,6 +146,12 @@ ORACLE_SQL = {
     "subjects_by_position": "SELECT substr(sha256('{\"i\": ' || (row_number() OVER (ORDER BY item_id) - 1) || ', \"rec\": {\"text\": ' || CAST(to_json(text) AS VARCHAR) || '}}'), 1, 16) AS subject_id, text AS subject_content FROM benchmark",
     "subjects_from_conversations": "SELECT CAST(conv_id AS VARCHAR) AS subject_id, CAST(count(*) AS INTEGER) AS turns FROM conversations GROUP BY conv_id",
     "subjects_from_matrix": _C + " SELECT prompt_id || ':' || alias AS subject_id, response AS subject_content, alias AS subject_model_alias, prompt_id FROM cells WHERE status = 'success'",
+    "subjects_from_cells": _C + " SELECT prompt_id || ':' || alias AS subject_id, response AS subject_content, alias AS subject_model_alias, prompt_id FROM cells WHERE status = 'success'",
+    "judge_labelled_messages": r"""SELECT doc_id, E'Judge it.\n\nLABELS\n* good\n* bad\n\nLast line of the reply, once and alone:\n<final_answer>one of the labels, letter for letter</final_answer>\nIf none applies: <final_answer>__NONE__</final_answer>' AS system,
+  E'You are evaluating the following content:\n<content>\n' || replace(text, '</content>', '</ content>') || E'\n</content>\n\nAnswer as the LABELS section says.' AS user FROM documents""",
+    "judgment_metadata": "SELECT doc_id, lang AS metadata_lang, source AS metadata_source, CAST(NULL AS VARCHAR) AS metadata_none FROM documents",
+    "judgments_of_config": "SELECT CAST(d.doc_id AS VARCHAR) AS subject_id, judge_alias, 'cfg1' AS judge_config_hash FROM documents d JOIN labels l ON d.doc_id = l.doc_id, (VALUES ('judge-a'), ('judge-b')) j(judge_alias) WHERE d.doc_id % 2 = 1",
+    "response_tool_calls": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '[{\"id\":\"c' || doc_id || '\",\"name\":\"f\"}]' END AS tool_calls FROM documents",
     "adapter_counts": _C + " SELECT CASE status WHEN 'success' THEN 'emitted' ELSE 'skipped_status' END AS reason, count(*) AS n FROM cells GROUP BY 1",
     "transcript": f"SELECT conv_id, {_TALK} AS transcript FROM conversations GROUP BY conv_id",
     "judge_messages": f"SELECT conv_id, 'Judge it.' AS system, E'You are evaluating the following conversation:\\n' || {_TALK} || E'\\n\\nProvide your evaluation.' AS user FROM conversations GROUP BY conv_id",

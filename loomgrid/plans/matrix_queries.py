@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ids, text
+from ..config import Grid
+from ..functions import ids, parse, text
 from ..operators import matrix as M
 from ..operators import runtime as R
 from . import views as V
@@ -40,16 +41,18 @@ def cells_long(spark, sf_dir):
     return V.cells(spark, sf_dir).select(*_CELL)
 
 
-def _wide(spark, sf_dir):
+def matrix_pivot(spark, sf_dir):
     return M.to_wide(V.cells(spark, sf_dir), V.ALIASES)
 
 
-def matrix_pivot(spark, sf_dir):
-    return _wide(spark, sf_dir)
+def matrix_unpivot(spark, sf_dir):
+    return M.to_long(V.wide(spark, sf_dir)).select(*_CELL)
 
 
-def matrix_unpivot(spark, sf_dir):
-    return M.to_long(_wide(spark, sf_dir)).select(*_CELL)
+def matrix_filter_wide(spark, sf_dir):
+    """Models in the caller's order, with the cells of prompts that pass."""
+    wide = M.filter_wide(V.cells(spark, sf_dir), ["gamma-gemma", "alpha"], min_success=1)
+    return wide.select("prompt_id", F.lit(",".join(wide.columns[2:])).alias("models"), "gamma-gemma", "alpha")
 
 
 def matrix_filter_models(spark, sf_dir):
@@ -125,7 +128,40 @@ def fold_system(spark, sf_dir):
     return m.select("conv_id", "model", ids.canonical_prompt(text.fold_system(F.col("messages"), F.col("model"))).alias("prompt"))
 
 
-QUERIES = {f.__name__: f for f in (prompt_ids, cell_ids, grid_cross, grid_sparse, cells_long, matrix_pivot, matrix_unpivot, matrix_filter_models, matrix_filter_contains, matrix_filter_status, matrix_filter_complete, matrix_filter_min_success, analysis_frame, matrix_summary, matrix_is_complete, matrix_resume_pending, matrix_upsert, matrix_append_missing, matrix_retain, alias_lookup, mock_completion, token_estimate, fold_system)}
+def fold_metadata(spark, sf_dir):
+    m = V.messages(spark, sf_dir).withColumn("alias", F.explode(F.array(F.lit("CodeGemma"), F.lit("gpt"), F.lit("gemma"))))
+    led = M.for_models(m, {"CodeGemma": "Be brief.", "gpt": "Be kind."}).select("conv_id", "alias", text.folded(F.col("messages"), F.col("alias")).alias("m"))
+    return led.select("conv_id", "alias", F.coalesce("m.system_prompt_folded", F.lit(False)).alias("folded"), F.coalesce("m.system_prompt", F.lit("-")).alias("system_prompt"))
+
+
+def prompts_by_model(spark, sf_dir):
+    """Each conversation as two models are asked it: one has a system prompt of its own."""
+    m = V.messages(spark, sf_dir).withColumn("alias", F.explode(F.array(F.lit("alpha"), F.lit("beta"))))
+    return M.for_models(m, {"beta": "Be brief."}).select("conv_id", "alias", ids.canonical_prompt(F.col("messages")).alias("prompt"))
+
+
+def grid_from_config(spark, sf_dir):
+    """A grid's configuration: two systems, final messages from the benchmark."""
+    finals = [r["user"] for r in V.table(spark, sf_dir, "region").select(F.col("r_name").alias("user")).orderBy("user").collect()]  # five rows: a configuration
+    grid = Grid(("alpha",), system_prompts=("Be brief.", "Be kind."), static_turns=({"role": "user", "content": "Hi"},), final_user_messages=tuple(finals))
+    return M.prompts(M.from_grid(spark, grid)).select("prompt_id", F.col("prompt_no.s").alias("s"), F.col("prompt_no.r").alias("r"))
+
+
+def provider_request(spark, sf_dir):
+    """Requests as a provider takes them: tools, their choice and a thinking budget where given."""
+    m = V.messages(spark, sf_dir)
+    tools = F.when(F.col("conv_id") % 2 == 0, F.lit('[{"type":"function","function":{"name":"look_up"}}]'))
+    choice = F.when(F.col("conv_id") % 4 == 0, F.lit('"auto"'))
+    made = text.provider_request(F.col("messages"), F.lit("m"), F.when(F.col("conv_id") % 3 > 0, 256), F.lit(None).cast("double"), tools, choice, (F.col("conv_id") % 5 * 100).cast("int"))
+    return m.select("conv_id", made.alias("request"))
+
+
+def cell_status_map(spark, sf_dir):
+    ended = F.when(F.col("event_type") == "error", "retrying").when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "signup", "rate_limited").when(F.col("event_type") == "view", "not_requested").otherwise("pending")
+    return V.table(spark, sf_dir, "events").select("event_id", parse.cell_status(ended).alias("status"))
+
+
+QUERIES = {f.__name__: f for f in (prompt_ids, cell_ids, grid_cross, grid_sparse, cells_long, matrix_pivot, matrix_unpivot, matrix_filter_models, matrix_filter_contains, matrix_filter_status, matrix_filter_complete, matrix_filter_min_success, analysis_frame, matrix_summary, matrix_is_complete, matrix_resume_pending, matrix_upsert, matrix_append_missing, matrix_retain, alias_lookup, mock_completion, token_estimate, fold_system, matrix_filter_wide, fold_metadata, prompts_by_model, grid_from_config, provider_request, cell_status_map)}
 
 _C = "WITH " + V.CELLS
 _G = "WITH " + V.MESSAGES
@@ -144,6 +180,18 @@ SELECT s, t, r, sha256(prompt) AS prompt_id FROM p QUALIFY row_number() OVER (PA
     "cells_long": _C + _SEL + "cells",
     "matrix_pivot": _C + f", j AS (SELECT *, {_J} AS v FROM cells) SELECT prompt_id, prompt, {_PIVOT.format(v='v')} FROM j GROUP BY prompt_id, prompt",
     "matrix_unpivot": _C + _SEL + "cells",
+    "matrix_filter_wide": _C + f", j AS (SELECT *, {_J} AS v FROM cells WHERE alias <> 'beta') SELECT prompt_id, 'gamma-gemma,alpha' AS models, max(v) FILTER (alias = 'gamma-gemma') AS \"gamma-gemma\", max(v) FILTER (alias = 'alpha') AS alpha FROM j GROUP BY prompt_id HAVING bool_or(status = 'success')",
+    "fold_metadata": _G + """, s AS (SELECT conv_id, list_aggregate([x.content for x in messages if x.role = 'system'], 'string_agg', E'\\n\\n') AS t FROM msgs)
+SELECT conv_id, alias, alias = 'CodeGemma' OR alias = 'gemma' AND t IS NOT NULL AS folded, CASE alias WHEN 'CodeGemma' THEN 'Be brief.' WHEN 'gemma' THEN coalesce(t, '-') ELSE '-' END AS system_prompt FROM s, (VALUES ('CodeGemma'), ('gpt'), ('gemma')) m(alias)""",
+    "prompts_by_model": _G + """ SELECT conv_id, 'alpha' AS alias, prompt FROM msgs
+UNION ALL SELECT conv_id, 'beta', '{"messages":' || CAST(to_json(list_concat([struct_pack(content := 'Be brief.', role := 'system')], [x for x in messages if x.role <> 'system'])) AS VARCHAR) || '}' FROM msgs""",
+    "grid_from_config": """
+SELECT sha256('{"messages":[{"content":"' || system || '","role":"system"},{"content":"Hi","role":"user"},{"content":"' || r_name || '","role":"user"}]}') AS prompt_id, s, CAST(row_number() OVER (PARTITION BY s ORDER BY r_name) - 1 AS INTEGER) AS r
+FROM region, (VALUES (0, 'Be brief.'), (1, 'Be kind.')) x(s, system)""",
+    "provider_request": _G + """
+SELECT conv_id, '{' || CASE WHEN conv_id % 3 > 0 THEN '"max_tokens":256,' ELSE '' END || substr(prompt, 2, length(prompt) - 2) || ',"model":"m"' || CASE WHEN conv_id % 5 > 0 THEN ',"thinking":{"budget_tokens":' || (conv_id % 5 * 100) || ',"type":"enabled"}' ELSE '' END
+  || CASE WHEN conv_id % 4 = 0 THEN ',"tool_choice":"auto"' ELSE '' END || CASE WHEN conv_id % 2 = 0 THEN ',"tools":[{"function":{"name":"look_up"},"type":"function"}]' ELSE '' END || '}' AS request FROM msgs""",
+    "cell_status_map": "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'rate_limited' WHEN 'view' THEN 'not_requested' ELSE 'failed' END AS status FROM events",
     "matrix_filter_models": _C + _SEL + "cells WHERE alias IN ('alpha', 'beta')",
     "matrix_filter_contains": _C + _SEL + "cells WHERE contains(prompt, 'en src1')",
     "matrix_filter_status": _C + ", m AS (SELECT * FROM cells WHERE alias <> 'beta')" + _SEL + "m WHERE prompt_id IN (SELECT prompt_id FROM m GROUP BY prompt_id HAVING bool_and(status = 'success'))",

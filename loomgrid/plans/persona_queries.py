@@ -55,7 +55,8 @@ def combo_progress(spark, sf_dir):
 
 
 def template_render(spark, sf_dir):
-    return _combos(spark, sf_dir).where("dimension = 'Region'").select("combination_id", text.render(F.lit(TEMPLATE.replace("<b>", "").replace("</b>", "")), F.col("indicators")).alias("prompt"))
+    template = F.when(F.col("dimension") == "Region", TEMPLATE.replace("<b>", "").replace("</b>", "")).otherwise("My order is <Status>, <Priority>, <Status>.")
+    return _combos(spark, sf_dir).select("combination_id", text.render(template, F.col("indicators")).alias("prompt"))
 
 
 def template_missing_keys(spark, sf_dir):
@@ -110,7 +111,17 @@ def history_expected_count(spark, sf_dir):
     return P.expected_histories(_backgrounds(spark, sf_dir), _personas(spark, sf_dir, partial=True), DIMENSIONS)
 
 
-QUERIES = {f.__name__: f for f in (combo_product, combo_counts_by_value, combo_pending, combo_progress, template_render, template_missing_keys, dimension_values, dimension_discovery, persona_full, persona_partial, persona_filtered, history_assemble, history_partial, history_resume, history_expected_count)}
+def dimension_selection(spark, sf_dir):
+    return P.select_dimensions(_combos(spark, sf_dir), ["REGION", "none"]).select("dimension", "combination_id")
+
+
+def backgrounds_latest(spark, sf_dir):
+    """Of records with one combination id the last."""
+    many = _backgrounds(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.length("dimension_value") % 3)))
+    return P.latest_backgrounds(many.withColumn("pos", F.col("k").cast("long"))).select("combination_id", "dimension", "k")
+
+
+QUERIES = {f.__name__: f for f in (combo_product, combo_counts_by_value, combo_pending, combo_progress, template_render, template_missing_keys, dimension_values, dimension_discovery, persona_full, persona_partial, persona_filtered, history_assemble, history_partial, history_resume, history_expected_count, dimension_selection, backgrounds_latest)}
 
 _M = "WITH " + V.MAPPING
 _DIMS = """,
@@ -126,10 +137,12 @@ ORACLE_SQL = {
     "combo_counts_by_value": _M + " SELECT dimension, dimension_value, count(*) AS combinations FROM ids GROUP BY ALL",
     "combo_pending": _M + " SELECT dimension, combination_id FROM ids WHERE NOT substr(combination_id, 1, 1) < '8'",
     "combo_progress": _M + " SELECT dimension, count(*) AS total, count(*) FILTER (substr(combination_id, 1, 1) < '8') AS skipped, count(*) FILTER (NOT substr(combination_id, 1, 1) < '8') AS pending FROM ids GROUP BY dimension",
-    "template_render": _M + " SELECT combination_id, 'I live in ' || i2 || ' (' || i1 || ') & like maps.' AS prompt FROM ids WHERE dimension = 'Region'",
+    "template_render": _M + " SELECT combination_id, CASE dimension WHEN 'Region' THEN 'I live in ' || i2 || ' (' || i1 || ') & like maps.' ELSE 'My order is ' || i2 || ', ' || i1 || ', ' || i2 || '.' END AS prompt FROM ids",
     "template_missing_keys": _M + " SELECT combination_id, CASE dimension WHEN 'Region' THEN 'Status' ELSE 'Nation' END AS missing FROM ids",
     "dimension_values": _M + " SELECT DISTINCT dimension, dimension_value FROM mapping",
     "dimension_discovery": "SELECT * FROM (VALUES ('Segment', 'a', 0), ('Region', 'c', 2)) t(dim, template, ord)",
+    "dimension_selection": _M + " SELECT dimension, combination_id FROM ids WHERE dimension = 'Region'",
+    "backgrounds_latest": _M + " SELECT combination_id, dimension, CAST(length(dimension_value) % 3 AS INTEGER) AS k FROM ids",
     "persona_full": _M + _DIMS + ' SELECT r.v AS "Region", s.v AS "Segment", CAST(row_number() OVER (ORDER BY r.v, s.v) - 1 AS INTEGER) AS persona_no FROM r, s',
     "persona_partial": _M + _DIMS + ' SELECT rn.v AS "Region", sn.v AS "Segment", CAST(row_number() OVER (ORDER BY rn.v NULLS FIRST, sn.v NULLS FIRST) - 1 AS INTEGER) AS persona_no FROM rn, sn WHERE rn.v IS NOT NULL OR sn.v IS NOT NULL',
     "persona_filtered": _M + _DIMS + " SELECT rn.v AS \"Region\", sn.v AS \"Segment\" FROM rn, sn WHERE rn.v = 'ASIA'",

@@ -58,7 +58,14 @@ def chi2_cramers_v(spark, sf_dir):
     return out.select(F.round("chi2", 6).alias("chi2"), "dof", "n", F.round("cramers_v", 6).alias("cramers_v"), "strength")
 
 
-QUERIES = {f.__name__: f for f in (option_extract, option_value_counts, contingency, proportions, option_gap, min_group, odds_ratio_ci, fisher_exact, chi2_cramers_v)}
+def chi2_p(spark, sf_dir):
+    """p of Pearson's test, over a 2 by 2 and a 2 by 5 table; Yates' correction counts in the first alone."""
+    pair = V.table(spark, sf_dir, "labels").select(F.col("quality").cast("string").alias("grp"), F.col("toxic").cast("string").alias("event_type"))
+    parts = [S.chi_squared(rows, "grp", "event_type").select(F.lit(name).alias("of"), F.round("p_value", 6).alias("p_value"), F.round("p_yates", 6).alias("p_yates")) for name, rows in (("labels", pair), ("events", _events(spark, sf_dir)))]
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES = {f.__name__: f for f in (option_extract, option_value_counts, contingency, proportions, option_gap, min_group, odds_ratio_ci, fisher_exact, chi2_cramers_v, chi2_p)}
 
 _E = "WITH e AS (SELECT CASE user_id % 2 WHEN 0 THEN 'Male' ELSE 'Female' END AS grp, event_type FROM events)"
 _T = "WITH t AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS a, count(*) FILTER (quality = 1 AND toxic <> 1) AS b, count(*) FILTER (quality <> 1 AND toxic = 1) AS c, count(*) FILTER (quality <> 1 AND toxic <> 1) AS d FROM labels)"
@@ -73,6 +80,14 @@ ORACLE_SQL = {
     "fisher_exact": _T + """, x AS (SELECT a, b, c, d, unnest(generate_series(greatest(0, a + c - c - d), least(a + b, a + c))) AS k FROM t),
 p AS (SELECT a, k, exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1)) AS p FROM x)
 SELECT round(least(1.0, sum(p) FILTER (p <= (SELECT p FROM p WHERE k = a) * (1 + 1e-7))), 6) AS p_value FROM p""",
+    "chi2_p": """
+WITH e AS (SELECT 'labels' AS of, CAST(quality AS VARCHAR) AS g, CAST(toxic AS VARCHAR) AS o FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL UNION ALL SELECT 'events', CAST(user_id % 2 AS VARCHAR), event_type FROM events WHERE event_type IS NOT NULL),
+c AS (SELECT of, g, o, count(*) AS k FROM e GROUP BY ALL), r AS (SELECT of, g, count(*) AS r FROM e GROUP BY ALL), t AS (SELECT of, o, count(*) AS c FROM e GROUP BY ALL), n AS (SELECT of, count(*) AS n FROM e GROUP BY ALL),
+x AS (SELECT of, coalesce(k, 0) AS k, r * c / n AS ex FROM r JOIN t USING (of) JOIN n USING (of) LEFT JOIN c USING (of, g, o)),
+d AS (SELECT of, (SELECT count(*) - 1 FROM r WHERE r.of = n.of) * (SELECT count(*) - 1 FROM t WHERE t.of = n.of) AS dof FROM n),
+s AS (SELECT of, dof, sum((k - ex) ** 2 / ex) AS plain, sum(greatest(0, abs(k - ex) - CASE dof WHEN 1 THEN 0.5 ELSE 0 END) ** 2 / ex) AS yates FROM x JOIN d USING (of) GROUP BY of, dof),
+p AS (SELECT of, dof / 2 AS s, plain / 2 AS a, yates / 2 AS b FROM s)
+SELECT of, round(greatest(0, 1 - list_sum([exp(-a + (s + i) * ln(a) - lgamma(s + i + 1)) for i in range(0, 400)])), 6) AS p_value, round(greatest(0, 1 - list_sum([exp(-b + (s + i) * ln(b) - lgamma(s + i + 1)) for i in range(0, 400)])), 6) AS p_yates FROM p""",
     "chi2_cramers_v": _E + """, n AS (SELECT grp, event_type, count(*) AS o FROM e GROUP BY 1, 2), g AS (SELECT grp, count(*) AS r FROM e GROUP BY 1), t AS (SELECT event_type, count(*) AS c FROM e GROUP BY 1), s AS (SELECT count(*) AS n FROM e),
 x AS (SELECT sum((coalesce(o, 0) - r * c / s.n) ** 2 / (r * c / s.n)) AS chi2, any_value(s.n) AS n, count(DISTINCT grp) AS a, count(DISTINCT event_type) AS b FROM g CROSS JOIN t CROSS JOIN s LEFT JOIN n USING (grp, event_type))
 SELECT round(chi2, 6) AS chi2, (a - 1) * (b - 1) AS dof, n, round(sqrt(chi2 / (n * (least(a, b) - 1))), 6) AS cramers_v, 'negligible' AS strength FROM x""",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parse import encode_cell
+
 ALIASES = ["alpha", "beta", "gamma-gemma"]
 JUDGES = ["judge-a", "judge-b"]
 CLASSES = ["good", "bad"]
@@ -71,6 +73,20 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "k", "lang", "prompt_id", "prompt", "alias", "status", F.when(F.col("status") == "success", answer).alias("response"), F.when(F.col("status").isin("failed", "rate_limited"), F.concat(F.lit("error 429 of "), F.col("alias"))).alias("error_message"))
 
 
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matrix as a wide file holds it: a prompt a row, a column of cell JSON an alias. No row moves."""
+    docs = table(spark, sf_dir, "documents")
+    prompt = F.concat(F.lit("d"), F.col("doc_id"), F.lit(" "), F.col("lang"), F.lit(" "), F.col("source"))
+
+    def cell(k: int, alias: str) -> Column:
+        state = (F.col("doc_id") + k) % 10
+        status = F.when(state < 6, "success").when(state == 6, "failed").when(state == 7, "rate_limited").when(state == 8, "pending").otherwise("not_requested")
+        response = F.when(state < 6, F.concat(F.col("text"), F.lit(f'|"q"\\{k}')))
+        return encode_cell(status, response, F.when(state.isin(6, 7), f"error 429 of {alias}")).alias(alias)
+
+    return docs.select(F.md5(prompt).alias("prompt_id"), prompt.alias("prompt"), *[cell(k, a) for k, a in enumerate(ALIASES)])
+
+
 CELLS = """
 cells AS (
   SELECT doc_id, k, lang, md5(prompt) AS prompt_id, prompt, alias, status,
