@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import judge_queries, matrix_queries, persona_queries, runtime_queries, stats_queries
+from . import judge_queries, matrix_queries, persona_queries, run_queries, runtime_queries, source_queries, stats_queries
 
-MODULES = (persona_queries, matrix_queries, judge_queries, runtime_queries, stats_queries)
+MODULES = (persona_queries, matrix_queries, judge_queries, runtime_queries, stats_queries, source_queries, run_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.parse import decode_cell
 from ..functions.text import strip
 from ..operators import runtime
 
-TURN = "struct<role:string,content:string>"
+TURN = "struct<content:string,role:string>"
 BACKGROUND = f"schema_version int, dimension string, dimension_value string, combination_id string, indicators map<string,string>, model_alias string, messages array<{TURN}>, generated_at string"
 HISTORY = f"history_id string, persona map<string,string>, combination_ids map<string,string>, messages array<{TURN}>, generated_at string"
 CHECKPOINT = "request_id string, status string, timestamp string, error_message string, result string"
