@@ -138,8 +138,9 @@ def rate_tumbling(spark, sf_dir):
 
 
 def rate_limiter_simulation(spark, sf_dir):
-    """What a sliding-log limiter would have made each request wait."""
-    return requests.admissions(V.log(spark, sf_dir), "provider", 8, 2000, 3600)
+    """What a sliding-log limiter of each provider's model would have made each request wait."""
+    log = V.log(spark, sf_dir).withColumn("bucket", F.concat_ws("/", "provider", "model"))
+    return requests.admissions(log, "bucket", 2, 500, 3600)
 
 
 QUERIES = {f.__name__: f for f in (redact_text, sanitize_text, error_taxonomy, error_taxonomy_provider, retry_schedule, retry_after, retry_decision, retry_metadata, log_summary, log_last_success, checkpoint_replay, checkpoint_resume, rate_window_requests, rate_window_tokens, rate_violations, progress_running, stratified_first_n, row_positions, row_positions_wide, utc_stamps, console_lines, log_lines, rate_tumbling, rate_limiter_simulation)}

@@ -132,3 +132,74 @@ def test_statistics(spark):
     assert stats.chi_squared(rows, "g", "o").first().chi2 == pytest.approx(6.1122, abs=1e-4)
     assert stats.chi_squared_p(rows, "g", "o", ["x", "y"], yates=False) == pytest.approx(0.0134, abs=1e-4)
     assert stats.chi_squared(rows.where("g = 'm'"), "g", "o").first().cramers_v == 0.0
+
+
+def test_positions_of_wide_rows(spark):
+    """Above the size that Spark samples, with more columns than the order needs, written out: no gaps."""
+    rows = spark.range(400_000).select(F.xxhash64("id").alias("a"), (F.col("id") % 1000).alias("b"), F.sha2(F.col("id").cast("string"), 256).alias("c"), F.lit("x").alias("start"), "id")
+    out = runtime.positions(rows.repartition(8), ["b", "a"])
+    s = out.agg(F.count_distinct("position").alias("n"), F.min("position").alias("low"), F.max("position").alias("high")).first()
+    assert tuple(s) == (400_000, 0, 399_999) and out.columns == [*rows.columns, "position"]
+    wrong = out.select(F.expr("lag(struct(b, a)) over (partition by b order by position)").alias("p"), F.struct("b", "a").alias("q")).where("p >= q")
+    assert wrong.count() == 0
+    assert runtime.positions(rows.limit(0), ["a"]).count() == 0
+
+
+def test_running_counts(spark):
+    rows = spark.range(5000).select((F.col("id") % 2 * F.col("id") % 3).alias("g"), F.xxhash64("id").alias("o"), F.lit(1).alias("n")).withColumn("g", F.when(F.col("g") > 0, F.col("g").cast("string")))
+    out = runtime.running(rows, "g", ["o"]).collect()
+    groups = {}
+    for r in out:
+        groups.setdefault(r.g, []).append((r.o, r.done, r.total))
+    assert len(groups) == 3
+    for g in groups.values():
+        assert [d for _, d, _ in sorted(g)] == list(range(1, len(g) + 1)) and {t for *_, t in g} == {len(g)}
+
+
+def test_personas_are_numbered_in_product_order(spark):
+    values = eav(spark, []).select("dimension", "dimension_value", "pos").unionByName(spark.createDataFrame([(d, f"{d}{i}", 10 - i) for d, n in (("A", 2), ("B", 3), ("C", 1)) for i in range(n)], "dimension string, dimension_value string, pos long"))
+    order = {d: [None, *[f"{d}{i}" for i in reversed(range(n))]] for d, n in (("A", 2), ("B", 3), ("C", 1))}
+    for partial in (False, True):
+        for only in ({}, {"B": "B1"}):
+            import itertools
+
+            lists = [[v for v in order[d] if (partial or v) and (d not in only or v == only[d])] for d in "ABC"]
+            want = [p for p in itertools.product(*lists) if any(p)]
+            got = personas.personas(values, list("ABC"), partial, only).orderBy("persona_no").collect()
+            assert [(r.A, r.B, r.C) for r in got] == want and [r.persona_no for r in got] == list(range(len(want)))
+
+
+def test_histories_name_their_rows_once(spark):
+    b = two_dimensions(spark)
+    names = spark.createDataFrame([("Bob", "Male"), ("Ann", "Female")], "name string, gender string")
+    more = b.unionByName(b.where("dimension = 'Age'").withColumns({"dimension": F.lit("Job"), "combination_id": F.concat(F.lit("j"), "combination_id")}))
+    made = personas.histories(more, ["Age", "Gender", "Job"], names, partial=True)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") < 20
+    ages, genders = [("Bob", "Male"), ("Ann", "Female"), ("Zed", None), None], ["Male", "Male", "Female", "Female", None]
+    fits = lambda a, g: a is None or g is None or a[1] == g
+    assert made.count() == sum(fits(a, g) and fits(j, g) for a in ages for g in genders for j in ages) - 1
+    with pytest.raises(ValueError, match="at most 10"):
+        personas.histories(more, ["Age", "Gender", "Job"], names, most=10)
+
+
+def test_unknown_models_are_an_error(spark):
+    with pytest.raises(ValueError, match="unknown models: z"):
+        matrix.filter_rows(cells(spark), models=["a", "z"])
+    assert matrix.filter_wide(cells(spark), ["c", "a"], min_success=1).columns == ["prompt_id", "prompt", "c", "a"]
+
+
+def test_exact_and_chi_squared_tails(spark):
+    import math
+
+    t = spark.createDataFrame([(30_000, 20_100, 29_000, 20_400)], "a long, b long, c long, d long")
+    log = lambda *x: sum(math.lgamma(v + 1) for v in x)
+    a, b, c, d = t.first()
+    p = {x: math.exp(log(a + b, c + d, a + c, b + d) - log(a + b + c + d, x, a + b - x, a + c - x, d - a + x)) for x in range(a + c + 1) if x <= a + b and d - a + x >= 0}
+    assert stats.fisher(t).first().p_value == pytest.approx(sum(v for v in p.values() if v <= p[a] * (1 + 1e-7)), rel=1e-6)
+    assert stats.fisher(spark.createDataFrame([(0, 0, 0, 0)], "a long, b long, c long, d long")).first().p_value == pytest.approx(1)
+    for chi2, dof, want in ((3.841459, 1, 0.05), (9.487729, 4, 0.05), (124.342, 100, 0.05), (0.0, 3, 1.0), (9000.0, 3, 0.0), (30.0, 3, 1.3800e-06)):
+        assert spark.range(1).select(stats.upper_tail(F.lit(chi2), F.lit(dof)).alias("p")).first().p == pytest.approx(want, abs=1e-6)
+    rows = spark.createDataFrame([("m", "x")] * 8 + [("m", "y")] * 2 + [("f", "x")] + [("f", "y")] * 5, "g string, o string")
+    r = stats.chi_squared(rows, "g", "o").first()
+    assert r.p_value == pytest.approx(0.0134, abs=1e-4) and r.p_yates == pytest.approx(stats.chi_squared_p(rows, "g", "o", ["x", "y"]), abs=1e-9)

@@ -246,3 +246,89 @@ def test_small_helpers(spark, tmp_path):
     assert personas.select_dimensions(rows.withColumn("dimension", F.lit("Age")), ["AGE"]).count() == 2
     judged = spark.createDataFrame([({"a": "1"},), (None,)], "metadata map<string,string>")
     assert sorted(map(str, (r.metadata_a for r in judging.with_metadata(judged, ["a"]).collect()))) == ["1", "None"]
+
+
+def test_file_order_decides_a_replay(spark, tmp_path):
+    """The later file by name holds, also if Spark reads it first for its size; within a file the later line, over many blocks."""
+    line = lambda i, s: json.dumps({"request_id": str(i), "status": s}) + "\n"
+    for small, large in (("a", "b"), ("b", "a")):
+        folder = tmp_path / f"{small}{large}"
+        folder.mkdir()
+        (folder / f"{small}.jsonl").write_text(line(0, "pending"))
+        (folder / f"{large}.jsonl").write_text(line(0, "success") + "".join(line(i, "pending") for i in range(1, 3000)))
+        got = readers.checkpoint(spark, str(folder / "*.jsonl")).where("request_id = '0'").first().status
+        assert got == ("success" if large > small else "pending")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        (tmp_path / "long.jsonl").write_text("".join(line(i % 50, "pending") for i in range(5000)) + "".join(line(i, "success") for i in range(50)))
+        assert {r.status for r in readers.checkpoint(spark, str(tmp_path / "long.jsonl")).collect()} == {"success"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_crash_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    store = writers.Store(spark, str(tmp_path), ["k"])
+    store.replace(spark.range(3).select(F.col("id").alias("k")))
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m:
+        m.setattr(writers, "write_text", crash)
+        with pytest.raises(RuntimeError):
+            store.replace(spark.range(5).select(F.col("id").alias("k")))
+    assert store.read().count() == 3
+    (tmp_path / "CURRENT-000000000002.abcx").write_text("half")  # what a crash before the rename leaves
+    assert store.read().count() == 3
+    for n in range(4, 16):
+        store.replace(spark.range(n).select(F.col("id").alias("k")))
+    assert store.read().count() == 15
+
+
+def test_concurrency_holds_over_tasks(spark):
+    asked = spark.range(200).select(F.col("id"), F.when(F.col("id") % 2 == 0, "p").when(F.col("id") % 5 == 0, "free").otherwise("q").alias("provider"), F.concat(F.lit("m"), F.col("id") % 3).alias("alias"))
+    providers = {"p": config.Provider("openai", max_concurrency=5), "q": config.Provider("mock", per_model_concurrency=2)}
+    for tasks in (1, 3, 8):
+        rows = completion.gated(asked, providers, tasks).withColumn("task", F.spark_partition_id()).collect()
+        assert all(r.gate is None for r in rows if r.provider == "free")
+        gates = {r.gate: (r.width, r.provider, r.alias, r.task) for r in rows if r.gate}
+        assert all(len({r.task for r in rows if r.gate == g}) == 1 for g in gates)
+        assert sum(w for w, p, *_ in gates.values() if p == "p") == 5
+        assert all(sum(w for w, p, a, _ in gates.values() if (p, a) == ("q", m)) <= 2 for m in ("m0", "m1", "m2"))
+
+
+def test_schedules(spark):
+    asked = spark.range(300).select("id", F.concat(F.lit("m"), F.col("id") % 3).alias("alias"))
+    tasks = completion.scheduled(asked, "grouped").withColumn("t", F.spark_partition_id()).groupBy("alias").agg(F.count_distinct("t").alias("n")).collect()
+    assert all(r.n == 1 for r in tasks) and completion.scheduled(asked, "interleaved").count() == 300
+    with pytest.raises(ValueError):
+        completion.scheduled(asked, "odd")
+
+
+def test_grids_and_policies():
+    ok = {"model_aliases": ("a",), "final_user_message": "x"}
+    config.Grid(**ok)
+    for bad in ({"system_prompt": "s", "system_prompts": ("t",)}, {"static_turns": (), "static_turns_list": ((),)}, {"final_user_messages": ("y",)}, {"final_user_message": None}, {"model_aliases": ()}, {"system_prompt_by_model": {"z": "s"}}):
+        with pytest.raises(ValueError):
+            config.Grid(**(ok | bad))
+    with pytest.raises(ValueError):
+        config.Experiment("e", ("a",), system_prompt_by_model={"b": "s"})
+    base = config.Retry(max_retries=9, base_delay=2.0, max_delay=30.0)
+    assert config.Retry(max_retries=2).over(base) == config.Retry(max_retries=2, base_delay=2.0, max_delay=30.0) and config.Retry(max_retries=2).over(None).base_delay == 1.0
+    waits = {completion.resolve(1, TimeoutError(), base.with_seed(s)).wait for s in range(20)}
+    assert len(waits) == 20 and all(1.0 <= w <= 3.0 for w in waits) and completion.resolve(1, TimeoutError(), base).wait == 2.0
+    made = config.load({"providers": {"mock": {"rate_limit": {"requests_per_minute": 5}}, "openai": {}}})
+    assert made.limits() == {"mock": config.RateLimit(5, 0)}
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from loomgrid.sources import scratch
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("S", (), {"master": "spark://far:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Far())
+    assert scratch.shared_dir(spark)
