@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..sources.scratch import durable, shared_dir  # noqa: F401 - the operators take both from here
+from ..functions.names import columns_of, named, unused  # noqa: F401 - the operators take these from here
+from ..sources.scratch import durable, shared_dir  # noqa: F401
 
 #: A word, where an operator's contract says "words": a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,27 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def columns_of(df: DataFrame) -> list[Column]:
-    """All columns of ``df``, whatever their names."""
-    return [named(c) for c in df.columns]
-
-
-def named(name: str) -> Column:
-    """A column by its plain name, which may hold dots and backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """``names``, lengthened until none is a column of ``df`` in any case."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        out.append(name)
-    return out
-
-
 def n_words(text: Column) -> Column:
     """Number of ``WORD`` matches (null: 0), by splitting at the gaps between them."""
     parts = F.split(text, GAP)

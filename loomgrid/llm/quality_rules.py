@@ -120,5 +120,20 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_compression_bands": op7_compression_bands}
-ORACLE_SQL: dict[str, str] = {}
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of the rules alone, which SQL can express."""
+    return rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES = {"op7_compression_bands": op7_compression_bands, "quality_base_counts": quality_base_counts}
+ORACLE_SQL = {
+    "quality_base_counts": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT rid, s, array_to_string(w[s : s + 4], ' ') AS g FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 4)) AS s FROM d WHERE len(w) > 4)),
+r AS (SELECT rid, s FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+c AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(generate_series(s, s + 4)) AS p FROM r) GROUP BY rid),
+l AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(text, E'\n')) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(w) AS base_failed
+FROM d LEFT JOIN c USING (rid) LEFT JOIN l USING (rid)"""
+}

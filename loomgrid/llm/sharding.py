@@ -156,5 +156,17 @@ def op1_shard_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_shard_bfd": op1_shard_bfd}
-ORACLE_SQL: dict[str, str] = {}
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the law asks of the result, by group of equal texts and in all: whole groups, gapless slots, near-equal sizes."""
+    docs = table(spark, sf_dir, "documents")
+    out = shard(docs)
+    groups = docs.join(out, "doc_id").groupBy(F.md5("text").alias("what")).agg(F.count_distinct("shard").alias("shards"), F.count("*").alias("n"))
+    per_shard = out.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots"))
+    near = F.max("bytes") - F.min("bytes") <= F.avg("bytes") * 0.03
+    whole = F.bool_and((F.col("last") == F.col("n") - 1) & (F.col("slots") == F.col("n")))
+    in_all = per_shard.agg(F.when(near & whole, "all").otherwise("broken").alias("what"), F.count("*").alias("shards"), F.sum("n").alias("n"))
+    return groups.unionByName(in_all)
+
+
+QUERIES = {"op1_shard_bfd": op1_shard_bfd, "shard_law": shard_law}
+ORACLE_SQL = {"shard_law": "SELECT md5(text) AS what, 1::BIGINT AS shards, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT 'all', 24, count(*) FROM documents"}

@@ -449,5 +449,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_simhash": op6_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def fingerprint_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of given fingerprints, which SQL can express: ids spread over 22 bits, so that many lie near each other."""
+    near = table(spark, sf_dir, "documents").select("doc_id", ((F.col("doc_id") * 2654435761) % 4194301).alias("fp"))
+    rooted = _rooted(near)
+    least = near.join(rooted, "fp").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return near.join(rooted, "fp").join(least, "root").select("doc_id", "fp", "component_id")
+
+
+QUERIES = {"op6_simhash": op6_simhash, "fingerprint_components": fingerprint_components}
+ORACLE_SQL = {
+    "fingerprint_components": """
+WITH RECURSIVE d AS (SELECT doc_id, CAST(doc_id * 2654435761 % 4194301 AS BIGINT) AS fp FROM documents),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON bit_count(xor(a.fp, b.fp)) <= 2),
+t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a)
+SELECT d.doc_id, fp, min(t.b) AS component_id FROM d JOIN t ON t.a = d.doc_id GROUP BY d.doc_id, fp"""
+}
