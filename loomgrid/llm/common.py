@@ -24,6 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(*more: str) -> list[Column]:
+    """What tells rows of documents apart, as plain values: (id, hash) and the further columns.
+
+    Equal rows share it; rows with one id but other texts don't. Nulls stand as values, with the hash to tell
+    them from those, so joins and windows by it share one shuffle.
+    """
+    nulls = [F.col(c).isNull() for c in ("doc_id", *more)]
+    return [F.coalesce("doc_id", F.lit(0)), F.xxhash64(*nulls, "text"), *[F.coalesce(F.col(c), F.lit("")) for c in more]]
+
+
 def n_words(text: Column) -> Column:
     """Number of ``WORD`` matches (null: 0), by splitting at the gaps between them."""
     parts = F.split(text, GAP)

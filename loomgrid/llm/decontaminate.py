@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import columns_of, durable, table, unused
+from .common import columns_of, durable, row_key, table, unused
 
 WINDOW = 10
 #: Words of a window that must be in place for a proximity match.
@@ -40,9 +40,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, _UPPER + _GAPS, _LOWER + " " * len(_GAPS)), " "), "")
 
 
-def _document_key(docs: DataFrame) -> list[Column]:
-    """Equal rows share a key; rows with one id but other texts don't."""
-    return [F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("h")]
+def _document_key() -> list[Column]:
+    """``d, h``: see ``row_key``."""
+    d, h = row_key()
+    return [d.alias("d"), h.alias("h")]
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, d, h, pos, words`` for each occurrence of a word in ``terms`` (word, term); ``words`` are the document's."""
-    flat = docs.where("text IS NOT NULL").select(*_document_key(docs), words_of(F.col("text")).alias("words")).select("d", "h", "words", F.posexplode("words").alias("pos", "word"))
+    flat = docs.where("text IS NOT NULL").select(*_document_key(), words_of(F.col("text")).alias("words")).select("d", "h", "words", F.posexplode("words").alias("pos", "word"))
     listed = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
     return flat.join(listed, "word").select("term", "d", "h", "pos", "words")
 
@@ -119,7 +120,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: i
     starts = durable(started.distinct(), "starts")
 
     # both sides grow with the documents: never broadcast
-    texts = docs.where("text IS NOT NULL").select(*_document_key(docs), "text").join(starts.select("d", "h").distinct().hint("merge"), ["d", "h"], "left_semi").dropDuplicates(["d", "h"])
+    texts = docs.where("text IS NOT NULL").select(*_document_key(), "text").join(starts.select("d", "h").distinct().hint("merge"), ["d", "h"], "left_semi").dropDuplicates(["d", "h"])
     words = texts.select("d", "h", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
     expected = starts.join(flat, "item").withColumn("pos", F.col("start") + F.col("off")).where("pos >= 0")
     placed = expected.join(words.hint("merge"), ["d", "h", "pos", "word"]).select("d", "h", "item", "start", "n", "off", "pos")
@@ -148,7 +149,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     """
     docs = docs.select("doc_id", "text")
     result = matches(docs, benchmark, window, near)
-    counted = docs.select("doc_id", *_document_key(docs), F.when(F.col("text").isNull(), 0).otherwise(F.size(words_of(F.col("text")))).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", *_document_key(), F.when(F.col("text").isNull(), 0).otherwise(F.size(words_of(F.col("text")))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return counted.join(result, ["d", "h"], "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce("items", none).alias("items")
@@ -159,7 +160,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     """``docs`` without the rows in which a benchmark window occurs."""
     hit = durable(matches(docs, benchmark, window, near=window).where("n_hit > 0").select("d", "h"), "contaminated")
     d, h = unused(docs, "d", "h")
-    own = [c.alias(n) for c, n in zip(_document_key(docs), (d, h))]
+    own = [c.alias(n) for c, n in zip(_document_key(), (d, h))]
     return docs.select(*columns_of(docs), *own).join(hit.toDF(d, h), [d, h], "left_anti").select(*columns_of(docs))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import columns_of, durable, n_words, table, unused
+from .common import columns_of, durable, n_words, row_key, table, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -77,11 +77,12 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int
     Rows find their repeats by id, source and a hash of the text; equal rows share
     theirs as evenly as whole rows allow.
     """
-    h, everything, rows, nth, times, copy, own_id, own_source, own_h = unused(docs, "h", "everything", "rows", "nth", "times", "copy", "own_id", "own_source", "own_h")
-    drawn = mix(docs, weights, max_epochs, seed, keep=[F.xxhash64("text").alias("h64")])
-    total = drawn.groupBy("doc_id", "source", "h64").agg(F.sum("repeats").alias(everything), F.count("*").alias(rows)).where(F.col(everything) > 0).toDF(own_id, own_source, own_h, everything, rows)
-    met = docs.withColumn(h, F.xxhash64("text")).join(total, F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source)) & (F.col(h) == F.col(own_h)))
-    number = F.when(F.col(rows) > 1, F.row_number().over(W.partitionBy("doc_id", "source", h).orderBy(F.lit(1)))).otherwise(1)
+    d, h, s, everything, rows, nth, times, copy = unused(docs, "d", "h", "s", "everything", "rows", "nth", "times", "copy")
+    key = row_key("source")
+    drawn = mix(docs, weights, max_epochs, seed, keep=[c.alias(n) for c, n in zip(key, ("key_d", "key_h", "key_s"))])
+    total = drawn.groupBy("key_d", "key_h", "key_s").agg(F.sum("repeats").alias(everything), F.count("*").alias(rows)).where(F.col(everything) > 0).toDF(d, h, s, everything, rows)
+    met = docs.select(*columns_of(docs), *[c.alias(n) for c, n in zip(key, (d, h, s))]).join(total, [d, h, s])
+    number = F.when(F.col(rows) > 1, F.row_number().over(W.partitionBy(d, h, s).orderBy(F.lit(1)))).otherwise(1)  # dealt out as the join is
     share = (F.floor(F.col(everything) / F.col(rows)) + F.when(F.col(nth) <= F.col(everything) % F.col(rows), 1).otherwise(0)).cast("int")
     counted = met.withColumn(nth, number).withColumn(times, share).where(F.col(times) > 0)
     return counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*columns_of(docs))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import columns_of, durable, table, unused
+from .common import columns_of, durable, row_key, table, unused
 from .substrings import spaced, word_hashes
 
 MAX_BITS = 2
@@ -430,17 +430,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     text, so ids may repeat; of equal rows one stays.
     """
     made = F.pandas_udf(_sketches, "array<bigint>")(F.col("text"))
-    marked = durable(docs.select("doc_id", F.xxhash64("text").alias("h"), made.alias("sketch")), "sketches")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "h")).alias("first")
+    own_d, own_h = row_key()
+    marked = durable(docs.select(F.col("doc_id").isNull().alias("missing"), own_d.alias("d"), own_h.alias("h"), made.alias("sketch")), "sketches")
+    first = F.min(F.struct("missing", "d", "h")).alias("first")
     ordered = marked.groupBy("sketch").agg(first).orderBy("first")  # c follows the order of the rows that stay
     classes = durable(ordered.select(F.monotonically_increasing_id().alias("c"), "sketch", "first"), "sketch-classes")
     tree = components(similar(classes))
     rooted = classes.select("c", "first").join(tree, classes.c == tree.node, "left").groupBy(F.coalesce("root", "c")).agg(F.min("first").alias("first"))
-    kept = durable(rooted.select("first.doc_id", "first.h").distinct(), "kept")
-    h, nth, kept_id, kept_h = unused(docs, "h", "nth", "kept_id", "kept_h")
-    hashed = docs.withColumn(h, F.xxhash64("text"))
-    same = hashed.join(kept.toDF(kept_id, kept_h), F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(h) == F.col(kept_h)), "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id", h).orderBy(F.lit(1)))
+    kept = durable(rooted.select("first.d", "first.h").distinct(), "kept")
+    d, h, nth = unused(docs, "d", "h", "nth")
+    same = docs.select(*columns_of(docs), own_d.alias(d), own_h.alias(h)).join(kept.toDF(d, h), [d, h], "left_semi")
+    first = F.row_number().over(W.partitionBy(d, h).orderBy(F.lit(1)))  # dealt out as the join is
     return same.withColumn(nth, first).where(F.col(nth) == 1).select(*columns_of(docs))
 
 
