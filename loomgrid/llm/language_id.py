@@ -21,7 +21,7 @@ PER_LANGUAGE, SAMPLE = 300, 4000
 #: Bounds of the landmarks: pieces of a language, and of all (but one of each language).
 LANDMARKS, ALL_LANDMARKS = 64, 1024
 #: Pieces that are looked at at once.
-STRETCH = 256
+STRETCH = 64
 #: Tasks at most that sum the kernel over the sample: the driver adds up so many sums.
 TASKS = 12
 #: Parts of a language that pick their first texts apart, so no task meets more than so many times a language's quota.
@@ -167,7 +167,7 @@ def fit(sampled: DataFrame, ridge: float = RIDGE) -> dict:
     chosen = [np.array(g, dtype=np.int64).view(np.uint64) for c in classes for _, g in by_lang[c]]
     known = np.unique(np.concatenate(chosen))
     base, _ = presence([(np.zeros(len(g), dtype=np.int64), g, np.array([len(g)])) for g in chosen], Vocabulary(known))
-    dealt = sampled.select("lang", "draw", "text").coalesce(TASKS).sortWithinPartitions("lang", "draw")
+    dealt = sampled.select("lang", "draw", "text").repartition(TASKS).sortWithinPartitions("lang", "draw")
     sums = dealt.mapInArrow(_sums(classes, known, base), "pieces long, kk binary, ky binary").collect()  # a row a task, of 12 at most
     kk = sum(np.frombuffer(r["kk"]).reshape(len(base), -1) for r in sums)
     ky = sum(np.frombuffer(r["ky"]).reshape(len(base), -1) for r in sums)
