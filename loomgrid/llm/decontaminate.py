@@ -52,11 +52,13 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return named.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0).select(F.monotonically_increasing_id().alias("item"), "item_id", "words")
 
 
-def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, d, h, pos, words`` for each occurrence of a word in ``terms`` (word, term); ``words`` are the document's."""
+def occurrences(docs: DataFrame, terms: DataFrame, around: bool = False) -> DataFrame:
+    """``term, d, h, pos`` for each occurrence of a word in ``terms`` (word, term), and its ``around`` if asked for."""
     flat = docs.where("text IS NOT NULL").select(*_document_key(), words_of(F.col("text")).alias("words")).select("d", "h", "words", F.posexplode("words").alias("pos", "word"))
-    listed = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    return flat.join(listed, "word").select("term", "d", "h", "pos", "words")
+    more = [_around(F.col("words"), F.col("pos")).alias("around")] if around else []
+    if terms.count() <= BROADCAST_TERMS:
+        return flat.join(F.broadcast(terms), "word").select("term", "d", "h", "pos", *more)
+    return flat.select("d", "h", "pos", "word", *more).join(terms, "word").select("term", "d", "h", "pos", *["around"] * around)  # no row takes its document along
 
 
 def _around(words: Column, at: Column) -> Column:
@@ -86,7 +88,7 @@ def _agreeing(a: Column, b: Column, inside: Column) -> Column:
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The index: ``term, d, h, pos, around`` for each occurrence of a word in ``terms`` (word, term)."""
-    return occurrences(docs, terms).select("term", "d", "h", "pos", _around(F.col("words"), F.col("pos")).alias("around"))
+    return occurrences(docs, terms, around=True)
 
 
 def _anchors(placed: DataFrame, counts: DataFrame, window: int, near: int) -> DataFrame:

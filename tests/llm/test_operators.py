@@ -570,6 +570,16 @@ def test_contamination_matches_brute_force(spark):
     assert all(r.n_near >= r.n_items for r in out)
 
 
+def test_contamination_with_more_terms_than_are_broadcast(spark, monkeypatch):
+    rnd = random.Random(18)
+    items = spark.createDataFrame([(i, prose(rnd, "abcdefghij", 14)) for i in range(5)], "item_id long, text string")
+    texts = [r.text for r in items.collect()]
+    docs = spark.createDataFrame([(i, prose(rnd, "abcdefghij", 20) + " " + texts[i % 5][: 20 + i]) for i in range(20)], "doc_id long, text string")
+    want = sorted(map(str, decontaminate.contamination(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", 0)
+    assert sorted(map(str, decontaminate.contamination(docs, items).collect())) == want
+
+
 def test_contamination_of_a_text_full_of_starts(spark):
     items = [(i, f"a b c d e f g h i{i} j k l") for i in range(5)]
     text = " ".join(f"a b c d e f g h i{i % 6} j k l" for i in range(4000))
