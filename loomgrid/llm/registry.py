@@ -6,7 +6,7 @@ import importlib
 
 import corpus_pipeline
 
-MODULES = ("sharding", "quality_model", "substrings", "mixing", "html_text", "simhash", "quality_rules", "pii", "language_id", "decontaminate", "collocations", "prefix_trie")
+MODULES = ("sharding", "quality_model", "substrings", "mixing", "html_text", "simhash", "quality_rules", "pii", "language_id", "decontaminate", "lattice", "collocations", "prefix_trie")
 
 
 def _modules():
