@@ -126,6 +126,20 @@ def batch_stream(spark, sf_dir):
     return spark.read.parquet(sink).select("request_id", "content")
 
 
+def retry_stream(spark, sf_dir):
+    """Requests over three starts: success and refusals are final, what failed otherwise is asked again, three times at most; how often each was asked, and what came of it."""
+    source, sink, state = (new_path(spark, f"retries-{x}") for x in ("in", "out", "state"))
+    rows = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("request_id"), F.lit("alpha").alias("model_alias"), F.col("text").alias("prompt"))
+    writers.append_json(rows, source)
+    kind = F.length("prompt") % 4
+    ended = F.when(kind == 1, "fatal_failure").when((kind == 2) & (F.col("attempt") == 1) | (kind == 3), "retryable_failure").otherwise("success")
+    answer = lambda df: df.select("request_id", ended.alias("status"), text.mock_reply(F.col("prompt")).content.alias("content"))
+    for _ in range(3):
+        requests.run_batches(spark, source, sink, state, answer).awaitTermination()
+    out = spark.read.parquet(sink)
+    return out.groupBy("request_id").agg(F.count("*").alias("asked"), F.max_by("status", "attempt").alias("status"))
+
+
 def rate_stream(spark, sf_dir):
     """The log as a stream: requests and tokens of each provider and minute, late rows counted too."""
     source, out, state = (new_path(spark, f"rates-{x}") for x in ("in", "out", "state"))
@@ -155,7 +169,7 @@ def history_run(spark, sf_dir):
     return store.read().select("history_id")
 
 
-QUERIES = {f.__name__: f for f in (experiment_run, experiment_summary, experiment_log, judge_run, background_run, completion_boundary, judge_queues, batch_stream, rate_stream, observed_progress, history_run)}
+QUERIES = {f.__name__: f for f in (experiment_run, experiment_summary, experiment_log, judge_run, background_run, completion_boundary, judge_queues, batch_stream, retry_stream, rate_stream, observed_progress, history_run)}
 
 _S = "WITH s AS (SELECT item_id, alias, alias = 'beta' AND item_id % 10 = 7 AS late FROM benchmark, (VALUES ('alpha'), ('beta')) a(alias))"
 _B = "FROM (SELECT 'q' || item_id AS prompt, item_id % 5 = 0 AS refused, item_id % 3 = 0 AND item_id % 5 <> 0 AS twice, 'm' || (item_id % 2) AS judge FROM benchmark)"
@@ -168,6 +182,7 @@ ORACLE_SQL = {
     "completion_boundary": "SELECT prompt, CASE WHEN refused THEN 'failed' ELSE 'success' END AS status, CASE WHEN NOT refused THEN 're: ' || prompt END AS content, CASE WHEN refused THEN 'RuntimeError' END AS error_type, CASE WHEN refused THEN '401 unauthorized' END AS error_message, CASE WHEN NOT refused THEN 3 END AS total_tokens, CASE WHEN twice THEN 1 ELSE 0 END AS retry_count " + _B,
     "judge_queues": "SELECT prompt, judge, CASE WHEN judge = 'm1' OR refused THEN 'failed' ELSE 'success' END AS status, CASE WHEN judge = 'm1' THEN 'no such judge' WHEN refused THEN '401 unauthorized' END AS error_message " + _B,
     "batch_stream": "SELECT 'r' || item_id AS request_id, 'mock-response:' || text AS content FROM benchmark",
+    "retry_stream": "SELECT CAST(item_id AS VARCHAR) AS request_id, CAST(CASE length(text) % 4 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS BIGINT) AS asked, CASE length(text) % 4 WHEN 1 THEN 'fatal_failure' WHEN 3 THEN 'retryable_failure' ELSE 'success' END AS status FROM benchmark",
     "rate_stream": "WITH " + V.LOG + " SELECT time_bucket(INTERVAL '60 seconds', ts) AS since, provider, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM log GROUP BY 1, 2",
     "observed_progress": "SELECT count(*) AS done, count(*) FILTER (event_type <> 'error') AS succeeded FROM events",
     "history_run": "WITH " + V.MAPPING + _HIST + " SELECT history_id FROM both_",

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import retry, text
 from ..operators import runtime as R
-from ..streaming import requests
+from ..sources.scratch import new_path
+from ..streaming import limits, requests
 from . import views as V
 
 #: Texts between which a document's first words stand as a provider's error.
@@ -137,13 +138,40 @@ def rate_tumbling(spark, sf_dir):
     return requests.rates(V.log(spark, sf_dir), "provider")
 
 
+def _streamed(spark, sf_dir, bucket, **limit):
+    """The log as a stream in three starts, ever later thirds of its time; a last row of no bucket tells that all earlier ones are there."""
+    source, sink, state = (new_path(spark, f"limits-{x}") for x in ("in", "out", "state"))
+    log = V.log(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "provider", F.concat_ws("/", "provider", "model").alias("model"), "tokens")
+    first, last = log.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return spark.createDataFrame([], "event_id long, bucket string, wait double, window_requests long, window_tokens long")
+    third = F.floor(3 * (F.unix_micros("ts") - F.unix_micros(F.lit(first))) / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), (F.lit(last) + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit("").alias("provider"), F.lit("").alias("model"), F.lit(0).cast(log.schema["tokens"].dataType).alias("tokens"))
+    for k in range(3):
+        part = log.where(third == k)
+        (part if k < 2 else part.unionByName(end)).write.mode("append").parquet(source)
+        limits.admit(spark, source, log.schema, sink, state, bucket, seconds=3600, **limit)
+    return spark.read.schema("event_id long, bucket string, wait double, window_requests long, window_tokens long").parquet(f"{sink}/*")
+
+
 def rate_limiter_simulation(spark, sf_dir):
-    """What a sliding-log limiter of each provider's model would have made each request wait."""
-    log = V.log(spark, sf_dir).withColumn("bucket", F.concat_ws("/", "provider", "model"))
-    return requests.admissions(log, "bucket", 2, 500, 3600)
+    """What a sliding-log limiter of each provider's model makes each request of a stream wait."""
+    return _streamed(spark, sf_dir, "model", requests=2, tokens=500).select("event_id", "bucket", "wait")
+
+
+def rate_limiter_law(spark, sf_dir):
+    """By bucket: requests of the limited stream, those above the limit of tokens, and whether all others kept both limits at their admission."""
+    out = _streamed(spark, sf_dir, "model", requests=2, tokens=500)
+    kept = F.bool_and(F.col("wait").isNull() | (F.col("wait") >= 0) & (F.col("window_requests") <= 2) & (F.col("window_tokens") <= 500))
+    return out.groupBy("bucket").agg(F.count("*").alias("requests"), F.count_if(F.col("wait").isNull()).alias("never"), kept.alias("kept"))
+
+
+def rate_window_stream(spark, sf_dir):
+    """The trailing windows of ``rate_window_requests`` and ``rate_window_tokens``, from a stream."""
+    return _streamed(spark, sf_dir, "provider").select("event_id", "window_requests", "window_tokens")
 
 
-QUERIES = {f.__name__: f for f in (redact_text, sanitize_text, error_taxonomy, error_taxonomy_provider, retry_schedule, retry_after, retry_decision, retry_metadata, log_summary, log_last_success, checkpoint_replay, checkpoint_resume, rate_window_requests, rate_window_tokens, rate_violations, progress_running, stratified_first_n, row_positions, row_positions_wide, utc_stamps, console_lines, log_lines, rate_tumbling, rate_limiter_simulation)}
+QUERIES = {f.__name__: f for f in (redact_text, sanitize_text, error_taxonomy, error_taxonomy_provider, retry_schedule, retry_after, retry_decision, retry_metadata, log_summary, log_last_success, checkpoint_replay, checkpoint_resume, rate_window_requests, rate_window_tokens, rate_violations, progress_running, stratified_first_n, row_positions, row_positions_wide, utc_stamps, console_lines, log_lines, rate_tumbling, rate_limiter_simulation, rate_limiter_law, rate_window_stream)}
 
 _L = "WITH " + V.LOG
 _QUOTED = ", ".join("'" + e.replace("'", "''") + "'" for e in ERRORS)
@@ -193,6 +221,8 @@ SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || ' ' || rpad(provide
     "checkpoint_resume": _L + ", c AS (SELECT CAST(user_id AS VARCHAR) AS request_id, event_type FROM log QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) SELECT request_id FROM c WHERE event_type NOT IN ('purchase', 'signup')",
     "rate_window_requests": _WINDOW + " SELECT event_id, window_requests FROM w",
     "rate_window_tokens": _WINDOW + " SELECT event_id, window_tokens FROM w",
+    "rate_window_stream": _WINDOW + " SELECT event_id, window_requests, window_tokens FROM w",
+    "rate_limiter_law": _L + " SELECT provider || '/' || model AS bucket, count(*) AS requests, count(*) FILTER (tokens > 500) AS never, true AS kept FROM log GROUP BY 1",
     "rate_violations": _WINDOW + " SELECT event_id, provider FROM w WHERE window_requests > 8 OR window_tokens > 500",
     "progress_running": _L + " SELECT event_id, CAST(row_number() OVER (PARTITION BY provider ORDER BY ts, event_id) AS INTEGER) AS done, count(*) OVER (PARTITION BY provider) AS total FROM log",
     "stratified_first_n": "SELECT doc_id, lang, source, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS INTEGER) AS rk FROM documents QUALIFY rk <= 3",

@@ -1,15 +1,21 @@
-"""Streams: request batches with a checkpoint, live rates, and admission by a stateful limiter."""
+"""Request batches as a stream, each request asked until it has an answer that is final; live rates."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.readers import REQUEST
+from ..sources.scratch import durable
+from .stateful import make_folder, state_store
+
+#: States of a request that are final, and those after which it is asked again.
+FINAL, AGAIN = ("success", "fatal_failure"), ("retryable_failure", "pending")
 
 
 def request_id():
@@ -17,18 +23,88 @@ def request_id():
     return F.coalesce("request_id", F.sha2(F.to_json(F.struct("max_tokens", "messages", "model_alias", "prompt", "system_prompt", "temperature", "tools", "tool_choice", "thinking_budget_tokens")), 256))
 
 
-def run_batches(spark: SparkSession, source: str, sink: str, checkpoint: str, answer: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Answer the requests of JSON files as they come, once each, until none are left.
+class Asks(StatefulProcessor):
+    """When each request is asked: at once if it is new, again after an outcome that isn't final, up to so many times.
+
+    State of a request: how often it was asked, its last status, and its JSON until the
+    status is final. With ``wait`` it is asked again that many milliseconds later, by a timer.
+    """
 
-    Spark's checkpoint keeps the place in the source and, as state, the ids seen so far; the sink is never read.
-    Each batch writes a folder of its own, so one that runs again replaces what it wrote.
+    def __init__(self, most: int, wait: int) -> None:
+        self.most, self.wait = most, wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("request", "attempts int, status string, request string")
+
+    def _ask(self, key, attempts: int, request: str) -> pd.DataFrame:
+        self.state.update((attempts + 1, "pending", request))
+        return pd.DataFrame({"request_id": [key[0]], "request": [request], "attempt": [attempts + 1]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.state.get() if self.state.exists() else None
+        attempts, status, request = known if known else (0, None, None)
+        came, new = [], False
+        for some in rows:
+            for text, outcome, attempt in zip(some["request"], some["status"], some["attempt"]):
+                if pd.notna(outcome):
+                    came.append((int(attempt), outcome))
+                elif known is None and request is None:
+                    request, new = text, True
+        if new:
+            yield self._ask(key, 0, request)
+            return
+        if status in FINAL or request is None:
+            return
+        now = [outcome for attempt, outcome in came if attempt == attempts]  # what is said of earlier attempts is known already
+        if not now:
+            return
+        if any(outcome in FINAL for outcome in now):
+            self.state.update((attempts, next(o for o in FINAL if o in now), None))
+        elif attempts < self.most and self.wait:
+            self.state.update((attempts, "retryable_failure", request))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
+        elif attempts < self.most:
+            yield self._ask(key, attempts, request)
+        else:
+            self.state.update((attempts, "retryable_failure", None))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        attempts, status, request = self.state.get()
+        if status == "retryable_failure" and request is not None:
+            yield self._ask(key, attempts, request)
+
+    def close(self) -> None:
+        pass
+
+
+def run_batches(spark: SparkSession, source: str, sink: str, checkpoint: str, answer: Callable[[DataFrame], DataFrame], most: int = 3, wait: int = 0) -> StreamingQuery:
+    """Answer the requests of JSON files as they come, until each has a final answer or was asked ``most`` times.
+
+    ``answer`` gives a row for each request, with ``request_id`` and, if not all succeed, ``status``. Success and fatal failures
+    are final; a request that failed otherwise, or has no row, is asked again at the next start. With ``wait`` the stream
+    goes on until it is stopped, and asks again that many milliseconds after it has read of a failure. Spark's checkpoint keeps the place in both sources, requests and answers, and the state of each request.
+    A batch writes a folder of its own, so one that was cut short asks again and replaces what it wrote.
     """
-    stream = spark.readStream.schema(REQUEST).json(source).withColumn("request_id", request_id()).dropDuplicates(["request_id"])
+    make_folder(spark, sink)
+    asked = spark.readStream.schema(REQUEST).json(source).withColumn("request_id", request_id())
+    null = F.lit(None)
+    new = asked.select("request_id", F.to_json(F.struct(*asked.columns)).alias("request"), null.cast("string").alias("status"), null.cast("int").alias("attempt"))
+    said = spark.readStream.schema("request_id string, status string, attempt int").parquet(f"{sink}/*").select("request_id", null.cast("string").alias("request"), "status", "attempt")
+    due = new.unionByName(said).groupBy("request_id").transformWithStateInPandas(Asks(most, wait), "request_id string, request string, attempt int", "Append", "ProcessingTime" if wait else "None")
 
     def batch(df: DataFrame, epoch: int) -> None:
-        answer(df).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        todo = durable(df.withColumn("r", F.from_json("request", asked.schema)).select("r.*", "attempt"), "due")  # state is worked out once
+        told = answer(todo)
+        told = told if "status" in told.columns else told.withColumn("status", F.lit("success"))
+        rest = [c for c in told.columns if c not in ("request_id", "attempt")]
+        # a request without a row in the answer is pending
+        met = todo.select("request_id", "attempt").join(told.select("request_id", *rest), "request_id", "left")
+        met.withColumn("status", F.coalesce("status", F.lit("pending"))).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with state_store(spark):
+        ready = due.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        return (ready.trigger(processingTime="1 second") if wait else ready.trigger(availableNow=True)).start()
 
 
 def rates(events: DataFrame, by: str, seconds: int = 60, late: str = "5 minutes") -> DataFrame:
@@ -36,36 +112,3 @@ def rates(events: DataFrame, by: str, seconds: int = 60, late: str = "5 minutes"
     events = events.withWatermark("ts", late) if events.isStreaming else events
     out = events.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), by).agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"))
     return out.select(F.col("w.start").alias("since"), by, "requests", "tokens")
-
-
-def admissions(log: DataFrame, bucket: str, requests: int, tokens: int, seconds: int = 60) -> DataFrame:
-    """``event_id, bucket, wait``: what a sliding-log limiter would have made each request wait.
-
-    Admission depends on all earlier admissions of its bucket, so it is a fold in time
-    order; each bucket's rows stream through in batches and the state is one window.
-    """
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    ordered = log.select("event_id", F.col(bucket).alias("bucket"), micros.alias("t"), "tokens").repartition("bucket").sortWithinPartitions("bucket", "t", "event_id")
-
-    def run(batches):
-        from collections import deque
-
-        now, at, past, held = None, 0, deque(), 0
-        for batch in batches:
-            waits = []
-            for b, t, n in zip(batch["bucket"], batch["t"], batch["tokens"]):
-                if b != now:
-                    now, at, past, held = b, t, deque(), 0
-                at = max(at, t)
-                if tokens and n > tokens:
-                    waits.append(None)
-                    continue
-                while past and (past[0][0] <= at - seconds * 1_000_000 or requests and len(past) >= requests or tokens and held + n > tokens):
-                    first, own = past.popleft()
-                    at, held = max(at, first + seconds * 1_000_000), held - own
-                past.append((at, n))
-                held += n
-                waits.append((at - t) / 1e6)
-            yield pd.DataFrame({"event_id": batch["event_id"], "bucket": batch["bucket"], "wait": pd.array(waits, dtype="Float64")})
-
-    return ordered.mapInPandas(run, "event_id long, bucket string, wait double")
