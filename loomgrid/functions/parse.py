@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ NONE_LABEL = "__NONE__"
 ANSWER = r"(?is)<\s*final_answer\s*>(.*?)<\s*/\s*final_answer\s*>"
 #: What a cell's status may be.
 CELL_STATUSES = ("success", "failed", "rate_limited", "not_requested", "pending", "retrying")
+#: Cells without a value, told at their first sign.
+BLANK, MISSING = r"(?U)\A\s*\z", r"(?U)\A\s*(?:__missing__)?\s*\z"
 CELL = "struct<status:string,response:string,error_message:string,metadata:string>"
 
 
@@ -51,31 +55,45 @@ def encode_cell(status: Column, response: Column, error: Column, metadata: Colum
     return F.to_json(F.struct(*fields, response.alias("response"), status.alias("status")))
 
 
-def _object(text: Column) -> Column:
-    parsed = F.try_parse_json(text)
-    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+def _once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)``, with ``value`` worked out once for a row however often it is used: as the element of an array of one."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def worked_out(value: Column) -> Column:
+    """``value`` as the generated column of a row, so what is made of it later doesn't repeat its work."""
+    return F.explode(F.array(value))
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
 def _text_of(v: Column, path: str) -> Column:
-    got = F.try_variant_get(v, path, "variant")
-    return F.when(F.schema_of_variant(got) == "STRING", F.try_variant_get(v, path, "string")).when(got.isNotNull() & ~F.is_variant_null(got), F.to_json(got))
+    """A field as text: a string as it is, anything else but null as JSON."""
+    return _once(F.try_variant_get(v, path, "variant"), lambda got: F.when(F.schema_of_variant(got) == "STRING", F.try_variant_get(got, "$", "string")).when(got.isNotNull() & ~F.is_variant_null(got), F.to_json(got)))
 
 
 def decode_cell(text: Column) -> Column:
-    """The cell (``CELL``) of its JSON; a blank is null, anything malformed or of unknown status an error."""
-    v = _object(text)
-    status = F.try_variant_get(v, "$.status", "string")
-    meta = F.try_variant_get(v, "$.metadata", "variant")
-    bad = F.when(v.isNull(), F.lit("a cell must be a JSON object")).when(status.isNull() | ~status.isin(*CELL_STATUSES), F.lit("a cell has an unknown status"))
-    cell = F.struct(status.alias("status"), _text_of(v, "$.response").alias("response"), _text_of(v, "$.error_message").alias("error_message"), F.when(F.schema_of_variant(meta).startswith("OBJECT"), F.to_json(meta)).alias("metadata"))
-    return F.when(F.coalesce(strip(text), F.lit("")) == "", F.lit(None).cast(CELL)).when(bad.isNotNull(), F.raise_error(F.concat(bad, F.lit(": "), text)).cast(CELL)).otherwise(cell)
+    """The cell (``CELL``) of its JSON; a blank is null, anything malformed or of unknown status an error. A cell is parsed once."""
+
+    def cell(v: Column) -> Column:
+        status, meta = F.try_variant_get(v, "$.status", "string"), F.try_variant_get(v, "$.metadata", "variant")
+        made = F.struct(status.alias("status"), _text_of(v, "$.response").alias("response"), _text_of(v, "$.error_message").alias("error_message"), F.when(_is_object(meta), F.to_json(meta)).alias("metadata"))
+        error = lambda what: F.raise_error(F.concat(F.lit(what), F.lit(": "), text)).cast(CELL)
+        return F.when(~_is_object(v), error("a cell must be a JSON object")).when(~F.coalesce(status.isin(*CELL_STATUSES), F.lit(False)), error("a cell has an unknown status")).otherwise(made)
+
+    return F.when(F.coalesce(text, F.lit("")).rlike(BLANK), F.lit(None).cast(CELL)).otherwise(_once(F.try_parse_json(text), cell))
 
 
 def lenient_cell(text: Column) -> Column:
     """As ``decode_cell``, but blanks, ``__missing__`` and anything unreadable are null."""
-    v = _object(text)
-    cell = F.struct(F.try_variant_get(v, "$.status", "string").alias("status"), _text_of(v, "$.response").alias("response"), _text_of(v, "$.error_message").alias("error_message"), F.lit(None).cast("string").alias("metadata"))
-    return F.when(v.isNotNull() & ~strip(text).isin("", "__missing__"), cell)
+
+    def cell(v: Column) -> Column:
+        made = F.struct(F.try_variant_get(v, "$.status", "string").alias("status"), _text_of(v, "$.response").alias("response"), _text_of(v, "$.error_message").alias("error_message"), F.lit(None).cast("string").alias("metadata"))
+        return F.when(_is_object(v), made)
+
+    return F.when(~text.rlike(MISSING), _once(F.try_parse_json(text), cell))
 
 
 def response_text(v: Column) -> Column:

@@ -17,14 +17,14 @@ from collections.abc import Awaitable, Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import Provider, RateLimit, Retry
 from ..functions import retry as rules
 from ..functions.text import last_user, mock_reply
 
-RESULT = "content string, status string, error_type string, error_message string, prompt_tokens int, completion_tokens int, total_tokens int, latency_ms double, retry_count int"
+RESULT = "content string, status string, error_type string, error_message string, prompt_tokens int, completion_tokens int, total_tokens int, latency_ms double, retry_count int, began_at double, ended_at double"
 Ask = Callable[[dict], Awaitable[dict]]
 
 
@@ -140,22 +140,90 @@ class Window:
 
 
 async def _one(request: dict, ask: Ask, policy: Retry, window: Window | None, timeout: float, sleep) -> dict:
-    began, attempt = time.monotonic(), 0
+    began, at, attempt = time.monotonic(), time.time(), 0
+
+    def ended(**rest) -> dict:
+        spent = time.monotonic() - began
+        return {**rest, "latency_ms": spent * 1000, "retry_count": attempt - 1, "began_at": at, "ended_at": at + spent}
+
     while True:
         attempt += 1
         try:
-            if window is not None:
-                await window.acquire(str(request.get("provider") or "default"), int(request.get("tokens") or 0))
+            if window is not None and request.get("lease"):
+                await window.acquire(request["lease"], int(request.get("tokens") or 0))
             reply = await asyncio.wait_for(ask(request), timeout)
-            return {"status": "success", **reply, "latency_ms": (time.monotonic() - began) * 1000, "retry_count": attempt - 1}
+            return ended(**{"status": "success", **reply})
         except Exception as error:  # noqa: BLE001 - whatever a model call raises is a row
             next_ = resolve(attempt, error, policy, request.get("provider"))
             if next_.terminal_status:
                 root = root_of(error)
-                return {"status": next_.terminal_status, "error_type": type(root).__name__, "error_message": str(root) or type(root).__name__, "latency_ms": (time.monotonic() - began) * 1000, "retry_count": attempt - 1}
+                return ended(status=next_.terminal_status, error_type=type(root).__name__, error_message=str(root) or type(root).__name__)
             await sleep(next_.wait)
 
 
+def _row_hash(requests: DataFrame, by: str | None = None) -> Column:
+    return F.xxhash64(*([by] if by else [c for c in requests.columns if "map<" not in requests.schema[c].dataType.simpleString()]))
+
+
+def shares(limit: RateLimit, n: int) -> list[RateLimit]:
+    """A limit in ``n`` parts that add up to it; those that get one more come first."""
+
+    def parts(x: int) -> list[int]:
+        return [x // n + (i < x % n) for i in range(n)]
+
+    return [RateLimit(r, t) for r, t in zip(parts(limit.requests_per_minute), parts(limit.tokens_per_minute))]
+
+
+def leased(requests: DataFrame, limits: dict[str, RateLimit], tasks: int, providers: dict[str, Provider] | None = None, serial: str | None = None) -> tuple[DataFrame, dict[str, RateLimit]]:
+    """Requests (provider, and if there are profile, tokens) dealt out with the column ``lease``, and the limit of each lease.
+
+    A limit is a provider's (``p``), a profile's of it (``p/x``), or ``default`` for all others. It is dealt
+    out to as many leases as there are tasks, but to no more than it has requests, nor so many that the
+    largest request that it admits would be above a share. So leases add up to the limit exactly, and what the whole limit admits some lease does.
+    A lease's requests stand in one task. With ``providers`` the requests also carry ``gate`` and ``width`` (see ``gated``).
+    """
+    provider = F.coalesce(F.col("provider") if "provider" in requests.columns else F.lit(None).cast("string"), F.lit("default"))
+    profile = F.concat_ws("/", provider, "profile") if "profile" in requests.columns else provider
+    named = [k for k in limits if k != "default"]
+    bucket = F.when(profile.isin(*named), profile).when(provider.isin(*named), provider) if named else F.lit(None).cast("string")
+    bucket = F.coalesce(bucket, F.lit("default" if "default" in limits else None).cast("string"))
+    tokens = F.coalesce(F.col("tokens"), F.lit(0)) if "tokens" in requests.columns else F.lit(0)
+    most = F.lit(None).cast("long")
+    for k, x in limits.items():
+        most = F.when(bucket == k, F.lit(x.tokens_per_minute)).otherwise(most)
+    met = requests.select(bucket.alias("b"), F.when((most == 0) | (tokens <= most), tokens).alias("t")).where("b IS NOT NULL")
+    largest = {r["b"]: r["t"] or 0 for r in met.groupBy("b").agg(F.max("t").alias("t")).collect()}  # a row a limit
+
+    def unit(name: str) -> str:
+        """A provider with all its limits is dealt out in the same way, so that a request's lease and gate are in one task."""
+        return name.split("/")[0]
+
+    n: dict[str, int] = {}
+    for k, x in limits.items():
+        fit = [tasks, x.requests_per_minute or tasks, x.tokens_per_minute // max(1, largest.get(k, 0)) if x.tokens_per_minute else tasks]
+        n[unit(k)] = max(1, min([n.get(unit(k), tasks), *fit]))
+    for k, p in (providers or {}).items():
+        if p.max_concurrency or p.per_model_concurrency:
+            n[k] = min(n.get(k, tasks), p.per_model_concurrency or p.max_concurrency)
+    own = F.when(provider.isin(*n), provider).otherwise("default") if n else F.lit("default")
+    parts = F.lit(n.get("default", tasks))
+    for k, m in n.items():
+        parts = F.when(own == k, m).otherwise(parts)
+    salt = F.pmod(_row_hash(requests, serial), parts).cast("int")
+    limit, key = F.lit(0), F.lit(None).cast("string")
+    for name, p in sorted((providers or {}).items()):
+        if p.max_concurrency or p.per_model_concurrency:
+            limit = F.when(provider == name, p.per_model_concurrency or p.max_concurrency).otherwise(limit)
+            key = F.when(provider == name, F.concat_ws("/", F.lit(name), F.col("alias")) if p.per_model_concurrency else F.lit(name)).otherwise(key)
+    marked = requests.withColumns({
+        "lease": F.when(bucket.isNotNull(), F.concat_ws("#", bucket, salt.cast("string"))),
+        "gate": F.when(limit > 0, F.concat_ws("#", key, salt.cast("string"))),
+        "width": F.when(limit > 0, F.floor(limit / parts) + F.when(salt < limit % parts, 1).otherwise(0)).cast("int"),
+    })
+    held = {f"{k}#{i}": x for k, limit_ in limits.items() for i, x in enumerate(shares(limit_, n[unit(k)]))}
+    return marked.repartition(tasks, own, salt), held
+
+
 def gated(requests: DataFrame, providers: dict[str, Provider], tasks: int) -> DataFrame:
     """Requests (provider, alias) dealt out to ``tasks`` tasks with the columns ``gate`` and ``width``.
 
@@ -170,18 +238,18 @@ def gated(requests: DataFrame, providers: dict[str, Provider], tasks: int) -> Da
             limit = F.when(F.col("provider") == name, p.per_model_concurrency or p.max_concurrency).otherwise(limit)
             key = F.when(F.col("provider") == name, own).otherwise(key)
     gates = F.least(limit, F.lit(tasks))
-    salt = F.pmod(F.xxhash64(*requests.columns), F.greatest(gates, F.lit(1))).cast("int")
+    salt = F.pmod(_row_hash(requests), F.greatest(gates, F.lit(1))).cast("int")
     width = F.when(limit > 0, F.floor(limit / gates) + F.when(salt < limit % gates, 1).otherwise(0)).cast("int")
     dealt = F.coalesce(F.concat_ws("#", key, F.when(key.isNotNull(), salt.cast("string"))), F.lit(""))
     marked = requests.withColumns({"gate": F.when(limit > 0, dealt), "width": width})
-    return marked.repartition(tasks, F.coalesce("gate", F.pmod(F.xxhash64(*requests.columns), F.lit(tasks)).cast("string")))
+    return marked.repartition(tasks, F.coalesce("gate", F.pmod(_row_hash(requests), F.lit(tasks)).cast("string")))
 
 
 def scheduled(requests: DataFrame, mode: str, by: str = "alias") -> DataFrame:
     """``grouped``: a model's requests follow each other in one task; ``interleaved``: they are mixed with the others."""
     if mode not in ("grouped", "interleaved"):
         raise ValueError(f"unknown schedule {mode}")
-    mixed = F.xxhash64(*[c for c in requests.columns if not requests.schema[c].dataType.simpleString().startswith("map")])
+    mixed = _row_hash(requests)
     return requests.repartition(by).sortWithinPartitions(by, mixed) if mode == "grouped" else requests.repartition(mixed).sortWithinPartitions(mixed)
 
 
@@ -193,27 +261,30 @@ def observed(results: DataFrame, name: str = "progress") -> tuple[DataFrame, Obs
 
 def complete(
     requests: DataFrame, make_ask: Callable[..., Ask], policy: Retry = Retry(), limits: dict[str, RateLimit] | None = None, workers: int = 8, timeout: float = 120.0, partitions: int | None = None, sleep=asyncio.sleep,
-    providers: dict[str, Provider] | None = None, queues: str | None = None,
+    providers: dict[str, Provider] | None = None, queues: str | None = None, serial: str | None = None,
 ) -> DataFrame:
     """``requests`` with the columns of ``RESULT``.
 
     ``make_ask`` is called once per task; its result answers a request (a dict of the
-    row) with a dict of content and token counts. Rate limits hold per task: with
-    ``limits`` given, requests go to ``partitions`` tasks and each gets its share. ``providers`` bound what runs at once
+    row) with a dict of content and token counts. ``limits`` hold over all ``partitions`` tasks (see ``leased``). ``providers`` bound what runs at once
     over all tasks (see ``gated``). ``queues`` names a column, a judge's for instance: each of its values has
-    ``workers`` of its own and an ask of its own (``make_ask(value)``), and where that can't be made only its rows fail.
+    ``workers`` of its own and an ask of its own (``make_ask(value)``), and where that can't be made only its rows fail. ``serial`` names a
+    column whose values' requests follow each other, one call at a time, while other values' go on beside them; with limits, a value's requests are of one provider.
     """
-    if limits:
-        n = partitions or 1
-        requests = requests.repartition(n)
-        limits = {b: RateLimit(-(-x.requests_per_minute // n), -(-x.tokens_per_minute // n)) for b, x in limits.items()}
     names = [c.split()[0] for c in RESULT.split(", ")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema), RESULT])
-    asked = gated(requests, providers, partitions or 1) if providers else requests
-    own = list(requests.columns)
+    own, held = list(requests.columns), {}
+    if limits:
+        asked, held = leased(requests, limits, partitions or 1, providers, serial)
+    elif providers:
+        asked = gated(requests, providers, partitions or 1)
+    else:
+        asked = requests
+    if serial:
+        asked = (asked if limits else asked.repartition(partitions, serial) if partitions else asked.repartition(serial)).sortWithinPartitions(serial, _row_hash(requests))
 
     def run(batches):
-        asks, window = {}, Window(limits, sleep=sleep) if limits else None
+        asks, window = {}, Window(held, sleep=sleep) if limits else None
 
         def ask_of(value):
             if value not in asks:
@@ -230,13 +301,14 @@ def complete(
             return asks[value]
 
         async def all_of(rows: list[dict]) -> list[dict]:
+            turns = {r[serial]: asyncio.Lock() for r in rows} if serial else {}  # taken in the order of asking
             widths = {r["gate"]: int(r["width"]) for r in rows if r.get("gate")} if providers else {}
             gates = {k: asyncio.Semaphore(w) for k, w in widths.items()}
             crews = {r[queues] if queues else None: asyncio.Semaphore(workers) for r in rows}
 
             async def held(row: dict) -> dict:
                 queue = row[queues] if queues else None
-                async with gates.get(row.get("gate") if providers else None, contextlib.nullcontext()), crews[queue]:
+                async with turns.get(row[serial] if serial else None, contextlib.nullcontext()), gates.get(row.get("gate") if providers else None, contextlib.nullcontext()), crews[queue]:
                     return await _one(row, ask_of(queue), policy, window, timeout, sleep)
 
             return await asyncio.gather(*map(held, rows))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.parse import final_answer, lenient_cell, verdict_status
+from ..functions.parse import final_answer, lenient_cell, verdict_status, worked_out
 from ..functions.text import MESSAGES, strip
 from .personas import pending, upsert
 from .runtime import positions
@@ -51,7 +51,7 @@ def cell_reason(prompt_id: Column, cell: Column, parsed: Column) -> Column:
 
 def matrix_cells_labelled(wide: DataFrame, aliases: list[str]) -> DataFrame:
     """Each cell of a wide matrix, read leniently, with its ``reason``."""
-    long = wide.unpivot(["prompt_id", "prompt"], [F.col(f"`{a}`") for a in aliases], "alias", "cell").withColumn("c", lenient_cell(F.col("cell")))
+    long = wide.unpivot(["prompt_id", "prompt"], [F.col(f"`{a}`") for a in aliases], "alias", "cell").withColumn("c", worked_out(lenient_cell(F.col("cell"))))
     return long.withColumn("reason", cell_reason(F.col("prompt_id"), F.col("cell"), F.col("c")))
 
 

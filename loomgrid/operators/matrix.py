@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import Grid
 from ..functions import ids
-from ..functions.parse import decode_cell, encode_cell
+from ..functions.names import columns_of, unused
+from ..functions.parse import decode_cell, encode_cell, worked_out
 from ..functions.text import MESSAGES, canonical_messages, with_system
 from .personas import pending, upsert
 
@@ -32,8 +33,8 @@ def grid(systems: DataFrame | None, statics: DataFrame | None, requests: DataFra
     ``systems`` (no, system), ``statics`` (no, turns), ``requests`` (no, user).
     """
     out = requests.select(F.col("no").alias("r"), F.col("user").alias("final"))
-    out = out.crossJoin(F.broadcast(statics.select(F.col("no").alias("t"), "turns"))) if statics is not None else out.withColumns({"t": F.lit(0), "turns": F.lit(None).cast(MESSAGES)})
-    out = out.crossJoin(F.broadcast(systems.select(F.col("no").alias("s"), "system"))) if systems is not None else out.withColumns({"s": F.lit(0), "system": F.lit(None).cast("string")})
+    out = out.crossJoin(statics.select(F.col("no").alias("t"), "turns")) if statics is not None else out.withColumns({"t": F.lit(0), "turns": F.lit(None).cast(MESSAGES)})
+    out = out.crossJoin(systems.select(F.col("no").alias("s"), "system")) if systems is not None else out.withColumns({"s": F.lit(0), "system": F.lit(None).cast("string")})
     last = F.array(F.struct(F.col("final").alias("content"), F.lit("user").alias("role")))
     messages = F.when(F.col("turns").isNotNull(), F.concat(F.col("turns").cast(MESSAGES), last))
     return out.select(F.struct("s", "t", "r").alias("prompt_no"), "system", F.when(F.col("turns").isNull(), F.col("final")).alias("user"), messages.alias("messages"))
@@ -70,7 +71,7 @@ def cells(prompts_: DataFrame, aliases: list[str], run_cells: DataFrame | None =
 def to_wide(cells_: DataFrame, aliases: list[str], value: Column | None = None) -> DataFrame:
     """One row per prompt, a column of cell JSON (or ``value``) per alias."""
     cell = encode_cell(F.col("status"), F.col("response"), F.col("error_message")) if value is None else value
-    return cells_.withColumn("__v", cell).groupBy("prompt_id", "prompt").pivot("alias", aliases).agg(F.first("__v"))
+    return cells_.groupBy("prompt_id", "prompt").pivot("alias", aliases).agg(F.first(cell))
 
 
 def to_long(wide: DataFrame, aliases: list[str] | None = None) -> DataFrame:
@@ -79,7 +80,7 @@ def to_long(wide: DataFrame, aliases: list[str] | None = None) -> DataFrame:
         raise ValueError("a matrix starts with prompt_id and has a prompt column")
     aliases = aliases if aliases is not None else [c for c in wide.columns if c not in ("prompt_id", "prompt")]
     long = wide.unpivot(["prompt_id", "prompt"], [F.col(f"`{a}`") for a in aliases], "alias", "cell")
-    return long.withColumn("c", decode_cell(F.col("cell"))).select("prompt_id", "prompt", "alias", "c.*")
+    return long.withColumn("c", worked_out(decode_cell(F.col("cell")))).select("prompt_id", "prompt", "alias", "c.*")
 
 
 def filter_rows(cells_: DataFrame, models: list[str] | None = None, prompt_contains: str | None = None, status: str | None = None, all_complete: bool = False, min_success: int | None = None) -> DataFrame:
@@ -150,7 +151,15 @@ def to_run(grid_: DataFrame, cells_: DataFrame) -> DataFrame:
 
 
 def write_cells(cells_: DataFrame, new: DataFrame) -> DataFrame:
-    return upsert(cells_, new, ["prompt_id", "alias"])
+    """Cells with the values of ``new``; a cell that the matrix doesn't have, or two values of one, is an error as rows are made."""
+    key = ["prompt_id", "alias"]
+    n, known = unused(new, "n", "known")
+    times = new.groupBy(*key).agg(F.count("*").alias(n))
+    met = new.join(times, key).join(cells_.select(*key).distinct().withColumn(known, F.lit(True)), key, "left")
+    cell = F.concat_ws(" / ", *key)
+    bad = F.when(F.col(known).isNull(), F.concat(F.lit("no such cell: "), cell)).when(F.col(n) > 1, F.concat(F.lit("two values of one cell: "), cell))
+    checked = F.when(bad.isNull(), F.col("status")).otherwise(F.raise_error(bad).cast("string"))
+    return upsert(cells_, met.withColumn("status", checked).select(*columns_of(new)), key)
 
 
 def append_missing(cells_: DataFrame, prompts_: DataFrame, aliases: list[str]) -> DataFrame:

@@ -32,9 +32,11 @@ def combinations(mapping: DataFrame) -> DataFrame:
 
 
 def combination_counts(mapping: DataFrame) -> DataFrame:
-    """Combinations per dimension value, without making them."""
+    """Combinations per dimension value, without making them: the exact product, an error from 10^38 on."""
     n = mapping.groupBy("dimension", "dimension_value", "indicator_name").agg(F.count("*").alias("n"))
-    return n.groupBy("dimension", "dimension_value").agg(F.round(F.exp(F.sum(F.ln("n")))).cast("long").alias("combinations"))
+    listed = n.groupBy("dimension", "dimension_value").agg(F.collect_list(F.col("n").cast("decimal(38,0)")).alias("ns"))  # a number an indicator
+    times = F.aggregate("ns", F.lit(1).cast("decimal(38,0)"), lambda acc, x: F.coalesce((acc * x).cast("decimal(38,0)"), F.raise_error(F.lit("more than 10^38 combinations")).cast("decimal(38,0)")))
+    return listed.select("dimension", "dimension_value", times.alias("combinations"))
 
 
 def dimension_values(backgrounds: DataFrame) -> DataFrame:

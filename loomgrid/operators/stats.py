@@ -72,20 +72,32 @@ def fisher(table: DataFrame) -> DataFrame:
     return tables.agg(F.least(F.lit(1.0), F.coalesce(F.sum(F.when(F.col("p") <= math.exp(seen) * (1 + 1e-7), F.col("p"))), F.lit(0.0))).alias("p_value"))
 
 
-def upper_tail(chi2: Column, dof: Column) -> Column:
-    """Chance that a chi-squared variable of so many degrees of freedom is ``chi2`` or more; null without a degree of freedom.
+def log_upper_tail(chi2: Column, dof: Column) -> Column:
+    """ln of the chance that a chi-squared variable of so many degrees of freedom is ``chi2`` or more; null without a degree of freedom.
 
-    One minus the series of the lower incomplete gamma function, as far as its terms count. Beyond 2000 plus
-    twice the degrees of freedom nothing is left.
+    The regularised upper incomplete gamma function: one minus the series of the lower one where that
+    is the smaller part, the continued fraction elsewhere, whose relative error doesn't grow as the chance falls.
     """
-    s, x = dof.cast("double") / 2, chi2 / 2
-    terms = F.sequence(F.lit(0), F.ceil(x + 12 * F.sqrt(x) + 60).cast("int"))
-    lower = F.aggregate(terms, F.lit(0.0), lambda acc, n: acc + F.exp(-x + (s + n) * F.ln(x) - log_gamma(s + n + 1)))
-    return F.when(dof <= 0, F.lit(None).cast("double")).when(chi2 <= 0, 1.0).when(chi2 > 2000 + 2 * dof, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - lower))
+    s, x = dof.cast("double") / 2, chi2.cast("double") / 2
+    lead = s * F.ln(x) - x - log_gamma(s)
+    terms = F.sequence(F.lit(1), F.ceil(x + 12 * F.sqrt(x) + 60).cast("int"))
+    start = F.struct((1 / s).alias("term"), (1 / s).alias("sum"))
+    series = F.aggregate(terms, start, lambda acc, n: F.struct((acc.term * x / (s + n)).alias("term"), (acc.sum + acc.term * x / (s + n)).alias("sum")))["sum"]
+    low = F.ln(F.lit(1.0) - F.exp(lead) * series)
+    # from the innermost fraction outwards: x + 1 - s - 1 (1 - s) / (x + 3 - s - 2 (2 - s) / ...)
+    depth = F.ceil(F.lit(60) + 12 * F.sqrt(s)).cast("int")
+    inner = F.aggregate(F.sequence(depth, F.lit(1), F.lit(-1)), F.lit(0.0), lambda acc, i: i * (s - i) / (x + 2 * i + 1 - s + acc))
+    high = lead - F.ln(x + 1 - s + inner)
+    return F.when(dof <= 0, F.lit(None).cast("double")).when(chi2 <= 0, 0.0).when(x < s + 1, low).otherwise(high)
+
+
+def upper_tail(chi2: Column, dof: Column) -> Column:
+    """The chance itself; 0 where it is below the smallest double."""
+    return F.exp(log_upper_tail(chi2, dof))
 
 
 def chi_squared(rows: DataFrame, group: str, option: str) -> DataFrame:
-    """Pearson's statistic, degrees of freedom, n, Cramér's V and its label, of a cross table; p, and p with Yates' correction at one degree."""
+    """Pearson's statistic, degrees of freedom, n, Cramér's V and its label, of a cross table; p, its ln, and p with Yates' correction at one degree."""
     cells = rows.where(F.col(group).isNotNull() & F.col(option).isNotNull()).groupBy(F.col(group).alias("g"), F.col(option).alias("o")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(W.partitionBy())
     # sum over all cells of (O - E)^2 / E is n (sum of O^2 / (row * column) - 1): empty cells need no rows
@@ -107,42 +119,4 @@ def chi_squared(rows: DataFrame, group: str, option: str) -> DataFrame:
     off = F.sqrt(chi / inverse)  # at one degree of freedom all cells are as far from E
     yates = F.when(dof == 1, F.pow(F.greatest(F.lit(0.0), off - 0.5), F.lit(2)) * inverse).otherwise(chi)
     plain = one.select(chi.alias("chi2"), dof.alias("dof"), F.coalesce("n", F.lit(0)).alias("n"), v.alias("cramers_v"), label.alias("strength"), yates.alias("yates"))
-    return plain.select("chi2", "dof", "n", "cramers_v", "strength", upper_tail(F.col("chi2"), F.col("dof")).alias("p_value"), upper_tail(F.col("yates"), F.col("dof")).alias("p_yates"))
-
-
-def chi_squared_p(rows: DataFrame, group: str, option: str, options: list[str], yates: bool = True) -> float:
-    """p of Pearson's test, with Yates' correction for one degree of freedom if asked. The table comes to the driver."""
-    table = [[r[o] for o in options] for r in contingency(rows, group, option, options).collect()]
-    sums, columns = [sum(r) for r in table], [sum(c) for c in zip(*table)]
-    n, dof = sum(sums), (len(sums) - 1) * (len(columns) - 1)
-    gap_ = 0.5 if yates and dof == 1 else 0.0
-    stat = sum(max(0.0, abs(o - s * c / n) - gap_) ** 2 / (s * c / n) for r, s in zip(table, sums) for o, c in zip(r, columns))
-    return _upper_gamma(dof / 2, stat / 2)
-
-
-def _upper_gamma(s: float, x: float) -> float:
-    """Regularised upper incomplete gamma: the series below s + 1, else the continued fraction."""
-    from math import exp, lgamma, log
-
-    if x <= 0:
-        return 1.0
-    lead = exp(-x + s * log(x) - lgamma(s))
-    if x < s + 1:
-        term = total = 1 / s
-        k = s
-        while term > total * 1e-16:
-            k += 1
-            term *= x / k
-            total += term
-        return 1 - total * lead
-    b, c = x + 1 - s, 1e300
-    d = h = 1 / b
-    for i in range(1, 500):
-        a = -i * (i - s)
-        b += 2
-        d = 1 / (a * d + b)
-        c = b + a / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return h * lead
+    return plain.select("chi2", "dof", "n", "cramers_v", "strength", upper_tail(F.col("chi2"), F.col("dof")).alias("p_value"), log_upper_tail(F.col("chi2"), F.col("dof")).alias("log_p"), upper_tail(F.col("yates"), F.col("dof")).alias("p_yates"))

@@ -39,7 +39,8 @@ def combo_product(spark, sf_dir):
 
 
 def combo_counts_by_value(spark, sf_dir):
-    return P.combination_counts(V.mapping(spark, sf_dir))
+    counts = P.combination_counts(V.mapping(spark, sf_dir))
+    return counts.withColumn("combinations", F.col("combinations").cast("long"))
 
 
 def _done(spark, sf_dir):

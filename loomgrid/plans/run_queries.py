@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import asyncio
+
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import api
-from ..config import Experiment, Judging, Provider, Retry
+from ..config import Experiment, Judging, Provider, RateLimit, Retry
 from ..functions import text
 from ..operators import completion as C
 from ..operators import personas as P
 from ..operators import runtime as R
 from ..sources import readers, writers
+from ..sources.journal import Journal
 from ..sources.scratch import durable, new_path
 from ..streaming import requests
 from . import views as V
@@ -21,8 +26,13 @@ def _mock(df):
     return C.mock_complete(df).withColumn("error_message", F.lit(None).cast("string"))
 
 
+def _asked():
+    """A benchmark item as a prompt that no other has."""
+    return F.concat("text", F.lit(" #"), "item_id")
+
+
 def _specs(spark, sf_dir):
-    return V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("prompt_no"), F.lit(None).cast("string").alias("system"), F.concat(F.lit("q"), "item_id").alias("user"), F.lit(None).cast(text.MESSAGES).alias("messages"))
+    return V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("prompt_no"), F.lit(None).cast("string").alias("system"), _asked().alias("user"), F.lit(None).cast(text.MESSAGES).alias("messages"))
 
 
 def _experiment(spark, sf_dir, log=None):
@@ -50,6 +60,72 @@ def experiment_log(spark, sf_dir):
     return R.log_summary(readers.log(spark, path), ["model"]).drop("last_success")
 
 
+def _broken_off(spark, sf_dir):
+    """An experiment that breaks off after three of its batches and is started again: the second run, the first one's journal, and where each asking was noted."""
+    store = writers.Store(spark, new_path(spark, "broken"), ["prompt_id", "alias"])
+    notes, calls = new_path(spark, "asked"), []
+
+    def answer(breaks):
+        def ask(df):
+            calls.append(1)
+            if breaks and len(calls) > 3:
+                raise ConnectionError("the model is gone")
+            df.select("prompt_id", "alias").write.mode("append").parquet(notes)
+            return _mock(df)
+
+        return ask
+
+    conf, seen = Experiment("e", ("alpha", "beta", "gamma")), []
+    try:
+        api.run_experiment(_specs(spark, sf_dir), conf, answer(True), store, batches=8)
+    except StreamingQueryException:
+        pass
+    journal = Journal(spark, f"{store.folder}/journal")
+    kept = journal.read().count()
+    run = api.run_experiment(_specs(spark, sf_dir), conf, answer(False), store, batches=8, on_batch=seen.append)
+    return run, spark.read.parquet(notes), journal.progress(), kept, seen
+
+
+def journal_resume(spark, sf_dir):
+    """Cells of the experiment that broke off, how often each was asked, and whether some answers came from before."""
+    run, asked, _, kept, _ = _broken_off(spark, sf_dir)
+    times = asked.groupBy("prompt_id", "alias").agg(F.count("*").alias("asked"))
+    return run.rows.join(times, ["prompt_id", "alias"], "left").select("alias", "response", "asked", (F.lit(kept) > 0).alias("resumed"))
+
+
+def journal_progress(spark, sf_dir):
+    """The recorded progress of both runs: counts rise from batch to batch up to all cells that were left."""
+    *_, progress, _, seen = _broken_off(spark, sf_dir)
+    steps = progress.groupBy("run").agg(F.count("*").alias("steps"), F.max("done").alias("done"), F.max("succeeded").alias("succeeded"), F.max("total").alias("total"), F.count_distinct("done").alias("rises"))
+    return steps.agg(F.count("*").alias("runs"), F.sum("done").alias("done"), F.sum("succeeded").alias("succeeded"), F.min(F.col("steps") >= 3).alias("in_steps"), F.min(F.col("rises") == F.col("steps")).alias("rising"), F.max("total").alias("total")).withColumn("told", F.lit(len(seen) >= 3))
+
+
+def grouped_schedule(spark, sf_dir):
+    """Calls of a group follow each other: how many began before the one before them had ended."""
+
+    async def ask(request):
+        await asyncio.sleep(0.002)
+        return {"content": request["prompt"]}
+
+    asked = V.table(spark, sf_dir, "benchmark").select(_asked().alias("prompt"), F.concat(F.lit("g"), F.col("item_id") % 7).alias("team"))
+    out = durable(C.complete(asked, lambda: ask, serial="team", partitions=3), "grouped")
+    earlier = W.partitionBy("team").orderBy("began_at").rowsBetween(W.unboundedPreceding, -1)
+    late = out.withColumn("overlaps", F.coalesce((F.col("began_at") < F.max("ended_at").over(earlier)).cast("int"), F.lit(0)))
+    return late.groupBy("team").agg(F.count("*").alias("calls"), F.sum("overlaps").alias("overlaps"), F.count_if(F.col("content") == F.col("prompt")).alias("answered"))
+
+
+def rate_leases(spark, sf_dir):
+    """A limit's leases over eight tasks: they add up to it, each stands in one task, and no request is above the share of its own."""
+    log = V.log(spark, sf_dir).select("event_id", "provider", F.col("model").alias("profile"), "tokens")
+    names = [r[0] for r in log.select("provider").distinct().orderBy("provider").collect()]  # a row a provider
+    limits = {f"{p}/m0": RateLimit(100 + i, 9000) for i, p in enumerate(names)} | {p: RateLimit(7 + i, 100_003) for i, p in enumerate(names)}
+    dealt, shares = C.leased(log, limits, 8)
+    held = spark.createDataFrame([(k, x.requests_per_minute, x.tokens_per_minute) for k, x in shares.items()], "lease string, requests long, share long")
+    met = dealt.withColumn("task", F.spark_partition_id()).groupBy("lease").agg(F.count("*").alias("rows"), F.max("tokens").alias("largest"), F.count_distinct("task").alias("tasks"))
+    by = held.join(met, "lease", "left").groupBy(F.substring_index("lease", "#", 1).alias("bucket"))
+    return by.agg(F.sum("requests").alias("requests"), F.sum("share").alias("tokens"), F.sum("rows").alias("rows"), F.bool_and(F.coalesce(F.col("largest") <= F.col("share"), F.lit(True))).alias("admits"), F.max("tasks").alias("tasks"))
+
+
 def judge_run(spark, sf_dir):
     """Documents judged twice over: only what failed to classify is judged again."""
     docs = V.table(spark, sf_dir, "documents")
@@ -62,8 +138,8 @@ def judge_run(spark, sf_dir):
     def answer(label):
         return lambda df: df.withColumns({"raw_output": F.when(F.col("subject_id").cast("long") % 6 == 0, label).otherwise(tag(F.col("metadata")["lang"])), "error_message": null})
 
-    api.run_judges(subjects, conf, answer(F.lit("no idea")), store)
-    run = api.run_judges(subjects, conf, answer(tag(F.lit("en"))), store)
+    api.run_judges(subjects, conf, answer(F.lit("no idea")), store, batches=3)
+    run = api.run_judges(subjects, conf, answer(tag(F.lit("en"))), store, batches=3)
     stamped = F.col("started_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\+00:00$") & (F.col("started_at") <= F.col("completed_at"))
     return run.rows.select("subject_id", "judge_alias", "final_class", "status", stamped.alias("stamped"))
 
@@ -73,7 +149,7 @@ def background_run(spark, sf_dir):
     templates = spark.createDataFrame([("region", "I live in <Nation>."), ("segment", "I wait for <Status>.")], "dim string, template string")
     store = writers.Store(spark, new_path(spark, "generated"), ["combination_id"])
     answer = lambda df: df.withColumns({"content": F.lit("ok"), "status": F.when((F.col("dimension") == "Region") & (F.substring("combination_id", 1, 1) < "4"), "failed").otherwise("success")})
-    return api.generate_backgrounds(V.mapping(spark, sf_dir), templates, answer, store, passes=2)
+    return api.generate_backgrounds(V.mapping(spark, sf_dir), templates, answer, store, passes=2, batches=3)
 
 
 def _asks():
@@ -81,7 +157,7 @@ def _asks():
     tried: set[str] = set()
 
     async def ask(request):
-        number = int(request["prompt"][1:])
+        number = int(request["prompt"].rpartition("#")[2])
         if number % 5 == 0:
             raise RuntimeError("401 unauthorized")
         if number % 3 == 0 and request["prompt"] not in tried:
@@ -98,7 +174,7 @@ async def _at_once(_):
 
 def completion_boundary(spark, sf_dir):
     """Benchmark prompts through the asynchronous boundary, with retries and a provider's concurrency."""
-    asked = V.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("prompt"), F.lit("mock").alias("provider"), F.concat(F.lit("m"), F.col("item_id") % 2).alias("alias"))
+    asked = V.table(spark, sf_dir, "benchmark").select(_asked().alias("prompt"), F.lit("mock").alias("provider"), F.concat(F.lit("m"), F.col("item_id") % 2).alias("alias"))
     out = C.complete(C.scheduled(asked, "grouped"), _asks, Retry(max_retries=2), sleep=_at_once, providers={"mock": Provider("mock", max_concurrency=3)}, partitions=2)
     return out.select("prompt", "status", "content", "error_type", "error_message", "total_tokens", "retry_count")
 
@@ -111,7 +187,7 @@ def judge_queues(spark, sf_dir):
             raise RuntimeError("no such judge")
         return _asks()
 
-    asked = V.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("prompt"), F.concat(F.lit("m"), F.col("item_id") % 2).alias("judge"))
+    asked = V.table(spark, sf_dir, "benchmark").select(_asked().alias("prompt"), F.concat(F.lit("m"), F.col("item_id") % 2).alias("judge"))
     return C.complete(asked, make, Retry(max_retries=2), sleep=_at_once, queues="judge").select("prompt", "judge", "status", "error_message")
 
 
@@ -169,14 +245,21 @@ def history_run(spark, sf_dir):
     return store.read().select("history_id")
 
 
-QUERIES = {f.__name__: f for f in (experiment_run, experiment_summary, experiment_log, judge_run, background_run, completion_boundary, judge_queues, batch_stream, retry_stream, rate_stream, observed_progress, history_run)}
+QUERIES = {f.__name__: f for f in (journal_resume, journal_progress, grouped_schedule, rate_leases, experiment_run, experiment_summary, experiment_log, judge_run, background_run, completion_boundary, judge_queues, batch_stream, retry_stream, rate_stream, observed_progress, history_run)}
 
-_S = "WITH s AS (SELECT item_id, alias, alias = 'beta' AND item_id % 10 = 7 AS late FROM benchmark, (VALUES ('alpha'), ('beta')) a(alias))"
-_B = "FROM (SELECT 'q' || item_id AS prompt, item_id % 5 = 0 AS refused, item_id % 3 = 0 AND item_id % 5 <> 0 AS twice, 'm' || (item_id % 2) AS judge FROM benchmark)"
+_S = "WITH s AS (SELECT item_id, text, alias, alias = 'beta' AND item_id % 10 = 7 AS late FROM benchmark, (VALUES ('alpha'), ('beta')) a(alias))"
+_B = "FROM (SELECT text || ' #' || item_id AS prompt, item_id % 5 = 0 AS refused, item_id % 3 = 0 AND item_id % 5 <> 0 AS twice, 'm' || (item_id % 2) AS judge FROM benchmark)"
 ORACLE_SQL = {
-    "experiment_run": _S + " SELECT alias, 'success' AS status, CASE WHEN late THEN 'Be brief. / ' ELSE '' END || 'mock-response:q' || item_id AS response FROM s",
+    "experiment_run": _S + " SELECT alias, 'success' AS status, CASE WHEN late THEN 'Be brief. / ' ELSE '' END || 'mock-response:' || text || ' #' || item_id AS response FROM s",
     "experiment_summary": _S + " SELECT count(DISTINCT item_id) AS prompts, count(DISTINCT alias) AS models, count(*) AS total, count(*) AS completed, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS rate_limited FROM s",
     "experiment_log": _S + " SELECT alias AS model, count(*) + count(*) FILTER (late) AS requests, count(*) AS successes, count(*) FILTER (late) AS failures FROM s GROUP BY alias",
+    "journal_resume": _S.replace("('beta'))", "('beta'), ('gamma'))") + " SELECT alias, 'mock-response:' || text || ' #' || item_id AS response, CAST(1 AS BIGINT) AS asked, true AS resumed FROM s",
+    "journal_progress": _S.replace("('beta'))", "('beta'), ('gamma'))") + " SELECT CAST(2 AS BIGINT) AS runs, count(*) AS done, count(*) AS succeeded, true AS in_steps, true AS rising, count(*) AS total, true AS told FROM s",
+    "grouped_schedule": "SELECT 'g' || (item_id % 7) AS team, count(*) AS calls, CAST(0 AS BIGINT) AS overlaps, count(*) AS answered FROM benchmark GROUP BY 1",
+    "rate_leases": "WITH " + V.LOG + """, p AS (SELECT provider, row_number() OVER (ORDER BY provider) - 1 AS i FROM (SELECT DISTINCT provider FROM log)),
+l AS (SELECT provider || '/m0' AS bucket, 100 + i AS requests, 9000 AS tokens FROM p UNION ALL SELECT provider, 7 + i, 100003 FROM p),
+n AS (SELECT CASE model WHEN 'm0' THEN provider || '/m0' ELSE provider END AS bucket, count(*) AS rows FROM log GROUP BY 1)
+SELECT bucket, CAST(requests AS BIGINT) AS requests, CAST(tokens AS BIGINT) AS tokens, rows, true AS admits, CAST(1 AS BIGINT) AS tasks FROM l JOIN n USING (bucket)""",
     "judge_run": "SELECT CAST(doc_id AS VARCHAR) AS subject_id, 'judge-a' AS judge_alias, CASE doc_id % 6 WHEN 0 THEN 'en' ELSE lang END AS final_class, 'success' AS status, true AS stamped FROM documents",
     "background_run": "WITH " + V.MAPPING + " SELECT dimension, count(*) AS total, count(*) FILTER (NOT late) AS skipped, count(*) FILTER (late) AS pending FROM (SELECT dimension, dimension = 'Region' AND substr(combination_id, 1, 1) < '4' AS late FROM ids) GROUP BY dimension",
     "completion_boundary": "SELECT prompt, CASE WHEN refused THEN 'failed' ELSE 'success' END AS status, CASE WHEN NOT refused THEN 're: ' || prompt END AS content, CASE WHEN refused THEN 'RuntimeError' END AS error_type, CASE WHEN refused THEN '401 unauthorized' END AS error_message, CASE WHEN NOT refused THEN 3 END AS total_tokens, CASE WHEN twice THEN 1 ELSE 0 END AS retry_count " + _B,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -149,7 +150,32 @@ def store_snapshots(spark, sf_dir):
     return store.read().select("prompt_id", "alias", "status")
 
 
-QUERIES = {f.__name__: f for f in (source_mapping, source_names, source_templates, source_backgrounds, source_existing_ids, source_histories, source_matrix, source_done_cells, source_latest_run, sink_pending_matrix, source_checkpoint, source_judgments, source_requests, source_log, store_snapshots)}
+def store_two_writers(spark, sf_dir):
+    """Two writers start from one state at once: what either puts in stays, wherever their keys share a bucket or not."""
+    cells = V.cells(spark, sf_dir).select("prompt_id", "alias", "status")
+    path, key = new_path(spark, "shared-store"), ["prompt_id", "alias"]
+    writers.Store(spark, path, key, 8).upsert(cells.where("status <> 'pending'"))
+    both = [writers.Store(spark, path, key, 8) for _ in range(2)]
+    changes = [cells.where("status = 'failed'").withColumn("status", F.lit("success")), cells.where("status = 'pending'").withColumn("status", F.lit("retrying"))]
+    threads = [threading.Thread(target=store.upsert, args=(change,)) for store, change in zip(both, changes)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    return writers.Store(spark, path, key).read()
+
+
+def source_matrix_prompts(spark, sf_dir):
+    """Prompts of an existing matrix, in the order of its file."""
+    path = f"{new_path(spark, 'ordered')}/run.csv"
+    prompts = V.table(spark, sf_dir, "benchmark").select(F.lpad(F.col("item_id").cast("string"), 9, "0").alias("prompt_id"), F.regexp_replace("text", r"\s+", " ").alias("prompt"))
+    cells = prompts.withColumns({"alias": F.lit("alpha"), "status": F.lit("pending"), "response": F.lit(None).cast("string"), "error_message": F.lit(None).cast("string")})
+    writers.matrix_csv(cells, ["alpha"], path)
+    # the file's own order, whatever it is: ids and places of its lines
+    return readers.matrix_prompts(spark, path, ["alpha"]).agg(F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last"), F.count_distinct("position").alias("places"), F.sum(F.col("prompt_id").cast("long")).alias("ids"), F.sum(F.length("prompt")).alias("chars"))
+
+
+QUERIES = {f.__name__: f for f in (store_two_writers, source_matrix_prompts, source_mapping, source_names, source_templates, source_backgrounds, source_existing_ids, source_histories, source_matrix, source_done_cells, source_latest_run, sink_pending_matrix, source_checkpoint, source_judgments, source_requests, source_log, store_snapshots)}
 
 _C = "WITH " + V.CELLS
 _R = "WITH " + V.REPLIES
@@ -170,5 +196,7 @@ FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id %
     "source_requests": "SELECT 'r' || conv_id AS request_id, 'alpha' AS model_alias, CASE conv_id % 2 WHEN 0 THEN 64 END AS max_tokens, CAST(count(*) AS INTEGER) AS turns FROM conversations GROUP BY conv_id",
     "source_log": "WITH " + V.LOG + """ SELECT provider, model, CAST(user_id % 3 AS INTEGER) AS retry_count, CASE status WHEN 'failed' THEN 'Bearer [REDACTED] denied' ELSE '-' END AS error_message, count(*) AS requests, count(*) FILTER (status = 'success') AS successes,
   strftime(max(ts) FILTER (status = 'success'), '%Y-%m-%d %H:%M:%S') AS last_success FROM log GROUP BY 1, 2, 3, 4""",
+    "store_two_writers": _C + " SELECT prompt_id, alias, CASE status WHEN 'failed' THEN 'success' WHEN 'pending' THEN 'retrying' ELSE status END AS status FROM cells",
+    "source_matrix_prompts": r"SELECT count(*) AS n, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, count(*) AS places, CAST(sum(item_id) AS BIGINT) AS ids, CAST(sum(length(regexp_replace(text, '\s+', ' ', 'g'))) AS BIGINT) AS chars FROM benchmark",
     "store_snapshots": _C + " SELECT prompt_id, alias, CASE WHEN status IN ('pending', 'failed') THEN 'success' ELSE status END AS status FROM cells WHERE lang <> 'en'",
 }

@@ -65,7 +65,14 @@ def chi2_p(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {f.__name__: f for f in (option_extract, option_value_counts, contingency, proportions, option_gap, min_group, odds_ratio_ci, fisher_exact, chi2_cramers_v, chi2_p)}
+def chi2_small_p(spark, sf_dir):
+    """ln p of a strong dependence, to nine digits: a document's language against the commonest words of its text."""
+    words = F.when(F.contains("text", F.lit(" the ")), "the").when(F.contains("text", F.lit(" die ")), "die").otherwise("other")
+    rows = V.table(spark, sf_dir, "documents").select("lang", words.alias("word"))
+    return S.chi_squared(rows, "lang", "word").select("dof", F.format_string("%.8e", "log_p").alias("log_p"))
+
+
+QUERIES = {f.__name__: f for f in (option_extract, option_value_counts, contingency, proportions, option_gap, min_group, odds_ratio_ci, fisher_exact, chi2_cramers_v, chi2_p, chi2_small_p)}
 
 _E = "WITH e AS (SELECT CASE user_id % 2 WHEN 0 THEN 'Male' ELSE 'Female' END AS grp, event_type FROM events)"
 _T = "WITH t AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS a, count(*) FILTER (quality = 1 AND toxic <> 1) AS b, count(*) FILTER (quality <> 1 AND toxic = 1) AS c, count(*) FILTER (quality <> 1 AND toxic <> 1) AS d FROM labels)"
@@ -88,6 +95,12 @@ d AS (SELECT of, (SELECT count(*) - 1 FROM r WHERE r.of = n.of) * (SELECT count(
 s AS (SELECT of, dof, sum((k - ex) ** 2 / ex) AS plain, sum(greatest(0, abs(k - ex) - CASE dof WHEN 1 THEN 0.5 ELSE 0 END) ** 2 / ex) AS yates FROM x JOIN d USING (of) GROUP BY of, dof),
 p AS (SELECT of, dof / 2 AS s, plain / 2 AS a, yates / 2 AS b FROM s)
 SELECT of, round(greatest(0, 1 - list_sum([exp(-a + (s + i) * ln(a) - lgamma(s + i + 1)) for i in range(0, 400)])), 6) AS p_value, round(greatest(0, 1 - list_sum([exp(-b + (s + i) * ln(b) - lgamma(s + i + 1)) for i in range(0, 400)])), 6) AS p_yates FROM p""",
+    # at an even number of degrees the tail is a finite sum
+    "chi2_small_p": """
+WITH e AS (SELECT lang AS g, CASE WHEN contains(text, ' the ') THEN 'the' WHEN contains(text, ' die ') THEN 'die' ELSE 'other' END AS o FROM documents WHERE lang IS NOT NULL),
+c AS (SELECT g, o, count(*) AS k FROM e GROUP BY ALL), r AS (SELECT g, count(*) AS r FROM e GROUP BY 1), t AS (SELECT o, count(*) AS c FROM e GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM e),
+x AS (SELECT sum((coalesce(k, 0) - r * c / n) ** 2 / (r * c / n)) / 2 AS h, (SELECT count(*) - 1 FROM r) * (SELECT count(*) - 1 FROM t) AS dof FROM r CROSS JOIN t CROSS JOIN n LEFT JOIN c USING (g, o))
+SELECT dof, printf('%.8e', -h + ln(list_sum([h ** i / factorial(CAST(i AS INTEGER)) FOR i IN range(0, CAST(dof // 2 AS BIGINT))]))) AS log_p FROM x""",
     "chi2_cramers_v": _E + """, n AS (SELECT grp, event_type, count(*) AS o FROM e GROUP BY 1, 2), g AS (SELECT grp, count(*) AS r FROM e GROUP BY 1), t AS (SELECT event_type, count(*) AS c FROM e GROUP BY 1), s AS (SELECT count(*) AS n FROM e),
 x AS (SELECT sum((coalesce(o, 0) - r * c / s.n) ** 2 / (r * c / s.n)) AS chi2, any_value(s.n) AS n, count(DISTINCT grp) AS a, count(DISTINCT event_type) AS b FROM g CROSS JOIN t CROSS JOIN s LEFT JOIN n USING (grp, event_type))
 SELECT round(chi2, 6) AS chi2, (a - 1) * (b - 1) AS dof, n, round(sqrt(chi2 / (n * (least(a, b) - 1))), 6) AS cramers_v, 'negligible' AS strength FROM x""",

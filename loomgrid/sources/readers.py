@@ -8,9 +8,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parse import decode_cell
+from ..functions.parse import decode_cell, worked_out
 from ..functions.text import strip
 from ..operators import runtime
+from .files import find_paths
 
 TURN = "struct<content:string,role:string>"
 BACKGROUND = f"schema_version int, dimension string, dimension_value string, combination_id string, indicators map<string,string>, model_alias string, messages array<{TURN}>, generated_at string"
@@ -58,14 +59,6 @@ def place(name: str) -> Column:
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias(name)
 
 
-def find_paths(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths that a glob matches, in lexicographic order, through Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(str(f.getPath()) for f in found or [])
-
-
 def mapping(spark: SparkSession, path: str, dimension: str) -> DataFrame:
     """A dimension's long CSV: ``dimension, dimension_value, indicator_name, indicator_value, pos``."""
     raw = _csv(spark, path)
@@ -128,14 +121,34 @@ def checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return runtime.replay(raw.withColumn("request_id", strict).select("request_id", "status", "timestamp", "error_message", "line_no"))
 
 
-def matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of a wide matrix CSV in long form; anything malformed is an error."""
+def _wide(spark: SparkSession, path: str, aliases: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """Rows of a wide matrix CSV and the aliases in its header; other ones than ``aliases`` are an error."""
     raw = _csv(spark, path)
     if raw.columns[:1] != ["prompt_id"] or "prompt" not in raw.columns:
         raise CorruptFile(f"{path} must start with prompt_id and have a prompt column")
-    aliases = [c for c in raw.columns if c not in ("prompt_id", "prompt")]
+    have = [c for c in raw.columns if c not in ("prompt_id", "prompt")]
+    if aliases is not None and have != list(aliases):
+        raise CorruptFile(f"{path} has the models {', '.join(have)}; wanted are {', '.join(aliases)}")
+    return raw, have
+
+
+def matrix_prompts(spark: SparkSession, path: str, aliases: list[str]) -> DataFrame:
+    """``prompt_id, prompt, position`` of an existing matrix of just these aliases, in the order of the file; an id that stands twice is an error.
+
+    Numbered by ranges of places in the files, so no task sees all of them.
+    """
+    raw, _ = _wide(spark, path, aliases)
+    placed = runtime.positions(raw.select(F.coalesce("prompt_id", F.lit("")).alias("prompt_id"), "prompt", place("place")), ["place"])
+    times = placed.groupBy("prompt_id").agg(F.count("*").alias("times"))
+    once = F.when((F.col("times") == 1) & (F.col("prompt_id") != ""), F.col("prompt_id")).otherwise(F.raise_error(F.concat(F.lit("the matrix has no or two rows of the id "), F.col("prompt_id"))).cast("string"))
+    return placed.join(times, "prompt_id").select(once.alias("prompt_id"), "prompt", "position")
+
+
+def matrix(spark: SparkSession, path: str, wanted: list[str] | None = None) -> DataFrame:
+    """Cells of a wide matrix CSV in long form; anything malformed is an error, and so is a header of other aliases than those ``wanted``."""
+    raw, aliases = _wide(spark, path, wanted)
     long = raw.unpivot(["prompt_id", "prompt"], [F.col(f"`{a}`") for a in aliases], "alias", "cell")
-    return long.withColumn("c", decode_cell(F.col("cell"))).select("prompt_id", "prompt", "alias", "c.*")
+    return long.withColumn("c", worked_out(decode_cell(F.col("cell")))).select("prompt_id", "prompt", "alias", "c.*")
 
 
 def done_cells(spark: SparkSession, path: str) -> DataFrame:

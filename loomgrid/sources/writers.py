@@ -1,22 +1,17 @@
-"""Writers of the engine's files.
-
-A store is a folder of snapshots: a new state is written beside the old one, and a small
-numbered file, which appears last and whole, names it; the highest number is current. A reader
-never sees half a state, a crash at any point leaves the old one current, and a lost executor only repeats its own tasks.
-"""
+"""Writers of the engine's files."""
 
 from __future__ import annotations
 
 import json
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import CELL_STATUSES
 from ..operators.matrix import to_wide
-from ..operators.personas import upsert
-from .readers import JUDGMENT_COLUMNS, find_paths
+from .files import read_text, write_text  # noqa: F401
+from .readers import JUDGMENT_COLUMNS
+from .store import Store, StoreConflict  # noqa: F401
 
 
 def append_json(df: DataFrame, path: str) -> None:
@@ -24,54 +19,6 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, which appears whole; where there is one of that name, it goes just before."""
-    at, fs = _fs(spark, path)
-    part, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}x")  # no name of a pointer
-    out = fs.create(part, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if fs.exists(at):
-        fs.delete(at, False)
-    fs.rename(part, at)
-
-
-def read_text(spark: SparkSession, path: str) -> str | None:
-    at, fs = _fs(spark, path)
-    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()) if fs.exists(at) else None
-
-
-class Store:
-    """A keyed table with a current snapshot."""
-
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str]) -> None:
-        self.spark, self.folder, self.keys = spark, folder.rstrip("/"), keys
-
-    def _pointers(self) -> list[str]:
-        return find_paths(self.spark, f"{self.folder}/CURRENT-*[0-9]")
-
-    def read(self) -> DataFrame | None:
-        found = self._pointers()
-        return self.spark.read.parquet(f"{self.folder}/{read_text(self.spark, found[-1]).strip()}") if found else None
-
-    def replace(self, df: DataFrame) -> None:
-        name = f"snapshot-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.folder}/{name}")
-        found = self._pointers()
-        last = int(found[-1].rpartition("-")[2]) if found else 0
-        write_text(self.spark, f"{self.folder}/CURRENT-{last + 1:012d}", name)
-
-    def upsert(self, df: DataFrame) -> None:
-        old = self.read()
-        self.replace(df if old is None else upsert(old, df, self.keys))
-
-
 def matrix_csv(cells: DataFrame, aliases: list[str], path: str) -> None:
     """The wide matrix as CSV, with quotes where needed, and its description beside it."""
     to_wide(cells, aliases).write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="", lineSep="\n").csv(path)

@@ -267,25 +267,6 @@ def test_file_order_decides_a_replay(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-def test_a_crash_leaves_the_old_state(spark, tmp_path, monkeypatch):
-    store = writers.Store(spark, str(tmp_path), ["k"])
-    store.replace(spark.range(3).select(F.col("id").alias("k")))
-
-    def crash(*_):
-        raise RuntimeError("crash")
-
-    with monkeypatch.context() as m:
-        m.setattr(writers, "write_text", crash)
-        with pytest.raises(RuntimeError):
-            store.replace(spark.range(5).select(F.col("id").alias("k")))
-    assert store.read().count() == 3
-    (tmp_path / "CURRENT-000000000002.abcx").write_text("half")  # what a crash before the rename leaves
-    assert store.read().count() == 3
-    for n in range(4, 16):
-        store.replace(spark.range(n).select(F.col("id").alias("k")))
-    assert store.read().count() == 15
-
-
 def test_concurrency_holds_over_tasks(spark):
     asked = spark.range(200).select(F.col("id"), F.when(F.col("id") % 2 == 0, "p").when(F.col("id") % 5 == 0, "free").otherwise("q").alias("provider"), F.concat(F.lit("m"), F.col("id") % 3).alias("alias"))
     providers = {"p": config.Provider("openai", max_concurrency=5), "q": config.Provider("mock", per_model_concurrency=2)}
