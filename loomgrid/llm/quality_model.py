@@ -132,9 +132,9 @@ def _score(model: dict | None):
 
 def _bounded(rows: DataFrame, most: int) -> np.ndarray:
     """Features of about ``most`` ids of ``rows`` (doc_id, text), drawn by a hash of the id, in its order; repeated ids count once."""
-    drawn = rows.withColumn("draw", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1 << 30)))
+    drawn = rows.withColumn("draw", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1 << 62)))  # wide enough for ids not to share draws
     n = drawn.agg(F.approx_count_distinct("draw", 0.02)).first()[0]
-    one = drawn.where(F.col("draw") < int(most / max(1, n) * (1 << 30))).groupBy("draw", "doc_id").agg(F.min("text").alias("text"))
+    one = drawn.where(F.col("draw") < int(min(1.0, most / max(1, n)) * (1 << 62))).groupBy("draw", "doc_id").agg(F.min("text").alias("text"))
     found = sorted((r["draw"], r["doc_id"], tuple(r["x"])) for r in map_texts(one, ["draw", "doc_id"], "text", _featurise, {"x": "array<double>"}).collect())
     return np.array([x for _, _, x in found]).reshape(-1, N_FEATURES)
 
@@ -147,7 +147,7 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, keep: list[str]) ->
     is estimated. Bounded samples (4000 and 8000 rows, drawn by a hash of the id) fit
     the model, a repeated id once; every whole text is scored by its form alone. Null and empty texts have
     no words and are scored like any other; without positives all scores are 0.5.
-    Repeated label rows count once; null ids aren't learned from.
+    Repeated label rows count once; null ids aren't learned from. An empty table gives no rows.
     """
     known = docs.where(train & F.col("doc_id").isNotNull()).select("doc_id", "text")
     good = labels.where("quality = 1").select("doc_id").distinct()

@@ -218,17 +218,24 @@ def keys_for(classes: int) -> np.ndarray:
     return np.concatenate(laps)[:n]
 
 
-def sketch_of(text: str | None) -> np.ndarray:
-    """1024-bit SimHash (sixteen signed integers) of a text's different 5-word shingles; fewer words are one shingle."""
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of a text's different 5-word shingles; fewer words are one shingle, none are none."""
     data = spaced(text).translate(_LOWER)
     if not data:
-        return np.zeros(SKETCH_BITS // 64, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64)
     h = word_hashes(data)
     n = max(1, len(h) - WIDE_SHINGLE + 1)
     grams = np.zeros(n, dtype=np.uint64)
     for k in range(min(WIDE_SHINGLE, len(h))):
         grams = grams * _MIXERS[0] + h[k : k + n]
-    grams = np.unique(grams)
+    return np.unique(grams)
+
+
+def sketch_of(text: str | None) -> np.ndarray:
+    """1024-bit SimHash (sixteen signed integers) of a text's shingles."""
+    grams = shingles(text)
+    if not len(grams):
+        return np.zeros(SKETCH_BITS // 64, dtype=np.int64)
     ones = np.zeros(SKETCH_BITS, dtype=np.int64)
     for at in range(0, len(grams), 1 << 12):  # bounded memory for very long texts
         g = grams[at : at + (1 << 12)]
@@ -422,12 +429,42 @@ def _sketches(texts: pd.Series) -> pd.Series:
     return pd.Series([sketch_of(t) for t in texts], dtype=object)
 
 
+def _shingles(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingles(t).view(np.int64) for t in texts], dtype=object)
+
+
+#: Bits of the table of linked rows that each task gets: 2 MB at any input. The fuller it is, the more texts move for nothing.
+LINKED_BITS = 1 << 24
+
+
+def verified(links: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``links`` (a, b) whose texts share 0.8 or more of their different shingles, as counted.
+
+    ``classes`` (c, first: d, h): the row of ``docs`` (d, h, text) that stands for each class. Only texts of linked classes are
+    read for their shingles: a bitmap of fixed size tells most others before anything moves, and a join the rest.
+    """
+    ends = links.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    linked = durable(classes.join(ends, "c").select("c", "first.d", "first.h"), "linked")
+    place = F.pmod(F.col("h"), F.lit(LINKED_BITS))
+    table_ = linked.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    met = docs.withColumn("part", F.bitmap_bucket_number(place)).join(F.broadcast(table_), "part")  # at most 513 rows of 4 kB
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    likely = met.where(F.floor(byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1).select("d", "h", "text")
+    found = likely.join(linked, ["d", "h"]).select("c", F.pandas_udf(_shingles, "array<bigint>")(F.col("text")).alias("grams"))
+    sets = durable(found.groupBy("c").agg(F.first("grams").alias("grams")), "shingles")  # equal rows are one class's twice
+    both = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("of"))
+    return shared.where(F.col("n") * 10 >= (F.col("of") - F.col("n")) * 8).select("a", "b")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of similar texts: that of the smallest id, null ids last.
 
-    Similar: over 5-word shingles at 0.8 or more, by 1024-bit SimHash sketches. Texts that differ in case of A-Z
+    Similar: 5-word shingles that agree to 0.8 or more (Jaccard), or equal sketches. Pairs come from 1024-bit SimHash sketches; their
+    shingles are compared before anything goes. Texts that differ in case of A-Z
     and white space alone are equal; all texts without words are. Rows are told apart by id and a hash of the
-    text, so ids may repeat; of equal rows one stays.
+    text, so ids may repeat; of equal rows one stays. An empty table stays empty; a text of any length counts as a whole.
     """
     made = F.pandas_udf(_sketches, "array<bigint>")(F.col("text"))
     own_d, own_h = row_key()
@@ -435,7 +472,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("missing", "d", "h")).alias("first")
     ordered = marked.groupBy("sketch").agg(first).orderBy("first")  # c follows the order of the rows that stay
     classes = durable(ordered.select(F.monotonically_increasing_id().alias("c"), "sketch", "first"), "sketch-classes")
-    tree = components(similar(classes))
+    tree = components(verified(durable(similar(classes), "links"), classes, docs.select(own_d.alias("d"), own_h.alias("h"), "text")))
     rooted = classes.select("c", "first").join(tree, classes.c == tree.node, "left").groupBy(F.coalesce("root", "c")).agg(F.min("first").alias("first"))
     kept = durable(rooted.select("first.d", "first.h").distinct(), "kept")
     d, h, nth = unused(docs, "d", "h", "nth")

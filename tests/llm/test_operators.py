@@ -740,4 +740,78 @@ def test_the_tree_asks_for_words_and_links():
             walk(node[3])
 
     walk(html_text.train())
-    assert {"words", "links", "words before", "words after"} <= used and len(html_text.labelled_table()) < 200
+    assert {"words", "links", "words before", "words after"} <= used and len(html_text.labelled_table()) < 300
+
+
+LONG_TEXT = " ".join(f"w{i}" for i in range(50))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<article><h1>T</h1><p>{LONG_TEXT}</p><div class="share-price"><p>Shares rose today by a third of their price</p></div></article>', f"T\n\n{LONG_TEXT}\n\nShares rose today by a third of their price"),
+        (f'<div class="form-factor-review"><p>{LONG_TEXT}</p></div>', LONG_TEXT),
+        (f'<body><div class="login-guide"><h1>How to</h1><p>{LONG_TEXT}</p></div></body>', f"How to\n\n{LONG_TEXT}"),
+        (f"<article><p>{LONG_TEXT}</p><section class='related-work'><p>Others did so before us</p></section></article>", f"{LONG_TEXT}\n\nOthers did so before us"),
+        (f"<div id='main-ad'><p>buy now</p></div><div>{LONG_TEXT}</div>", LONG_TEXT),
+        (f'<div class="sidebar"><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div>', f"{LONG_TEXT}\n\n{LONG_TEXT}"),  # length outvotes a name where nothing better is there
+        (f'<article><p>{LONG_TEXT}</p></article><div class="sidebar"><p>{LONG_TEXT}</p></div>', LONG_TEXT),
+    ],
+)
+def test_names_are_weak(page, want):
+    assert html_text.main_text(page, html_text.train()) == want
+
+
+def plain_text(page: str) -> str:
+    """Characters outside of tags, one by one: quotes count at the start of a value."""
+    out, i = [], 0
+    while i < len(page):
+        if page[i] != "<" or not re.match(r"</?[a-z]", page[i : i + 3]):
+            out.append(page[i])
+            i += 1
+            continue
+        i += 1
+        while page[i] != ">":
+            if page[i] == "=" and (m := re.match(r"=\s*([\"'])", page[i:])) and page.find(m.group(1), i + m.end()) >= 0:
+                i = page.index(m.group(1), i + m.end())
+            i += 1
+        out.append(" " if re.match(r"p|/p|div|/div", page[page.rindex("<", 0, i) + 1 : i]) else "")
+        i += 1
+    return " ".join("".join(out).split())
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_malformed_tags_leak_no_markup(seed):
+    rnd = random.Random(seed)
+    attributes = ["", ' title="5" tall', " alt=it's", ' a="x>y"', " b='<p>'", ' c = "q"', " d=e", ' f="g"h', " '", ' "', " hidden2"]
+    page = "".join(rnd.choice([f"<{rnd.choice(['p', 'div', 'b', 'i', 'span'])}{rnd.choice(attributes)}>", f"</{rnd.choice(['p', 'div', 'b'])}>", f"word{i} ", "a < b ", "&amp; "]) for i in range(rnd.randrange(1, 40))) + "<i>end</i>"
+    got = " ".join(b[0] for b in html_text.blocks(page))
+    assert got == plain_text(page).replace("&amp;", "&")
+
+
+def test_open_elements_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert [b[0] for b in html_text.blocks("<article><p>x</p>" + "<button>" * 100_000 + "y")] == ["x", "y"]
+    assert html_text.main_text("<article><p>one</p>" + "<button>a</button>" * 20_000 + "<p>two</p></article>", html_text.train()) == "one\n\ntwo"
+    assert time.perf_counter() - began < 20
+
+
+def test_only_texts_that_share_their_shingles_are_dropped(spark):
+    """Exact similarity by brute force: near 0.8 a sketch alone can't tell."""
+    rnd = random.Random(77)
+    words_ = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = [rnd.choice(words_) for _ in range(rnd.choice([60, 150, 400]))]
+        texts.append(base)
+        for share in (0.01, 0.02, 0.03, 0.04, 0.06):  # from near copies to about half the shingles
+            texts.append([rnd.choice(words_) if rnd.random() < share else w for w in base])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [set(zip(*[t[k:] for k in range(5)])) for t in texts]
+    near = {i: {j for j in range(6 * (i // 6), 6 * (i // 6) + 6) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in range(len(texts))}
+    assert all(near[i] for i in range(len(texts)) if i not in kept)
+    both = [(i, j) for i in kept for j in near[i] if j in kept and i < j]
+    assert len(both) <= 0.05 * sum(map(len, near.values())) / 2
