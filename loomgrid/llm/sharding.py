@@ -114,12 +114,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -> DataFram
     items of the packing; there can be at most ``shards * grain`` of them. Smaller
     groups are first gathered, inside hash buckets by a running sum, into chunks of
     about that size, which are items too: at most ``shards * grain`` plus one for each
-    bucket. So the driver packs a bounded list whatever the input's size, and a
+    bucket, of which there is one for 200,000 groups. So the driver packs a list that is all but
+    bounded (half a million short rows for 10^11 groups), no task sums more than a bucket, and a
     shard's size is off by about a chunk. A group above a shard's mean size cannot
     be made equal without splitting it; it gets a shard of its own.
 
-    ``slot`` counts from 0 without gaps inside a shard; it is made from counts of 64
-    hash buckets per shard, so no task numbers a whole shard.
+    ``slot`` counts from 0 without gaps inside a shard; it is made from counts of
+    hash buckets of each shard, one for half a million rows and 64 at least, so no task numbers a whole shard.
 
     Null texts have size 8 and the checksum of no bytes; they and empty texts form two
     groups. Null ids and repeated rows are kept and placed like others. Further columns are ignored; an
@@ -132,7 +133,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -> DataFram
     groups = durable(base.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
     total, n_groups, top = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*"), F.coalesce(F.max("bytes"), F.lit(0))).first()
     least = max(1, total // (shards * grain))
-    buckets = min(max(64, n_groups // 200_000), 8192)
+    buckets = max(64, n_groups // 200_000)
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
     running = F.sum("bytes").over(W.partitionBy("bucket").orderBy(F.desc("bytes"), "key").rowsBetween(W.unboundedPreceding, -1))
     small = groups.where(F.col("bytes") < least).withColumn("bucket", bucket)
@@ -141,13 +142,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -> DataFram
     listed = items.groupBy("item").agg(F.sum("bytes").alias("bytes")).toPandas().sort_values(["bytes", "item"], ascending=[False, True])
     bins = pack([int(x) for x in listed["bytes"]], shards)
     placed = spark.createDataFrame(pd.DataFrame({"item": listed["item"].astype(str), "shard": pd.Series(bins, index=listed.index, dtype="int32")}), "item string, shard int")
-    where = items.join(F.broadcast(placed), "item").select("key", "shard")  # bounded: at most 2 * shards * grain + buckets rows
-    part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(64)).cast("int")
+    where = items.join(placed, "item").select("key", "shard")  # at most 2 * shards * grain + buckets rows; Spark looks at their size
+    parts = max(64, base.count() // (shards * 500_000))
+    part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).cast("int")
     rows = durable(base.join(where, "key").withColumn("part", part), "shard-placed")
     starts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     starts = starts.select("shard", "part", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     at = F.row_number().over(W.partitionBy("shard", "part").orderBy("doc_id", "key")) - 1
-    return rows.withColumn("at", at).join(F.broadcast(starts), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"))  # starts: 64 rows a shard
+    return rows.withColumn("at", at).join(starts, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"))
 
 
 def op1_shard_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
