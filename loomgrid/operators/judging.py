@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..functions.names import unused
 from ..functions.parse import final_answer, lenient_cell, verdict_status, worked_out
 from ..functions.text import MESSAGES, strip
 from .personas import pending, upsert
@@ -23,8 +24,9 @@ def records_to_subjects(records: DataFrame, order: str, content: str, id_field:
         sid = F.col(id_field).cast("string")
         placed = records
     else:
-        placed = positions(records, [order]).withColumnRenamed("position", "__i")
-        sid = ids.subject_id(F.col("__i"), ids.spaced_json({content: F.col(content)}))
+        (place,) = unused(records, "place")
+        placed = positions(records, [order], place)
+        sid = ids.subject_id(F.col(place), ids.spaced_json({content: F.col(content)}))
     keep = F.size(F.coalesce(F.col(messages), F.array().cast(MESSAGES))) > 0 if messages else F.coalesce(strip(F.col(content).cast("string")), F.lit("")) != ""
     extra = F.create_map(*[x for f in metadata for x in (F.lit(f), F.col(f).cast("string"))]) if metadata else F.lit(None).cast("map<string,string>")
     return placed.where(keep).select(

@@ -119,7 +119,7 @@ def histories(backgrounds: DataFrame, dimensions: list[str], names: DataFrame |
             acc = acc.crossJoin(choices)
         else:
             fits = F.col(f"name_{i}").isNull() | F.col("for_gender").isNull() | (F.col("for_gender") == F.col(f"name_gender_{i}"))
-            listed = choices.crossJoin(F.broadcast(genders)).where(fits)  # genders: a row a gender
+            listed = choices.crossJoin(genders).where(fits)  # genders: a row a gender; Spark looks at its size
             acc = acc.join(listed, F.col(f"dimension_value_{dimensions.index(gender)}").eqNullSafe(F.col("for_gender"))).drop("for_gender")
     acc = acc.where(F.coalesce(*[F.col(f"combination_id_{i}") for i in order]).isNotNull())
     pairs = F.array(*[F.struct(F.lit(d).alias("key"), F.col(f"combination_id_{i}").alias("value")) for i, d in enumerate(dimensions)])

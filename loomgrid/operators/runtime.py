@@ -43,18 +43,19 @@ def rate_windows(log: DataFrame, bucket: str, seconds: int = 60, chunk_seconds:
     time; a chunk also holds the end of the one before it, so a hot bucket spreads over many tasks.
     """
     span_micros, chunk = seconds * 1_000_000, max(seconds, chunk_seconds) * 1_000_000
-    placed = log.withColumn("__t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("__own", F.floor(F.col("__t") / chunk))
-    tail = F.pmod(F.col("__t"), F.lit(chunk)) >= chunk - span_micros
-    dealt = placed.withColumn("__chunk", F.explode(F.when(tail, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
-    span = W.partitionBy(bucket, "__chunk").orderBy("__t").rangeBetween(-span_micros + 1, 0)
-    later = W.partitionBy(bucket, "__chunk", "__t").orderBy(F.desc("event_id")).rowsBetween(W.unboundedPreceding, -1)
+    t, own, part = unused(log, "t", "own", "chunk")
+    placed = log.withColumn(t, F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(own, F.floor(F.col(t) / chunk))
+    tail = F.pmod(F.col(t), F.lit(chunk)) >= chunk - span_micros
+    dealt = placed.withColumn(part, F.explode(F.when(tail, F.array(own, F.col(own) + 1)).otherwise(F.array(own))))
+    span = W.partitionBy(bucket, part).orderBy(t).rangeBetween(-span_micros + 1, 0)
+    later = W.partitionBy(bucket, part, t).orderBy(F.desc("event_id")).rowsBetween(W.unboundedPreceding, -1)
     counted = dealt.withColumns(
         {
             "window_requests": F.count("*").over(span) - F.count("*").over(later),
             "window_tokens": F.sum("tokens").over(span) - F.coalesce(F.sum("tokens").over(later), F.lit(0)),
         }
     )
-    return counted.where("__chunk = __own").drop("__t", "__own", "__chunk")
+    return counted.where(F.col(part) == F.col(own)).drop(t, own, part)
 
 
 def rate_violations(windows: DataFrame, requests: int, tokens: int) -> DataFrame:
@@ -70,12 +71,13 @@ def rate_violations(windows: DataFrame, requests: int, tokens: int) -> DataFrame
 def running(log: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Rows done so far in each group (``done``), and how many it has (``total``).
 
-    Numbered by ranges over group and order together, so a group's rows spread over many tasks.
+    Numbered by ranges over group and order together, so a group's rows spread over many tasks; a
+    group begins at its least number, so many small groups are no task's alone either.
     """
     at, group, before, n = unused(log, "at", "group", "before", "n")
-    sizes = log.groupBy(named(by).alias(group)).agg(F.count("*").alias(n))
-    sizes = sizes.withColumn(before, F.coalesce(F.sum(n).over(W.orderBy(F.col(group).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a group
-    met = positions(log, [by, *order], at).join(sizes, named(by).eqNullSafe(F.col(group)))
+    placed = positions(log, [by, *order], at)
+    sizes = placed.groupBy(named(by).alias(group)).agg(F.count("*").alias(n), F.min(at).alias(before))
+    met = placed.join(sizes, named(by).eqNullSafe(F.col(group)))
     return met.select(*columns_of(log), (F.col(at) - F.col(before) + 1).alias("done"), F.col(n).alias("total"))
 
 

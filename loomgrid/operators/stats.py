@@ -57,19 +57,32 @@ def log_gamma(z: Column) -> Column:
     return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7))) - back
 
 
+#: Tables whose chances are summed in a row by one task.
+_IN_A_ROW = 1 << 16
+
+
 def fisher(table: DataFrame) -> DataFrame:
     """Two-sided exact p of a, b, c, d: the mass of all tables with these margins no likelier than this one.
 
-    One row per possible upper-left count, spread over tasks, each with its own closed-form probability.
+    Every table's chance is taken relative to the observed one, by the product of the ratios of neighbours on the way
+    there, so no large logarithms cancel. The ways to both sides are summed in chunks, and chunks by their totals.
     """
     a, b, c, d = (int(x) for x in table.select("a", "b", "c", "d").first())
-    r1, r2, c1, n = a + b, c + d, a + c, a + b + c + d
-    fixed = sum(math.lgamma(x + 1) for x in (r1, r2, c1, n - c1)) - math.lgamma(n + 1)
-    seen = fixed - sum(math.lgamma(x + 1) for x in (a, b, c, d))
-    x = F.col("id").cast("double")
-    log_p = F.lit(fixed) - log_gamma(x + 1) - log_gamma(F.lit(float(r1 + 1)) - x) - log_gamma(F.lit(float(c1 + 1)) - x) - log_gamma(x + float(r2 - c1 + 1))
-    tables = table.sparkSession.range(max(0, c1 - r2), min(r1, c1) + 1).select(F.exp(log_p).alias("p"))
-    return tables.agg(F.least(F.lit(1.0), F.coalesce(F.sum(F.when(F.col("p") <= math.exp(seen) * (1 + 1e-7), F.col("p"))), F.lit(0.0))).alias("p_value"))
+    r1, r2, c1 = a + b, c + d, a + c
+    spark, x = table.sparkSession, lambda k: F.lit(a) + k
+    step = lambda at: F.ln((F.lit(r1) - at).cast("double")) + F.ln((F.lit(c1) - at).cast("double")) - F.ln((at + 1).cast("double")) - F.ln((F.lit(r2 - c1 + 1) + at).cast("double"))  # noqa: E731 - ln of the next table's chance over this one's
+    up = spark.range(1, min(r1, c1) - a + 1).select(F.lit(1).alias("side"), F.col("id").alias("k"), step(x(F.col("id") - 1)).alias("t"))
+    down = spark.range(1, a - max(0, c1 - r2) + 1).select(F.lit(-1).alias("side"), F.col("id").alias("k"), (-step(x(-F.col("id")))).alias("t"))
+    both = up.unionByName(down).withColumn("chunk", F.floor((F.col("k") - 1) / _IN_A_ROW))
+    before = W.partitionBy("side").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    starts = both.groupBy("side", "chunk").agg(F.sum("t").alias("total")).select("side", "chunk", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("start"))
+    inside = F.sum("t").over(W.partitionBy("side", "chunk").orderBy("k").rowsBetween(W.unboundedPreceding, 0))
+    ways = both.withColumn("inside", inside).join(starts, ["side", "chunk"]).select((F.col("start") + F.col("inside")).alias("way"))
+    seen = spark.range(1).select(F.lit(0.0).alias("way"))
+    all_ = ways.unionByName(seen)
+    most = all_.agg(F.max("way")).first()[0]
+    mass = F.exp(F.col("way") - most)
+    return all_.agg((F.sum(F.when(F.col("way") <= 1e-7, mass).otherwise(0.0)) / F.sum(mass)).alias("p_value"))
 
 
 def log_upper_tail(chi2: Column, dof: Column) -> Column:
