@@ -71,7 +71,8 @@ def hint_of(error: BaseException) -> float | None:
 
 
 def root_of(error: BaseException) -> BaseException:
-    while error.__cause__ is not None:
+    """What caused an error at first; a call that ran out of time was cancelled because of that, not the other way round."""
+    while error.__cause__ is not None and not isinstance(error.__cause__, asyncio.CancelledError):
         error = error.__cause__
     return error
 

@@ -115,6 +115,12 @@ def alias_lookup(spark, sf_dir):
     return R.look_up(log, aliases).select("event_id", "provider", text.model_string(F.col("provider"), F.col("model")).alias("model"))
 
 
+def reply_lengths(spark, sf_dir):
+    """Length of each text, and its language by name: a lookup with a default."""
+    names = F.create_map(*[F.lit(x) for pair in (("en", "English"), ("de", "German"), ("fr", "French")) for x in pair])
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"), F.coalesce(F.try_element_at(names, F.col("lang")), F.lit("Unknown")).alias("language"))
+
+
 def mock_completion(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", text.mock_reply(F.col("text"), F.lit("Be brief and kind.")).alias("r")).select("doc_id", "r.*")
 
@@ -161,7 +167,7 @@ def cell_status_map(spark, sf_dir):
     return V.table(spark, sf_dir, "events").select("event_id", parse.cell_status(ended).alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (prompt_ids, cell_ids, grid_cross, grid_sparse, cells_long, matrix_pivot, matrix_unpivot, matrix_filter_models, matrix_filter_contains, matrix_filter_status, matrix_filter_complete, matrix_filter_min_success, analysis_frame, matrix_summary, matrix_is_complete, matrix_resume_pending, matrix_upsert, matrix_append_missing, matrix_retain, alias_lookup, mock_completion, token_estimate, fold_system, matrix_filter_wide, fold_metadata, prompts_by_model, grid_from_config, provider_request, cell_status_map)}
+QUERIES = {f.__name__: f for f in (reply_lengths, prompt_ids, cell_ids, grid_cross, grid_sparse, cells_long, matrix_pivot, matrix_unpivot, matrix_filter_models, matrix_filter_contains, matrix_filter_status, matrix_filter_complete, matrix_filter_min_success, analysis_frame, matrix_summary, matrix_is_complete, matrix_resume_pending, matrix_upsert, matrix_append_missing, matrix_retain, alias_lookup, mock_completion, token_estimate, fold_system, matrix_filter_wide, fold_metadata, prompts_by_model, grid_from_config, provider_request, cell_status_map)}
 
 _C = "WITH " + V.CELLS
 _G = "WITH " + V.MESSAGES
@@ -205,6 +211,7 @@ SELECT conv_id, '{' || CASE WHEN conv_id % 3 > 0 THEN '"max_tokens":256,' ELSE '
     "matrix_append_missing": _C + " SELECT prompt_id, alias, CASE WHEN lang = 'en' THEN status ELSE 'pending' END AS status FROM cells",
     "matrix_retain": _C + " SELECT prompt_id, alias, status FROM cells WHERE lang = 'en'",
     "alias_lookup": "WITH " + V.LOG + " SELECT event_id, provider, CASE model WHEN 'm0' THEN 'openai/gpt' WHEN 'm1' THEN 'anthropic/opus' WHEN 'm2' THEN 'mock/m' WHEN 'm3' THEN 'openai/o' ELSE 'mock/x' END AS model FROM (SELECT event_id, model, CASE model WHEN 'm0' THEN 'openai' WHEN 'm1' THEN 'anthropic' WHEN 'm3' THEN 'openai' ELSE 'mock' END AS provider FROM log)",
+    "reply_lengths": "SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' ELSE 'Unknown' END AS language FROM documents",
     "mock_completion": r"SELECT doc_id, 'mock-response:' || text AS content, CAST(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) + 4 AS INTEGER) AS prompt_tokens, 1 AS completion_tokens, CAST(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) + 5 AS INTEGER) AS total_tokens FROM documents",
     "token_estimate": r"SELECT conv_id, CAST(sum(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))) + 256 AS INTEGER) AS tokens FROM conversations GROUP BY conv_id",
     "fold_system": "WITH " + V.MESSAGES + r""",

@@ -114,6 +114,33 @@ def grouped_schedule(spark, sf_dir):
     return late.groupBy("team").agg(F.count("*").alias("calls"), F.sum("overlaps").alias("overlaps"), F.count_if(F.col("content") == F.col("prompt")).alias("answered"))
 
 
+def call_timeouts(spark, sf_dir):
+    """Calls that take too long fail alone, after as many attempts as the policy has."""
+
+    async def ask(request):
+        await asyncio.sleep(0 if int(request["prompt"].rpartition("#")[2]) % 7 else 60)
+        return {"content": request["prompt"]}
+
+    asked = V.table(spark, sf_dir, "benchmark").select(_asked().alias("prompt"))
+    out = C.complete(asked, lambda: ask, Retry(max_retries=2), timeout=0.2, workers=64, sleep=_at_once)
+    return out.select("prompt", "status", "error_type", "retry_count", F.length("content").alias("chars"))
+
+
+def classified_replies(spark, sf_dir):
+    """Two calls a prompt: a reply, then which option the reply stands for; the second one's words are matched to an option."""
+    options = ["Yes", "No", "Neither"]
+
+    async def reply(request):
+        return {"content": request["prompt"][::-1]}
+
+    async def classify(request):
+        return {"content": f" I'd say {options[len(request['reply']) % 3].lower()}! " if len(request["reply"]) % 4 else "hard to tell"}
+
+    asked = V.table(spark, sf_dir, "benchmark").select(_asked().alias("prompt"))
+    first = C.complete(asked, lambda: reply).select("prompt", F.col("content").alias("reply"))
+    return C.complete(first, lambda: classify).select("prompt", "reply", text.pick_option(F.col("content"), options).alias("option"))
+
+
 def rate_leases(spark, sf_dir):
     """A limit's leases over eight tasks: they add up to it, each stands in one task, and no request is above the share of its own."""
     log = V.log(spark, sf_dir).select("event_id", "provider", F.col("model").alias("profile"), "tokens")
@@ -245,7 +272,7 @@ def history_run(spark, sf_dir):
     return store.read().select("history_id")
 
 
-QUERIES = {f.__name__: f for f in (journal_resume, journal_progress, grouped_schedule, rate_leases, experiment_run, experiment_summary, experiment_log, judge_run, background_run, completion_boundary, judge_queues, batch_stream, retry_stream, rate_stream, observed_progress, history_run)}
+QUERIES = {f.__name__: f for f in (journal_resume, journal_progress, grouped_schedule, call_timeouts, classified_replies, rate_leases, experiment_run, experiment_summary, experiment_log, judge_run, background_run, completion_boundary, judge_queues, batch_stream, retry_stream, rate_stream, observed_progress, history_run)}
 
 _S = "WITH s AS (SELECT item_id, text, alias, alias = 'beta' AND item_id % 10 = 7 AS late FROM benchmark, (VALUES ('alpha'), ('beta')) a(alias))"
 _B = "FROM (SELECT text || ' #' || item_id AS prompt, item_id % 5 = 0 AS refused, item_id % 3 = 0 AND item_id % 5 <> 0 AS twice, 'm' || (item_id % 2) AS judge FROM benchmark)"
@@ -256,6 +283,8 @@ ORACLE_SQL = {
     "journal_resume": _S.replace("('beta'))", "('beta'), ('gamma'))") + " SELECT alias, 'mock-response:' || text || ' #' || item_id AS response, CAST(1 AS BIGINT) AS asked, true AS resumed FROM s",
     "journal_progress": _S.replace("('beta'))", "('beta'), ('gamma'))") + " SELECT CAST(2 AS BIGINT) AS runs, count(*) AS done, count(*) AS succeeded, true AS in_steps, true AS rising, count(*) AS total, true AS told FROM s",
     "grouped_schedule": "SELECT 'g' || (item_id % 7) AS team, count(*) AS calls, CAST(0 AS BIGINT) AS overlaps, count(*) AS answered FROM benchmark GROUP BY 1",
+    "call_timeouts": "SELECT text || ' #' || item_id AS prompt, CASE item_id % 7 WHEN 0 THEN 'failed' ELSE 'success' END AS status, CASE item_id % 7 WHEN 0 THEN 'TimeoutError' END AS error_type, CASE item_id % 7 WHEN 0 THEN 1 ELSE 0 END AS retry_count, CASE WHEN item_id % 7 <> 0 THEN CAST(length(text || ' #' || item_id) AS INTEGER) END AS chars FROM benchmark",
+    "classified_replies": "SELECT prompt, reverse(prompt) AS reply, CASE WHEN length(prompt) % 4 = 0 THEN 'hard to tell' WHEN length(prompt) % 3 = 0 THEN 'Yes' WHEN length(prompt) % 3 = 1 THEN 'No' ELSE 'Neither' END AS option FROM (SELECT text || ' #' || item_id AS prompt FROM benchmark)",
     "rate_leases": "WITH " + V.LOG + """, p AS (SELECT provider, row_number() OVER (ORDER BY provider) - 1 AS i FROM (SELECT DISTINCT provider FROM log)),
 l AS (SELECT provider || '/m0' AS bucket, 100 + i AS requests, 9000 AS tokens FROM p UNION ALL SELECT provider, 7 + i, 100003 FROM p),
 n AS (SELECT CASE model WHEN 'm0' THEN provider || '/m0' ELSE provider END AS bucket, count(*) AS rows FROM log GROUP BY 1)

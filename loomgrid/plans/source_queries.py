@@ -82,6 +82,14 @@ def source_matrix(spark, sf_dir):
     return readers.matrix(spark, _matrix_file(spark, sf_dir)).select(*_CELL)
 
 
+def sink_matrix_description(spark, sf_dir):
+    """What stands beside a matrix file: its aliases, with the cells that the file has of each, and all that a cell can be."""
+    path = _matrix_file(spark, sf_dir)
+    about = json.loads(writers.read_text(spark, f"{path}.meta.json"))
+    named = spark.createDataFrame([(a, about["schema_version"], ",".join(sorted(about["statuses"]))) for a in about["model_aliases"]], "alias string, version long, statuses string")
+    return readers.matrix(spark, path, about["model_aliases"]).groupBy("alias").agg(F.count("*").alias("cells")).join(named, "alias")
+
+
 def source_done_cells(spark, sf_dir):
     return readers.done_cells(spark, _matrix_file(spark, sf_dir))
 
@@ -175,7 +183,7 @@ def source_matrix_prompts(spark, sf_dir):
     return readers.matrix_prompts(spark, path, ["alpha"]).agg(F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last"), F.count_distinct("position").alias("places"), F.sum(F.col("prompt_id").cast("long")).alias("ids"), F.sum(F.length("prompt")).alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (store_two_writers, source_matrix_prompts, source_mapping, source_names, source_templates, source_backgrounds, source_existing_ids, source_histories, source_matrix, source_done_cells, source_latest_run, sink_pending_matrix, source_checkpoint, source_judgments, source_requests, source_log, store_snapshots)}
+QUERIES = {f.__name__: f for f in (sink_matrix_description, store_two_writers, source_matrix_prompts, source_mapping, source_names, source_templates, source_backgrounds, source_existing_ids, source_histories, source_matrix, source_done_cells, source_latest_run, sink_pending_matrix, source_checkpoint, source_judgments, source_requests, source_log, store_snapshots)}
 
 _C = "WITH " + V.CELLS
 _R = "WITH " + V.REPLIES
@@ -187,6 +195,7 @@ ORACLE_SQL = {
     "source_existing_ids": "SELECT 'c' || doc_id AS combination_id FROM documents WHERE doc_id % 7 <> 0",
     "source_histories": "WITH " + V.MESSAGES + " SELECT 'h' || conv_id AS history_id, 'old' AS age, prompt FROM msgs",
     "source_matrix": _C + " SELECT prompt_id, alias, status, response, error_message FROM cells",
+    "sink_matrix_description": _C + " SELECT alias, count(*) AS cells, CAST(2 AS BIGINT) AS version, 'failed,not_requested,pending,rate_limited,retrying,success' AS statuses FROM cells GROUP BY alias",
     "source_done_cells": _C + " SELECT prompt_id, alias FROM cells WHERE status = 'success'",
     "source_latest_run": "SELECT max(r_name) || '.csv' AS run FROM region",
     "sink_pending_matrix": "SELECT CAST(item_id AS VARCHAR) AS prompt_id, text AS prompt, alias, 'pending' AS status FROM benchmark, (VALUES ('alpha'), ('beta'), ('gamma-gemma')) a(alias)",

@@ -11,7 +11,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from loomgrid import api, config
-from loomgrid.operators import completion, matrix
+from loomgrid.operators import completion, matrix, stats
 from loomgrid.sources import files, journal, readers, store, writers
 from loomgrid.streaming import limits, requests
 
@@ -226,6 +226,43 @@ def test_a_group_has_one_call_at_a_time(spark):
     assert any(b < e for (_, e), (b, _) in zip(spans, spans[1:])) and time.time() - began < 60
 
 
+def test_a_call_that_takes_too_long_is_tried_again(spark):
+    calls = []
+
+    async def slow(request):
+        await asyncio.sleep(30)
+
+    async def at_once(_):
+        calls.append(1)
+
+    out = spark.range(2).select("id")
+    rows = completion.complete(out, lambda: slow, config.Retry(max_retries=3), timeout=0.05, sleep=at_once).collect()
+    assert [(r.status, r.error_type, r.retry_count) for r in rows] == [("failed", "TimeoutError", 2)] * 2
+
+
+@pytest.mark.parametrize("counts", [(10**6,) * 4, (3, 10**6, 4, 2 * 10**6), (500_000, 510_000, 495_000, 505_000)])
+def test_exact_p_of_large_tables(spark, counts):
+    """Margins of millions: against the chances' own ratios, summed in plain Python around the observed table."""
+    import math
+
+    a, b, c, d = counts
+    r1, r2, c1 = a + b, c + d, a + c
+    ways, x, way = {a: 0.0}, a, 0.0
+    while x < min(r1, c1) and way > -60:
+        way += math.log((r1 - x) * (c1 - x) / ((x + 1) * (r2 - c1 + x + 1)))
+        x += 1
+        ways[x] = way
+    x, way = a, 0.0
+    while x > max(0, c1 - r2) and way > -60:
+        x -= 1
+        way -= math.log((r1 - x) * (c1 - x) / ((x + 1) * (r2 - c1 + x + 1)))
+        ways[x] = way
+    most = max(ways.values())
+    want = sum(math.exp(w - most) for w in ways.values() if w <= 1e-7) / sum(math.exp(w - most) for w in ways.values())
+    got = stats.fisher(spark.createDataFrame([counts], "a long, b long, c long, d long")).first().p_value
+    assert got == pytest.approx(want, rel=1e-6)
+
+
 # streams
 
 
