@@ -4,13 +4,13 @@ Built from DataFrame functions only. Steps:
 
 1. One pass over the documents counts every term of the benchmark. For each 10-word window of an item
    the rarest positions become anchors, one more than words may be missing, so one is in place in any match.
-   Terms that don't occur are the rarest and surely missing; a window with too many is dropped.
+   Terms that don't occur are the rarest and surely missing; a window with too many is dropped. Of equal windows of an item one counts.
 2. A second pass stores the index of the rarest terms: a posting (term, document, position, surroundings)
    for each occurrence of an anchor's term. The surroundings are four bits of a hash of each of the eight words at either side.
 3. Anchor postings, shifted back by the anchor's offset in the item, name the start
    that the item would have in the document. Enough of the surrounding words must agree with the item's at their own
    offsets: this intersects the lists of all terms of a window without moving a posting. An occurrence always passes.
-4. Surviving starts name the word that each position of the document should have. A join
+4. Surviving starts name the word that each position of the document should have, within the windows that their anchors stand for. A join
    with the words of those documents leaves the ones in place: windows that are whole give the
    hits, windows with most words in place give proximity matches. No row holds more than a word.
 """
@@ -91,19 +91,28 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return occurrences(docs, terms, around=True)
 
 
-def _anchors(placed: DataFrame, counts: DataFrame, window: int, near: int) -> DataFrame:
-    """``term, item, off, around, inside, wanted`` of the rarest positions of each window that can match at all: one more than may be missing.
+def _windows(items: DataFrame, window: int) -> DataFrame:
+    """``item, s`` of each different window of each item: of equal ones, the first. What has one has all of them."""
+    width = F.least(F.lit(window), F.size("words"))
+    placed = items.select("item", "words", width.alias("width"), F.explode(F.sequence(F.lit(0), F.size("words") - width)).alias("s"))
+    content = F.array_join(F.slice("words", F.col("s") + 1, F.col("width")), " ")
+    return placed.groupBy("item", content.alias("content")).agg(F.min("s").alias("s")).select("item", "s")
 
-    ``wanted``: surrounding words that agree in any match.
+
+def _anchors(placed: DataFrame, windows: DataFrame, counts: DataFrame, window: int, near: int) -> DataFrame:
+    """``term, item, off, around, inside, wanted, low, high`` of the rarest positions of each window that can match at all: one more than may be missing.
+
+    ``wanted``: surrounding words that agree in any match; ``low`` and ``high``: the first and last word of the windows that the position stands for.
     """
     width = F.least(F.lit(window), F.col("n"))
     least = F.ceil(width * near / window)
-    starts = placed.join(counts, "term", "left").withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - width + 1), F.least(F.col("off"), F.col("n") - width))))
+    starts = placed.join(counts, "term", "left").withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - width + 1), F.least(F.col("off"), F.col("n") - width)))).join(windows, ["item", "s"])
     by = W.partitionBy("item", "s")
     live = starts.withColumn("known", F.count("df").over(by)).where(F.col("known") >= least)
     rarest = live.withColumn("rk", F.row_number().over(by.orderBy(F.asc_nulls_first("df"), "off"))).where(F.col("rk") <= width - least + 1)
     unseen = F.greatest(F.lit(0), width - 1 - REACH)  # a window's words further away than the surroundings reach
-    return rarest.where("df IS NOT NULL").select("term", "item", "off", "around", "inside", (least - 1 - unseen).alias("wanted")).distinct()
+    named = rarest.where("df IS NOT NULL").select("term", "item", "off", "around", "inside", (least - 1 - unseen).alias("wanted"), "s", (F.col("s") + width - 1).alias("end"))
+    return named.groupBy("term", "item", "off", "around", "inside", "wanted").agg(F.min("s").alias("low"), F.max("end").alias("high"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
@@ -115,16 +124,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: i
     placed = flat.join(terms, "word").select("item", "n", "off", "term", _around(F.col("words"), F.col("off")).alias("around"), _inside(F.col("words"), F.col("off")).alias("inside"))
     flat = flat.drop("words")
     counts = durable(occurrences(docs, terms).groupBy("term").agg(F.count("*").alias("df")), "counts")
-    anchors = durable(_anchors(placed, counts, window, near), "anchors")
+    anchors = durable(_anchors(placed, _windows(items, window), counts, window, near), "anchors")
     index = durable(postings(docs, terms.join(anchors.select("term").distinct(), "term", "left_semi")), "postings")
     agreed = _agreeing(F.col("p.around"), F.col("a.around"), F.col("inside"))
-    started = index.alias("p").join(anchors.alias("a"), "term").where(agreed >= F.col("wanted")).select("d", "h", "item", (F.col("pos") - F.col("off")).alias("start"))
-    starts = durable(started.distinct(), "starts")
+    started = index.alias("p").join(anchors.alias("a"), "term").where(agreed >= F.col("wanted")).select("d", "h", "item", (F.col("pos") - F.col("off")).alias("start"), F.struct("low", "high").alias("span"))
+    starts = durable(started.groupBy("d", "h", "item", "start").agg(F.collect_set("span").alias("spans")), "starts")  # of one item's windows
 
     # both sides grow with the documents: never broadcast
     texts = docs.where("text IS NOT NULL").select(*_document_key(), "text").join(starts.select("d", "h").distinct().hint("merge"), ["d", "h"], "left_semi").dropDuplicates(["d", "h"])
     words = texts.select("d", "h", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
-    expected = starts.join(flat, "item").withColumn("pos", F.col("start") + F.col("off")).where("pos >= 0")
+    offs = F.explode(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x.low, x.high))))).alias("off")
+    expected = starts.select("d", "h", "item", "start", offs).join(flat, ["item", "off"]).withColumn("pos", F.col("start") + F.col("off")).where("pos >= 0")
     placed = expected.join(words.hint("merge"), ["d", "h", "pos", "word"]).select("d", "h", "item", "start", "n", "off", "pos")
     width = F.least(F.lit(window), F.col("n"))
     ahead = W.partitionBy("d", "h", "item", "start").orderBy("off").rangeBetween(0, window - 1)
@@ -159,7 +169,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows in which a benchmark window occurs."""
+    """``docs`` without the rows in which a benchmark window occurs.
+
+    Null and empty texts stay; of repeated rows all go or none; an empty table stays empty, and so does all of
+    ``docs`` where the benchmark is empty. Whole texts of any length are searched.
+    """
     hit = durable(matches(docs, benchmark, window, near=window).where("n_hit > 0").select("d", "h"), "contaminated")
     d, h = unused(docs, "d", "h")
     own = [c.alias(n) for c, n in zip(_document_key(), (d, h))]

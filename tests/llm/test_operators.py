@@ -580,6 +580,30 @@ def test_contamination_with_more_terms_than_are_broadcast(spark, monkeypatch):
     assert sorted(map(str, decontaminate.contamination(docs, items).collect())) == want
 
 
+def test_items_that_repeat_themselves(spark):
+    """Long items of few different words, against the windows one by one; equal windows must not multiply."""
+    rnd = random.Random(91)
+    texts = [" ".join(rnd.choice("ab") for _ in range(300)), "a " * 900, " ".join(["a b c d e f g h i j k"] * 30), "b a " * 200 + "zz", " ".join(rnd.choice("abcdefghijk") for _ in range(200)), "c d e f g h i j k a b"]
+    items = [("q1", "a " * 120), ("q2", " ".join(["a b c d e f g h i j k"] * 12)), ("q3", " ".join(rnd.choice("ab") for _ in range(80))), ("q4", "b a b a")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.items, r.n_near) for r in decontaminate.contamination(docs, bench).collect()}
+    for d, text in enumerate(texts):
+        t, hit, exact, near = text.split(), set(), set(), set()
+        for name, item in items:
+            w = item.split()
+            n = min(10, len(w))
+            for win in {tuple(w[s : s + n]) for s in range(len(w) - n + 1)}:
+                for p in range(len(t) - n + 1):
+                    same = sum(x == y for x, y in zip(win, t[p : p + n]))
+                    if same == n:
+                        exact.add(name)
+                        hit |= set(range(p, p + n))
+                    if same >= -(-n * 8 // 10):
+                        near.add(name)
+        assert got[d][:2] == (len(hit), sorted(exact)) and got[d][2] >= len(near), d
+
+
 def test_contamination_of_a_text_full_of_starts(spark):
     items = [(i, f"a b c d e f g h i{i} j k l") for i in range(5)]
     text = " ".join(f"a b c d e f g h i{i % 6} j k l" for i in range(4000))
