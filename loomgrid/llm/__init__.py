@@ -1 +1 @@
-"""Operators of a training-data pipeline: ten DataFrame operators and their queries."""
+"""Operators of a training-data pipeline: thirteen DataFrame operators and their queries."""

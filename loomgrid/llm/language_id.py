@@ -224,7 +224,7 @@ def identify(docs: DataFrame, train: Column, keep: list[str], names: tuple[str,
     language, 4000 in all, but one of each language) and read as a whole; ``lang`` is no input of a prediction. Null
     texts and texts without a letter get ``und`` and score 0, and so does every text
     if nothing is labelled. Whole texts are scored, n-grams across pieces included. Ties go to the first language in
-    code-point order. Null ids and repeated rows are treated like others.
+    code-point order. Null ids and repeated rows are treated like others; an empty table gives no rows.
     """
     return map_texts(docs, keep, "text", _predict(fit(sample(docs, train))), {names[0]: "string", names[1]: "double"})
 
@@ -235,7 +235,11 @@ def held_out(docs: DataFrame) -> Column:
 
 
 def recognised(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` without the rows in no known language: without a letter, or with a score below ``min_score``."""
+    """``docs`` without the rows in no known language: without a letter, or with a score below ``min_score``.
+
+    Null and empty texts have no letter and go. Equal rows have one score, so all stay or none. Null ids are judged like others but not
+    learned from. Where nothing is labelled all go; an empty table stays empty; texts of any length are read as a whole.
+    """
     lang, score = unused(docs, "lang_pred", "lang_score")
     judged = identify(docs, ~held_out(docs) & F.col("doc_id").isNotNull(), docs.columns, (lang, score))
     return judged.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).select(*columns_of(docs))

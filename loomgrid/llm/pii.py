@@ -149,7 +149,7 @@ def find(docs: DataFrame) -> DataFrame:
     retry inside it. The others need a score of 0.5: an IBAN passes mod 97, a national
     id has a context word within 40 characters, a secret's value mixes digits and letters. Null texts are empty. Null ids,
     repeated rows and very long texts are treated like others, however many spans they hold; further columns are
-    ignored.
+    ignored; an empty table gives no rows.
     """
     text = F.col("text")
     digit, at, plus = text.rlike("[0-9]"), text.contains("@"), text.contains("+")

@@ -110,7 +110,7 @@ def rules(docs: DataFrame) -> DataFrame:
     their zstandard frame lies in the band of their length, and so do at least two
     thirds of their 4096-byte chunks, of which the last may be shorter: above the band a text
     repeats itself, below it is noise. Null and empty texts have no words and fail. Null ids, repeated rows and
-    very long texts are treated like others; further columns are ignored.
+    very long texts are treated like others; further columns are ignored; an empty table gives no rows.
     """
     return map_texts(docs, ["doc_id"], "text", _judge_texts, COLUMNS)
 

@@ -1,4 +1,4 @@
-"""The ten operators: brute force, held-out accuracy, and defined results in odd cases."""
+"""The first ten operators: brute force, held-out accuracy, and defined results in odd cases."""
 
 import hashlib
 import random
