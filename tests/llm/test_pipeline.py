@@ -13,7 +13,7 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 def test_registry():
     names = set(registry.queries())
     parts = {"shard_law", "fingerprint_components", "quality_base_counts"}  # of operators, for SQL to check
-    assert sorted(n.split("_")[0] for n in names - parts) == sorted([*(f"op{i}" for i in range(1, 11)), "pipeline"]) and parts <= names
+    assert sorted(n.split("_")[0] for n in names - parts) == sorted([*(f"op{i}" for i in range(1, 14)), "pipeline"]) and parts <= names
     assert set(registry.oracle_sql()) <= names
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontamination", "mix", "shards"]
 
