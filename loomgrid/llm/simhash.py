@@ -206,6 +206,12 @@ BY_CHANCE = 8
 BLOCK = 8192
 #: Bits in which the first 128 may differ for the whole sketch to be looked at: five deviations above what WIDE_SHARE gives.
 NARROW = 44
+#: Two texts are similar at this Jaccard distance of their shingles or less.
+WIDE_DISTANCE = 1 - 0.8
+#: Pivots whose distances to all members a table holds; with more pivots, more pairs are verified.
+TABLE_PIVOTS = 256
+#: Shingles, and so many more a text, of a part of a component of linked sketches: two parts meet in a task.
+PART, PART_TEXT = 1 << 20, 512
 _MIXERS = np.random.default_rng(6).integers(1, 1 << 63, SKETCH_BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -245,6 +251,70 @@ def sketch_of(text: str | None) -> np.ndarray:
     return np.packbits(2 * ones > len(grams), bitorder="little").view("<i8")
 
 
+def within(n: int, distance, radius: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Links (i, j) that connect exactly those of ``n`` members within ``radius`` of each other, fewer than members, and how many pairs had to be verified.
+
+    ``distance(k)``: a metric's distances of member k to all. Pivots are members: the first one that no pivot is near becomes the next, so
+    every member is a pivot or near one, and pivots have met all. Their distances form the table. Two members near pivots are a pair to
+    verify only if links don't connect them yet and they differ by at most ``radius`` in every coordinate (triangle inequality).
+    """
+    root, free, pivot = np.arange(n), np.ones(n, dtype=bool), np.zeros(n, dtype=bool)
+    table_, left, right, verified = [], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], 0
+
+    def link(i: int, near: np.ndarray) -> None:
+        roots, first = np.unique(root[near], return_index=True)
+        other = roots != root[i]
+        if other.any():
+            left.append(np.full(other.sum(), i))
+            right.append(near[first[other]])
+            joined = np.zeros(n, dtype=bool)
+            joined[roots], joined[root[i]] = True, True
+            root[joined[root]] = min(root[i], roots[0])
+
+    while free.any():
+        i = int(free.argmax())
+        column = distance(i)
+        near = np.flatnonzero(column <= radius)
+        link(i, near)
+        pivot[i], free[i] = True, False
+        if free[near].any() and len(table_) < TABLE_PIVOTS:
+            table_.append(column.astype(np.float32))
+        free[near] = False
+    rest = np.flatnonzero(~pivot)
+    coordinates = [c[rest] for c in table_]
+    for k, i in enumerate(rest):
+        if (root[rest[k:]] == root[i]).all():
+            continue
+        at = k + 1 + np.flatnonzero(root[rest[k + 1 :]] != root[i])
+        for c in coordinates:
+            at = at[np.abs(c[at] - c[k]) <= radius + 1e-6]  # above what single precision rounds
+            if not len(at):
+                break
+        if len(at):
+            verified += len(at)
+            link(i, rest[at[distance(i)[rest[at]] <= radius]])
+    return np.concatenate(left), np.concatenate(right), verified
+
+
+def shingle_distances(grams: np.ndarray, sizes: np.ndarray):
+    """Jaccard distances of set k to all: sets of so many ``sizes`` of different ``grams``, one after the other. Sets without any are equal."""
+    ends = np.cumsum(sizes)
+    values, grams = np.unique(grams, return_inverse=True)
+    mine = np.zeros(len(values), dtype=bool)
+    total = np.zeros(len(grams) + 1, dtype=np.int64)
+
+    def distance(k: int) -> np.ndarray:
+        own = grams[ends[k] - sizes[k] : ends[k]]
+        mine[own] = True
+        np.cumsum(mine[grams], out=total[1:])
+        mine[own] = False
+        shared = total[ends] - total[ends - sizes]
+        either = sizes + sizes[k] - shared
+        return np.where(either > 0, 1 - shared / np.maximum(either, 1), 0.0)
+
+    return distance
+
+
 def leaders(keys: np.ndarray, ids: np.ndarray, near) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Leaders of each bucket: which rows no leader took, then links as positions (leader, member).
 
@@ -309,8 +379,8 @@ def _unsigned(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(rows, -1).view(np.uint64)
 
 
-def _meet(key_bits: np.ndarray, bits: int):
-    """Classes (c, sketch) to bucket rows (key, class, 0, first 128 bits), already led inside the task, and links (-1, leader, member)."""
+def _meet(key_bits: np.ndarray):
+    """Classes (c, sketch) to bucket rows (key, class, 0, first 128 bits)."""
     n, width = key_bits.shape
     step = max(1, (1 << 18) // n)
 
@@ -324,13 +394,8 @@ def _meet(key_bits: np.ndarray, bits: int):
                 key = np.broadcast_to(np.arange(n, dtype=np.int64), (len(c), n)).copy()
                 for k in range(width):
                     key = (key << np.int64(1)) | ones[:, key_bits[:, k]]
-                key, row = key.ravel(), np.repeat(np.arange(len(c)), n)
-                ids, narrow = c[row], np.ascontiguousarray(sketch[:, :2])[row]
-                sent, left, right = leaders(key, ids, _near(narrow, row, sketch, bits))
-                yield _batch(key[sent], ids[sent], np.zeros(sent.sum(), dtype=np.int64), *narrow[sent].view(np.int64).T)
-                pairs = np.unique(np.stack([ids[left], ids[right]], axis=1), axis=0)
-                none = np.zeros(len(pairs), dtype=np.int64)
-                yield _batch(-1 - (pairs[:, 1] & 0xFFFF), pairs[:, 0], pairs[:, 1], none, none)
+                narrow = np.repeat(np.ascontiguousarray(sketch[:, :2]), n, axis=0)
+                yield _batch(key.ravel(), np.repeat(c, n), np.zeros(key.size, dtype=np.int64), *narrow.view(np.int64).T)
 
     return run
 
@@ -379,27 +444,61 @@ def _mark(batches):
         yield tested(held)
 
 
+def _whole(batches, n: int, columns, found):
+    """``found`` of the whole buckets of one partition: rows in the order of their first ``n`` columns, as ``columns`` reads them from a batch.
+
+    No more is held than a batch and the bucket that goes on in the next one.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = columns(batch)
+        held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
+        last = np.flatnonzero(np.any([c != c[-1] for c in held[:n]], axis=0))
+        to = last[-1] + 1 if len(last) else 0
+        if to:
+            yield from found(*(c[:to] for c in held))
+            held = [c[to:] for c in held]
+    if held is not None:
+        yield from found(*held)
+
+
+def _starts(*key: np.ndarray) -> np.ndarray:
+    """Where another bucket starts, and the end."""
+    other = np.any([k[1:] != k[:-1] for k in key], axis=0)
+    return np.concatenate([[0], 1 + np.flatnonzero(other), [len(key[0])]])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
 def _lead(bits: int):
-    """Bucket rows (key, x, y, class, sketch) of one partition, in that order, to links (a, b).
+    """Bucket rows (key, x, y, class, sketch) of one partition, in that order, to links (a, b) that connect what is near in each bucket.
 
-    From batch to batch only the last bucket's rows that no leader took are held.
+    Leaders of all buckets are found at once. Where what they took isn't of one component, a bucket's pivot distances tell which of the
+    taken rows may still be near each other.
     """
 
-    def run(batches):
-        kept = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [*(batch.column(i).to_numpy() for i in range(4)), _unsigned(batch.column(4), batch.num_rows)]
-            key, x, y, c, sketch = now if kept is None else [np.concatenate(p) for p in zip(kept, now)]
-            bucket = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))])
-            untaken, left, right = leaders(bucket, c, _near(np.ascontiguousarray(sketch[:, :2]), np.arange(len(c)), sketch, bits))
-            pairs = np.unique(np.stack([c[left], c[right]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-            rest = untaken & (bucket == bucket[-1])
-            kept = [key[rest], x[rest], y[rest], c[rest], sketch[rest]]
+    def found(key, x, y, c, sketch):
+        start = _starts(key, x, y)
+        bucket = np.repeat(np.arange(len(start) - 1), np.diff(start))
+        untaken, left, right = leaders(bucket, c, _near(np.ascontiguousarray(sketch[:, :2]), np.arange(len(c)), sketch, bits))
+        yield _pairs(c[left], c[right])
+        taken = np.flatnonzero(~untaken)
+        least = _least_reachable(len(c), left, right)[taken]
+        several = (bucket[taken][1:] == bucket[taken][:-1]) & (least[1:] != least[:-1])
+        for k in np.unique(bucket[taken][1:][several]):
+            own, ids = sketch[start[k] : start[k + 1]], c[start[k] : start[k + 1]]
+            i, j, _ = within(len(ids), lambda m, own=own: np.bitwise_count(own ^ own[m]).sum(axis=1, dtype=np.int32), bits)
+            yield _pairs(ids[i], ids[j])
 
-    return run
+    def columns(batch):
+        return [*(batch.column(i).to_numpy() for i in range(4)), _unsigned(batch.column(4), batch.num_rows)]
+
+    return lambda batches: _whole(batches, 3, columns, found)
 
 
 def similar(classes: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
@@ -407,14 +506,12 @@ def similar(classes: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
 
     Classes meet under keys of some of their bits; the more classes, the wider the keys and the more of them, so
     that at most about ``BY_CHANCE`` strangers meet under a key and a pair at similarity 0.8 does with probability 0.97 to 0.99, whatever
-    the input's size (at 0.9: 0.9999). A class leaves a bucket only by a link, tested on the whole sketch, to a
-    class of smaller ``c`` there: first inside its task, then over all, for which the rows that have a neighbour in the
-    first 128 bits fetch their sketches. Two classes that are each the smallest of their component were therefore
-    compared wherever they met. A key with more than ``BLOCK`` rows is dealt out: each pair of its blocks is a bucket.
-    Not every link is found: two classes that left a bucket by different leaders aren't compared there.
+    the input's size (at 0.9: 0.9999). Rows that have a neighbour in the first 128 bits fetch their sketches. Links connect
+    all classes that are near each other where they met. A key with more than ``BLOCK`` rows is dealt out: each pair of its
+    blocks is a bucket.
     """
     bits = int(share * SKETCH_BITS)
-    met = classes.select("c", "sketch").mapInArrow(_meet(keys_for(classes.count()), bits), "key long, a long, b long, m long, n long")
+    met = classes.select("c", "sketch").mapInArrow(_meet(keys_for(classes.count())), "key long, a long, b long, m long, n long")
     met = durable(met.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_mark, "key long, a long, b long"), "met")
     marked = met.where("key >= 0").withColumnRenamed("b", "block")
     blocks = marked.where("block > 0").groupBy("key").agg(F.max("block").alias("last"))
@@ -422,7 +519,7 @@ def similar(classes: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
     dealt = marked.join(blocks, "key", "left").select("key", F.col("a").alias("c"), "block", other)
     rows = dealt.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "c").join(classes.select("c", "sketch"), "c").select("key", "x", "y", "c", "sketch")
     led = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "c").mapInArrow(_lead(bits), "a long, b long")
-    return met.where("key < 0").select("a", "b").unionByName(led).distinct()
+    return led.distinct()
 
 
 def _sketches(texts: pd.Series) -> pd.Series:
@@ -437,32 +534,60 @@ def _shingles(texts: pd.Series) -> pd.Series:
 LINKED_BITS = 1 << 24
 
 
-def verified(links: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``links`` (a, b) whose texts share 0.8 or more of their different shingles, as counted.
+def _alike(batches):
+    """Rows (root, x, y, class, shingles) of one partition, in that order, to links (a, b) that connect the similar texts of each bucket."""
+
+    def found(root, x, y, c, grams):
+        start = _starts(root, x, y)
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for at, to in zip(start[:-1], start[1:]):
+            distance = shingle_distances(np.concatenate(grams[at:to]), np.array([len(g) for g in grams[at:to]]))
+            i, j, _ = within(to - at, distance, WIDE_DISTANCE)
+            left.append(c[at:to][i])
+            right.append(c[at:to][j])
+        yield _pairs(np.concatenate(left), np.concatenate(right))
+
+    def columns(batch):
+        grams = np.empty(batch.num_rows, dtype=object)
+        values, ends = batch.column(4).flatten().to_numpy(), np.cumsum(batch.column(4).value_lengths().to_numpy())
+        for k, own in enumerate(np.split(values, ends[:-1])):
+            grams[k] = own
+        return [*(batch.column(i).to_numpy() for i in range(4)), grams]
+
+    return _whole(batches, 3, columns, found)
+
+
+def alike(links: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that connect those classes of a component of ``links`` (a, b) whose texts share 0.8 or more of their different shingles, as counted.
 
     ``classes`` (c, first: d, h): the row of ``docs`` (d, h, text) that stands for each class. Only texts of linked classes are
-    read for their shingles: a bitmap of fixed size tells most others before anything moves, and a join the rest.
+    read for their shingles: a bitmap of fixed size tells most others before anything moves, and a join the rest. A component's
+    shingles meet in one task, or part by part; pivot distances discard most pairs, the rest are verified.
     """
-    ends = links.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    linked = durable(classes.join(ends, "c").select("c", "first.d", "first.h"), "linked")
+    tree = components(links)
+    members = tree.select(F.col("node").alias("c"), "root").unionByName(tree.select(F.col("root").alias("c"), "root").distinct())
+    linked = durable(classes.join(members, "c").select("root", "c", "first.d", "first.h"), "linked")
     place = F.pmod(F.col("h"), F.lit(LINKED_BITS))
     table_ = linked.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     met = docs.withColumn("part", F.bitmap_bucket_number(place)).join(F.broadcast(table_), "part")  # at most 513 rows of 4 kB
     bit = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     likely = met.where(F.floor(byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1).select("d", "h", "text")
-    found = likely.join(linked, ["d", "h"]).select("c", F.pandas_udf(_shingles, "array<bigint>")(F.col("text")).alias("grams"))
-    sets = durable(found.groupBy("c").agg(F.first("grams").alias("grams")), "shingles")  # equal rows are one class's twice
-    both = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("of"))
-    return shared.where(F.col("n") * 10 >= (F.col("of") - F.col("n")) * 8).select("a", "b")
+    found = likely.join(linked, ["d", "h"]).select("root", "c", F.pandas_udf(_shingles, "array<bigint>")(F.col("text")).alias("grams"))
+    sets = durable(found.groupBy("root", "c").agg(F.first("grams").alias("grams")), "shingles")  # equal rows are one class's twice
+    parts = sets.groupBy("root").agg(F.ceil(F.sum(F.size("grams") + F.lit(PART_TEXT)) / F.lit(PART)).alias("parts")).where("parts > 1")
+    n = F.coalesce("parts", F.lit(1).cast("long"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other")
+    dealt = sets.join(parts, "root", "left").select("root", "c", "grams", F.pmod(F.xxhash64("c"), n).alias("part"), other)
+    rows = dealt.select("root", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "c", "grams")
+    return rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "c").mapInArrow(_alike, "a long, b long")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of similar texts: that of the smallest id, null ids last.
 
-    Similar: 5-word shingles that agree to 0.8 or more (Jaccard), or equal sketches. Pairs come from 1024-bit SimHash sketches; their
-    shingles are compared before anything goes. Texts that differ in case of A-Z
+    Similar: 5-word shingles that agree to 0.8 or more (Jaccard), or equal sketches. 1024-bit SimHash sketches propose components; within each,
+    pivot distances of the shingles discard pairs, and the rest are verified before anything goes. Texts that differ in case of A-Z
     and white space alone are equal; all texts without words are. Rows are told apart by id and a hash of the
     text, so ids may repeat; of equal rows one stays. An empty table stays empty; a text of any length counts as a whole.
     """
@@ -472,7 +597,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("missing", "d", "h")).alias("first")
     ordered = marked.groupBy("sketch").agg(first).orderBy("first")  # c follows the order of the rows that stay
     classes = durable(ordered.select(F.monotonically_increasing_id().alias("c"), "sketch", "first"), "sketch-classes")
-    tree = components(verified(durable(similar(classes), "links"), classes, docs.select(own_d.alias("d"), own_h.alias("h"), "text")))
+    tree = components(alike(similar(classes), classes, docs.select(own_d.alias("d"), own_h.alias("h"), "text")))
     rooted = classes.select("c", "first").join(tree, classes.c == tree.node, "left").groupBy(F.coalesce("root", "c")).agg(F.min("first").alias("first"))
     kept = durable(rooted.select("first.d", "first.h").distinct(), "kept")
     d, h, nth = unused(docs, "d", "h", "nth")

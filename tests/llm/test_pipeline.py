@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -117,3 +118,60 @@ def test_stages_take_odd_and_empty_tables(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_chains_of_sketches_stay_whole(spark, monkeypatch):
+    """Under one key for all: ends of a chain of three links, whose middle ones hang on different references."""
+    monkeypatch.setattr(simhash, "keys_for", lambda classes: np.array([[0]]))
+    rng = np.random.default_rng(31)
+    rows = []
+    for family in range(40):
+        sketch, places = rng.random(simhash.SKETCH_BITS) < 0.5, 1 + rng.permutation(simhash.SKETCH_BITS - 1)
+        sketch[0] = False
+        for k, c in enumerate((0, 2, 3, 1)):  # the middle ones have the larger ids
+            if k:
+                sketch = sketch.copy()
+                sketch[places[170 * (k - 1) : 170 * k]] ^= True
+            rows.append((1000 * c + family, np.packbits(sketch, bitorder="little").view("<i8").tolist()))
+    found = simhash.similar(spark.createDataFrame(rows, "c long, sketch array<bigint>").repartition(3))
+    tree = {r.node: r.root for r in simhash.components(found).collect()}
+    assert tree == {1000 * c + family: family for family in range(40) for c in (1, 2, 3)}
+
+
+def test_texts_are_compared_beside_a_reference_that_fails(spark, monkeypatch):
+    """Two texts at 0.8 or more of each other, each near a third by sketch but not by shingles."""
+    monkeypatch.setattr(simhash, "keys_for", lambda classes: np.array([[0]]))
+    rnd = random.Random(32)
+    rows, want = [], set()
+    for family in range(60):
+        first = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+        second = list(first)
+        for at in range(10, 400, 40):  # 50 of 396 shingles: 0.776
+            second[at] = f"x{rnd.randrange(10**6)}"
+        third = list(second)
+        third[200] = f"y{rnd.randrange(10**6)}"
+        texts = [" ".join(t) for t in (first, second, third)]
+        u = np.array([simhash.sketch_of(t) for t in texts]).view(np.uint64)
+        if len({int(x[0]) & 1 for x in u}) == 1 and all(np.bitwise_count(u[0] ^ x).sum() <= 176 for x in u[1:]):
+            rows += [(1000 * k + family, t) for k, t in enumerate(texts)]
+            want |= {family, 1000 + family}
+    assert len(want) > 20
+    assert {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()} == want
+
+
+def test_pivot_distances_discard_pairs():
+    """Sets in groups: links connect what brute force connects, and most pairs go by the triangle inequality alone."""
+    rng = np.random.default_rng(33)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 10**9, 200)
+        for _ in range(25):
+            sets.append(np.unique(np.where(rng.random(200) < rng.choice([0.01, 0.05, 0.09, 0.2]), rng.integers(0, 10**9, 200), base)))
+    chain = [np.arange(at, at + 1000) for at in (0, 240, 80, 160)]  # its ends are pivots; only the middle ones link them
+    sets = [sets[i] for i in rng.permutation(len(sets))] + chain + [np.zeros(0, dtype=np.int64)]
+    i, j, verified = simhash.within(len(sets), simhash.shingle_distances(np.concatenate(sets), np.array([len(s) for s in sets])), simhash.WIDE_DISTANCE)
+    brute = [(a, b) for a in range(len(sets)) for b in range(a) if 10 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 8 * (len(sets[a]) + len(sets[b]) - n) > 0]
+    assert set(zip(i.tolist(), j.tolist())) <= set(brute) | {(b, a) for a, b in brute}
+    parts = [simhash._least_reachable(len(sets), *np.array(p, dtype=np.int64)) for p in ((i, j), tuple(zip(*brute)))]
+    assert (parts[0] == parts[1]).all() and len(i) == len(sets) - len(set(parts[1].tolist()))
+    assert 0 < verified <= 0.01 * len(sets) * (len(sets) - 1) / 2
