@@ -298,17 +298,28 @@ def within(n: int, distance, radius: float) -> tuple[np.ndarray, np.ndarray, int
 
 def shingle_distances(grams: np.ndarray, sizes: np.ndarray):
     """Jaccard distances of set k to all: sets of so many ``sizes`` of different ``grams``, one after the other. Sets without any are equal."""
-    ends = np.cumsum(sizes)
-    values, grams = np.unique(grams, return_inverse=True)
-    mine = np.zeros(len(values), dtype=bool)
-    total = np.zeros(len(grams) + 1, dtype=np.int64)
+    _, grams, times = np.unique(grams, return_inverse=True, return_counts=True)
+    several = times > 1  # others are of one set alone
+    owner, own = np.repeat(np.arange(len(sizes)), sizes)[several[grams]], (np.cumsum(several) - 1)[grams[several[grams]]]
+    ends = np.cumsum(np.bincount(owner, minlength=len(sizes)))
+    starts = np.concatenate([[0], ends[:-1]])
+    words = int(several.sum()) // 64 + 1
+    if words * len(sizes) <= len(own):  # much is shared: a bit for each
+        bits = np.zeros((len(sizes), words), dtype=np.uint64)
+        np.bitwise_or.at(bits, (owner, own >> 6), np.uint64(1) << (own & 63).astype(np.uint64))
+        shared_with = lambda k: np.bitwise_count(bits & bits[k]).sum(axis=1, dtype=np.int64)
+    else:
+        mine, total = np.zeros(64 * words, dtype=bool), np.zeros(len(own) + 1, dtype=np.int64)
+
+        def shared_with(k: int) -> np.ndarray:
+            mine[own[starts[k] : ends[k]]] = True
+            np.cumsum(mine[own], out=total[1:])
+            mine[own[starts[k] : ends[k]]] = False
+            return total[ends] - total[starts]
 
     def distance(k: int) -> np.ndarray:
-        own = grams[ends[k] - sizes[k] : ends[k]]
-        mine[own] = True
-        np.cumsum(mine[grams], out=total[1:])
-        mine[own] = False
-        shared = total[ends] - total[ends - sizes]
+        shared = shared_with(k)
+        shared[k] = sizes[k]
         either = sizes + sizes[k] - shared
         return np.where(either > 0, 1 - shared / np.maximum(either, 1), 0.0)
 

@@ -175,3 +175,14 @@ def test_pivot_distances_discard_pairs():
     parts = [simhash._least_reachable(len(sets), *np.array(p, dtype=np.int64)) for p in ((i, j), tuple(zip(*brute)))]
     assert (parts[0] == parts[1]).all() and len(i) == len(sets) - len(set(parts[1].tolist()))
     assert 0 < verified <= 0.01 * len(sets) * (len(sets) - 1) / 2
+
+
+def test_shingle_distances_of_any_sets():
+    """Sets that share much, little, all and nothing, against Python's sets."""
+    rng = np.random.default_rng(34)
+    for most, n, size in ((100, 40, 60), (5000, 40, 60), (10**9, 5, 30), (3, 6, 3), (10**6, 1, 10)):
+        sets = [np.unique(rng.integers(0, most, rng.integers(0, size))) for _ in range(n)] + [np.zeros(0, dtype=np.int64)] * 2
+        distance = simhash.shingle_distances(np.concatenate(sets), np.array([len(s) for s in sets]))
+        plain = [set(s.tolist()) for s in sets]
+        for k, a in enumerate(plain):
+            assert distance(k).tolist() == [1 - len(a & b) / len(a | b) if a | b else 0 for b in plain]
