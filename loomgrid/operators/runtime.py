@@ -39,23 +39,32 @@ def rate_windows(log: DataFrame, bucket: str, seconds: int = 60, chunk_seconds:
     """``log`` (ts, tokens, event_id) with requests and tokens of its bucket in the trailing window before and with each.
 
     The window is half open: what is exactly ``seconds`` old has left. Of requests at
-    one instant only those with smaller ids count. A bucket's rows are dealt out in chunks of
-    time; a chunk also holds the end of the one before it, so a hot bucket spreads over many tasks.
+    one instant only those with smaller ids count. Tokens are whole numbers; where a window knows none, its tokens are null.
+    A request is two marks, where it comes and where it leaves, and a window is the running sum of marks, so work
+    follows the requests, however many a window holds. A bucket's marks are dealt out in chunks of time; a chunk starts from
+    what leaves in it and came before it, so a hot bucket spreads over many tasks.
     """
-    span_micros, chunk = seconds * 1_000_000, max(seconds, chunk_seconds) * 1_000_000
-    t, own, part = unused(log, "t", "own", "chunk")
-    placed = log.withColumn(t, F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(own, F.floor(F.col(t) / chunk))
-    tail = F.pmod(F.col(t), F.lit(chunk)) >= chunk - span_micros
-    dealt = placed.withColumn(part, F.explode(F.when(tail, F.array(own, F.col(own) + 1)).otherwise(F.array(own))))
-    span = W.partitionBy(bucket, part).orderBy(t).rangeBetween(-span_micros + 1, 0)
-    later = W.partitionBy(bucket, part, t).orderBy(F.desc("event_id")).rowsBetween(W.unboundedPreceding, -1)
-    counted = dealt.withColumns(
-        {
-            "window_requests": F.count("*").over(span) - F.count("*").over(later),
-            "window_tokens": F.sum("tokens").over(span) - F.coalesce(F.sum("tokens").over(later), F.lit(0)),
-        }
-    )
-    return counted.where(F.col(part) == F.col(own)).drop(t, own, part)
+    span, chunk = seconds * 1_000_000, max(seconds, chunk_seconds) * 1_000_000
+    key, part, at, step, early, amount = unused(log, "key", "part", "at", "step", "early", "amount")
+    start = lambda t: t - F.pmod(t, F.lit(chunk))
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    comes = F.struct(start(t).alias(part), t.alias(at), F.lit(1).alias(step), F.lit(False).alias(early))
+    leaves = F.struct(start(t + span).alias(part), (t + span).alias(at), F.lit(-1).alias(step), (start(t + span) > start(t)).alias(early))
+    marks = log.where(t.isNotNull()).select("*", F.col(bucket).alias(key), F.inline(F.array(comes, leaves)))
+    own = F.col(step) == 1
+    signed = F.when(own, F.col("tokens")).otherwise(-F.col("tokens")).alias(amount)
+    # of a request that leaves only its time and tokens travel
+    dealt = marks.select(*[F.when(own, c).alias(n) for n, c in zip(log.columns, columns_of(log))], key, part, at, step, early, signed)
+    ordered = W.partitionBy(key, part).orderBy(at, step, "event_id")
+    so_far, whole = ordered.rangeBetween(W.unboundedPreceding, W.currentRow), ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+    def in_window(value: Column) -> Column:
+        carried = -F.coalesce(F.sum(F.when(F.col(early), value)).over(whole), F.lit(0))
+        return carried + F.coalesce(F.sum(value).over(so_far), F.lit(0))
+
+    known = in_window(F.when(F.col(amount).isNotNull(), F.col(step)))
+    counted = dealt.withColumns({"window_requests": in_window(F.col(step)), "window_tokens": F.when(known > 0, in_window(F.col(amount)))})
+    return counted.where(own).drop(key, part, at, step, early, amount)
 
 
 def rate_violations(windows: DataFrame, requests: int, tokens: int) -> DataFrame:

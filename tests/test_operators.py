@@ -1,5 +1,7 @@
 """Operators on small tables: combinations, personas, matrices, judgments, rates, statistics."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +117,18 @@ def test_rates(spark):
     assert {r.requests for r in requests.rates(log, "provider").collect()} == {3, 1}
 
 
+def test_a_crowded_window_takes_no_longer_than_its_requests(spark):
+    n, held = 120_000, 60_000
+    log = spark.range(n).select(F.col("id").alias("event_id"), F.lit("p").alias("provider"), F.timestamp_millis("id").alias("ts"), (F.col("id") % 2).alias("tokens"))
+    began = time.perf_counter()
+    windows = runtime.rate_windows(log, "provider", held // 1000)
+    got = windows.agg(F.sum("window_requests").alias("requests"), F.sum("window_tokens").alias("tokens"), F.count_if((F.col("window_requests") > 50_000) | (F.col("window_tokens") > 20_000)).alias("over")).first()
+    assert runtime.rate_violations(windows, 50_000, 20_000).count() == got.over == n - 40_001
+    assert time.perf_counter() - began < 60  # a sum anew for each request's window: some minutes
+    assert got.requests == held * (held + 1) // 2 + (n - held) * held
+    assert got.tokens == sum((i + 1) // 2 for i in range(held)) + (n - held) * held // 2
+
+
 def test_replay_and_lookup(spark):
     events = spark.createDataFrame([("a", "pending", 1), ("a", "success", 2), ("b", "retryable_failure", 3)], "request_id string, status string, line_no long")
     state = runtime.replay(events)
