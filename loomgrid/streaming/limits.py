@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .stateful import make_folder, state_store
@@ -71,15 +73,80 @@ class SlidingLog(StatefulProcessor):
         pass
 
 
-def admissions(log: DataFrame, bucket: str, requests: int = 0, tokens: int = 0, seconds: int = 60, late: str = "0 seconds") -> DataFrame:
+class Trailing:
+    """Windows of a sliding log without limits, where each event passes at its own time.
+
+    No event waits for another then, so a bucket's time is cut into chunks, and a state holds every so many-th of them.
+    Events (``part``: start of their chunk) come with the end of the chunk before theirs, told by a time before
+    ``part``. They stay as one block of numbers, and what the watermark has passed is counted in one go.
+    """
+
+    COLUMNS = ["part", "t", "event_id", "tokens", "known"]
+    STATE = "block binary, done long"
+    #: Windows leave in lists of some thousand: next to states, Spark takes long over single rows.
+    OUT = "bucket string, event_id array<long>, requests array<long>, tokens array<long>, known array<long>"
+    LIST = 10_000
+
+    def __init__(self, span: int, chunk: int) -> None:
+        self.span, self.chunk = span, chunk
+
+    def __call__(self, key, some: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        block, done = state.get if state.exists else (b"", 0)
+        fresh = [] if state.hasTimedOut else [x[self.COLUMNS].to_numpy("int64") for x in some]
+        rows = np.concatenate([np.frombuffer(block, "int64").reshape(-1, len(self.COLUMNS)), *fresh])
+        final = state.getCurrentWatermarkMs() * 1000
+        told = self._told(rows[rows[:, 1] < final], done)
+        kept = rows[(rows[:, 1] >= final) | (rows[:, 1] > final - self.span) & (rows[:, 0] + self.chunk > final)]
+        if len(kept):
+            part, t = kept[:, 0], kept[:, 1]
+            state.update((kept.tobytes(), final))
+            # next an event is to be told, or a chunk is over
+            state.setTimeoutTimestamp(int(np.where((t >= part) & (t >= final), t, part + self.chunk).min()) // 1000)
+        elif state.exists:
+            state.remove()
+        for i in range(0, len(told[0]), self.LIST):
+            yield pd.DataFrame([[key[0], *(x[i : i + self.LIST] for x in told)]], columns=["bucket", "event_id", "requests", "tokens", "known"])
+
+    def _told(self, rows: np.ndarray, done: int) -> list[np.ndarray]:
+        """Ids, requests, tokens and known tokens of the windows of those events from ``done`` on that are in their own chunk."""
+        part, t, event_id, tokens, known = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))].T
+        # times on one line, chunks further apart than a window
+        line = t - part + np.unique(part, return_inverse=True)[1] * (self.chunk + 2 * self.span)
+        ends = np.append(np.flatnonzero((np.diff(line) != 0) | (np.diff(event_id) != 0)) + 1, len(line))
+        own = np.flatnonzero((t >= part) & (t >= done))
+        first, end = np.searchsorted(line, line[own] - self.span, "right"), ends[np.searchsorted(ends, own, "right")]
+        within = lambda n: (sums := np.append(0, np.cumsum(n)))[end] - sums[first]
+        return [event_id[own], end - first, within(tokens), within(known)]
+
+
+def _trailing(timed: DataFrame, bucket: str, seconds: int, slots: int) -> DataFrame:
+    """``admissions`` without limits: a chunk is four windows long, and its last one also goes to the chunk after it.
+
+    Rows reach this kind of state by the batch, where ``transformWithStateInPandas`` takes each apart.
+    """
+    span, chunk = seconds * 1_000_000, 4 * seconds * 1_000_000
+    t = F.unix_micros("ts")
+    start = t - F.pmod(t, F.lit(chunk))
+    parts = F.when(t >= start + chunk - span, F.array(start, start + chunk)).otherwise(F.array(start))
+    tokens = F.col("tokens").cast("long")
+    dealt = timed.where(t.isNotNull()).select(F.col(bucket).alias("bucket"), "ts", t.alias("t"), "event_id", F.coalesce(tokens, F.lit(0)).alias("tokens"), tokens.isNotNull().cast("long").alias("known"), F.explode(parts).alias("part"))
+    slot = F.pmod(F.expr(f"part div {chunk}"), F.lit(slots)).alias("slot")
+    lists = dealt.select("*", slot).groupBy("bucket", "slot").applyInPandasWithState(Trailing(span, chunk), Trailing.OUT, Trailing.STATE, "append", "EventTimeTimeout")
+    told = lists.select("bucket", F.inline(F.arrays_zip("event_id", "requests", "tokens", "known")))
+    return told.select("event_id", "bucket", F.lit(0.0).alias("wait"), F.col("requests").alias("window_requests"), F.when(F.col("known") > 0, F.col("tokens")).alias("window_tokens"))
+
+
+def admissions(log: DataFrame, bucket: str, requests: int = 0, tokens: int = 0, seconds: int = 60, late: str = "0 seconds", slots: int = 16) -> DataFrame:
     """``event_id, bucket, wait, window_requests, window_tokens`` of a stream (ts, event_id, tokens, ``bucket``).
 
     wait: seconds until a sliding log of the bucket admits the event; window_requests and window_tokens: what the
     ``seconds`` up to its admission hold then, itself included. Without limits that is the trailing window of the event
-    itself. Buckets, such as a provider and profile, are kept apart; rows come when the watermark, ``late`` behind, has passed
-    them, and later ones than that are dropped.
+    itself, and a bucket is dealt out to ``slots`` states by time; with limits it is one state. Buckets, such as a provider
+    and profile, are kept apart; rows come when the watermark, ``late`` behind, has passed them, and later ones than that are dropped.
     """
     timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    if not requests and not tokens:
+        return _trailing(timed, bucket, seconds, slots)
     keyed = timed.select(F.col(bucket).alias("bucket"), "ts", F.unix_micros("ts").alias("t"), "event_id", F.col("tokens").cast("long").alias("tokens"))
     return keyed.groupBy("bucket").transformWithStateInPandas(SlidingLog(requests, tokens, seconds), _OUT, "Append", "EventTime")
 

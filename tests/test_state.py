@@ -299,6 +299,27 @@ def test_streamed_admissions_match_a_plain_log(spark, tmp_path, requests_, token
     assert got == pytest.approx(want) if None not in want.values() else got == want
 
 
+@pytest.mark.parametrize("slots", [1, 3])
+def test_streamed_windows_match_plain_sums(spark, tmp_path, slots):
+    rnd = random.Random(slots)
+    rows = [(i, rnd.choice(["a", "b", None]), rnd.choice([rnd.randrange(1, 1800), 60 * rnd.randrange(1, 30)]), rnd.choice([None, None, rnd.randrange(14)])) for i in range(900)]
+    schema = "event_id long, bucket string, s long, tokens long"
+    timed = lambda some: spark.createDataFrame(some, schema).select("event_id", "bucket", F.timestamp_seconds("s").alias("ts"), "tokens")
+    source, sink, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    late = (-2, "a", 10, 5)  # after the watermark has passed it: neither told nor counted
+    parts = [[x for x in rows if x[2] // 300 in k] for k in ((0, 1), (2,), (3, 4, 5))]
+    for part in (parts[0], [*parts[1], late], parts[2], [(-1, "", 90_000, 0)]):
+        timed(part).coalesce(1).write.mode("append").parquet(source)
+        limits.admit(spark, source, timed(rows).schema, sink, state, "bucket", seconds=60, slots=slots)
+    got = {r.event_id: (r.bucket, r.wait, r.window_requests, r.window_tokens) for r in spark.read.schema(limits._OUT).parquet(f"{sink}/*").collect()}
+    want = {}
+    for i, b, t, _ in rows:
+        held = [n for j, x, u, n in rows if x == b and t - 60 < u and (u, j) <= (t, i)]
+        known = [n for n in held if n is not None]
+        want[i] = (b, 0.0, len(held), sum(known) if known else None)
+    assert got == want
+
+
 def test_requests_are_asked_until_final(spark, tmp_path):
     (tmp_path / "in").mkdir()
     line = lambda i: json.dumps({"request_id": f"r{i}", "model_alias": "m", "prompt": f"p{i}"}) + "\n"
