@@ -1,5 +1,6 @@
 """Operators on small tables: combinations, personas, matrices, judgments, rates, statistics."""
 
+import random
 import time
 
 import pytest
@@ -117,6 +118,21 @@ def test_rates(spark):
     assert {r.requests for r in requests.rates(log, "provider").collect()} == {3, 1}
 
 
+@pytest.mark.parametrize("chunk", [60, 100, 3600])
+def test_window_tokens_match_plain_sums(spark, chunk):
+    rnd = random.Random(chunk)
+    rows = [(i, rnd.choice("ab"), rnd.choice([rnd.randrange(-900, 900), 60 * rnd.randrange(-15, 15)]), rnd.choice([None, None, rnd.randrange(-3, 14)])) for i in range(600)]
+    log = spark.createDataFrame([*rows, (600, "a", None, 5)], "event_id long, provider string, s long, tokens long").withColumn("ts", F.timestamp_seconds("s"))
+    windows = runtime.rate_windows(log, "provider", 60, chunk)
+    assert windows.columns == [*log.columns, "window_requests", "window_tokens"]
+    want = []
+    for i, p, t, n in rows:
+        held = [m for j, q, u, m in rows if q == p and t - 60 < u and (u, j) <= (t, i)]
+        known = [m for m in held if m is not None]
+        want.append((i, p, t, n, len(held), sum(known) if known else None))
+    assert sorted(map(tuple, windows.drop("ts").collect())) == want
+
+
 def test_a_crowded_window_takes_no_longer_than_its_requests(spark):
     n, held = 120_000, 60_000
     log = spark.range(n).select(F.col("id").alias("event_id"), F.lit("p").alias("provider"), F.timestamp_millis("id").alias("ts"), (F.col("id") % 2).alias("tokens"))
